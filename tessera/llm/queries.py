@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_transducer, token_files
+from tessera.llm import bpe_transducer, config_packing, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         token_files.op5_token_files,
+        config_packing.op7_config_packing,
         bpe_transducer.op8_bpe_transducer,
     ]
     return {f.__name__: f for f in found}
