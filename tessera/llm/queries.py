@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_transducer, config_packing, token_files
+from tessera.llm import bpe_transducer, config_packing, crf_quality, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         token_files.op5_token_files,
         config_packing.op7_config_packing,
         bpe_transducer.op8_bpe_transducer,
+        crf_quality.op10_crf_quality,
     ]
     return {f.__name__: f for f in found}
 
