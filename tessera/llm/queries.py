@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_transducer, config_packing, crf_quality, token_files
+from tessera.llm import bpe_transducer, config_packing, crf_quality, language_id, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        language_id.op4_language_id,
         token_files.op5_token_files,
         config_packing.op7_config_packing,
         bpe_transducer.op8_bpe_transducer,
