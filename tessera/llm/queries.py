@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_transducer, config_packing, crf_quality, language_id, token_files
+from tessera.llm import bpe_transducer, config_packing, crf_quality, exact_topk, language_id, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        exact_topk.op2_exact_topk,
         language_id.op4_language_id,
         token_files.op5_token_files,
         config_packing.op7_config_packing,
@@ -21,4 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_exact_topk": exact_topk.OP2_SQL,
+    }
