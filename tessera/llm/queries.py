@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_transducer, config_packing, crf_quality, exact_topk, language_id, token_files
+from tessera.llm import bpe_transducer, config_packing, crf_quality, exact_topk, language_id, line_templates, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        line_templates.op1_line_templates,
         exact_topk.op2_exact_topk,
         language_id.op4_language_id,
         token_files.op5_token_files,
@@ -23,5 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_line_templates": line_templates.OP1_SQL,
         "op2_exact_topk": exact_topk.OP2_SQL,
     }
