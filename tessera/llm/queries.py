@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_transducer, config_packing, crf_quality, exact_topk, language_id, line_templates, token_files
+from tessera.llm import bpe_transducer, config_packing, crf_quality, exact_topk, language_id, line_templates, minhash_join, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         line_templates.op1_line_templates,
         exact_topk.op2_exact_topk,
+        minhash_join.op3_minhash_join,
         language_id.op4_language_id,
         token_files.op5_token_files,
         config_packing.op7_config_packing,
