@@ -195,32 +195,37 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray] |
     return fit([(unpack(bytes(r.lines)), int(r.quality)) for r in got])
 
 
+def verdicts(model: tuple[np.ndarray, np.ndarray] | None, texts: pa.Array) -> list[np.ndarray]:
+    """The columns NAMES for a column of texts."""
+    raw_all, offsets_all = text_bytes(texts)
+    parts = []
+    for a, b in chunks(offsets_all):
+        offsets = offsets_all[a : b + 1] - offsets_all[a]
+        raw = raw_all[offsets_all[a] : offsets_all[b]]
+        t = line_table(raw, offsets)
+        words, repeats = repeated_words(raw, offsets, t["first"], t["last"])
+        space = np.isin(raw, np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
+        chars = _within(((raw & 0xC0) != 0x80) & ~space, offsets[:-1], offsets[1:])
+        symbols = _within(_SYMBOLS[raw], offsets[:-1], offsets[1:])
+        at = np.searchsorted(t["row"], np.arange(len(offsets)))
+        distinct = np.unique(np.stack([t["row"].astype(np.uint64), t["hash"]], 1), axis=0)[:, 0] if len(t["row"]) else np.zeros(0, np.uint64)
+        dup = np.diff(at) - np.bincount(distinct.astype(np.int64), minlength=b - a)
+        content = np.ones(b - a)
+        if model is not None and len(t["row"]):
+            label = viterbi(t["x"] @ model[0].astype(np.float32), model[1], at)
+            size = np.bincount(t["row"], t["chars"], b - a)
+            content = np.bincount(t["row"], t["chars"] * label, b - a) / np.maximum(size, 1)
+        failed = (words < MIN_WORDS) | (100 * repeats > MAX_REPEAT * words)
+        parts.append((words, chars, symbols, dup, repeats, failed, ~failed & (content >= MIN_SHARE), content))
+    return [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0)] * 8
+
+
 def judged(model: tuple[np.ndarray, np.ndarray] | None):
     """A mapInArrow function from (doc_id, text, ...) to the counts and the verdict of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw_all, offsets_all = text_bytes(batch.column("text"))
-            parts = []
-            for a, b in chunks(offsets_all):
-                offsets = offsets_all[a : b + 1] - offsets_all[a]
-                raw = raw_all[offsets_all[a] : offsets_all[b]]
-                t = line_table(raw, offsets)
-                words, repeats = repeated_words(raw, offsets, t["first"], t["last"])
-                space = np.isin(raw, np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
-                chars = _within(((raw & 0xC0) != 0x80) & ~space, offsets[:-1], offsets[1:])
-                symbols = _within(_SYMBOLS[raw], offsets[:-1], offsets[1:])
-                at = np.searchsorted(t["row"], np.arange(len(offsets)))
-                distinct = np.unique(np.stack([t["row"].astype(np.uint64), t["hash"]], 1), axis=0)[:, 0] if len(t["row"]) else np.zeros(0, np.uint64)
-                dup = np.diff(at) - np.bincount(distinct.astype(np.int64), minlength=b - a)
-                content = np.ones(b - a)
-                if model is not None and len(t["row"]):
-                    label = viterbi(t["x"] @ model[0].astype(np.float32), model[1], at)
-                    size = np.bincount(t["row"], t["chars"], b - a)
-                    content = np.bincount(t["row"], t["chars"] * label, b - a) / np.maximum(size, 1)
-                failed = (words < MIN_WORDS) | (100 * repeats > MAX_REPEAT * words)
-                parts.append((words, chars, symbols, dup, repeats, failed, ~failed & (content >= MIN_SHARE), content))
-            columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0)] * 8
+            columns = verdicts(model, batch.column("text"))
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds))], ["doc_id", *NAMES])
 
@@ -236,5 +241,16 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(judged(train(docs, labels)), OUT)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that the verdict keeps, with all their columns."""
+    model = train(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(verdicts(model, batch.column("text"))[6].astype(bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_transducer, config_packing, crf_quality, exact_topk, language_id, line_templates, minhash_join, token_files
+from tessera.llm import bpe_transducer, config_packing, crf_quality, exact_topk, language_id, line_templates, minhash_join, suffix_levels, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         minhash_join.op3_minhash_join,
         language_id.op4_language_id,
         token_files.op5_token_files,
+        suffix_levels.op6_suffix_levels,
         config_packing.op7_config_packing,
         bpe_transducer.op8_bpe_transducer,
         crf_quality.op10_crf_quality,
