@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_transducer, config_packing, crf_quality, exact_topk, language_id, line_templates, minhash_join, suffix_levels, token_files
+from tessera.llm import bpe_transducer, config_packing, crf_quality, exact_topk, language_id, line_templates, maxent_lm, minhash_join, suffix_levels, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         suffix_levels.op6_suffix_levels,
         config_packing.op7_config_packing,
         bpe_transducer.op8_bpe_transducer,
+        maxent_lm.op9_maxent_lm,
         crf_quality.op10_crf_quality,
     ]
     return {f.__name__: f for f in found}
