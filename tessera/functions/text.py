@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words whose share makes a line read as English.
 FUNCTION_WORDS = (
@@ -69,7 +70,7 @@ def is_numeric_line(text: Column, share: float = 0.20) -> Column:
     return F.coalesce(digit_count(text) / F.greatest(F.length(text), F.lit(1)) > share, F.lit(True)) | (text == "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility normalisation; there is no built-in."""
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
