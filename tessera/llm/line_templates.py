@@ -34,14 +34,24 @@ def _tokens(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.transform(words, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))).otherwise(words)
 
 
+def _leaf(line: Column) -> tuple[Column, Column]:
+    """The number of tokens and the hash of the tree's path, without splitting the whole line."""
+    n = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+    bare = F.when(line.rlike(r"^[\x20\x09-\x0D]"), F.regexp_replace(line, r"^[\x20\x09-\x0D]+", "")).otherwise(line)
+    lead = F.slice(F.split(bare, BLANK, LEAD + 1), 1, LEAD)
+    return n, F.xxhash64(n, F.transform(lead, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t)))
+
+
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, min_const: float = MIN_CONST) -> DataFrame:
-    """(key, line_no) of the lines to drop from docs(key, doc_id, text); line_no counts from 0."""
+    """(key, line_no) of the lines to drop from docs(key, doc_id, text); line_no counts from 0.
+
+    The joins that carry text name their method, so that small and large inputs run alike.
+    """
     lines = docs.select("key", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    parsed = lines.withColumn("tokens", _tokens(F.col("line"))).withColumn("n", F.size("tokens")).where(F.col("n") >= min_tokens)
-    leaf = F.xxhash64("n", F.slice("tokens", 1, LEAD))
-    parsed = parsed.select("key", "doc_id", "line_no", "line", leaf.alias("leaf"))
+    n, leaf = _leaf(F.col("line"))
+    parsed = lines.where(n >= max(min_tokens, LEAD)).select("key", "doc_id", "line_no", "line", leaf.alias("leaf"))
     leaves = written(parsed.groupBy("leaf").agg(F.count_distinct("key").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"), "leaves")
-    common = parsed.join(leaves, "leaf").withColumn("tokens", _tokens(F.col("line"))).withColumn("line_hash", F.xxhash64("leaf", "tokens"))
+    common = parsed.join(leaves.hint("shuffle_hash"), "leaf").withColumn("tokens", _tokens(F.col("line"))).withColumn("line_hash", F.xxhash64("leaf", "tokens"))
     common = written(common.select("key", "doc_id", "line_no", "leaf", "line_hash", "tokens"), "leaf-lines")
     # each distinct line once; only leaves with several distinct lines have fields to generalise
     distinct = written(common.groupBy("leaf", "line_hash").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens")), "distinct-lines")
@@ -65,7 +75,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN
     keyed = docs.withColumn("__key", key)
     drops = dropped_lines(docs.select(key.alias("key"), "doc_id", "text"), min_docs, min_tokens, min_const)
     per_doc = written(drops.groupBy("key").agg(F.collect_set("line_no").alias("__drops")).withColumnRenamed("key", "__key"), "line-drops")
-    joined = keyed.join(per_doc, "__key", "left")
+    joined = keyed.join(per_doc.hint("shuffle_hash"), "__key", "left")
     lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drops"))
     text = F.when(F.col("__drops").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n"))
