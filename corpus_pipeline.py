@@ -33,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = written(near_duplicates(docs).where("kept").select(F.col("uid").alias("__uid")).distinct(), "near-kept")
-    keyed = docs.withColumn("__uid", F.xxhash64("doc_id", "text")).join(kept, "__uid")
+    keyed = docs.withColumn("__uid", F.xxhash64("doc_id", "text")).join(kept.hint("shuffle_hash"), "__uid")
     # rows that repeat a doc_id and its text are one document
     first = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy("__uid").orderBy("doc_id")))
     return first.where("__nth = 1").select(*docs.columns)

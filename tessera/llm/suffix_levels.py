@@ -278,7 +278,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     hot = written(asked.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot")), "suffix-hot")
     asked = asked.join(hot, "anchor", "left")
     asked = asked.groupBy("uid").agg(F.collect_list(F.struct("anchor", "lo", "hi", F.col("again").alias("known"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
-    pieces = written(texts.join(asked, "uid").mapInArrow(cut_out(length), "uid long, anchor long, lo int, bytes binary, known boolean, hot boolean"), "suffix-contexts")
+    pieces = written(texts.join(asked.hint("shuffle_hash"), "uid").mapInArrow(cut_out(length), "uid long, anchor long, lo int, bytes binary, known boolean, hot boolean"), "suffix-contexts")
     plain = pieces.where("NOT hot").repartition("anchor").mapInArrow(indexed(length), SPANS)
     shares = written(pieces.where("hot").repartition(F.xxhash64("uid", "lo")).mapInArrow(thinned(length), "rank long, uid long, place int, known boolean, settled boolean"), "suffix-shares")
     spread = shares.where("NOT settled").repartition("rank").mapInArrow(joined_windows(length), SPANS)
@@ -321,7 +321,7 @@ def with_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataF
     uid = F.xxhash64("doc_id", "text")
     found = written(repeated_spans(docs.select(uid.alias("uid"), "text"), length, gram), "suffix-spans")
     spans = found.groupBy("uid").agg(F.collect_set(F.struct("a", "b")).alias("spans")).withColumnRenamed("uid", "__uid")
-    return docs.withColumn("__uid", uid).join(spans, "__uid", "left").drop("__uid")
+    return docs.withColumn("__uid", uid).join(spans.hint("shuffle_hash"), "__uid", "left").drop("__uid")
 
 
 def cut_texts(schema_names: list[str]):
