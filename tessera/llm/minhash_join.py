@@ -9,9 +9,12 @@ texts order their pairs by the same counts, a sketch of SKETCH numbers whatever
 Posting lists are merged in two rounds. First every member of a list meets the list's smallest
 member only, collisions between the two signatures are counted, and pairs at or above `least` are
 confirmed on full sets. Members that this joined to one component need not meet again: lists that
-lie within one component are skipped, and in the others only members of different components meet,
-in blocks of at most BLOCK members, so that a long list is spread over many tasks. Links found
-twice or more count once. No pair is capped or sampled away, and copies are never multiplied out.
+lie within one component are skipped, and in the others only members of different components meet.
+In lists of at most SHORT members the collisions of such pairs are counted and what is left is
+confirmed. Longer lists are families of copies that overlap each other, list by list, in nearly the
+same members: lists that share members are put together, each family is cut into blocks of at most
+BLOCK texts, and each pair of blocks counts the shingles its texts share by matrix products and
+returns links that join what it joins, never pairs. No pair is capped or sampled away.
 
 Null, empty and blank texts have no shingles, are linked with nothing and are kept. A text of fewer
 words than a shingle is one shingle by itself. Rows with a null doc_id get a null component and are
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import U64, chunks, components, mix, table, text_bytes, word_hashes, written
 
-COORDINATES, SKETCH, BLOCK, FANOUT, MISS = 64, 1 << 16, 512, 256, 1e-6
+COORDINATES, SKETCH, SHORT, BLOCK, FANOUT, MISS = 64, 1 << 16, 32, 512, 256, 1e-6
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=U64))
 _A, _B = _SEEDS[:COORDINATES] | U64(1), _SEEDS[COORDINATES:]
 
@@ -165,19 +168,17 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[p
 
 
 def crossing(percent: int, least: int):
-    """A mapInArrow function over blocks (token, i, j, block, uid, part, n, signature), sorted by the
-    first three: pairs of different parts that may be linked, (a, b) with a < b."""
+    """A mapInArrow function over lists (token, uid, part, family, n, signature), sorted by token:
+    pairs of different parts and families that may be linked, (a, b) with a < b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_runs(batches, ["token", "i", "j"]):
+        for rows in whole_runs(batches, ["token"]):
             rows = rows.combine_chunks()
-            get = lambda c: rows.column(c).to_numpy()
-            token, i, j, block, uid, part, n = (get(c) for c in ("token", "i", "j", "block", "uid", "part", "n"))
-            mark = _coordinates(rows.column("signature").combine_chunks()).astype(np.uint8)  # the low eight bits of each minimum
-            starts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            token, uid, part, family, n = (rows.column(c).to_numpy() for c in ("token", "uid", "part", "family", "n"))
+            mark = _coordinates(rows.column("signature").combine_chunks())
+            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             ends = np.r_[starts[1:], len(token)]
-            of = np.repeat(ends, ends - starts)
-            later = of - np.arange(len(token)) - 1  # partners after each row in its run
+            later = np.repeat(ends, ends - starts) - np.arange(len(token)) - 1  # partners after each row
             step = np.cumsum(later)
             a0 = 0
             while a0 < len(token):
@@ -185,7 +186,7 @@ def crossing(percent: int, least: int):
                 k = later[a0:a1]
                 x = np.repeat(np.arange(a0, a1), k)
                 y = np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k) + x + 1
-                ok = (part[x] != part[y]) & ((i[x] == j[x]) | (block[x] != block[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+                ok = (part[x] != part[y]) & (family[x] != family[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
                 x, y = x[ok], y[ok]
                 hit = np.concatenate([(mark[x[z : z + 65536]] == mark[y[z : z + 65536]]).sum(1) >= least for z in range(0, len(x), 65536)] or [np.zeros(0, bool)])
                 p, q = uid[x[hit]], uid[y[hit]]
@@ -195,6 +196,64 @@ def crossing(percent: int, least: int):
     return run
 
 
+def joined_labels(linked: np.ndarray) -> np.ndarray:
+    """Component labels (smallest index) of a symmetric link matrix."""
+    label = np.arange(len(linked))
+    while True:
+        near = np.where(linked, label[None, :], len(label)).min(1, initial=len(label))
+        new = np.minimum(label, near)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def shared_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """The numbers of shingles that each two sets share."""
+    size = np.array([len(s) for s in sets])
+    value, column, count = np.unique(np.concatenate(sets) if sets else np.zeros(0, U64), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    common = count > 1
+    place = np.cumsum(common) - 1
+    keep = common[column]
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    step = 4096
+    edges = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + step + 1, step))
+    for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        m = np.zeros((len(sets), step), np.float32)
+        m[row[a:b], column[a:b] - i * step] = 1
+        out += m @ m.T
+    return out
+
+
+def family_links(words: int, percent: int):
+    """A mapInArrow function over blocks (family, i, j, uid, part, text), sorted by the first three:
+    links (a, b) that join all that the block's links join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_runs(batches, ["family", "i", "j"]):
+            rows = rows.combine_chunks()
+            family, i, j, uid, part = (rows.column(c).to_numpy() for c in ("family", "i", "j", "uid", "part"))
+            starts = np.flatnonzero(np.r_[True, (family[1:] != family[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            for a, b in zip(starts, np.r_[starts[1:], len(family)]):
+                if len(np.unique(part[a:b])) < 2:
+                    continue
+                raw, offsets = text_bytes(rows.column("text").slice(a, b - a))
+                sets = shingle_sets(raw, offsets, words)
+                n = np.array([len(s) for s in sets], np.float64)
+                both = shared_shingles(sets).astype(np.float64)
+                linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (both > 0)
+                linked |= part[a:b][:, None] == part[a:b][None, :]  # these are joined already
+                label = joined_labels(linked)
+                lone = np.flatnonzero(label != np.arange(b - a))
+                yield pa.RecordBatch.from_arrays([pa.array(uid[a:b][label[lone]]), pa.array(uid[a:b][lone])], ["a", "b"])
+
+    return run
+
+
 def confirmed(words: int, percent: int):
     """A mapInArrow function over (a, chunk, b, text), sorted so that each (a, chunk) starts with
     a's own text (b null): the pairs whose full sets are similar enough."""
@@ -222,13 +281,11 @@ def confirmed(words: int, percent: int):
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of uids that are links; texts(uid, text) are read whole, once a row."""
-    ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "uid")
-    needed = written(texts.join(ids, "uid").dropDuplicates(["uid"]), "near-texts")
+    """The pairs (a, b) of uids that are links; texts(uid, text) holds every uid once."""
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / FANOUT).cast("int").alias("chunks"))
     dealt = written(pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk")), "near-dealt")
-    members = dealt.join(needed, dealt.b == needed.uid).select("a", "chunk", "b", "text")
-    hubs = dealt.select("a", "chunk").distinct().join(needed, F.col("a") == needed.uid).select("a", "chunk", F.lit(None).cast("long").alias("b"), "text")
+    members = texts.join(dealt.withColumnRenamed("b", "uid").hint("shuffle_hash"), "uid").select("a", "chunk", F.col("uid").alias("b"), "text")
+    hubs = texts.join(dealt.select(F.col("a").alias("uid"), "chunk").distinct().hint("shuffle_hash"), "uid").select(F.col("uid").alias("a"), "chunk", F.lit(None).cast("long").alias("b"), "text")
     rows = members.unionByName(hubs).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
     return written(rows.mapInArrow(confirmed(words, percent), "a long, b long"), "near-links")
 
@@ -253,20 +310,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     star = listed.where("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct()
     side = classes.select("uid", "n", "signature")
     sized = star.join(side.toDF("a", "n_a", "s_a"), "a").join(side.toDF("b", "n_b", "s_b"), "b")
-    links = confirm(written(sized.mapInArrow(agreeing(percent, least), "a long, b long"), "near-pairs"), keyed.select("uid", "text"), words, percent)
+    pairs = written(sized.mapInArrow(agreeing(percent, least), "a long, b long"), "near-pairs")
+    # the texts that any list of two or more holds, shuffled once; all later joins read these
+    ids = listed.select("uid").distinct().hint("shuffle_hash")
+    texts = written(keyed.select("uid", "text").join(ids, "uid").dropDuplicates(["uid"]), "near-texts")
+    links = confirm(pairs, texts, words, percent)
     parts = written(components(links), "near-parts")
     # lists that reach over several components: only members of different ones meet
     part = F.coalesce("component", "uid")
-    labelled = listed.join(parts.withColumnRenamed("id", "uid"), "uid", "left").select("token", "m", "uid", part.alias("part"))
-    labelled = written(labelled, "near-labelled")
-    open_lists = written(labelled.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("token"), "near-open")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    members = labelled.join(open_lists, "token").join(side, "uid").withColumn("block", F.pmod(F.xxhash64("uid"), blocks).cast("int"))
-    met = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = met.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "uid", "part", "n", "signature")
-    met = met.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    labelled = written(listed.join(parts.withColumnRenamed("id", "uid"), "uid", "left").select("token", "m", "uid", part.alias("part")), "near-labelled")
+    open_lists = labelled.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("uid").alias("first")).where("p < q").select("token", "first")
+    members = written(labelled.join(open_lists, "token").select("token", "m", "uid", "part", "first"), "near-open")
+    long = members.where(F.col("m") > SHORT)
+    families = written(components(long.select(F.col("first").alias("a"), F.col("uid").alias("b"))).toDF("uid", "family"), "near-families")
+    short = members.where(F.col("m") <= SHORT).join(families, "uid", "left").withColumn("family", F.coalesce("family", "uid")).join(side, "uid")
+    met = short.select("token", "uid", "part", "family", "n", "signature").repartition("token").sortWithinPartitions("token")
     cross = written(met.mapInArrow(crossing(percent, least), "a long, b long").distinct(), "near-cross")
-    more = confirm(cross, keyed.select("uid", "text"), words, percent)
+    more = confirm(cross, texts, words, percent)
+    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
+    cut = families.join(sizes, "family").join(long.select("uid", "part").distinct(), "uid").withColumn("block", block)
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("uid", "part", "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    blocks = texts.join(written(cut, "near-blocks").hint("shuffle_hash"), "uid").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    inner = written(blocks.mapInArrow(family_links(words, percent), "a long, b long"), "near-family-links")
+    more = more.unionByName(inner)
     roots = written(components(links.union(more)).withColumnRenamed("id", "uid"), "near-roots")
     owned = classes.join(roots, "uid", "left").select("digest", "doc_id", F.coalesce("component", "uid").alias("root"))
     owned = written(owned, "near-owned")
