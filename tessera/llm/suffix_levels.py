@@ -14,8 +14,9 @@ occurs in different surroundings, that is near edits and passage borders.
 These contexts' windows go into the family: rows arrive in batches, each batch gets its array,
 which is merge-scanned against the arrays (levels) already there, and levels of about equal size
 are merged, so sizes grow geometrically and a window is moved a logarithmic number of times. Tasks
-are split by anchor. An anchor with more than HOT contexts is split further: map tasks first scan
-their share, each distinct window leaves a task once, and those meet by window.
+are split by anchor. An anchor whose contexts would make its task uneven (over half of a task's
+share, HOT at least and HOT_MOST at most) is split further: map tasks first scan their share, each
+distinct window leaves a task once, and those meet by window. Both ways give the same spans.
 
 Matches never cross rows. Null and empty texts, and those under LENGTH bytes, lose nothing. Rows
 that repeat a doc_id and its text are each other's repeats and get equal results. What is left of a
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import U64, chunks, mix, prefix_hash, span_hash, table, text_bytes, written
 
 LENGTH, GRAM = 200, 48
-HOT = 400
+HOT, HOT_MOST = 400, 100_000
 BATCH_ANCHORS = 2_000_000
 
 
@@ -275,7 +276,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     met = written(met.select("anchor", "uid", "lo", "hi", "mixed", "again", "nth"), "suffix-met")
     settled = met.where("again").select("uid", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
     asked = met.where("mixed AND nth = 1")
-    hot = written(asked.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot")), "suffix-hot")
+    share = asked.count() // (2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = written(asked.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > max(HOT, min(HOT_MOST, share))).select("anchor", F.lit(True).alias("hot")), "suffix-hot")
     asked = asked.join(hot, "anchor", "left")
     asked = asked.groupBy("uid").agg(F.collect_list(F.struct("anchor", "lo", "hi", F.col("again").alias("known"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
     pieces = written(texts.join(asked.hint("shuffle_hash"), "uid").mapInArrow(cut_out(length), "uid long, anchor long, lo int, bytes binary, known boolean, hot boolean"), "suffix-contexts")
