@@ -1 +1 @@
-"""See README.md for what lives here."""
+"""Incremental runs: documents are checked as they arrive."""
