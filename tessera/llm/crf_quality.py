@@ -39,13 +39,13 @@ def _within(flag: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def line_table(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """Lines that hold a word: row, start, end, words and the 0/1 features, in order."""
     breaks = np.flatnonzero(raw == 10)
-    start = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
-    row = np.searchsorted(offsets[1:], start, "right")
-    cut = np.searchsorted(start, breaks, "right") - 1
-    end = offsets[1:][np.minimum(row, len(offsets) - 2)].copy() if len(offsets) > 1 else start.copy()
-    end[cut] = breaks
-    inside = row < len(offsets) - 1  # a last line break of the batch opens no line beyond it
-    start, end, row = start[inside], np.maximum(start, end)[inside], row[inside]
+    start = np.concatenate([offsets[:-1], breaks + 1])
+    row = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, "right") - 1])
+    order = np.lexsort((start, row))
+    start, row = start[order], row[order]
+    end = offsets[1:][row]
+    same = np.flatnonzero(row[1:] == row[:-1])
+    end[same] = start[same + 1] - 1
     first, last = word_spans(raw, offsets)
     words = np.searchsorted(first, end) - np.searchsorted(first, start)
     keep = words > 0

@@ -206,7 +206,7 @@ def _decode(heads: list[tuple[int, int]], bodies: list[bytes]) -> list[np.ndarra
         m.learn(k, x, two, x == m.guess1)
         i = np.flatnonzero(span[:k] < _LEAST)
         while len(i):
-            code[i] = (code[i] << 16) | words.take(at[i])
+            code[i] = (code[i] << 16) | words.take(at[i], mode="clip")
             at[i] += 1
             span[i] <<= 16
             i = i[span[i] < _LEAST]
