@@ -89,21 +89,28 @@ def _lanes(counts: np.ndarray) -> np.ndarray:
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
     """Blocks for the ids (all under 65,536), BLOCK each, the last one shorter."""
-    out: list[bytes] = []
-    for a in range(0, len(ids), BLOCK * LANES):
-        out += _encode(ids[a : a + BLOCK * LANES])
+    return encode_parts([ids[a : a + BLOCK] for a in range(0, len(ids), BLOCK)])
+
+
+def encode_parts(parts: list[np.ndarray]) -> list[bytes]:
+    """One block for each part of 1 to BLOCK ids; parts of any lengths run side by side."""
+    order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
+    out: list = [None] * len(parts)
+    for a in range(0, len(order), LANES):
+        rows = order[a : a + LANES]
+        for i, block in zip(rows, _encode([parts[i] for i in rows])):
+            out[i] = block
     return out
 
 
-def _encode(ids: np.ndarray) -> list[bytes]:
-    lanes = -(-len(ids) // BLOCK)
-    padded = np.zeros(lanes * BLOCK, np.int64)
-    padded[: len(ids)] = ids
-    if len(ids) and (padded.max() >= MAX_ID or padded.min() < 0):
+def _encode(parts: list[np.ndarray]) -> list[bytes]:
+    lanes, counts = len(parts), np.array([len(p) for p in parts], np.int64)
+    padded = np.zeros((lanes, int(counts[0])), np.int64)
+    for row, part in zip(padded, parts):
+        row[: len(part)] = part
+    if padded.max() >= MAX_ID or padded.min() < 0:
         raise ValueError(f"ids must lie from 0 to {MAX_ID - 1}")
-    columns = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
-    counts = np.full(lanes, BLOCK, np.int64)
-    counts[-1:] = len(ids) - (lanes - 1) * BLOCK
+    columns = np.ascontiguousarray(padded.T)
     m, low, span = _Models(lanes), np.zeros(lanes, np.int64), np.full(lanes, _FULL - 1, np.int64)
     words, at = np.zeros((lanes, BLOCK + 64), np.uint32), np.zeros(lanes, np.int64)
     for step, k in enumerate(_lanes(counts)):
@@ -138,13 +145,12 @@ def _encode(ids: np.ndarray) -> list[bytes]:
     for j in range(3):
         words[every, at + j] = (low >> 32 - 16 * j) & (_WORD if j else -1)
     out = []
-    raw = padded.astype("<u4")
     for i in range(lanes):
         w = words[i, : at[i] + 3]
         value = int.from_bytes((w & _WORD).astype(">u2").tobytes()) + (int.from_bytes((w >> 16).astype(">u2").tobytes()) << 16)
         body = value.to_bytes(2 * len(w))
         n = int(counts[i])
-        out.append(HEADER.pack(MAGIC, n, zlib.crc32(raw[i * BLOCK : i * BLOCK + n].tobytes()), len(body)) + body)
+        out.append(HEADER.pack(MAGIC, n, zlib.crc32(padded[i, :n].astype("<u4").tobytes()), len(body)) + body)
     return out
 
 

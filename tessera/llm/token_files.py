@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import shared_dir, table
-from tessera.llm.token_coder import BLOCK, LANES, decode_blocks, encode_blocks
+from tessera.llm.token_coder import BLOCK, LANES, decode_blocks, encode_parts
 from tessera.llm.tokens import word_ids
 
 SEGMENT = 1 << 19
@@ -80,14 +80,10 @@ def coded(path: str):
 
 
 def encode_segments(segments: list[np.ndarray]) -> list[bytes]:
-    """Each segment's blocks; full blocks of all segments share the coder's lanes."""
-    full = [len(x) // BLOCK for x in segments]
-    whole = encode_blocks(np.concatenate([x[: n * BLOCK] for x, n in zip(segments, full)] or [np.zeros(0, np.uint32)]))
-    out, at = [], 0
-    for x, n in zip(segments, full):
-        out.append(b"".join(whole[at : at + n] + encode_blocks(x[n * BLOCK :])))
-        at += n
-    return out
+    """Each segment's blocks; blocks of all segments, whole and short ones, share the coder's lanes."""
+    parts = [[x[a : a + BLOCK] for a in range(0, len(x), BLOCK)] for x in segments]
+    blocks = iter(encode_parts([p for x in parts for p in x]))
+    return [b"".join(next(blocks) for _ in x) for x in parts]
 
 
 def write_token_files(docs: DataFrame, out: str, path: str | None = None) -> None:

@@ -1,8 +1,8 @@
 """Token ids by the tokenizers library, kept per white-space-separated word.
 
 The tokenizer drops white space, lower-cases, and none of its pieces or normalisations reaches
-across a blank or a line end, so a text's ids are its words' ids one after another. A letter and a
-comma or full stop after it are two pieces as well, so they are kept apart. Words of letters alone
+across a blank or a line end, so a text's ids are its words' ids one after another. A letter and an
+ASCII mark after it are two pieces as well, so they are kept apart. Words of letters alone
 are one piece each: new ones are encoded as one text and told apart by their word-end tokens. Each
 Python worker keeps the ids of up to MAX_WORDS words; when there are more it starts anew.
 """
@@ -17,7 +17,7 @@ import numpy as np
 
 MAX_WORDS = 700_000
 END = np.array([1], "<u4").tobytes()
-_STOP = re.compile(rb"[,.](?=[ \n])(?:(?<=[a-z].)|(?<=\xc3[\xa0-\xb6\xb8-\xbf].))")
+_STOP = re.compile(rb"[!-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\xa0-\xb6\xb8-\xbf].))")
 _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
 
 
