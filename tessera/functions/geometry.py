@@ -102,3 +102,42 @@ def which_margin(b: tuple, width: Column, height: Column, m: dict[str, Column])
         .when((m["left"] > 0) & ((left / w >= COVERAGE) | ((b[0] <= EDGE_TOUCH) & (left > 0) & (b[2] <= m["left"] + EDGE_REACH))), "left")
         .when((m["right"] > 0) & ((right / w >= COVERAGE) | ((b[2] >= width - EDGE_TOUCH) & (right > 0) & (b[0] >= width - m["right"] - EDGE_REACH))), "right")
     )
+
+
+def padded(b: tuple, pad: float, width: Column, height: Column) -> tuple:
+    """b grown by pad and kept on the page."""
+    zero = F.lit(0.0)
+    return (F.greatest(zero, b[0] - pad), F.greatest(zero, b[1] - pad), F.least(width, b[2] + pad), F.least(height, b[3] + pad))
+
+
+def slid_inside(b: tuple, width: Column, height: Column) -> tuple:
+    """b moved onto the page without changing its size; what is larger than the page starts at 0."""
+    dx, dy = b[2] - b[0], b[3] - b[1]
+    x0 = F.greatest(F.lit(0.0), F.least(b[0], width - dx))
+    y0 = F.greatest(F.lit(0.0), F.least(b[1], height - dy))
+    return (x0, y0, F.least(width, x0 + dx), F.least(height, y0 + dy))
+
+
+def anchored(b: tuple, width: Column, height: Column) -> Column:
+    """Distance from the nearer edge per axis (the left and the top on a tie), and the size."""
+    right, bottom = (width - b[2]) < b[0], (height - b[3]) < b[1]
+    return F.struct(
+        F.when(right, "right").otherwise("left").alias("x_edge"), F.when(right, width - b[2]).otherwise(b[0]).alias("dx"),
+        F.when(bottom, "bottom").otherwise("top").alias("y_edge"), F.when(bottom, height - b[3]).otherwise(b[1]).alias("dy"), (b[2] - b[0]).alias("w"), (b[3] - b[1]).alias("h"),
+    )
+
+
+def from_anchor(a: Column, width: Column, height: Column) -> tuple:
+    """The box of an anchor on a page of another size, kept on the page."""
+    x0 = F.when(a["x_edge"] == "right", width - a["dx"] - a["w"]).otherwise(a["dx"])
+    y0 = F.when(a["y_edge"] == "bottom", height - a["dy"] - a["h"]).otherwise(a["dy"])
+    return slid_inside((x0, y0, x0 + a["w"], y0 + a["h"]), width, height)
+
+
+def page_numbers(text: Column, total: Column) -> Column:
+    """Pages of an expression such as `1, 3, 9-7`, sorted and within the document."""
+    chunks = F.transform(F.split(text, "[,;]+"), lambda c: F.trim(c))
+    lo, hi = (lambda c: F.regexp_extract(c, r"^(\d+)\s*[-–]\s*(\d+)$", 1).try_cast("int")), (lambda c: F.regexp_extract(c, r"^(\d+)\s*[-–]\s*(\d+)$", 2).try_cast("int"))
+    none = F.array().cast("array<int>")
+    pages = F.transform(chunks, lambda c: F.when(lo(c).isNotNull(), F.sequence(F.least(lo(c), hi(c)), F.greatest(lo(c), hi(c)))).when(c.rlike(r"^\d+$"), F.array(c.try_cast("int"))).otherwise(none))
+    return F.array_sort(F.array_distinct(F.filter(F.flatten(pages), lambda p: (p >= 1) & (p <= total))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
 from tessera.operators.components import connected_components
+from tessera.operators.spatial import PAGE, pairs
 
 # Sheet names with their sides in millimetres.
 SHEETS_MM = [
@@ -105,3 +106,43 @@ def clustered(rows: DataFrame, by: list[str], value: str, gap: float) -> DataFra
     new = F.when(F.col(value) - F.lag(value).over(w) <= gap, 0).otherwise(1)
     run = F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("__new", new).withColumn("cluster", run).groupBy(*by, "cluster").agg(F.count("*").alias("n"), F.bround(F.avg(value), 0).alias("position"))
+
+
+def skipped_margins(pages: DataFrame, skips: DataFrame, doc: list[str]) -> DataFrame:
+    """pages(doc, page_no, total) with the sides switched off there. skips(page_at, side): a page
+    number, `first` or `last`, which are resolved per document."""
+    on = (F.col("page_at") == F.col("page_no").cast("string")) | ((F.col("page_at") == "first") & (F.col("page_no") == 1)) | ((F.col("page_at") == "last") & (F.col("page_no") == F.col("total")))
+    off = pages.join(F.broadcast(skips), on).groupBy(*doc, "page_no").agg(F.array_join(F.array_sort(F.collect_set("side")), ",").alias("off"))
+    return pages.join(off, [*doc, "page_no"], "left").withColumn("off", F.coalesce("off", F.lit("")))
+
+
+def uncovered(boxes: DataFrame, claims: DataFrame, share: float = 0.5) -> DataFrame:
+    """Boxes of which less than `share` is covered by the (disjoint) claimed boxes of their page."""
+    over = g.area(g.intersection(g.box("a_"), g.box("b_")))
+    met = pairs(boxes, claims, g.intersects(g.box("a_"), g.box("b_"))).groupBy(*PAGE, F.col("a_box_no").alias("box_no")).agg(F.sum(over).alias("covered"))
+    left = boxes.join(met, [*PAGE, "box_no"], "left")
+    return left.where(F.coalesce(F.round("covered", 3), F.lit(0.0)) < F.round(share * g.area(g.box()), 3)).drop("covered")
+
+
+def metadata_notes(docs: DataFrame, by: list[str]) -> DataFrame:
+    """Translations' notes on what differs from their master: pages, then sheet size.
+
+    docs(by, doc_id, role, pages, sheet).
+    """
+    m = docs.where("role = 'master'").select(*by, F.col("pages").alias("m_pages"), F.col("sheet").alias("m_sheet"))
+    t = docs.where("role <> 'master'").join(m, by, "left")
+    note = F.concat_ws("; ", F.when(~F.col("pages").eqNullSafe(F.col("m_pages")), F.concat(F.lit("page count differs (master "), F.coalesce(F.col("m_pages").cast("string"), F.lit("-")), F.lit(")"))), F.when(~F.col("sheet").eqNullSafe(F.col("m_sheet")), F.lit("sheet size differs")))
+    return t.select(*by, "doc_id", note.alias("note"))
+
+
+def resolved_paths(results: DataFrame, paths: DataFrame) -> DataFrame:
+    """results(name) with the path of the file of that name, else of the only file that starts with it.
+
+    paths(path, filename). The prefix join meets on the first eight characters.
+    """
+    exact = results.join(paths.select(F.col("filename").alias("name"), "path").dropDuplicates(["name"]), "name", "left")
+    key = lambda c: F.left(c, F.lit(8))
+    open_rows = exact.where("path IS NULL AND length(name) >= 8").select("name").distinct()
+    near = open_rows.withColumn("k", key(F.col("name"))).join(paths.withColumn("k", key(F.col("filename"))), "k").where(F.col("filename").startswith(F.col("name")))
+    unique = near.groupBy("name").agg(F.count("*").alias("n"), F.min("path").alias("found")).where("n = 1").select("name", "found")
+    return exact.join(unique, "name", "left").select("name", F.coalesce("path", "found").alias("path"))
