@@ -152,3 +152,38 @@ def numbered(regions: DataFrame, by: list[str]) -> DataFrame:
     a = parents.select(*by, "id", F.when(auto, F.concat(F.lit("Region "), "n")).otherwise(F.col("label")).alias("label"))
     b = children.select(*by, "id", F.when(auto, F.concat(F.lit("Region "), "n", F.lit("."), "k")).otherwise(F.col("label")).alias("label"))
     return a.unionByName(b)
+
+
+def text_status(similarity_pct: Column, has_text: Column, exact: Column, threshold: Column) -> Column:
+    """Verdict of a region's text. Exact mode passes from 98. Otherwise 98 is exact, 85 near; other
+    text passes as present from the threshold and is a translation to check below it; no text fails."""
+    return (
+        F.when(exact, F.when(similarity_pct >= 98, "PASS (Exact Match)").otherwise("FAIL (Exact Required)"))
+        .when(~has_text, "FAIL (Empty Region)")
+        .when(similarity_pct >= 98, "PASS (Exact)")
+        .when(similarity_pct >= 85, "PASS (Near)")
+        .when(similarity_pct >= threshold, "PASS (Present)")
+        .otherwise("CHECK (Translated)")
+    )
+
+
+def is_match(status: Column) -> Column:
+    """Passes and translations to check are matches."""
+    return status.startswith("PASS") | (status == "CHECK (Translated)")
+
+
+def search_window(rect: tuple, x_tolerance: Column, y_tolerance: Column, width: Column, height: Column, run_x: float = 0.0, run_y: float = 90.0) -> tuple:
+    """A region's box grown by its own tolerances (else the run's) and kept on the page."""
+    dx, dy = F.coalesce(x_tolerance, F.lit(run_x)), F.coalesce(y_tolerance, F.lit(run_y))
+    zero = F.lit(0.0)
+    return (F.greatest(zero, rect[0] - dx), F.greatest(zero, rect[1] - dy), F.least(width, rect[2] + dx), F.least(height, rect[3] + dy))
+
+
+def clipped_text(spans: DataFrame, rects: DataFrame, key: list[str]) -> DataFrame:
+    """The text in each rectangle, in reading order. spans(doc_id, page_no, text, x0, y0, x1, y1),
+    rects(doc_id, page_no, *key, r_x0, r_y0, r_x1, r_y1); rectangles without text give ''."""
+    page = ["doc_id", "page_no"]
+    met = rects.join(spans, page).where("x0 < r_x1 AND r_x0 < x1 AND y0 < r_y1 AND r_y0 < y1")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.bround("y0", 0).alias("y"), "x0", "text"))), lambda s: s["text"])
+    text = met.groupBy(*page, *key).agg(F.array_join(ordered, " ").alias("clip"), F.min(F.col("y0") - F.col("r_y0")).alias("shift"))
+    return rects.join(text, [*page, *key], "left").withColumn("clip", F.coalesce("clip", F.lit(""))).withColumn("shift_y", F.bround(F.round("shift", 3), 1) + F.lit(0.0)).drop("shift")

@@ -209,3 +209,25 @@ def w12_region_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bindings.boxes(spark, sf_dir)
     r = b.join(spatial.innermost_parent(b), ["doc_id", "page_no", "box_no"], "left").select("doc_id", "page_no", F.col("box_no").alias("id"), F.col("parent_no").alias("parent_id"), F.col("box_no").alias("seq"), F.lit(None).cast("string").alias("label"))
     return rg.numbered(r, ["doc_id", "page_no"])
+
+
+@register(
+    "j16_clipped_text",
+    sql("b_boxes")
+    + """, r AS (SELECT doc_id, page_no, 0 AS rect, 100.0 AS r_x0, 100.0 AS r_y0, 300.0 AS r_x1, 300.0 AS r_y1 FROM (SELECT DISTINCT doc_id, page_no FROM b_boxes)),
+m AS (SELECT r.doc_id, r.page_no, string_agg(CAST(box_no AS VARCHAR), ' ' ORDER BY round_even(y0, 0), x0, CAST(box_no AS VARCHAR)) AS clip, min(y0 - r_y0) AS shift FROM r JOIN b_boxes b ON r.doc_id = b.doc_id AND r.page_no = b.page_no AND x0 < r_x1 AND r_x0 < x1 AND y0 < r_y1 AND r_y0 < y1 GROUP BY 1, 2)
+SELECT r.doc_id, r.page_no, coalesce(clip, '') AS clip, round_even(round(shift, 3), 1) + 0.0::DOUBLE AS shift_y FROM r LEFT JOIN m USING (doc_id, page_no)""",
+)
+def j16_clipped_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of a rectangle of each page in reading order, and how far it starts below its top."""
+    b = bindings.boxes(spark, sf_dir).withColumn("text", F.col("box_no").cast("string"))
+    rects = b.select("doc_id", "page_no").distinct().select("doc_id", "page_no", F.lit(0).alias("rect"), *[F.lit(v).alias(n) for n, v in (("r_x0", 100.0), ("r_y0", 100.0), ("r_x1", 300.0), ("r_y1", 300.0))])
+    return rg.clipped_text(b, rects, ["rect"]).select("doc_id", "page_no", "clip", "shift_y")
+
+
+@register("k20_text_regions")
+def k20_text_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of turns as region texts, a third of them in exact mode."""
+    s = rg.similarity(_turns(spark, sf_dir), "master", "target")
+    status = rg.text_status(F.col("similarity"), F.coalesce("target", F.lit("")) != "", F.col("turn") % 3 == 0, F.lit(30.0))
+    return s.select("conv_id", "turn", status.alias("status"), rg.is_match(status).alias("is_match"))

@@ -155,3 +155,10 @@ def test_stream_twice_is_the_same(spark, tmp_path):
         q = incremental.checked_stream(spark, str(tmp_path / "in"), "doc_id int, text string", check, str(tmp_path / "out"), ["doc_id"], str(tmp_path / run)).start()
         q.awaitTermination(60)
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("doc_id", "reason").collect()] == [(1, "long")]
+
+
+def test_region_status(spark):
+    rows = [(99.0, True, False), (99.0, True, True), (90.0, True, True), (90.0, True, False), (50.0, True, False), (10.0, True, False), (0.0, False, False)]
+    df = spark.createDataFrame(rows, "s double, t boolean, e boolean")
+    got = [r[0] for r in df.select(regions.text_status(F.col("s"), F.col("t"), F.col("e"), F.lit(30.0))).collect()]
+    assert got == ["PASS (Exact)", "PASS (Exact Match)", "FAIL (Exact Required)", "PASS (Near)", "PASS (Present)", "CHECK (Translated)", "FAIL (Empty Region)"]
