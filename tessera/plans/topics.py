@@ -9,6 +9,7 @@ from tessera.functions.text import code_key
 from tessera.operators import inventories as inv
 from tessera.operators import topics
 from tessera.operators.asof import asof_last
+from tessera.operators.link_alignment import internal_differences
 from tessera.plans.registry import register
 from tessera.sources import bindings
 from tessera.sources.bindings import sql
@@ -277,3 +278,11 @@ def o1_topic_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of topics in their natural order."""
     w = Window.partitionBy(*DOC).orderBy(code_key(F.col("code")), "seq")
     return bindings.outline(spark, sf_dir).select(*DOC, "seq", F.row_number().over(w).alias("place"))
+
+
+@register("k6_internal_links")
+def k6_internal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Internal links of page pairs aligned in order."""
+    li = bindings.links(spark, sf_dir).where("url LIKE '/%'")
+    rows = li.select(F.expr("page_id div 2").alias("batch_id"), (F.col("page_id") % 2).cast("int").alias("side"), F.col("seq").cast("long").alias("seq"), F.concat(F.expr("length(url) % 5"), F.lit(" "), F.col("url")).alias("text"), F.regexp_replace("url", "^/", "").alias("url"), F.lit("1.1").alias("topic"))
+    return internal_differences(rows, PAIR)

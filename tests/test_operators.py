@@ -162,3 +162,14 @@ def test_region_status(spark):
     df = spark.createDataFrame(rows, "s double, t boolean, e boolean")
     got = [r[0] for r in df.select(regions.text_status(F.col("s"), F.col("t"), F.col("e"), F.lit(30.0))).collect()]
     assert got == ["PASS (Exact)", "PASS (Exact Match)", "FAIL (Exact Required)", "PASS (Near)", "PASS (Present)", "CHECK (Translated)", "FAIL (Empty Region)"]
+
+
+def test_internal_links(spark):
+    from tessera.operators.link_alignment import internal_differences
+
+    en = [("1 Safety", "page 2 (a)", "1.1"), ("2 Use", "page 3 (b)", "1.1"), ("3 Care", "page 4 (c)", "1.1"), ("4 Data", "page 5 (d)", "1.1")]
+    same = [(1, 0, i, *x) for i, x in enumerate(en)] + [(1, 1, i, *x) for i, x in enumerate(en)]
+    gone = [(2, 0, i, *x) for i, x in enumerate(en)] + [(2, 1, i, *x) for i, x in enumerate(en[:1] + en[2:])]
+    swap = [(3, 0, i, *x) for i, x in enumerate(en)] + [(3, 1, i, *x) for i, x in enumerate([en[1], en[0], *en[2:]])]
+    links = spark.createDataFrame(same + gone + swap, "b int, side int, seq long, text string, url string, topic string")
+    assert [(r.b, r.side, r.seq, r.kind, r.uncertain) for r in internal_differences(links, ["b"]).collect()] == [(2, 0, 1, "missing", False)]
