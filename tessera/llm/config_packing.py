@@ -145,11 +145,11 @@ def places(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarra
     return {n: tuple(np.array(x, np.int64) for x in zip(*s)) for n, s in slots.items()}
 
 
-def cut(path: str, room: int):
+def cut(path: str, room: int, added_tokens: bool = False):
     """A mapInArrow function: pieces (doc_id, piece, start, length, ids_crc32, bucket)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(path)
+        words = word_ids(path, added_tokens)
         for batch in batches:
             docs, texts, rows = batch.column("doc_id").to_pylist(), batch.column("text"), []
             for a in range(0, len(docs), 256):
@@ -165,11 +165,11 @@ def cut(path: str, room: int):
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, room: int = MAX_TOKENS) -> DataFrame:
-    """One row per piece of docs(doc_id, text) with its sequence_id and its offset there."""
+def pack(docs: DataFrame, path: str | None = None, room: int = MAX_TOKENS, added_tokens: bool = False) -> DataFrame:
+    """One row per piece of docs(doc_id, text) with its sequence_id and its offset there; added_tokens as in tokens."""
     spark = docs.sparkSession
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    pieces = written(docs.select("doc_id", "text").mapInArrow(cut(path, room), "doc_id long, piece int, start long, length long, ids_crc32 long, bucket int"), "pieces")
+    pieces = written(docs.select("doc_id", "text").mapInArrow(cut(path, room, added_tokens), "doc_id long, piece int, start long, length long, ids_crc32 long, bucket int"), "pieces")
     counts = written(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {int(r.length): int(r.n) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `room` rows
     slots = spark.sparkContext.broadcast(places(solve(histogram, room)))  # its size depends on room and ROUNDS alone
@@ -194,4 +194,4 @@ def pack(docs: DataFrame, path: str | None = None, room: int = MAX_TOKENS) -> Da
 
 
 def op7_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), added_tokens=True)

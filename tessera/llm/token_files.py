@@ -31,11 +31,11 @@ FILES = "file_no int, segment_no int, doc_ids array<long>, lengths array<long>,
 SCHEMA = pa.schema([("file_no", pa.int32()), ("segment_no", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("blocks", pa.binary())])
 
 
-def coded(path: str):
+def coded(path: str, added_tokens: bool = False):
     """A mapInArrow function from (doc_id, text) in order to segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, file_no, segment = word_ids(path), TaskContext.get().partitionId(), 0
+        words, file_no, segment = word_ids(path, added_tokens), TaskContext.get().partitionId(), 0
         parts: list[tuple[list, list, bytes]] = []
         docs: list = []
         raw: list[bytes] = []
@@ -86,11 +86,11 @@ def encode_segments(segments: list[np.ndarray]) -> list[bytes]:
     return [b"".join(next(blocks) for _ in x) for x in parts]
 
 
-def write_token_files(docs: DataFrame, out: str, path: str | None = None) -> None:
-    """Tokenise docs(doc_id, text) and write a file set to the folder out."""
+def write_token_files(docs: DataFrame, out: str, path: str | None = None, added_tokens: bool = False) -> None:
+    """Tokenise docs(doc_id, text) and write a file set to the folder out; added_tokens as in tokens."""
     path = path or public_tokenizers.path("word_bpe_49k.json")
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(coded(path), FILES).write.option("compression", "none").parquet(out)
+    ordered.mapInArrow(coded(path, added_tokens), FILES).write.option("compression", "none").parquet(out)
 
 
 def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,5 +125,5 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/tessera/token-files-{uuid.uuid4().hex}"
-    write_token_files(table(spark, sf_dir, "documents"), folder)
+    write_token_files(table(spark, sf_dir, "documents"), folder, added_tokens=True)
     return read_token_files(spark, folder)

@@ -5,6 +5,11 @@ across a blank or a line end, so a text's ids are its words' ids one after anoth
 ASCII mark after it are two pieces as well, so they are kept apart. Words of letters alone
 are one piece each: new ones are encoded as one text and told apart by their word-end tokens. Each
 Python worker keeps the ids of up to MAX_WORDS words; when there are more it starts anew.
+
+The tokenizer file's added tokens are one id each wherever they stand in a text, as by the library's
+defaults: a text is cut at them, in their exact case, before its words are lower-cased. Without
+added_tokens they are spelled out as ordinary pieces. Words themselves are always spelled out, for
+a lower-cased word can look like an added token without being one.
 """
 
 from __future__ import annotations
@@ -21,14 +26,24 @@ _STOP = re.compile(rb"[!-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\xa0-\xb6\xb8-\xbf]
 _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
 
 
+def _words(text: str) -> list[bytes]:
+    return _STOP.sub(rb" \g<0>", text.encode().lower()).replace(b"\n", b" ").split(b" ")
+
+
 class WordIds(dict):
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder() if added_tokens else {}
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("an added token that is not matched as it stands")
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
+        self.border = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        self.update(self.added)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
@@ -49,15 +64,22 @@ class WordIds(dict):
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
                 self[w] = np.array(e.ids, "<u4").tobytes()
 
+    def words(self, text: str) -> list[bytes | str]:
+        """The text's words as bytes, its added tokens as str."""
+        if any(t in text for t in self.added):
+            return [w for part in self.border.split(text) for w in ([part] if part in self.added else _words(part))]
+        return _words(text)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text and the end id, as little-endian uint32; null counts as empty."""
         if len(self) > MAX_WORDS:
             self.clear()
-        split = [_STOP.sub(rb" \g<0>", t.encode().lower()).replace(b"\n", b" ").split(b" ") if t else [] for t in texts]
+            self.update(self.added)
+        split = [self.words(t) if t else [] for t in texts]
         self.learn([w for w in set().union(*split) if w not in self])
         return [b"".join(map(self.__getitem__, ws)) + END for ws in split]
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, added_tokens: bool = False) -> WordIds:
+    return WordIds(path, added_tokens)

@@ -1,0 +1,30 @@
+"""Cases of the review's first round, each one wrong before its change."""
+
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from tessera.llm import config_packing, token_files
+
+
+def test_added_tokens_are_one_id_in_queries(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = ["a <|endoftext|> b", "x<|endoftext|>Y <|ENDOFTEXT|> z\n<|startoftext|><|endoftext|>", "<|endo\nftext|> don't é<|endoftext|>é", "<|endoftext|>", "Plain text.", "", None, "e<|startoftext|>́ a.<|endoftext |>"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want, at, pieces = Counter(), 0, Counter()
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids + [1]
+        crc = zlib.crc32(np.array(ids, "<u4").tobytes())
+        want[i, at, len(ids), crc] += 1
+        pieces[i, 0, 0, len(ids), crc] += 1
+        at += len(ids)
+    assert Counter(tuple(r) for r in token_files.op5_token_files(spark, str(tmp_path)).collect()) == want
+    assert Counter(tuple(r)[:5] for r in config_packing.op7_config_packing(spark, str(tmp_path)).collect()) == pieces
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert Counter(tuple(r)[:5] for r in corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()) == pieces
