@@ -1,6 +1,6 @@
 """The training-data pipeline: STAGES in order, each over all that its predecessor kept.
 
-Quality rules reject documents; line dedup drops recurring template lines, and the documents that
+Quality rules reject documents; line dedup drops recurring template lines and identical lines, and the documents that
 it leaves without a word; one document of each near-duplicate group stays; repeated passages are
 cut out; what is left is packed into sequences. Each stage takes documents of any columns among
 which are doc_id and text; all but the last return the same columns, n_chars counted anew.
@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = dedup_lines(docs)
+    done = dedup_lines(docs, identical=True)
     done = done.where((F.col("__n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -9,6 +9,11 @@ least MIN_CONST of its fields are constant; of a recurring template the first li
 doc_id, then line number) stays and all others are dropped. Lines of under MIN_TOKENS tokens always
 stay, and so do lines that recur within one document only.
 
+With identical, lines that are the same byte for byte in MIN_DOCS documents or more go too, however
+few tokens they have and however many of these hold digits; the first stays. Lines of under
+MIN_BYTES bytes, blanks around them not counted, may be short prose and stay. The query's SQL has no
+such rule, so the query goes without; the pipeline's line dedup has it.
+
 Identical lines are counted before their tokens are looked at, small tables are written so that
 joins on a very common line can be split, and documents are joined with nothing but their own list
 of dropped lines.
@@ -26,6 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table, written
 
 LEAD, MIN_DOCS, MIN_TOKENS, MIN_CONST = 3, 3, 3, 0.6
+MIN_BYTES = 8
 BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -42,7 +48,14 @@ def _leaf(line: Column) -> tuple[Column, Column]:
     return n, F.xxhash64(n, F.transform(lead, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t)))
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, min_const: float = MIN_CONST) -> DataFrame:
+def _after_first(held: DataFrame, group: str, min_docs: int, name: str) -> DataFrame:
+    """(key, line_no) of all but the first line of each group that min_docs documents or more hold."""
+    place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("line_no").alias("c"))
+    recurring = written(held.groupBy(group).agg(F.count_distinct("key").alias("docs"), F.min(place).alias("first")).where(F.col("docs") >= min_docs).select(group, "first"), name)
+    return held.join(recurring, group).where(~place.eqNullSafe(F.col("first"))).select("key", "line_no")
+
+
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, min_const: float = MIN_CONST, identical: bool = False) -> DataFrame:
     """(key, line_no) of the lines to drop from docs(key, doc_id, text); line_no counts from 0.
 
     The joins that carry text name their method, so that small and large inputs run alike.
@@ -64,16 +77,20 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
     alone = distinct.join(several, "leaf", "left_anti").select("line_hash", F.xxhash64("leaf", "line_hash").alias("template"), (F.size(F.filter("tokens", lambda t: t != "<*>")) / F.size("tokens")).alias("share"))
     templates = written(mixed.unionByName(alone).where(F.col("share") >= min_const).select("line_hash", "template"), "templates")
     held = written(common.select("key", "doc_id", "line_no", "line_hash").join(templates, "line_hash").drop("line_hash"), "template-lines")
-    place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("line_no").alias("c"))
-    recurring = written(held.groupBy("template").agg(F.count_distinct("key").alias("docs"), F.min(place).alias("first")).where(F.col("docs") >= min_docs).select("template", "first"), "recurring")
-    return held.join(recurring, "template").where(~place.eqNullSafe(F.col("first"))).select("key", "line_no")
+    drops = _after_first(held, "template", min_docs, "recurring")
+    if not identical:
+        return drops
+    # templates settle the other lines: there, a line that recurs as it is has constant fields alone but for digits
+    loose = lines.where((n > 0) & ((n < max(min_tokens, LEAD)) | F.col("line").rlike("[0-9]")) & (F.octet_length(F.trim("line")) >= MIN_BYTES))
+    loose = written(loose.select("key", "doc_id", "line_no", F.xxhash64("line").alias("same")), "loose-lines")
+    return drops.union(_after_first(loose, "same", min_docs, "identical"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, min_const: float = MIN_CONST) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, min_const: float = MIN_CONST, identical: bool = False) -> DataFrame:
     """docs with the dropped lines taken out of text, and __n_lines and __n_dropped (long)."""
     key = F.xxhash64("doc_id", "text")
     keyed = docs.withColumn("__key", key)
-    drops = dropped_lines(docs.select(key.alias("key"), "doc_id", "text"), min_docs, min_tokens, min_const)
+    drops = dropped_lines(docs.select(key.alias("key"), "doc_id", "text"), min_docs, min_tokens, min_const, identical)
     per_doc = written(drops.groupBy("key").agg(F.collect_set("line_no").alias("__drops")).withColumnRenamed("key", "__key"), "line-drops")
     joined = keyed.join(per_doc.hint("shuffle_hash"), "__key", "left")
     lines = F.split("text", "\n")

@@ -28,3 +28,16 @@ def test_added_tokens_are_one_id_in_queries(spark, tmp_path):
     assert Counter(tuple(r)[:5] for r in config_packing.op7_config_packing(spark, str(tmp_path)).collect()) == pieces
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     assert Counter(tuple(r)[:5] for r in corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()) == pieces
+
+
+def test_pipeline_drops_identical_short_and_digit_lines(spark, tmp_path):
+    import corpus_pipeline
+
+    lines = ["Page 3 of 10", "Read more", "日本語の文章です", "2024-01-02 10:11:12 99.5 ok"]
+    rows = [(i, "\n".join([f"own{i}", *lines, "Yes.", " \t       ", f"Page {i} of {i}7"])) for i in range(4)] + [(9, lines[0] + "\n" + lines[0]), (None, lines[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    done = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()}
+    assert done[0] == rows[0][1]
+    for i in (1, 2, 3):
+        assert done[i] == "\n".join([f"own{i}", "Yes.", " \t       ", f"Page {i} of {i}7"])
+    assert set(done) == {0, 1, 2, 3}
