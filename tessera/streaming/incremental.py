@@ -1,8 +1,9 @@
 """Findings kept up to date by a file stream.
 
-New documents land as files; each micro-batch drops documents already in the ledger with the same
-path, time and size, runs the checks on the rest, and overwrites those documents' findings only, so
-a batch that is run twice leaves the same rows.
+New documents land as files; each micro-batch drops documents already in the ledger, where one is
+given, with the same path, time and size, runs the checks on the rest, and overwrites those
+documents' findings only. They enter the ledger once their findings are written, so a batch that is
+run twice leaves the same rows.
 """
 
 from __future__ import annotations
@@ -31,15 +32,23 @@ def write_upsert(rows: DataFrame, folder: str, partition: list[str]) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(folder)
 
 
-def checked_stream(spark: SparkSession, landing: str, schema: str, check: Callable[[DataFrame], DataFrame], out: str, partition: list[str], checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None) -> DataStreamWriter:
+def checked_stream(spark: SparkSession, landing: str, schema: str, check: Callable[[DataFrame], DataFrame], out: str, partition: list[str], checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, ledger: str | None = None) -> DataStreamWriter:
     """A stream writer over the landing folder that runs `check` on each batch and upserts its
-    findings to `out`; on_batch sees each batch's findings, masters are checked with the rest."""
+    findings to `out`; on_batch sees each batch's findings, masters are checked with the rest.
+    ledger is a folder that lists the documents checked; without it all count as new."""
 
     def run(batch: DataFrame, number: int) -> None:
-        found = check(batch)
+        fresh = batch
+        if ledger is not None:
+            held = batch.sparkSession.createDataFrame([], batch.select(*IDENTITY).schema)
+            held.write.mode("append").parquet(ledger)
+            fresh = unseen(batch, batch.sparkSession.read.schema(held.schema).parquet(ledger))
+        found = check(fresh)
         write_upsert(found, out, partition)
         if on_batch is not None:
             on_batch(found, number)
+        if ledger is not None:
+            fresh.select(*IDENTITY).distinct().write.mode("append").parquet(ledger)
 
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(landing)
     return source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(run)
