@@ -9,7 +9,7 @@ threshold. No query of a block can be met by a bucket whose threshold is over 1,
 blocks is never made. Within a pair of blocks a query prunes by length where its threshold is low
 (a candidate's own length must reach floor / |q|) and by coordinates where it is high (in the
 query's FOCUS largest coordinates a candidate must lie within the arc the threshold allows). What
-is left is verified by products; the floor rises as better scores turn up.
+is left is verified by products. Vectors of each width are searched apart, with their own seeds.
 
 Query blocks meet candidate blocks through a join on a bounded grid, not row by row. Vectors that
 are null, empty, or hold null or non-finite components take no part; so do those with a null id or
@@ -90,21 +90,29 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, c_ids: np
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query row the k best of all other vectors."""
-    spark = vectors.sparkSession
+    """(query_id, rank, vec_id, score): for each query row the k best of all other vectors of its width."""
     c = written(quantised(vectors, scale), "topk-vectors")
     q = written(quantised(queries, scale), "topk-queries")
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    edges = c.agg(F.percentile_approx("norm2", [i / BUCKETS for i in range(1, BUCKETS)], 10000).alias("e"), F.count("*").alias("n"), F.max(F.size("v")).alias("w")).first()
-    n_queries = q.count()
-    if not edges.n or not n_queries:
-        return empty
+    width = F.size("v").alias("w")
+    edges = c.groupBy(width).agg(F.percentile_approx("norm2", [i / BUCKETS for i in range(1, BUCKETS)], 10000).alias("e"), F.count("*").alias("n"))
+    asked = {r.w: r.n for r in q.groupBy(width).agg(F.count("*").alias("n")).collect()}  # one row a width
+    found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    for r in edges.collect():
+        if r.w in asked:
+            of_width = F.size("v") == r.w
+            found = found.unionByName(_top_k(c.where(of_width), q.where(of_width), r, asked[r.w], k))
+    return found
+
+
+def _top_k(c: DataFrame, q: DataFrame, edges, n_queries: int, k: int) -> DataFrame:
+    """top_k of vectors that have one width; edges holds their norm quantiles e and their number n."""
+    spark = c.sparkSession
     cuts = sorted(set(edges.e))
     blocks = max(1, -(-edges.n // (CANDIDATE_BLOCK * (len(cuts) + 1))))
     bucket = F.lit(0)
     for x in cuts:
         bucket = bucket + (F.col("norm2") > x).cast("int")
-    c = c.where(F.size("v") == edges.w).withColumn("bucket", bucket).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
+    c = c.withColumn("bucket", bucket).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
     seeds = c.orderBy(F.desc("norm2"), "vec_id").limit(SEEDS).toArrow()
     s_ids, s = seeds.column("vec_id").to_numpy(), _matrix(seeds.column("v"))
     shared = spark.sparkContext.broadcast((s_ids, s))
@@ -120,7 +128,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*batch.schema.names, "floor"])
 
     q_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    q = q.where(F.size("v") == edges.w).mapInArrow(floors, "vec_id long, v array<long>, norm2 long, floor double")
+    q = q.mapInArrow(floors, "vec_id long, v array<long>, norm2 long, floor double")
     q = q.withColumn("q_block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(q_blocks)).cast("int"))
     q = written(q, "topk-floors")
     grid = c.groupBy("bucket", "block").agg(F.max("norm2").alias("longest"))

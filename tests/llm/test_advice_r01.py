@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tessera.llm import config_packing, token_files
+from tessera.llm import config_packing, exact_topk, token_files
 
 
 def test_added_tokens_are_one_id_in_queries(spark, tmp_path):
@@ -41,3 +41,15 @@ def test_pipeline_drops_identical_short_and_digit_lines(spark, tmp_path):
     for i in (1, 2, 3):
         assert done[i] == "\n".join([f"own{i}", "Yes.", " \t       ", f"Page {i} of {i}7"])
     assert set(done) == {0, 1, 2, 3}
+
+
+def test_top_k_meets_candidates_of_its_own_width(spark):
+    rng = np.random.RandomState(1)
+    rows = [(i, [float(x) for x in rng.randn(2 + (i >= 40))]) for i in range(60)] + [(99, [1.0] * 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    v = {i: np.floor(64 * np.array(x, np.float32).astype(float)).astype(int) for i, x in rows}
+    want = set()
+    for i in v:
+        best = sorted((-int(v[i] @ v[j]), j) for j in v if j != i and len(v[j]) == len(v[i]))[:5]
+        want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(best)}
+    assert {tuple(r) for r in exact_topk.top_k(df, df, 5).collect()} == want
