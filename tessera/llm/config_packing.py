@@ -28,10 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import chunks, table, text_bytes, written
 from tessera.llm.tokens import word_ids
 
 MAX_TOKENS = 4096
@@ -145,31 +146,35 @@ def places(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarra
     return {n: tuple(np.array(x, np.int64) for x in zip(*s)) for n, s in slots.items()}
 
 
-def cut(path: str, room: int, added_tokens: bool = False):
+def cut(path: str, room: int):
     """A mapInArrow function: pieces (doc_id, piece, start, length, ids_crc32, bucket)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(path, added_tokens)
+        words, base = word_ids(path), TaskContext.get().partitionId() * 7919
         for batch in batches:
-            docs, texts, rows = batch.column("doc_id").to_pylist(), batch.column("text"), []
-            for a in range(0, len(docs), 256):
-                for doc, ids in zip(docs[a : a + 256], words.encode(texts.slice(a, 256).to_pylist())):
-                    for piece, at in enumerate(range(0, len(ids), 4 * room)):
-                        part = ids[at : at + 4 * room]
-                        crc = zlib.crc32(part)
-                        rows.append((doc, piece, at // 4, len(part) // 4, crc, (crc * 2654435761 + (doc or 0) * 40503 >> 7) % BUCKETS))
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "bucket"])
+            texts, docs = batch.column("text"), batch.column("doc_id").cast(pa.int64())
+            _, offsets = text_bytes(texts)
+            for a, b in chunks(offsets):
+                ids, at = words.encode(texts.slice(a, b - a))
+                raw, n = ids.tobytes(), np.diff(at)
+                of = np.repeat(np.arange(b - a), -(-n // room))
+                piece = np.arange(len(of)) - np.searchsorted(of, of)
+                start = piece * room
+                length = np.minimum(n[of] - start, room)
+                edge = 4 * (at[of] + start)
+                crc = np.array([zlib.crc32(raw[x:y]) for x, y in zip(edge.tolist(), (edge + 4 * length).tolist())], np.int64)
+                # pieces of one length are spread by where they stand, whatever they hold
+                bucket = (base + np.arange(len(of))) % BUCKETS
+                yield pa.RecordBatch.from_arrays([docs.slice(a, b - a).take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc), pa.array(bucket, pa.int32())], ["doc_id", "piece", "start", "length", "ids_crc32", "bucket"])
 
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, room: int = MAX_TOKENS, added_tokens: bool = False) -> DataFrame:
-    """One row per piece of docs(doc_id, text) with its sequence_id and its offset there; added_tokens as in tokens."""
+def pack(docs: DataFrame, path: str | None = None, room: int = MAX_TOKENS) -> DataFrame:
+    """One row per piece of docs(doc_id, text) with its sequence_id and its offset there."""
     spark = docs.sparkSession
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    pieces = written(docs.select("doc_id", "text").mapInArrow(cut(path, room, added_tokens), "doc_id long, piece int, start long, length long, ids_crc32 long, bucket int"), "pieces")
+    pieces = written(docs.select("doc_id", "text").mapInArrow(cut(path, room), "doc_id long, piece int, start long, length long, ids_crc32 long, bucket int"), "pieces")
     counts = written(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {int(r.length): int(r.n) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `room` rows
     slots = spark.sparkContext.broadcast(places(solve(histogram, room)))  # its size depends on room and ROUNDS alone
@@ -194,4 +199,4 @@ def pack(docs: DataFrame, path: str | None = None, room: int = MAX_TOKENS, added
 
 
 def op7_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), added_tokens=True)
+    return pack(table(spark, sf_dir, "documents"))

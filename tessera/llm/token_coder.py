@@ -1,14 +1,22 @@
 """Adaptive context-mixing range coder for token ids, many blocks side by side.
 
-Each block starts with empty models and has its own header and checksum, so it can be decoded
-alone. For each id two guesses are made: the id that last followed the last two ids (order 2) and
-the one that last followed the last id (order 1). Which of them holds, if any, is one event whose
-chances mix two adaptive estimates, one by the confidences of both guesses and one by how the last
-events went. An id that neither guesses is coded by adaptive order-0 counts of its top six bits,
-and ten plain bits. Numpy runs the same step of all blocks at once (a block is a lane).
-
-Block: "TSR1", number of ids, CRC-32 of the ids as little-endian uint32, number of payload bytes
-(three little-endian uint32), then the payload (16-bit big-endian words).
+A coded segment is a dictionary, then its blocks. The dictionary lists the segment's distinct ids
+from frequent to rare, with rounded logarithms of their counts; inside blocks an id is its rank
+there. Every block starts its models anew from the dictionary, with its own header and checksum, so
+it can be decoded with nothing but the dictionary.
+
+For each id, order 2 guesses the id that last followed the last two, and order 1 has two recent
+followers of the last id with their counts. Their chances are mixed into one event (order 2's
+guess, one of order 1's followers, or neither): an adaptive estimate for how sure order 2 is, given
+what order 1 knows of the same id, then one for how often order 1 holds, shared by its counts. An id
+that neither guesses is coded by order 0: counts of all ids of the dictionary, which start from its
+figures and grow as ids occur, taken into its sums from time to time. Numpy runs the same step of all
+blocks at once (a block is a lane); lanes of different segments can be put together in any way.
+
+Dictionary: "TSRD", number of ids, CRC-32 and size of the payload (little-endian uint32), then zlib
+of the ids by rank (little-endian uint16) and their counts' logarithms (bytes). Block: "TSRB",
+number of ids, CRC-32 of the ids as little-endian uint32, size of the payload, then the payload
+(16-bit big-endian words).
 """
 
 from __future__ import annotations
@@ -18,68 +26,110 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TSR1"
+DICTIONARY, MARK = b"TSRD", b"TSRB"
 HEADER = struct.Struct("<4sIII")
-BLOCK = 4096
-LANES = 2048
+BLOCK, LANES, CELLS = 2048, 2048, 1 << 24
 MAX_ID = 1 << 16
-_SLOTS2, _SLOTS1 = 2048, 1024
-_TOP, _PLAIN, _RENEW = 64, 10, 128
+_SLOTS2, _SLOTS1 = 9, 9  # bits
+_ID = (1 << 17) - 1
+_TOTAL, _ONE = 14, 16
+_RENEWALS = {32, 64, 128, *range(256, BLOCK, 256)}
 _WORD, _FULL, _LEAST = (1 << 16) - 1, 1 << 48, 1 << 32
+# chances in 1024 of order 1's later follower, and of either, by their counts (0 to 15 each)
+_BOTH = np.array([1024 * (a + b) // (a + b + 20) for a in range(16) for b in range(16)], np.int64)
+_LATER = np.array([1024 * a // (a + b + 20) for a in range(16) for b in range(16)], np.int64)
+_WEIGHT = np.array([round(256 * 2 ** (q / 8)) for q in range(256)], np.int64)
+
+
+def _prior(logs: np.ndarray) -> tuple[np.ndarray, int]:
+    """Starting counts of order 0 and how much an occurrence adds."""
+    weight = _WEIGHT[logs]
+    size = max(8192, 4 * len(logs))
+    return 1 + weight * size // int(weight.sum()), size // 400
 
 
 class _Models:
-    """Models of all lanes; the encoder and the decoder make the same calls in the same order."""
+    """Models of all lanes; the encoder and the decoder make the same calls in the same order.
 
-    def __init__(self, lanes: int):
-        self.table2 = np.zeros(lanes * _SLOTS2, np.uint32)
-        self.table1 = np.zeros(lanes * _SLOTS1, np.uint32)
+    Ids are ranks + 1 here, 0 is none.
+    """
+
+    def __init__(self, priors: list[tuple[np.ndarray, int]]):
+        lanes = len(priors)
         self.lane = np.arange(lanes, dtype=np.int64)
-        self.base2, self.base1, self.base5, self.base4 = (self.lane * n for n in (_SLOTS2, _SLOTS1, 32, 16))
-        self.sure = np.full(lanes * 32, 12000, np.int32)
-        self.past = np.full(lanes * 16, 12000, np.int32)
-        self.next = np.full(lanes * 32, 12000, np.int32)
-        self.history = np.zeros(lanes, np.int64)
-        self.a, self.b = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.count = np.zeros(lanes * _TOP, np.int64)
-        self.spread()
-
-    def spread(self) -> None:
-        """Shares of 256 for the top six bits from the counts so far, at least one each."""
-        lanes = len(self.lane)
-        count = self.count.reshape(lanes, _TOP)
-        share = 1 + count * 192 // np.maximum(1, count.sum(1, keepdims=True))
-        share[:, 0] += 256 - share.sum(1)
-        below = np.cumsum(share, 1) - share
-        self.share, self.below = share.ravel(), below.ravel()
-        starts = np.zeros((lanes, 256), np.int8)
-        starts[self.lane[:, None], below] = 1
-        self.which = (np.cumsum(starts, 1, dtype=np.int16) - 1).ravel()
-
-    def predict(self, k: int) -> None:
-        a, b = self.a[:k], self.b[:k]
-        self.at2 = self.base2[:k] + ((a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA6B)) >> np.uint32(21))
-        self.at1 = self.base1[:k] + (b * np.uint32(0xC2B2AE35) >> np.uint32(22))
-        slot2, slot1 = self.table2.take(self.at2).astype(np.int64), self.table1.take(self.at1).astype(np.int64)
-        self.guess2, self.guess1 = slot2 & _WORD, slot1 & _WORD
-        self.conf2, self.conf1 = slot2 >> 16, slot1 >> 16
-        self.i = self.base5[:k] + (self.conf2 * 8 + self.conf1 * 2 + (self.guess2 == self.guess1))
-        self.j = self.base4[:k] + self.history[:k]
-        self.p, self.q, self.r = self.sure.take(self.i), self.past.take(self.j), self.next.take(self.i)
-        self.two = np.clip((self.p + self.q) >> 5, 1, 4000).astype(np.int64)
-        self.one = ((4096 - self.two) * self.r >> 16) + 1
-
-    def learn(self, k: int, ids: np.ndarray, two: np.ndarray, one: np.ndarray) -> None:
-        goal = two * np.int32(63000)
-        self.sure[self.i] = self.p + ((goal - self.p) >> 4)
-        self.past[self.j] = self.q + ((goal - self.q) >> 4)
-        self.next[self.i] = self.r + (((one * np.int32(63000) - self.r) >> 4) * ~two)
-        self.table2[self.at2] = ids | (np.minimum(self.conf2 + 1, 3) * two << 16)
-        self.table1[self.at1] = ids | (np.minimum(self.conf1 + 1, 3) * (self.guess1 == ids) << 16)
-        self.history[:k] = (self.history[:k] * 2 + two) & 15
+        self.guess = np.zeros(lanes << _SLOTS2, np.uint32)  # an id, and confidence above it
+        self.follow = np.zeros(lanes << _SLOTS1, np.int64)  # two ids with counts, the later one in the low half
+        self.base2, self.base1 = self.lane << _SLOTS2, self.lane << _SLOTS1
+        self.sure = np.tile(np.repeat(np.array([0, 12000, 12000, 12000], np.int32), 4), lanes)
+        self.base4 = self.lane << 4
+        self.a, self.b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.add = np.array([p[1] for p in priors], np.int64)
+        self.wide = max(len(p[0]) for p in priors)
+        self.counts = np.zeros((lanes, self.wide), np.uint16)
+        self.sums = np.zeros((lanes, self.wide + 1), np.int32)
+        self.starts = [p[0] for p in priors]
+        self.base0 = self.lane * (self.wide + 1)
+        self.base_count = self.lane * self.wide
+        self.renew(lanes)
+
+    def renew(self, k: int) -> None:
+        """Order 0 takes in what the first k lanes have counted so far."""
+        for lane in range(k):
+            start, row = self.starts[lane], self.sums[lane]
+            n = len(start)
+            np.cumsum(start + self.add[lane] * self.counts[lane, :n], out=row[1 : n + 1], dtype=np.int32)
+            row[n + 1 :] = row[n]
+        self.all = self.sums[:, -1].astype(np.int64)
+
+    def predict(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Upper edges in 1 << _TOTAL of the choices order 2, later and earlier follower in order 1."""
+        b = self.b[:k]
+        self.at2 = self.base2[:k] + ((self.a[:k] * 0x9E3779B1 + b * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - _SLOTS2)
+        self.at1 = self.base1[:k] + ((b * 0xC2B2AE35 & 0xFFFFFFFF) >> 32 - _SLOTS1)
+        slot, self.pair = self.guess.take(self.at2).astype(np.int64), self.follow.take(self.at1)
+        self.two, self.conf = slot & _ID, slot >> 17
+        self.one, self.old = self.pair & _ID, self.pair >> 32 & _ID
+        n1, n0 = self.pair >> 17 & 15, self.pair >> 49
+        same1, same0 = self.one == self.two, self.old == self.two
+        self.i = self.base4[:k] + (self.conf * 4 + same1 * 2 + same0)
+        counts = (n1 * ~same1 << 4) + n0 * ~same0
+        self.p = self.sure.take(self.i)
+        first = (self.p >> _ONE - _TOTAL) + (self.conf > 0).astype(np.int64)
+        rest = (1 << _TOTAL) - first
+        return first, first + (rest * _LATER.take(counts) >> 10), first + (rest * _BOTH.take(counts) >> 10)
+
+    def learn(self, k: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, hit0: np.ndarray) -> None:
+        self.sure[self.i] = self.p + ((hit2 * np.int32(63000) - self.p >> 4) * (self.conf > 0))
+        self.guess[self.at2] = ids | np.where(ids == self.two, np.minimum(self.conf + 1, 3), np.maximum(self.conf >> 1, 1)) << 17
+        # the id comes first among the followers of the last one
+        grown = np.where(ids == self.old, self.pair >> 32, ids) + (1 << 17) & _ID | np.minimum(np.where(ids == self.old, self.pair >> 49, 0) + 1, 15) << 17
+        moved = (self.pair & 0xFFFFFFFF) << 32 | grown
+        up = self.pair + (np.int64(1 << 17) * ((self.pair >> 17 & 15) < 15))
+        self.follow[self.at1] = np.where(ids == self.one, up, moved)
         self.a[:k] = self.b[:k]
         self.b[:k] = ids
 
+    def below(self, lanes: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order-0 counts before each rank, and its own; the rank is counted."""
+        at = self.base0[lanes] + ranks
+        before = self.sums.take(at)
+        self.counts.ravel()[self.base_count[lanes] + ranks] += np.uint16(1)
+        return before, (self.sums.take(at + 1) - before).astype(np.int64)
+
+    def find(self, lanes: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rank at each target of the order-0 counts, with counts before it and its own; it is counted."""
+        base, goal, step = self.base0[lanes], target.astype(np.int32), 1 << (self.wide - 1).bit_length()
+        end = base + self.wide
+        at = base.copy()
+        while step := step >> 1:
+            ahead = np.minimum(at + step, end)
+            at = np.where(self.sums.take(ahead) <= goal, ahead, at)
+        ranks = np.minimum(at - base, self.wide - 1)
+        at = base + ranks
+        before = self.sums.take(at)
+        self.counts.ravel()[self.base_count[lanes] + ranks] += np.uint16(1)
+        return ranks, before, (self.sums.take(at + 1) - before).astype(np.int64)
+
 
 def _lanes(counts: np.ndarray) -> np.ndarray:
     """Number of lanes (longest first) that are still running at each step."""
@@ -87,52 +137,61 @@ def _lanes(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(-counts, -np.arange(1, steps + 1), "right")
 
 
+def _width(tables: list[np.ndarray]) -> int:
+    """How many lanes run side by side: LANES, fewer where long dictionaries would take too much memory."""
+    return max(1, min(LANES, CELLS // max([1, *map(len, tables)])))
+
+
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """Blocks for the ids (all under 65,536), BLOCK each, the last one shorter."""
-    return encode_parts([ids[a : a + BLOCK] for a in range(0, len(ids), BLOCK)])
-
-
-def encode_parts(parts: list[np.ndarray]) -> list[bytes]:
-    """One block for each part of 1 to BLOCK ids; parts of any lengths run side by side."""
-    order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
-    out: list = [None] * len(parts)
-    for a in range(0, len(order), LANES):
-        rows = order[a : a + LANES]
-        for i, block in zip(rows, _encode([parts[i] for i in rows])):
-            out[i] = block
-    return out
+    """The dictionary and the blocks of one segment of ids under 65,536; nothing for no ids."""
+    found = encode_segments([ids])[0]
+    return [found] if found else []
 
 
-def _encode(parts: list[np.ndarray]) -> list[bytes]:
-    lanes, counts = len(parts), np.array([len(p) for p in parts], np.int64)
-    padded = np.zeros((lanes, int(counts[0])), np.int64)
-    for row, part in zip(padded, parts):
-        row[: len(part)] = part
-    if padded.max() >= MAX_ID or padded.min() < 0:
-        raise ValueError(f"ids must lie from 0 to {MAX_ID - 1}")
-    columns = np.ascontiguousarray(padded.T)
-    m, low, span = _Models(lanes), np.zeros(lanes, np.int64), np.full(lanes, _FULL - 1, np.int64)
-    words, at = np.zeros((lanes, BLOCK + 64), np.uint32), np.zeros(lanes, np.int64)
-    for step, k in enumerate(_lanes(counts)):
-        if step % _RENEW == 0 and step:
-            m.spread()
-        if step % 512 == 0 and words.shape[1] < (need := int(at.max()) + 1100):
-            words = np.pad(words, ((0, 0), (0, need - words.shape[1] + BLOCK // 2)))
-        x = columns[step, :k]
-        m.predict(k)
-        two, one = x == m.guess2, x == m.guess1
-        unit = span[:k] >> 12
-        span[:k] = unit * np.where(two, m.two, np.where(one, m.one, 4096 - m.two - m.one))
-        low[:k] += unit * np.where(two, 0, np.where(one, m.two, m.two + m.one))
-        plain = np.flatnonzero(~(two | one))
-        v = x[plain]
-        c = (plain << 6) + (v >> _PLAIN)
-        unit = span[plain] >> 8 + _PLAIN
-        low[plain] += unit * ((m.below.take(c) << _PLAIN) + m.share.take(c) * (v & 1023))
-        span[plain] = unit * m.share.take(c)
-        m.count[c] += 1
-        m.learn(k, x, two, one)
-        i = np.flatnonzero(span[:k] < _LEAST)
+def encode_segments(segments: list[np.ndarray]) -> list[bytes]:
+    """Each segment's dictionary and blocks; the blocks of all segments share the coder's lanes."""
+    heads, parts, priors, whose = [], [], [], []
+    for number, ids in enumerate(segments):
+        ids = np.asarray(ids, np.int64)
+        if not len(ids):
+            heads.append(b"")
+            continue
+        if ids.max() >= MAX_ID or ids.min() < 0:
+            raise ValueError(f"ids must lie from 0 to {MAX_ID - 1}")
+        value, count = np.unique(ids, return_counts=True)
+        order = np.argsort(-count, kind="stable")
+        value, logs = value[order], np.minimum(255, np.rint(8 * np.log2(count[order]))).astype(np.uint8)
+        body = zlib.compress(value.astype("<u2").tobytes() + logs.tobytes())
+        heads.append(HEADER.pack(DICTIONARY, len(value), zlib.crc32(body), len(body)) + body)
+        rank = np.zeros(MAX_ID, np.int64)
+        rank[value] = np.arange(len(value))
+        prior = _prior(logs)
+        for a in range(0, len(ids), BLOCK):
+            parts.append((rank[ids[a : a + BLOCK]], zlib.crc32(ids[a : a + BLOCK].astype("<u4").tobytes())))
+            priors.append(prior)
+            whose.append(number)
+    order = sorted(range(len(parts)), key=lambda i: -len(parts[i][0]))
+    blocks: list[bytes] = [b""] * len(parts)
+    lanes = _width([p[0] for p in priors])
+    for a in range(0, len(order), lanes):
+        rows = order[a : a + lanes]
+        for i, block in zip(rows, _encode([parts[i] for i in rows], [priors[i] for i in rows])):
+            blocks[i] = block
+    out = [[h] for h in heads]
+    for number, block in zip(whose, blocks):
+        out[number].append(block)
+    return [b"".join(x) for x in out]
+
+
+def _encode(parts: list[tuple[np.ndarray, int]], priors: list[tuple[np.ndarray, int]]) -> list[bytes]:
+    lanes, counts = len(parts), np.array([len(p) for p, _ in parts], np.int64)
+    columns = np.zeros((int(counts[0]), lanes), np.int64)
+    for lane, (part, _) in enumerate(parts):
+        columns[: len(part), lane] = part + 1
+    m, low, span = _Models(priors), np.zeros(lanes, np.int64), np.full(lanes, _FULL - 1, np.int64)
+    words, at = np.zeros((lanes, BLOCK // 2 + 64), np.uint32), np.zeros(lanes, np.int64)
+
+    def renew(i: np.ndarray) -> None:
         while len(i):
             now = low[i]
             words[i, at[i]] = now >> 32
@@ -140,85 +199,124 @@ def _encode(parts: list[np.ndarray]) -> list[bytes]:
             low[i] = (now & _LEAST - 1) << 16
             span[i] <<= 16
             i = i[span[i] < _LEAST]
+
+    for step, k in enumerate(_lanes(counts)):
+        if step % 256 == 0 and words.shape[1] < int(at.max()) + 1100:
+            words = np.pad(words, ((0, 0), (0, BLOCK)))
+        if step in _RENEWALS:
+            m.renew(k)
+        x = columns[step, :k]
+        e2, e1, e0 = m.predict(k)
+        hit2 = x == m.two
+        hit1, hit0 = (x == m.one) & (e1 > e2), (x == m.old) & (e0 > e1)
+        hit1 &= ~hit2
+        hit0 &= ~hit2
+        miss = ~(hit2 | hit1 | hit0)
+        below = e2 * hit1 + e1 * hit0 + e0 * miss
+        size = e2 * hit2 + (e1 - e2) * hit1 + (e0 - e1) * hit0 + ((1 << _TOTAL) - e0) * miss
+        unit = span[:k] >> _TOTAL
+        low[:k] += unit * below
+        span[:k] = unit * size
+        m.learn(k, x, hit2, hit1, hit0)
+        renew(np.flatnonzero(span[:k] < _LEAST))
+        rest = np.flatnonzero(miss)
+        unit = span[rest] // m.all[rest]
+        below, own = m.below(rest, x[rest] - 1)
+        low[rest] += unit * below
+        own *= unit
+        span[rest] = own
+        renew(rest[own < _LEAST])
     words = np.pad(words, ((0, 0), (0, 3)))
-    every = np.arange(lanes)
     for j in range(3):
-        words[every, at + j] = (low >> 32 - 16 * j) & (_WORD if j else -1)
+        words[m.lane, at + j] = (low >> 32 - 16 * j) & (_WORD if j else -1)
     out = []
-    for i in range(lanes):
+    for i, (part, crc) in enumerate(parts):
         w = words[i, : at[i] + 3]
         value = int.from_bytes((w & _WORD).astype(">u2").tobytes()) + (int.from_bytes((w >> 16).astype(">u2").tobytes()) << 16)
         body = value.to_bytes(2 * len(w))
-        n = int(counts[i])
-        out.append(HEADER.pack(MAGIC, n, zlib.crc32(padded[i, :n].astype("<u4").tobytes()), len(body)) + body)
+        out.append(HEADER.pack(MARK, len(part), crc, len(body)) + body)
     return out
 
 
 def decode_blocks(data: bytes) -> np.ndarray:
-    """The ids of blocks that stand one after another; a damaged block is an error."""
-    heads, bodies, at = [], [], 0
+    """The ids of segments that stand one after another; a damaged one is an error."""
+    heads, bodies, tables, at = [], [], [], 0
+    known = None
     while at < len(data):
-        magic, n, crc, size = HEADER.unpack_from(data, at)
-        if magic != MAGIC:
-            raise ValueError("not a token block")
+        if len(data) - at < HEADER.size:
+            raise ValueError("a cut token segment")
+        mark, n, crc, size = HEADER.unpack_from(data, at)
         at += HEADER.size
-        heads.append((n, crc))
-        bodies.append(data[at : at + size])
+        body = data[at : at + size]
         at += size
+        if mark == DICTIONARY:
+            if zlib.crc32(body) != crc:
+                raise ValueError("a token dictionary's checksum doesn't match")
+            raw = zlib.decompress(body)
+            known = np.frombuffer(raw, "<u2", n).astype(np.uint32), _prior(np.frombuffer(raw, np.uint8, n, 2 * n))
+        elif mark == MARK and known is not None and len(body) == size and n <= BLOCK:
+            heads.append((n, crc))
+            bodies.append(body)
+            tables.append(known)
+        else:
+            raise ValueError("not a token block")
     out = [np.zeros(0, np.uint32)]
-    for a in range(0, len(heads), LANES):
-        out += _decode(heads[a : a + LANES], bodies[a : a + LANES])
+    lanes = _width([ids for ids, _ in tables])
+    for a in range(0, len(heads), lanes):
+        out += _decode(heads[a : a + lanes], bodies[a : a + lanes], tables[a : a + lanes])
     return np.concatenate(out)
 
 
-def _decode(heads: list[tuple[int, int]], bodies: list[bytes]) -> list[np.ndarray]:
+def _decode(heads: list[tuple[int, int]], bodies: list[bytes], tables: list[tuple[np.ndarray, tuple[np.ndarray, int]]]) -> list[np.ndarray]:
     order = sorted(range(len(heads)), key=lambda i: -heads[i][0])
     counts = np.array([heads[i][0] for i in order], np.int64)
     lanes = len(order)
-    width = max(len(bodies[i]) for i in order) // 2 + 3
+    width = max(3, *(len(bodies[i]) // 2 for i in order)) + 3
     words = np.zeros((lanes, width), np.int64)
     for row, i in enumerate(order):
-        w = np.frombuffer(bodies[i], ">u2")
+        w = np.frombuffer(bodies[i], ">u2", len(bodies[i]) // 2)
         words[row, : len(w)] = w
     code = (words[:, 0] << 32) | (words[:, 1] << 16) | words[:, 2]
     words, at = words.ravel(), np.arange(lanes, dtype=np.int64) * width + 3
-    m, span = _Models(lanes), np.full(lanes, _FULL - 1, np.int64)
-    columns = np.zeros((int(counts[0]) if lanes else 0, lanes), np.uint32)
-    for step, k in enumerate(_lanes(counts)):
-        if step % _RENEW == 0 and step:
-            m.spread()
-        m.predict(k)
-        unit, c = span[:k] >> 12, code[:k]
-        edge2, edge1 = unit * m.two, unit * (m.two + m.one)
-        two = c < edge2
-        one = ~two & (c < edge1)
-        span[:k] = np.where(two, edge2, np.where(one, edge1 - edge2, (unit << 12) - edge1))
-        code[:k] -= np.where(two, 0, np.where(one, edge2, edge1))
-        x = np.where(two, m.guess2, m.guess1)
-        plain = np.flatnonzero(~(two | one))
-        unit, c = span[plain] >> 8 + _PLAIN, code[plain]
-        at256 = np.minimum(c // (unit << _PLAIN), 255)
-        top = m.which.take((plain << 8) + at256).astype(np.int64)
-        t = (plain << 6) + top
-        share = m.share.take(t)
-        c -= unit * (m.below.take(t) << _PLAIN)
-        unit *= share
-        v = np.minimum(c // unit, 1023)
-        code[plain] = c - unit * v
-        span[plain] = unit
-        m.count[t] += 1
-        x[plain] = (top << _PLAIN) | v
-        columns[step, :k] = x
-        m.learn(k, x, two, x == m.guess1)
-        i = np.flatnonzero(span[:k] < _LEAST)
+    m, span = _Models([tables[i][1] for i in order]), np.full(lanes, _FULL - 1, np.int64)
+    size_of = np.array([len(tables[i][0]) for i in order], np.int64)
+    columns = np.zeros((int(counts[0]), lanes), np.int64)
+
+    def renew(i: np.ndarray) -> None:
         while len(i):
             code[i] = (code[i] << 16) | words.take(at[i], mode="clip")
             at[i] += 1
             span[i] <<= 16
             i = i[span[i] < _LEAST]
+
+    for step, k in enumerate(_lanes(counts)):
+        if step in _RENEWALS:
+            m.renew(k)
+        e2, e1, e0 = m.predict(k)
+        unit = span[:k] >> _TOTAL
+        target = code[:k] // unit
+        hit2, miss = target < e2, target >= e0
+        hit1 = ~hit2 & (target < e1)
+        hit0 = ~(hit2 | hit1 | miss)
+        below = e2 * hit1 + e1 * hit0 + e0 * miss
+        size = e2 * hit2 + (e1 - e2) * hit1 + (e0 - e1) * hit0 + ((1 << _TOTAL) - e0) * miss
+        code[:k] -= unit * below
+        span[:k] = unit * size
+        renew(np.flatnonzero(span[:k] < _LEAST))
+        x = m.two * hit2 + m.one * hit1 + m.old * hit0
+        rest = np.flatnonzero(miss)
+        unit = span[rest] // m.all[rest]
+        found, below, own = m.find(rest, code[rest] // np.maximum(unit, 1))
+        code[rest] -= unit * below
+        own *= unit
+        span[rest] = np.maximum(own, 1)
+        x[rest] = np.minimum(found, size_of[rest] - 1) + 1
+        m.learn(k, x, hit2, hit1, hit0)
+        renew(rest[own < _LEAST])
+        columns[step, :k] = x
     out: list = [None] * lanes
     for row, i in enumerate(order):
-        ids = columns[: counts[row], row].copy()
+        ids = tables[i][0][columns[: counts[row], row] - 1]
         if zlib.crc32(ids.astype("<u4").tobytes()) != heads[i][1]:
             raise ValueError("a token block's checksum doesn't match")
         out[i] = ids
