@@ -33,7 +33,7 @@ MAX_ID = 1 << 16
 _SLOTS2, _SLOTS1 = 9, 9  # bits
 _ID = (1 << 17) - 1
 _TOTAL, _ONE = 14, 16
-_RENEWALS = {32, 64, 128, *range(256, BLOCK, 256)}
+_RENEWALS = {48, 128, 320, 704, 1280}
 _WORD, _FULL, _LEAST = (1 << 16) - 1, 1 << 48, 1 << 32
 # chances in 1024 of order 1's later follower, and of either, by their counts (0 to 15 each)
 _BOTH = np.array([1024 * (a + b) // (a + b + 20) for a in range(16) for b in range(16)], np.int64)
@@ -57,10 +57,10 @@ class _Models:
     def __init__(self, priors: list[tuple[np.ndarray, int]]):
         lanes = len(priors)
         self.lane = np.arange(lanes, dtype=np.int64)
-        self.guess = np.zeros(lanes << _SLOTS2, np.uint32)  # an id, and confidence above it
+        self.guess = np.zeros(lanes << _SLOTS2, np.int64)  # an id, and confidence above it
         self.follow = np.zeros(lanes << _SLOTS1, np.int64)  # two ids with counts, the later one in the low half
         self.base2, self.base1 = self.lane << _SLOTS2, self.lane << _SLOTS1
-        self.sure = np.tile(np.repeat(np.array([0, 12000, 12000, 12000], np.int32), 4), lanes)
+        self.sure = np.tile(np.repeat(np.array([0, 12000, 12000, 12000]), 4), lanes)
         self.base4 = self.lane << 4
         self.a, self.b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.add = np.array([p[1] for p in priors], np.int64)
@@ -79,33 +79,63 @@ class _Models:
             n = len(start)
             np.cumsum(start + self.add[lane] * self.counts[lane, :n], out=row[1 : n + 1], dtype=np.int32)
             row[n + 1 :] = row[n]
-        self.all = self.sums[:, -1].astype(np.int64)
+        # a little under one by the total, so that no product goes beyond the span
+        self.each = (1 - 2.0**-50) / self.sums[:, -1]
 
     def predict(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Upper edges in 1 << _TOTAL of the choices order 2, later and earlier follower in order 1."""
         b = self.b[:k]
-        self.at2 = self.base2[:k] + ((self.a[:k] * 0x9E3779B1 + b * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - _SLOTS2)
-        self.at1 = self.base1[:k] + ((b * 0xC2B2AE35 & 0xFFFFFFFF) >> 32 - _SLOTS1)
-        slot, self.pair = self.guess.take(self.at2).astype(np.int64), self.follow.take(self.at1)
+        spread = b * 0x85EBCA6B
+        self.at2 = (self.a[:k] * 0x9E3779B1 ^ spread) & 0xFFFFFFFF
+        self.at2 >>= 32 - _SLOTS2
+        self.at2 += self.base2[:k]
+        self.at1 = spread & 0xFFFFFFFF
+        self.at1 >>= 32 - _SLOTS1
+        self.at1 += self.base1[:k]
+        slot, pair = self.guess.take(self.at2), self.follow.take(self.at1)
+        self.pair = pair
         self.two, self.conf = slot & _ID, slot >> 17
-        self.one, self.old = self.pair & _ID, self.pair >> 32 & _ID
-        n1, n0 = self.pair >> 17 & 15, self.pair >> 49
-        same1, same0 = self.one == self.two, self.old == self.two
-        self.i = self.base4[:k] + (self.conf * 4 + same1 * 2 + same0)
-        counts = (n1 * ~same1 << 4) + n0 * ~same0
+        self.one, self.old, self.n0 = pair & _ID, pair >> 32 & _ID, pair >> 49
+        new1, new0 = self.one != self.two, self.old != self.two
+        counts = np.minimum(pair >> 17 & 0x7FFF, 15)
+        counts *= new1
+        counts <<= 4
+        counts += np.minimum(self.n0, 15) * new0
+        self.i = self.conf << 2
+        self.i += self.base4[:k]
+        self.i += new1
+        self.i += new0
         self.p = self.sure.take(self.i)
-        first = (self.p >> _ONE - _TOTAL) + (self.conf > 0).astype(np.int64)
+        first = self.p >> _ONE - _TOTAL
+        first += 1
+        first *= self.conf > 0
         rest = (1 << _TOTAL) - first
-        return first, first + (rest * _LATER.take(counts) >> 10), first + (rest * _BOTH.take(counts) >> 10)
-
-    def learn(self, k: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, hit0: np.ndarray) -> None:
-        self.sure[self.i] = self.p + ((hit2 * np.int32(63000) - self.p >> 4) * (self.conf > 0))
-        self.guess[self.at2] = ids | np.where(ids == self.two, np.minimum(self.conf + 1, 3), np.maximum(self.conf >> 1, 1)) << 17
+        both = rest * _BOTH.take(counts)
+        both >>= 10
+        both += first
+        rest *= _LATER.take(counts)
+        rest >>= 10
+        rest += first
+        return first, rest, both
+
+    def learn(self, k: int, ids: np.ndarray, hit2: np.ndarray) -> None:
+        goal = hit2 * 63000
+        goal -= self.p
+        goal >>= 4
+        self.sure[self.i] = self.p + goal
+        conf = np.minimum(self.conf, 2)
+        conf *= hit2
+        conf += 1
+        conf <<= 17
+        conf += ids
+        self.guess[self.at2] = conf
         # the id comes first among the followers of the last one
-        grown = np.where(ids == self.old, self.pair >> 32, ids) + (1 << 17) & _ID | np.minimum(np.where(ids == self.old, self.pair >> 49, 0) + 1, 15) << 17
-        moved = (self.pair & 0xFFFFFFFF) << 32 | grown
-        up = self.pair + (np.int64(1 << 17) * ((self.pair >> 17 & 15) < 15))
-        self.follow[self.at1] = np.where(ids == self.one, up, moved)
+        moved = self.n0 * (ids == self.old)
+        moved += 1
+        moved <<= 17
+        moved += ids
+        moved += self.pair << 32
+        self.follow[self.at1] = np.where(ids == self.one, self.pair + (1 << 17), moved)
         self.a[:k] = self.b[:k]
         self.b[:k] = ids
 
@@ -190,6 +220,7 @@ def _encode(parts: list[tuple[np.ndarray, int]], priors: list[tuple[np.ndarray,
         columns[: len(part), lane] = part + 1
     m, low, span = _Models(priors), np.zeros(lanes, np.int64), np.full(lanes, _FULL - 1, np.int64)
     words, at = np.zeros((lanes, BLOCK // 2 + 64), np.uint32), np.zeros(lanes, np.int64)
+    nil, full = np.zeros(lanes, np.int64), np.full(lanes, 1 << _TOTAL)
 
     def renew(i: np.ndarray) -> None:
         while len(i):
@@ -212,15 +243,22 @@ def _encode(parts: list[tuple[np.ndarray, int]], priors: list[tuple[np.ndarray,
         hit1 &= ~hit2
         hit0 &= ~hit2
         miss = ~(hit2 | hit1 | hit0)
-        below = e2 * hit1 + e1 * hit0 + e0 * miss
-        size = e2 * hit2 + (e1 - e2) * hit1 + (e0 - e1) * hit0 + ((1 << _TOTAL) - e0) * miss
+        edges = np.concatenate([nil[:k], e2, e1, e0, full[:k]])
+        at_edge = hit1 * k
+        at_edge += hit0 * (2 * k)
+        at_edge += miss * (3 * k)
+        at_edge += m.lane[:k]
+        below, size = edges.take(at_edge), edges.take(at_edge + k)
+        size -= below
         unit = span[:k] >> _TOTAL
-        low[:k] += unit * below
-        span[:k] = unit * size
-        m.learn(k, x, hit2, hit1, hit0)
-        renew(np.flatnonzero(span[:k] < _LEAST))
+        below *= unit
+        low[:k] += below
+        size *= unit
+        span[:k] = size
+        m.learn(k, x, hit2)
+        renew(np.flatnonzero(size < _LEAST))
         rest = np.flatnonzero(miss)
-        unit = span[rest] // m.all[rest]
+        unit = (span[rest] * m.each[rest]).astype(np.int64)
         below, own = m.below(rest, x[rest] - 1)
         low[rest] += unit * below
         own *= unit
@@ -281,6 +319,7 @@ def _decode(heads: list[tuple[int, int]], bodies: list[bytes], tables: list[tupl
     m, span = _Models([tables[i][1] for i in order]), np.full(lanes, _FULL - 1, np.int64)
     size_of = np.array([len(tables[i][0]) for i in order], np.int64)
     columns = np.zeros((int(counts[0]), lanes), np.int64)
+    nil, full = np.zeros(lanes, np.int64), np.full(lanes, 1 << _TOTAL)
 
     def renew(i: np.ndarray) -> None:
         while len(i):
@@ -293,25 +332,32 @@ def _decode(heads: list[tuple[int, int]], bodies: list[bytes], tables: list[tupl
         if step in _RENEWALS:
             m.renew(k)
         e2, e1, e0 = m.predict(k)
-        unit = span[:k] >> _TOTAL
-        target = code[:k] // unit
-        hit2, miss = target < e2, target >= e0
-        hit1 = ~hit2 & (target < e1)
-        hit0 = ~(hit2 | hit1 | miss)
-        below = e2 * hit1 + e1 * hit0 + e0 * miss
-        size = e2 * hit2 + (e1 - e2) * hit1 + (e0 - e1) * hit0 + ((1 << _TOTAL) - e0) * miss
-        code[:k] -= unit * below
-        span[:k] = unit * size
-        renew(np.flatnonzero(span[:k] < _LEAST))
-        x = m.two * hit2 + m.one * hit1 + m.old * hit0
+        unit, c = span[:k] >> _TOTAL, code[:k]
+        past2, past1, miss = c >= unit * e2, c >= unit * e1, c >= unit * e0
+        hit2 = ~past2
+        edges = np.concatenate([nil[:k], e2, e1, e0, full[:k]])
+        place = past2.astype(np.int64)
+        place += past1
+        place += miss
+        place *= k
+        place += m.lane[:k]
+        below, size = edges.take(place), edges.take(place + k)
+        size -= below
+        below *= unit
+        size *= unit
+        c -= below
+        span[:k] = size
+        renew(np.flatnonzero(size < _LEAST))
+        x = np.concatenate([m.two, m.one, m.old, nil[:k]]).take(place)
         rest = np.flatnonzero(miss)
-        unit = span[rest] // m.all[rest]
-        found, below, own = m.find(rest, code[rest] // np.maximum(unit, 1))
+        unit = (span[rest] * m.each[rest]).astype(np.int64)
+        # exact: a quotient lies further from the next whole number than the division errs
+        found, below, own = m.find(rest, (code[rest] / np.maximum(unit, 1)).astype(np.int64))
         code[rest] -= unit * below
         own *= unit
         span[rest] = np.maximum(own, 1)
         x[rest] = np.minimum(found, size_of[rest] - 1) + 1
-        m.learn(k, x, hit2, hit1, hit0)
+        m.learn(k, x, hit2)
         renew(rest[own < _LEAST])
         columns[step, :k] = x
     out: list = [None] * lanes

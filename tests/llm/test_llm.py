@@ -121,7 +121,7 @@ def test_packing_plan_uses_each_length_once():
     rng = np.random.RandomState(2)
     for scale in (1, 400):
         h = {int(n): int(c) * scale for n, c in zip(rng.choice(np.arange(1, 101), 30, replace=False), rng.randint(1, 9, 30))}
-        plan, used = config_packing.solve(h, 100), Counter()
+        plan, used = config_packing.solve(h, 100).plan, Counter()
         for pattern, copies in plan:
             assert sum(pattern) <= 100 and copies > 0
             for n in pattern:
@@ -130,6 +130,23 @@ def test_packing_plan_uses_each_length_once():
         assert sum(c for _, c in plan) <= 1.01 * sum(config_packing.best_fit(h, 100).values()) + 1
 
 
+def test_packing_program_places_most_pieces():
+    rng = np.random.RandomState(6)
+    lengths = np.concatenate([rng.zipf(1.6, 4000) % 4096 + 1, rng.randint(1, 4097, 3000), np.full(500, 4096), rng.randint(1200, 1500, 2500)])
+    for scale in (1, 60):
+        h = {int(n): int(c) * scale for n, c in zip(*np.unique(lengths, return_counts=True))}
+        made, pieces = config_packing.solve(h), sum(h.values())
+        used = Counter()
+        for pattern, copies in made.plan:
+            assert sum(pattern) <= 4096
+            for n in pattern:
+                used[n] += copies
+        assert used == h
+        assert made.by_program >= 0.9 * pieces
+        assert made.bound <= made.fractional <= 1.01 * made.bound
+        assert sum(c for _, c in made.plan) <= 1.005 * sum(config_packing.best_fit(dict(h), 4096).values()) + 2
+
+
 def test_suffix_levels_against_brute_force(spark, docs, monkeypatch):
     length, gram = 40, 12
     raw = [((r.doc_id, r.text), (r.text or "").encode()) for r in docs.collect()]
