@@ -35,6 +35,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, with more leading underscores where a column of any case has one already."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc_mod(doc_id: str | F.Column, n: int) -> F.Column:
     """crc32 of doc_id written as text, modulo n."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

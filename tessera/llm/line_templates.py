@@ -28,11 +28,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import fresh, table, written
 
 LEAD, MIN_DOCS, MIN_TOKENS, MIN_CONST = 3, 3, 3, 0.6
 MIN_BYTES = 8
 BLANK = r"[\x20\x09-\x0D]+"
+KEY, LEAF = ["key", "key2"], ["n_tokens", "lead"]
 
 
 def _tokens(line: Column) -> Column:
@@ -40,71 +41,90 @@ def _tokens(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.transform(words, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))).otherwise(words)
 
 
-def _leaf(line: Column) -> tuple[Column, Column]:
-    """The number of tokens and the hash of the tree's path, without splitting the whole line."""
-    n = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+def _plain(text: Column) -> Column:
+    """Whether all blanks of a text are single spaces within its lines: then tokens need no patterns."""
+    odd = text.startswith(" ") | text.endswith(" ")
+    for sign in ("  ", " \n", "\n ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | text.contains(sign)
+    return ~odd
+
+
+def _leaf(line: Column, plain: Column) -> tuple[Column, Column]:
+    """The tree's path: the number of tokens, and the leading ones with single spaces between them."""
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    n = F.when(plain, F.when(line == "", F.lit(0)).otherwise(spaces + 1)).otherwise(F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")))
+    first = F.substring_index(line, " ", LEAD)
     bare = F.when(line.rlike(r"^[\x20\x09-\x0D]"), F.regexp_replace(line, r"^[\x20\x09-\x0D]+", "")).otherwise(line)
     lead = F.slice(F.split(bare, BLANK, LEAD + 1), 1, LEAD)
-    return n, F.xxhash64(n, F.transform(lead, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t)))
+    lead = F.array_join(F.transform(lead, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t)), " ")
+    return n, F.when(plain & ~first.rlike("[0-9]"), first).otherwise(lead)
 
 
-def _after_first(held: DataFrame, group: str, min_docs: int, name: str) -> DataFrame:
-    """(key, line_no) of all but the first line of each group that min_docs documents or more hold."""
+def _after_first(held: DataFrame, group: list[str], min_docs: int, name: str) -> DataFrame:
+    """(key, key2, line_no) of all but the first line of each group that min_docs documents or more hold."""
     place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("line_no").alias("c"))
-    recurring = written(held.groupBy(group).agg(F.count_distinct("key").alias("docs"), F.min(place).alias("first")).where(F.col("docs") >= min_docs).select(group, "first"), name)
-    return held.join(recurring, group).where(~place.eqNullSafe(F.col("first"))).select("key", "line_no")
+    recurring = written(held.groupBy(*group).agg(F.count_distinct(*KEY).alias("docs"), F.min(place).alias("first")).where(F.col("docs") >= min_docs).select(*group, "first"), name)
+    return held.join(recurring, group).where(~place.eqNullSafe(F.col("first"))).select(*KEY, "line_no")
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, min_const: float = MIN_CONST, identical: bool = False) -> DataFrame:
-    """(key, line_no) of the lines to drop from docs(key, doc_id, text); line_no counts from 0.
+    """(key, key2, line_no) of the lines to drop from docs(key, key2, doc_id, text); line_no counts from 0.
 
-    The joins that carry text name their method, so that small and large inputs run alike.
+    Leaves, lines, fields and templates are told apart by their text. The joins that carry text name
+    their method, so that small and large inputs run alike.
     """
-    lines = docs.select("key", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    n, leaf = _leaf(F.col("line"))
-    parsed = lines.where(n >= max(min_tokens, LEAD)).select("key", "doc_id", "line_no", "line", leaf.alias("leaf"))
-    leaves = written(parsed.groupBy("leaf").agg(F.count_distinct("key").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"), "leaves")
-    common = parsed.join(leaves.hint("shuffle_hash"), "leaf").withColumn("tokens", _tokens(F.col("line"))).withColumn("line_hash", F.xxhash64("leaf", "tokens"))
-    common = written(common.select("key", "doc_id", "line_no", "leaf", "line_hash", "tokens"), "leaf-lines")
+    lines = docs.select(*KEY, "doc_id", _plain(F.col("text")).alias("plain"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    n, lead = _leaf(F.col("line"), F.col("plain"))
+    parsed = lines.withColumn("n_tokens", n).where(F.col("n_tokens") >= max(min_tokens, LEAD)).withColumn("lead", lead).drop("plain")
+    leaves = written(parsed.groupBy(*LEAF).agg(F.count_distinct(*KEY).alias("docs")).where(F.col("docs") >= min_docs).select(*LEAF), "leaves")
+    common = parsed.join(leaves.hint("shuffle_hash"), LEAF).withColumn("form", F.array_join(_tokens(F.col("line")), " "))
+    common = written(common.select(*KEY, "doc_id", "line_no", *LEAF, "form"), "leaf-lines")
     # each distinct line once; only leaves with several distinct lines have fields to generalise
-    distinct = written(common.groupBy("leaf", "line_hash").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens")), "distinct-lines")
-    several = written(distinct.groupBy("leaf").agg(F.count("*").alias("kinds")).where("kinds > 1").select("leaf"), "mixed-leaves")
-    fields = distinct.join(several, "leaf").select("leaf", "line_hash", "n", F.posexplode("tokens").alias("at", "token")).withColumn("field", F.xxhash64("leaf", "at", "token"))
-    constant = written(fields.groupBy("field").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("field", F.lit(True).alias("constant")), "constant-fields")
-    kept = fields.join(constant, "field", "left").select("line_hash", "leaf", "at", F.when(F.col("constant") & (F.col("token") != "<*>"), F.col("token")).alias("token"))
-    mixed = kept.groupBy("leaf", "line_hash").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("template"), (F.count("token") / F.count("*")).alias("share"))
-    mixed = mixed.select("line_hash", F.xxhash64("leaf", "template").alias("template"), "share")
-    alone = distinct.join(several, "leaf", "left_anti").select("line_hash", F.xxhash64("leaf", "line_hash").alias("template"), (F.size(F.filter("tokens", lambda t: t != "<*>")) / F.size("tokens")).alias("share"))
-    templates = written(mixed.unionByName(alone).where(F.col("share") >= min_const).select("line_hash", "template"), "templates")
-    held = written(common.select("key", "doc_id", "line_no", "line_hash").join(templates, "line_hash").drop("line_hash"), "template-lines")
-    drops = _after_first(held, "template", min_docs, "recurring")
+    distinct = written(common.groupBy(*LEAF, "form").agg(F.count("*").alias("n")), "distinct-lines")
+    several = written(distinct.groupBy(*LEAF).agg(F.count("*").alias("kinds")).where("kinds > 1").select(*LEAF), "mixed-leaves")
+    fields = distinct.join(several, LEAF).select(*LEAF, "form", "n", F.posexplode(F.split("form", " ")).alias("at", "token"))
+    field = [*LEAF, "at", "token"]
+    constant = written(fields.groupBy(*field).agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select(*field, F.lit(True).alias("constant")), "constant-fields")
+    kept = fields.join(constant, field, "left").select(*LEAF, "form", "at", F.when(F.col("constant") & (F.col("token") != "<*>"), F.col("token")).alias("token"))
+    # a variable field is an empty token in a template's text
+    parts = F.sort_array(F.collect_list(F.struct("at", F.coalesce("token", F.lit("")).alias("token"))))
+    mixed = kept.groupBy(*LEAF, "form").agg(F.array_join(F.transform(parts, lambda x: x["token"]), " ").alias("template"), (F.count("token") / F.count("*")).alias("share"))
+    own = F.split("form", " ")
+    alone = distinct.join(several, LEAF, "left_anti").select(
+        *LEAF, "form", F.array_join(F.transform(own, lambda t: F.when(t != "<*>", t).otherwise("")), " ").alias("template"), (F.size(F.filter(own, lambda t: t != "<*>")) / F.size(own)).alias("share")
+    )
+    templates = written(mixed.unionByName(alone).where(F.col("share") >= min_const).select(*LEAF, "form", "template"), "templates")
+    held = written(common.join(templates, [*LEAF, "form"]).drop("form"), "template-lines")
+    drops = _after_first(held, [*LEAF, "template"], min_docs, "recurring")
     if not identical:
         return drops
     # templates settle the other lines: there, a line that recurs as it is has constant fields alone but for digits
-    loose = lines.where((n > 0) & ((n < max(min_tokens, LEAD)) | F.col("line").rlike("[0-9]")) & (F.octet_length(F.trim("line")) >= MIN_BYTES))
-    loose = written(loose.select("key", "doc_id", "line_no", F.xxhash64("line").alias("same")), "loose-lines")
-    return drops.union(_after_first(loose, "same", min_docs, "identical"))
-
-
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, min_const: float = MIN_CONST, identical: bool = False) -> DataFrame:
-    """docs with the dropped lines taken out of text, and __n_lines and __n_dropped (long)."""
-    key = F.xxhash64("doc_id", "text")
-    keyed = docs.withColumn("__key", key)
-    drops = dropped_lines(docs.select(key.alias("key"), "doc_id", "text"), min_docs, min_tokens, min_const, identical)
-    per_doc = written(drops.groupBy("key").agg(F.collect_set("line_no").alias("__drops")).withColumnRenamed("key", "__key"), "line-drops")
-    joined = keyed.join(per_doc.hint("shuffle_hash"), "__key", "left")
+    loose = lines.withColumn("n_tokens", n).where((F.col("n_tokens") > 0) & ((F.col("n_tokens") < max(min_tokens, LEAD)) | F.col("line").rlike("[0-9]")) & (F.octet_length(F.trim("line")) >= MIN_BYTES))
+    loose = written(loose.select(*KEY, "doc_id", "line_no", F.xxhash64("line").alias("same"), F.xxhash64(F.lit(1), "line").alias("same2")), "loose-lines")
+    return drops.union(_after_first(loose, ["same", "same2"], min_docs, "identical"))
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, min_const: float = MIN_CONST, identical: bool = False) -> tuple[DataFrame, str, str]:
+    """docs with the dropped lines taken out of text and two more columns (long), whose names are returned:
+    the number of lines and of dropped ones, __n_lines and __n_dropped, with more underscores where docs has these.
+    """
+    n_lines, n_dropped, gone, *key = fresh(docs.columns, "__n_lines", "__n_dropped", "__gone", "__key", "__key2")
+    keys = [F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "doc_id", "text")]
+    drops = dropped_lines(docs.select(*(k.alias(c) for k, c in zip(keys, KEY)), "doc_id", "text"), min_docs, min_tokens, min_const, identical)
+    per_doc = written(drops.groupBy(*KEY).agg(F.collect_set("line_no").alias(gone)).withColumnsRenamed(dict(zip(KEY, key))), "line-drops")
+    joined = docs.withColumns(dict(zip(key, keys))).join(per_doc.hint("shuffle_hash"), key, "left")
     lines = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drops"))
-    text = F.when(F.col("__drops").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n"))
-    counted = joined.withColumn("__n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
-    counted = counted.withColumn("__n_dropped", F.coalesce(F.size("__drops"), F.lit(0)).cast("long"))
-    return counted.withColumn("text", text).drop("__drops", "__key")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n"))
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    counted = joined.withColumns({n_lines: F.coalesce(breaks + 1, F.lit(0)).cast("long"), n_dropped: F.coalesce(F.size(gone), F.lit(0)).cast("long")})
+    return counted.withColumn("text", text).select(*docs.columns, n_lines, n_dropped), n_lines, n_dropped
 
 
 def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = dedup_lines(table(spark, sf_dir, "documents"))
+    done, n_lines, n_dropped = dedup_lines(table(spark, sf_dir, "documents"))
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), sha.alias("kept_sha256"))
+    return done.select("doc_id", F.col(n_lines).alias("n_lines"), F.col(n_dropped).alias("n_dropped"), sha.alias("kept_sha256"))
 
 
 OP1_SQL = r"""

@@ -322,14 +322,22 @@ def test_crf_learns_and_viterbi_is_the_best_path():
 
 def test_line_templates(spark, docs):
     rows = {(r.doc_id, r.text): r for r in docs.collect()}
-    done = {(r.doc_id, r.text): r for r in got(line_templates.dedup_lines(docs))}
+    done = {(r.doc_id, r.text): r for r in got(line_templates.dedup_lines(docs)[0])}
     gone = [r for r in done.values() if r["__n_dropped"]]
     # of the five order lines (one field varies) the first stays
     assert {r.doc_id for r in gone if "Order" not in (r.text or "")} >= {17, 18, 19, 20}
     assert any(r.doc_id == 16 and r.text.startswith("Order 0") for r in done.values())
-    assert sorted(x for x in docs.columns) == sorted(x for x in line_templates.dedup_lines(docs).columns if not x.startswith("__"))
+    assert sorted(x for x in docs.columns) == sorted(x for x in line_templates.dedup_lines(docs)[0].columns if not x.startswith("__"))
     assert sum(r.text is None for r in done.values()) == sum(t is None for _, t in rows)
-    assert line_templates.dedup_lines(empty(spark)).count() == 0
+    assert line_templates.dedup_lines(empty(spark))[0].count() == 0
+
+
+def test_line_counts_beside_columns_of_their_names(spark, docs):
+    plain, n, gone = line_templates.dedup_lines(docs)
+    wide = docs.withColumns({c: F.lit("mine") for c in ("__n_lines", "__N_DROPPED", "__key", "__gone", "key", "lead")})
+    done, n2, gone2 = line_templates.dedup_lines(wide)
+    assert done.columns == [*wide.columns, n2, gone2] and {r["__n_lines"] for r in got(done)} == {"mine"}
+    assert Counter((r.doc_id, r.text, r[n], r[gone]) for r in got(plain)) == Counter((r.doc_id, r.text, r[n2], r[gone2]) for r in got(done))
 
 
 def test_pipeline_on_hard_rows(spark, tmp_path):
