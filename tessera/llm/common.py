@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder all executors see, from spark.checkpoint.dir; without one there is no safe place to write."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        sc.setCheckpointDir(found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -85,34 +84,36 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
+_LONG = 512
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
-def _power(way: str, n: int) -> np.ndarray:
-    if len(_powers[way]) < n:
-        steps = np.full(max(n, 2 * CHUNK_BYTES), _BASE if way == "up" else _INVERSE, U64)
-        steps[0] = 1
-        with np.errstate(over="ignore"):
-            _powers[way] = np.cumprod(steps, dtype=U64)
-    return _powers[way][:n]
+def slice_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of raw[start:end]; equal bytes hash alike wherever they stand. Two seeds make 128 bits.
 
-
-def prefix_hash(raw: np.ndarray) -> np.ndarray:
-    """Running sums from which span_hash takes the hash of any slice of raw."""
-    out = np.zeros(len(raw) + 1, U64)
-    with np.errstate(over="ignore"):
-        np.cumsum(_TABLE[raw] * _power("up", len(raw)), dtype=U64, out=out[1:])
-    return out
-
-
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of raw[start:end]; equal bytes hash alike wherever they stand."""
+    Eight bytes at a time are mixed in, for all slices at once; slices of over _LONG bytes go through
+    xxh3 one by one.
+    """
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded.data, strides=(1,))
+    size = end - start
     with np.errstate(over="ignore"):
-        rolled = (prefix[end] - prefix[start]) * _power("down", len(prefix))[start]
-        return mix(rolled + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
+        h = mix(size.astype(U64) * U64(0xA24BAED4963EE407) + U64((0x9E3779B97F4A7C15 * (seed + 1)) % (1 << 64)))
+        live, at, left = np.arange(len(size)), start, size
+        short = size <= _LONG
+        if not short.all():
+            live, at, left = live[short], start[short], size[short]
+            data = raw.data
+            wide = np.flatnonzero(~short)
+            h[wide] = np.array([xxhash.xxh3_64_intdigest(data[a:b], seed) for a, b in zip(start[wide].tolist(), end[wide].tolist())], U64)
+        while True:
+            on = left > 0
+            if not on.all():
+                live, at, left = live[on], at[on], left[on]
+            if not len(live):
+                return h
+            h[live] = mix(h[live] ^ ((eight[at] & _MASK[np.minimum(left, 8)]) * U64(0xD1342543DE82EF95)))
+            at, left = at + 8, left - 8
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -142,8 +143,7 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and for each row the place of its first word (n + 1 numbers)."""
     start, end = word_spans(raw, offsets)
-    hashed = span_hash(prefix_hash(lower_ascii(raw) if lower else raw), start, end)
-    return hashed, np.searchsorted(start, offsets)
+    return slice_hashes(lower_ascii(raw) if lower else raw, start, end), np.searchsorted(start, offsets)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, mix, prefix_hash, span_hash, table, text_bytes, word_spans
+from tessera.llm.common import chunks, mix, slice_hashes, table, text_bytes, word_spans
 
 TRAIN_DOCS, TRAIN_LINES = 2000, 200
 MIN_SHARE = 0.5
@@ -62,7 +62,7 @@ def line_table(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         columns += [s > x for x in _STEPS]
     columns += [words > x for x in (1, 3, 8, 20, 60)] + [length > x for x in (3, 4.5, 6, 8, 12)]
     columns += [(tail == 46) | (tail == 33) | (tail == 63), upper[start] if len(start) else new, lower[start] if len(start) else new, upper_share == 0, new]
-    hashed = span_hash(prefix_hash(raw), start, end)
+    hashed = slice_hashes(raw, start, end)
     return {"row": row, "chars": _within((raw & 0xC0) != 0x80, start, end), "hash": hashed, "x": np.stack(columns, 1).astype(np.float32), "first": first, "last": last}
 
 
@@ -149,7 +149,7 @@ def repeated_words(raw: np.ndarray, offsets: np.ndarray, first: np.ndarray, last
     at = np.searchsorted(first, offsets)
     words, repeats = np.diff(at), np.zeros(len(offsets) - 1, np.int64)
     if len(first) >= window:
-        h = span_hash(prefix_hash(raw), first, last)
+        h = slice_hashes(raw, first, last)
         n = len(h) - window + 1
         key = np.zeros(n, np.uint64)
         with np.errstate(over="ignore"):

@@ -168,16 +168,39 @@ def test_suffix_levels_against_brute_force(spark, docs, monkeypatch):
             out[(r.doc_id, r.text), hit.tobytes()] += 1
         return out
 
-    assert covered(suffix_levels.with_spans(docs, length, gram)) == want
+    assert covered(suffix_levels.with_spans(docs, length, gram)[0]) == want
     monkeypatch.setattr(suffix_levels, "HOT", 0)
     monkeypatch.setattr(suffix_levels, "HOT_MOST", 0)
-    assert covered(suffix_levels.with_spans(docs, length, gram)) == want
-    assert suffix_levels.with_spans(empty(spark)).count() == 0
+    assert covered(suffix_levels.with_spans(docs, length, gram)[0]) == want
+    assert suffix_levels.with_spans(empty(spark))[0].count() == 0
+
+
+def test_suffix_array_order_and_common_prefixes():
+    rng = np.random.RandomState(8)
+    text = np.concatenate([rng.randint(97, 99, 600), np.full(300, 97), rng.randint(97, 99, 600)]).astype(np.uint8)
+    text[1000:1200] = text[100:300]
+    raw, length = text.tobytes(), 20
+    starts = np.arange(len(raw) - length - 7)
+    at, shared = suffix_levels.suffix_array(text, starts, length)
+    cut = [raw[i : i + length] for i in at]
+    assert cut == sorted(raw[i : i + length] for i in starts) and sorted(at) == starts.tolist()
+    for x, y, n in zip(cut, cut[1:], shared[1:].tolist()):
+        same = next((i for i in range(length) if x[i] != y[i]), length)
+        assert n <= same and (n == length) == (same == length)
+    a = suffix_levels.LevelFamily(length)
+    seen = Counter(raw[i : i + length] for i in range(len(raw) - length + 1))
+    found = set()
+    for i in range(0, len(raw) - length + 1, 37):
+        owner, place = a.insert([raw[i : i + 37 + length - 1]], np.zeros((2, 1), np.int64), np.array([i]), np.zeros(1, bool))
+        found |= set(place.tolist())
+    assert found == {i for i in range(len(raw) - length + 1) if seen[raw[i : i + length]] > 1}
+    sizes = [len(x.at) for x in a.levels]
+    assert all(x >= 2 * y for x, y in zip(sizes, sizes[1:]))
 
 
 def test_suffix_digests(spark, docs):
     rows = docs.select("doc_id", "text")
-    for r in got(suffix_levels.with_spans(rows).mapInArrow(suffix_levels.removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")):
+    for r in got(suffix_levels.with_spans(rows)[0].mapInArrow(suffix_levels.removed("spans"), suffix_levels.DIGESTS)):
         assert r.n_removed <= r.n_bytes and (r.n_spans > 0) == (r.n_removed > 0)
     kept = suffix_levels.drop_repeats(docs)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
@@ -283,6 +306,20 @@ def test_language_model_learns_context(spark):
     assert s[0] > 0.8 * s[1] and s[0] > s[1]
 
 
+def test_language_model_gains_on_held_out_texts(spark):
+    held = maxent_lm.op9_maxent_lm(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("own"), F.sum("base_score").alias("base")).first()
+    assert held.own > 0.95 * held.base  # both negative: at least 5 % fewer digits a token
+
+
+def test_class_chances_add_up_to_one():
+    rng = np.random.RandomState(1)
+    skips = [rng.randint(0, maxent_lm.CLASSES + 1, 50) for _ in range(maxent_lm.DISTANCE)]
+    weights = [rng.randn(maxent_lm.CLASSES + 1, maxent_lm.CLASSES).astype(np.float32) for _ in skips] + [rng.randn(maxent_lm.ROWS, maxent_lm.CLASSES).astype(np.float32)]
+    assert np.allclose(maxent_lm.class_chances(weights, skips, rng.randint(0, maxent_lm.ROWS, 50)).sum(1), 1, atol=1e-5)
+    cells = maxent_lm.classes_of(rng.randint(0, 90, (maxent_lm.ENDINGS, maxent_lm.ENDINGS)))
+    assert set(cells) == set(range(maxent_lm.CLASSES))
+
+
 def test_quality_counts(spark, docs):
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(16)] + [(None, 1, 0), (5, 1, 0), (6, None, 0)], "doc_id long, quality int, toxic int")
     out = Counter(tuple(r)[:7] for r in got(crf_quality.quality(docs, labels)))
@@ -367,6 +404,24 @@ def test_whole_runs_and_hashes():
     assert at.tolist() == [0, 2, 2, 2, 4, 5] and h[0] == h[3] and h[1] == h[2] and h[0] != h[1]
 
 
+def test_hashes_tell_long_alike_slices_apart():
+    # a word and its complement whose difference a polynomial modulo 2 ** 64 loses
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    words = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    for cut in (100, 250, 256, 257, 1024):
+        raw, offsets = common.text_bytes(pa.array([w[:cut] for w in words] * 2))
+        h, _ = common.word_hashes(raw, offsets)
+        assert h[0] == h[2] and h[1] == h[3] and h[0] != h[1]
+    rng = np.random.RandomState(3)
+    raw = rng.randint(97, 99, 4000).astype(np.uint8)
+    a = rng.randint(0, 3990, 3000)
+    b = a + rng.randint(0, 10, 3000)
+    seen = defaultdict(set)
+    for h, x, y in zip(common.slice_hashes(raw, a, b).tolist(), a, b):
+        seen[h].add(raw[x:y].tobytes())
+    assert all(len(v) == 1 for v in seen.values()) and len(seen) == len({raw[x:y].tobytes() for x, y in zip(a, b)})
+
+
 def test_sql_form_of_top_k_and_lines(spark):
     import duckdb
 
