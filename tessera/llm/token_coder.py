@@ -66,9 +66,13 @@ class _Models:
         self.add = np.array([p[1] for p in priors], np.int64)
         self.wide = max(len(p[0]) for p in priors)
         self.counts = np.zeros((lanes, self.wide), np.uint16)
-        self.sums = np.zeros((lanes, self.wide + 1), np.int32)
+        self.tall = 1 << self.wide.bit_length()  # rows of the sums end in values that no target reaches
+        row = self.tall + 33  # no power of two: lanes' same places share no cache set
+        self.sums = np.full((lanes, row), np.iinfo(np.int32).max, np.int32)
+        self.sums[:, 0] = 0
         self.starts = [p[0] for p in priors]
-        self.base0 = self.lane * (self.wide + 1)
+        self.ends = np.array([len(p[0]) for p in priors], np.int64)
+        self.base0 = self.lane * row
         self.base_count = self.lane * self.wide
         self.renew(lanes)
 
@@ -78,9 +82,8 @@ class _Models:
             start, row = self.starts[lane], self.sums[lane]
             n = len(start)
             np.cumsum(start + self.add[lane] * self.counts[lane, :n], out=row[1 : n + 1], dtype=np.int32)
-            row[n + 1 :] = row[n]
         # a little under one by the total, so that no product goes beyond the span
-        self.each = (1 - 2.0**-50) / self.sums[:, -1]
+        self.each = (1 - 2.0**-50) / self.sums[self.lane, self.ends]
 
     def predict(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Upper edges in 1 << _TOTAL of the choices order 2, later and earlier follower in order 1."""
@@ -148,14 +151,10 @@ class _Models:
 
     def find(self, lanes: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The rank at each target of the order-0 counts, with counts before it and its own; it is counted."""
-        base, goal, step = self.base0[lanes], target.astype(np.int32), 1 << (self.wide - 1).bit_length()
-        end = base + self.wide
-        at = base.copy()
+        at, goal, step = self.base0[lanes], target.astype(np.int32), self.tall
         while step := step >> 1:
-            ahead = np.minimum(at + step, end)
-            at = np.where(self.sums.take(ahead) <= goal, ahead, at)
-        ranks = np.minimum(at - base, self.wide - 1)
-        at = base + ranks
+            at += (self.sums.take(at + step) <= goal) * step
+        ranks = at - self.base0[lanes]
         before = self.sums.take(at)
         self.counts.ravel()[self.base_count[lanes] + ranks] += np.uint16(1)
         return ranks, before, (self.sums.take(at + 1) - before).astype(np.int64)
