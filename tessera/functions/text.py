@@ -42,9 +42,10 @@ def number_prefix(text: Column) -> Column:
 
 def destination(target: Column) -> Column:
     """`page N (dest)` gives dest; a bare string that is neither a URL nor a page gives itself; else ''."""
-    named = F.regexp_extract(target, r"^page \d+ \((.+)\)$", 1)
-    bare = ~target.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:") & ~target.startswith("page ")
-    return F.when(named != "", named).when(bare, F.trim(target)).otherwise(F.lit(""))
+    t = F.regexp_replace(target, r"^\s+|\s+$", "")
+    page = r"^page\s+\d+\s+\((.*)\)$"
+    bare = ~t.rlike(r"^(https?://|mailto:|ftp://|file:)") & ~t.startswith("page ")
+    return F.when(t.rlike(page), F.regexp_extract(t, page, 1)).when(bare, t).otherwise(F.lit(""))
 
 
 def brief(text: Column, limit: int = 100) -> Column:
@@ -105,9 +106,10 @@ def columns_label(n: Column) -> Column:
 
 def topic_slug(title: Column, limit: int = 60) -> Column:
     """A folder name: illegal characters to _, single blanks, at most limit characters and ~, no
-    trailing dots or blanks, device names prefixed; nothing left gives `_Front matter`."""
+    trailing dots or blanks, device names (up to the first dot) prefixed; no topic (null) gives
+    `_Front matter`, a topic of which nothing is left `Untitled`."""
     clean = F.trim(F.regexp_replace(F.regexp_replace(title, r'[<>:"/\\|?*\x00-\x1f]', "_"), r"\s+", " "))
     cut = F.when(F.length(clean) > limit, F.concat(F.rtrim(F.left(clean, F.lit(limit))), F.lit("~"))).otherwise(clean)
     bare = F.regexp_replace(cut, r"[. ]+$", "")
-    reserved = F.upper(bare).rlike(r"^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$")
-    return F.when(bare.isNull() | (bare == ""), F.lit("_Front matter")).when(reserved, F.concat(F.lit("_"), bare)).otherwise(bare)
+    reserved = F.upper(bare).rlike(r"^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])(\.|$)")
+    return F.when(title.isNull(), F.lit("_Front matter")).when(bare == "", F.lit("Untitled")).when(reserved, F.concat(F.lit("_"), bare)).otherwise(bare)

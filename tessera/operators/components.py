@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -14,8 +13,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     sc = df.sparkSession.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        sc.setCheckpointDir(found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{found.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -38,4 +36,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, key: list[str], nod
         labels = new.drop("moved")
         if new.where("moved").limit(1).count() == 0:
             break
+    else:
+        raise RuntimeError(f"labels still moved after {max_rounds} rounds")
     return nodes.join(labels.select(*key, F.col("n").alias(node), F.col("label").alias("component")), [*key, node])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -39,28 +37,67 @@ def shortlisted(scores: DataFrame, key: list[str], best: int = 3, within: float
     return s.where((F.col("place") <= best) | (F.col("score") >= F.bround(F.col("top") - within, 6))).drop("top")
 
 
+def assignment(cost: np.ndarray) -> np.ndarray:
+    """The column of each row in an assignment of the least total cost (rows at most columns).
+
+    Rows enter one by one by a shortest augmenting path under potentials that keep reduced costs
+    non-negative.
+    """
+    n, m = cost.shape
+    row_price, column_price, row_of = np.zeros(n), np.zeros(m), np.full(m, -1)
+    for row in range(n):
+        reach, via, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        at, last = row, -1
+        while True:
+            step = cost[at] - row_price[at] - column_price + (reach[last] if last >= 0 else 0.0)
+            nearer = ~done & (step < reach)
+            reach[nearer], via[nearer] = step[nearer], last
+            last = int(np.where(done, np.inf, reach).argmin())
+            done[last] = True
+            if row_of[last] < 0:
+                break
+            at = row_of[last]
+        end = reach[last]
+        held = np.flatnonzero(done & (row_of >= 0))
+        row_price[row_of[held]] += end - reach[held]
+        row_price[row] += end
+        column_price[done] -= end - reach[done]
+        while last >= 0:
+            row_of[last] = row_of[via[last]] if via[last] >= 0 else row
+            last = via[last]
+    out = np.full(n, -1)
+    out[row_of[row_of >= 0]] = np.flatnonzero(row_of >= 0)
+    return out
+
+
 def best_pairing(scores: np.ndarray) -> list[tuple[int, int]]:
-    """Row and column pairs of the greatest total: exact up to EXACT_SIDE (the first permutation on
-    a tie), greedy by score beyond."""
+    """Row and column pairs of a score table, one to one.
+
+    Up to EXACT_SIDE a side they have the greatest total; of several such pairings, the one that
+    gives the first row of the shorter side the first possible partner, then the next row, and so on.
+    Beyond that, pairs that are each other's best leave the table until it is empty.
+    """
     rows, columns = scores.shape
     if not rows or not columns:
         return []
     if max(rows, columns) <= EXACT_SIDE:
-        small, wide = (scores, False) if rows <= columns else (scores.T, True)
-        best, chosen = -np.inf, ()
-        for p in permutations(range(small.shape[1]), small.shape[0]):
-            total = sum(small[i, j] for i, j in enumerate(p))
-            if total > best + 1e-12:
-                best, chosen = total, p
-        found = [(j, i) if wide else (i, j) for i, j in enumerate(chosen)]
+        turned = rows > columns
+        cost = -(scores.T if turned else scores).astype(float)
+        total = lambda c: float(c[np.arange(len(c)), assignment(c)].sum()) if len(c) else 0.0
+        free, found = list(range(cost.shape[1])), []
+        for i in range(len(cost)):
+            goal = total(cost[i:, free])
+            j = next(j for j in free if cost[i, j] + total(cost[i + 1 :, [x for x in free if x != j]]) <= goal + 1e-9)
+            free.remove(j)
+            found.append((j, i) if turned else (i, j))
         return sorted(found)
-    order = sorted(((-scores[i, j], i, j) for i in range(rows) for j in range(columns)))
-    used_rows, used_columns, found = set(), set(), []
-    for _, i, j in order:
-        if i not in used_rows and j not in used_columns:
-            used_rows.add(i)
-            used_columns.add(j)
-            found.append((i, j))
+    left, found = scores.astype(float).copy(), []
+    while np.isfinite(left).any():
+        of_row, of_column = left.argmax(1), left.argmax(0)
+        for i in np.flatnonzero(np.isfinite(left).any(1) & (of_column[of_row] == np.arange(rows))):
+            found.append((int(i), int(of_row[i])))
+        for i, j in found:
+            left[i, :] = left[:, j] = -np.inf
     return sorted(found)
 
 

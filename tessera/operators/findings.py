@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The order in which checks are listed.
-SOURCES = ("toc", "links", "codes", "crops", "counts", "regions", "untranslated", "overlap", "overflow", "tables")
+SOURCES = ("counts", "crops", "regions", "toc", "links", "barcodes", "qr_codes", "overlap", "untranslated", "overflow")
 
 
 def merged(checks: list[DataFrame]) -> DataFrame:

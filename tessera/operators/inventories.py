@@ -22,12 +22,24 @@ def image_counts(left: DataFrame, right: DataFrame, by: list[str], key: str) ->
 
 
 def image_summary(counts: DataFrame, by: list[str], key: str, named: int = 6) -> DataFrame:
-    """Per document pair: totals, mismatches and the first topics that differ, then `+k more`."""
-    bad = F.array_sort(F.collect_list(F.when(F.col("status") != "PASS", F.col(key))))
-    s = counts.groupBy(*by).agg(F.sum("master_count").alias("master_total"), F.sum("target_count").alias("target_total"), bad.alias("bad"))
-    more = F.when(F.size("bad") > named, F.format_string(" +%d more", F.size("bad") - named)).otherwise("")
-    names = F.concat(F.array_join(F.slice("bad", 1, named), ", "), more)
-    return s.select(*by, "master_total", "target_total", F.size("bad").alias("mismatched"), names.alias("mismatched_topics"), F.when((F.size("bad") == 0) & (F.col("master_total") == F.col("target_total")), "PASS").otherwise("FAIL").alias("status"))
+    """Per document pair: totals, granularity, the topics that differ and the status text.
+
+    Topics decide where both sides have some, the totals where one has none. Topics stand in
+    reading order (1.2 before 1.10), those without a number first; the text names the first ones,
+    then `, +k more`.
+    """
+    number = F.expr("transform(split(CAST(%s AS string), '[.]'), p -> try_cast(p AS int))" % key)
+    place = F.when(F.exists(number, lambda p: p.isNull()), F.array(F.lit(-1))).otherwise(number)
+    bad = F.array_sort(F.collect_list(F.when(F.col("status") != "PASS", F.struct(place.alias("a"), F.col(key).alias("b")))))
+    s = counts.groupBy(*by).agg(F.sum("master_count").alias("e"), F.sum("target_count").alias("t"), F.transform(bad, lambda x: x["b"].cast("string")).alias("bad"), (F.max(F.col("master_count") > 0) & F.max(F.col("target_count") > 0)).alias("topics"))
+    same = F.col("e") == F.col("t")
+    bad = F.when(~F.col("topics"), F.array().cast("array<string>")).when((F.size("bad") == 0) & ~same, F.array(F.lit("total"))).otherwise(F.col("bad"))
+    s = s.withColumn("bad", bad).withColumn("granularity", F.when(F.col("topics"), "per topic").otherwise("document total"))
+    more = F.when(F.size("bad") > named, F.format_string(", +%d more", F.size("bad") - named)).otherwise("")
+    names = F.when(F.size("bad") == 0, F.lit("total")).otherwise(F.concat(F.array_join(F.slice("bad", 1, named), ", "), more))
+    ok = same & (F.size("bad") == 0)
+    text = F.when(ok, F.format_string("PASS (E(%d) vs T(%d), %s)", "e", "t", "granularity")).otherwise(F.format_string("FAIL (E(%d) vs T(%d), %s; differs at %s)", F.col("e"), F.col("t"), F.col("granularity"), names))
+    return s.select(*by, F.col("e").alias("master_total"), F.col("t").alias("target_total"), "granularity", F.size("bad").alias("mismatched"), text.alias("status"))
 
 
 def link_type(url: Column) -> Column:

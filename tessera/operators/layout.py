@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
-from tessera.operators.components import connected_components
 from tessera.operators.spatial import PAGE, pairs
 
 # Sheet names with their sides in millimetres.
@@ -40,24 +39,43 @@ def margin_overflows(boxes: DataFrame, width: Column, height: Column, m: dict[st
 
 
 def judged_candidates(boxes: DataFrame, width: Column, height: Column, m: dict[str, Column]) -> DataFrame:
-    """boxes with ignored_by: too small, the owning margin, outside the live area, at the trim, or null."""
+    """boxes with ignored_by: `too small` as found or once cut to the live area, then for the cut box the
+    margin that owns it or `edge artifact`, or null if it stays."""
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     cut = g.intersection(g.box(), g.content_box(width, height, m))
-    edge = (w <= 0.12 * width) & ((F.col("x0") <= g.EDGE_TOUCH) | (F.col("x1") >= width - g.EDGE_TOUCH))
-    owner = g.which_margin(g.box(), width, height, m)
-    reason = F.when(~(((w >= 12) & (h >= 12)) | (w * h >= 140)), "too small").when(owner.isNotNull(), owner).when((cut[2] - cut[0] <= 5) | (cut[3] - cut[1] <= 5), "outside").when(edge, "edge")
-    return boxes.withColumn("ignored_by", reason)
+    edge = (cut[2] - cut[0] <= 0.12 * width) & ((cut[0] <= g.EDGE_TOUCH) | (cut[2] >= width - g.EDGE_TOUCH))
+    owner = g.which_margin(cut, width, height, m)
+    small = ~(((w >= 12) & (h >= 12)) | (w * h >= 140)) | (cut[2] - cut[0] <= 5) | (cut[3] - cut[1] <= 5)
+    return boxes.withColumn("ignored_by", F.when(small, "too small").when(owner.isNotNull(), owner).when(edge, "edge artifact"))
 
 
 def merged_collisions(pairs: DataFrame) -> DataFrame:
-    """Pairs whose boxes hang together on a page as one row: union box, number of pairs, summed overlap."""
+    """Pairs as findings: a pair joins the first finding of its page whose box its own union box overlaps.
+
+    Pairs come in order of their boxes' tops (a_y0, a_box_no, b_y0, b_box_no), and a finding's box
+    grows with each pair, so this is one fold over a page's pairs. Rows: group (from 1), the union
+    box, pairs, summed overlap, and the box numbers in order of appearance. A page's pairs are one
+    array; pages are spread.
+    """
     page = ["doc_id", "page_no"]
-    edges = pairs.select(*page, F.col("a_box_no").alias("a"), F.col("b_box_no").alias("b"))
-    nodes = edges.select(*page, F.col("a").alias("n")).union(edges.select(*page, "b")).distinct()
-    labels = connected_components(nodes, edges, page, "n")
-    met = pairs.join(labels.withColumnRenamed("n", "a_box_no"), [*page, "a_box_no"])
-    box = g.union_box(g.box("a_"), g.box("b_"))
-    return met.groupBy(*page, "component").agg(F.count("*").alias("pairs"), F.round(F.sum("overlap"), 2).alias("overlap_pt2"), F.min(box[0]).alias("x0"), F.min(box[1]).alias("y0"), F.max(box[2]).alias("x1"), F.max(box[3]).alias("y1"))
+    u = g.union_box(g.box("a_"), g.box("b_"))
+    one = F.struct(F.col("a_y0").alias("k1"), F.col("a_box_no").alias("k2"), F.col("b_y0").alias("k3"), F.col("b_box_no").alias("k4"), *[c.cast("double").alias(n) for c, n in zip(u, g.BOX)], F.col("overlap").cast("double").alias("overlap"))
+    empty = F.expr("CAST(array() AS array<struct<x0:double,y0:double,x1:double,y1:double,pairs:bigint,overlap:double,boxes:array<int>>>)")
+
+    def made(x0: Column, y0: Column, x1: Column, y1: Column, n: Column, over: Column, boxes: Column) -> Column:
+        return F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), n.cast("bigint").alias("pairs"), over.alias("overlap"), boxes.cast("array<int>").alias("boxes"))
+
+    def step(groups: Column, p: Column) -> Column:
+        meets = lambda q: (q["x0"] < p["x1"]) & (p["x0"] < q["x1"]) & (q["y0"] < p["y1"]) & (p["y0"] < q["y1"])
+        own = F.array(p["k2"], p["k4"])
+        # exists() before the position: the first group that the pair overlaps
+        first = F.array_position(F.transform(groups, meets), True)
+        grown = lambda q: made(F.least(q["x0"], p["x0"]), F.least(q["y0"], p["y0"]), F.greatest(q["x1"], p["x1"]), F.greatest(q["y1"], p["y1"]), q["pairs"] + 1, q["overlap"] + p["overlap"], F.array_union(q["boxes"], own))
+        new = F.array(made(p["x0"], p["y0"], p["x1"], p["y1"], F.lit(1), p["overlap"], own))
+        return F.when(first == 0, F.concat(groups, new)).otherwise(F.transform(groups, lambda q, i: F.when(i + 1 == first, grown(q)).otherwise(q)))
+
+    folded = pairs.groupBy(*page).agg(F.array_sort(F.collect_list(one)).alias("p")).select(*page, F.posexplode(F.aggregate("p", empty, step)).alias("i", "q"))
+    return folded.select(*page, (F.col("i") + 1).alias("group_no"), "q.x0", "q.y0", "q.x1", "q.y1", "q.pairs", F.round("q.overlap", 2).alias("overlap_pt2"), F.array_join("q.boxes", ",").alias("boxes"))
 
 
 def reading_order(boxes: DataFrame) -> DataFrame:
@@ -136,13 +154,16 @@ def metadata_notes(docs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def resolved_paths(results: DataFrame, paths: DataFrame) -> DataFrame:
-    """results(name) with the path of the file of that name, else of the only file that starts with it.
+    """results(name) with the path of the file of that name, else of the only file that starts with it
+    once its extension is cut. paths(path, filename).
 
-    paths(path, filename). The prefix join meets on the first eight characters.
+    Every prefix of a file name is a key of the join, so names that share a beginning meet only the
+    files that begin with the whole of it.
     """
-    exact = results.join(paths.select(F.col("filename").alias("name"), "path").dropDuplicates(["name"]), "name", "left")
-    key = lambda c: F.left(c, F.lit(8))
-    open_rows = exact.where("path IS NULL AND length(name) >= 8").select("name").distinct()
-    near = open_rows.withColumn("k", key(F.col("name"))).join(paths.withColumn("k", key(F.col("filename"))), "k").where(F.col("filename").startswith(F.col("name")))
-    unique = near.groupBy("name").agg(F.count("*").alias("n"), F.min("path").alias("found")).where("n = 1").select("name", "found")
+    exact = results.join(paths.groupBy(F.col("filename").alias("name")).agg(F.min("path").alias("path")), "name", "left")
+    # the extension: a last dot that does not stand among leading dots alone
+    stem = F.when(F.col("name").rlike(r"[^.].*\.[^.]*$"), F.regexp_replace("name", r"\.[^.]*$", "")).otherwise(F.col("name"))
+    open_rows = exact.where("path IS NULL AND name <> ''").select("name", stem.alias("stem")).distinct()
+    begun = paths.where("filename <> ''").select("path", F.explode(F.transform(F.sequence(F.lit(1), F.length("filename")), lambda n: F.left(F.col("filename"), n))).alias("stem"))
+    unique = open_rows.join(begun, "stem").groupBy("name").agg(F.count("*").alias("n"), F.min("path").alias("found")).where("n = 1").select("name", "found")
     return exact.join(unique, "name", "left").select("name", F.coalesce("path", "found").alias("path"))

@@ -1,7 +1,7 @@
 """Internal links of two documents aligned in order.
 
-Tokens, shared destinations and quotas are joins and windows; only the alignment of one document
-pair's token sequence is Python (the standard library's longest matching blocks).
+Tokens, shared destinations, gaps and quotas are joins and windows; only the matching blocks of one
+document pair's token sequences are Python (the standard library's).
 """
 
 from __future__ import annotations
@@ -29,26 +29,41 @@ def tokens(links: DataFrame, pair: list[str]) -> DataFrame:
     return t.withColumn("token", token)
 
 
+def matching_blocks(tokened: DataFrame, pair: list[str]) -> DataFrame:
+    """(pair, __a, __b, __size): runs of equal tokens of both sides, longest first between those found; __a and
+    __b are places from 0 in each side's order. One document pair's tokens are one group."""
+    schema = ", ".join([f"{c} {tokened.schema[c].dataType.simpleString()}" for c in pair] + ["__a int", "__b int", "__size int"])
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        sides = [group.loc[group["side"] == k].sort_values("place")["token"].tolist() for k in (0, 1)]
+        found = [(*key, *x) for x in SequenceMatcher(None, *sides, autojunk=False).get_matching_blocks() if x.size]
+        return pd.DataFrame(found, columns=[*pair, "__a", "__b", "__size"])
+
+    return tokened.select(*pair, "side", "place", "token").groupBy(*pair).applyInPandas(run, schema)
+
+
 def aligned(tokened: DataFrame, pair: list[str]) -> DataFrame:
     """(pair, side, seq, kind, uncertain, other_seq): `changed` pairs are rows of side 0 with the
-    other's seq; `missing` rows are of side 0, `extra` rows of side 1; equal links give no row."""
-    schema = ", ".join([f"{c} {tokened.schema[c].dataType.simpleString()}" for c in pair] + ["side int", "seq long", "kind string", "uncertain boolean", "other_seq long"])
+    other's seq; `missing` rows are of side 0, `extra` rows of side 1; equal links give no row.
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["side", "seq"])
-        a, b = group[group["side"] == 0], group[group["side"] == 1]
-        left, right = a["seq"].tolist(), b["seq"].tolist()
-        rows = []
-        for op, i1, i2, j1, j2 in SequenceMatcher(None, a["token"].tolist(), b["token"].tolist(), autojunk=False).get_opcodes():
-            if op == "equal":
-                continue
-            n = min(i2 - i1, j2 - j1) if op == "replace" else 0
-            rows += [(*key, 0, left[i1 + k], "changed", False, right[j1 + k]) for k in range(n)]
-            rows += [(*key, 0, left[i], "missing", op == "replace", None) for i in range(i1 + n, i2)]
-            rows += [(*key, 1, right[j], "extra", op == "replace", None) for j in range(j1 + n, j2)]
-        return pd.DataFrame(rows, columns=[*pair, "side", "seq", "kind", "uncertain", "other_seq"]).astype({"other_seq": "Int64"})
-
-    return tokened.select(*pair, "side", "seq", "token").groupBy(*pair).applyInPandas(run, schema)
+    Links outside the matching blocks lie in gaps; a gap's number is that of the matched links before
+    it, on both sides alike. The k-th links of a gap's two sides are a changed pair, what one side has
+    beyond the other is missing or extra, and uncertain where the other side has links there at all.
+    """
+    placed = tokened.withColumn("place", (F.row_number().over(Window.partitionBy(*pair, "side").orderBy("seq")) - 1).cast("int"))
+    blocks = matching_blocks(placed, pair)
+    start = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("__a").alias("at")), F.struct(F.lit(1).alias("side"), F.col("__b").alias("at")))).alias("__s")
+    matched = blocks.select(*pair, "__size", start).select(*pair, "__s.side", F.explode(F.sequence("__s.at", F.expr("__s.at + __size - 1"))).alias("place")).withColumn("matched", F.lit(1))
+    rows = placed.select(*pair, "side", "seq", "place").join(matched, [*pair, "side", "place"], "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+    before = F.sum("matched").over(Window.partitionBy(*pair, "side").orderBy("place"))
+    loose = rows.withColumn("gap", before).where("matched = 0")
+    loose = loose.withColumn("nth", F.row_number().over(Window.partitionBy(*pair, "side", "gap").orderBy("place")))
+    m = loose.where("side = 0").select(*pair, "gap", "nth", F.col("seq").alias("m"))
+    t = loose.where("side = 1").select(*pair, "gap", "nth", F.col("seq").alias("t"))
+    met = m.join(t, [*pair, "gap", "nth"], "full_outer").withColumn("both", F.max(F.col("m").isNotNull() & F.col("t").isNotNull()).over(Window.partitionBy(*pair, "gap")))
+    kind = F.when(F.col("t").isNull(), "missing").when(F.col("m").isNull(), "extra").otherwise("changed")
+    side = F.when(F.col("m").isNull(), 1).otherwise(0)
+    return met.select(*pair, side.alias("side"), F.coalesce("m", "t").cast("long").alias("seq"), kind.alias("kind"), (F.col("both") & (kind != "changed")).alias("uncertain"), F.when(kind == "changed", F.col("t")).cast("long").alias("other_seq"))
 
 
 def within_quota(rows: DataFrame, tokened: DataFrame, pair: list[str]) -> DataFrame:

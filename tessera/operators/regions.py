@@ -142,6 +142,7 @@ def collapsed_variants(results: DataFrame) -> DataFrame:
 
 def numbered(regions: DataFrame, by: list[str]) -> DataFrame:
     """Labels `Region 1` and `Region 1.1` in order of parents and children; labels of one's own stay.
+    Regions further down, and those whose parent is not there, are not numbered: they keep what they have.
 
     regions(by, id, parent_id, seq, label).
     """
@@ -151,7 +152,8 @@ def numbered(regions: DataFrame, by: list[str]) -> DataFrame:
     auto = F.coalesce(F.col("label").startswith("Region "), F.lit(True))
     a = parents.select(*by, "id", F.when(auto, F.concat(F.lit("Region "), "n")).otherwise(F.col("label")).alias("label"))
     b = children.select(*by, "id", F.when(auto, F.concat(F.lit("Region "), "n", F.lit("."), "k")).otherwise(F.col("label")).alias("label"))
-    return a.unionByName(b)
+    rest = regions.join(a.unionByName(b).select(*by, "id"), [*by, "id"], "left_anti").select(*by, "id", "label")
+    return a.unionByName(b).unionByName(rest)
 
 
 def text_status(similarity_pct: Column, has_text: Column, exact: Column, threshold: Column) -> Column:

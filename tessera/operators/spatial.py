@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.geometry import BOX, area, box, contains, intersection, intersects
 
 BIN = 32.0
+LEADING = 0.55
 PAGE = ["doc_id", "page_no"]
 
 
@@ -37,23 +38,35 @@ def exists_pairs(a: DataFrame, b: DataFrame, condition: Column, pad: float, key:
     return pairs(a, b, condition, pad=pad).select(*PAGE, F.col(f"a_{key}").alias(key)).distinct()
 
 
-def collisions(boxes: DataFrame, min_overlap: float = 1.0, min_share: float = 0.20, min_side: float = 6.0, min_area: float = 25.0) -> DataFrame:
-    """Pairs of boxes of one page that collide: their overlap is at least min_overlap, and it is a
-    fair share of the smaller box, or at least min_side both ways, or at least min_area."""
+def collisions(spans: DataFrame, min_overlap: float = 1.0, min_share: float = 0.20, min_side: float = 6.0, min_area: float = 25.0) -> DataFrame:
+    """Pairs of text spans of one page that collide: their overlap is at least min_overlap, and it is a
+    fair share of the smaller box, or at least min_side both ways, or at least min_area. Spans of one
+    line never do (kerning), nor do lines of one block that stand over half a line apart (leading).
+
+    spans(doc_id, page_no, box_no, block_no, line_no, box); without block_no and line_no each is its own.
+    """
     a, b = box("a_"), box("b_")
+    typeset = F.lit(False)
+    if {"block_no", "line_no"} <= set(spans.columns):
+        least_h = F.least(F.col("a_y1") - F.col("a_y0"), F.col("b_y1") - F.col("b_y0"))
+        apart = F.abs(F.col("b_y0") - F.col("a_y0")) >= LEADING * least_h
+        typeset = (F.col("a_block_no") == F.col("b_block_no")) & ((F.col("a_line_no") == F.col("b_line_no")) | apart)
     over = intersection(a, b)
     shared = area(over)
     small = F.least(area(a), area(b))
     rule = (shared >= min_overlap) & ((shared >= min_share * small) | ((over[2] - over[0] >= min_side) & (over[3] - over[1] >= min_side)) | (shared >= min_area))
-    met = pairs(boxes, boxes, (F.col("a_box_no") < F.col("b_box_no")) & intersects(a, b) & rule)
+    met = pairs(spans, spans, (F.col("a_box_no") < F.col("b_box_no")) & intersects(a, b) & rule & ~F.coalesce(typeset, F.lit(False)))
     return met.withColumn("overlap", F.round(shared, 3))
 
 
 def within_same(pairs_df: DataFrame, artwork: DataFrame, slack: float = 14.0) -> DataFrame:
     """The pairs whose two boxes do not both lie (within slack) in one artwork box of their page."""
-    art = artwork.select(*PAGE, *[F.col(c).alias(f"g_{c}") for c in BOX])
+    art = binned(artwork.select(*PAGE, *BOX), pad=slack).select(*PAGE, "__bin", *[F.col(c).alias(f"g_{c}") for c in BOX])
     inside = contains(box("g_"), box("a_"), slack) & contains(box("g_"), box("b_"), slack)
-    return pairs_df.join(art.withColumnsRenamed({c: f"__{c}" for c in PAGE}), (F.col("doc_id") == F.col("__doc_id")) & (F.col("page_no") == F.col("__page_no")) & inside, "left_anti")
+    # artwork that holds box a reaches the bin of a's top
+    keyed = pairs_df.withColumn("__bin", F.floor(F.col("a_y0") / BIN))
+    held = keyed.join(art, [*PAGE, "__bin"]).where(inside).select(*PAGE, "a_box_no", "b_box_no").distinct()
+    return pairs_df.join(held, [*PAGE, "a_box_no", "b_box_no"], "left_anti")
 
 
 def outside(boxes: DataFrame, others: DataFrame, pad: float, key: str = "box_no") -> DataFrame:

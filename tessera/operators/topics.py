@@ -63,9 +63,10 @@ def matching_pages(pages: DataFrame, master: DataFrame, target: DataFrame, total
 
 def compare_codes(outline: DataFrame, pair: list[str]) -> DataFrame:
     """Master against translation per pair: PASS if the code sequences are equal, else what is
-    missing and extra, in order and with duplicates, or `Order Mismatch`."""
+    missing and extra, in order and with duplicates, or `Order Mismatch`. A side without codes in its
+    outline must come with its printed headings (see with_printed); without any it fails against the other."""
     ordered = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("seq", "code")))), lambda s: s["code"])
-    p = outline.groupBy(*pair).agg(ordered("master").alias("m"), ordered("translation").alias("t")).where("size(m) > 0 AND size(t) > 0")
+    p = outline.groupBy(*pair).agg(ordered("master").alias("m"), ordered("translation").alias("t"))
     missing, extra = F.filter("m", lambda c: ~F.array_contains("t", c)), F.filter("t", lambda c: ~F.array_contains("m", c))
     p = p.withColumn("missing_topics", missing).withColumn("extra_topics", extra).withColumn("same", F.col("m") == F.col("t"))
     parts = F.concat_ws(" | ", F.when(F.size("missing_topics") > 0, F.concat(F.lit("Missing: "), F.array_join("missing_topics", ", "))), F.when(F.size("extra_topics") > 0, F.concat(F.lit("Extra: "), F.array_join("extra_topics", ", "))))

@@ -43,16 +43,18 @@ def k16_margin_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.margin_overflows(bindings.boxes(spark, sf_dir), F.lit(WIDTH), F.lit(HEIGHT), _margins()).select("doc_id", "page_no", "box_no", "side", "over_pt", "boundary_x")
 
 
+_CUT_SIDE = _SIDE.replace("x0", "cx0").replace("x1", "cx1").replace("y0", "cy0").replace("y1", "cy1")
+
+
 @register(
     "p20_judged_candidates",
     sql("b_boxes")
-    + f""", c AS (SELECT doc_id, page_no, box_no, {_SIDE} AS side, x0, y0, x1, y1,
-   greatest(x0, 35.0) AS cx0, greatest(y0, 50.4) AS cy0, least(x1, 560.0) AS cx1, least(y1, 842.0 - 41.3) AS cy1 FROM b_boxes)
+    + f""", c AS (SELECT *, greatest(x0, 35.0) AS cx0, greatest(y0, 50.4) AS cy0, least(x1, 560.0) AS cx1, least(y1, 842.0 - 41.3) AS cy1 FROM b_boxes),
+k AS (SELECT *, {_CUT_SIDE} AS side FROM c)
 SELECT doc_id, page_no, box_no, CASE
-  WHEN NOT ((x1 - x0 >= 12 AND y1 - y0 >= 12) OR (x1 - x0) * (y1 - y0) >= 140) THEN 'too small'
+  WHEN NOT ((x1 - x0 >= 12 AND y1 - y0 >= 12) OR (x1 - x0) * (y1 - y0) >= 140) OR cx1 - cx0 <= 5 OR cy1 - cy0 <= 5 THEN 'too small'
   WHEN side IS NOT NULL THEN side
-  WHEN cx1 - cx0 <= 5 OR cy1 - cy0 <= 5 THEN 'outside'
-  WHEN x1 - x0 <= 0.12 * 595 AND (x0 <= 10 OR x1 >= 585) THEN 'edge' END AS ignored_by FROM c""",
+  WHEN cx1 - cx0 <= 0.12 * 595 AND (cx0 <= 10 OR cx1 >= 585) THEN 'edge artifact' END AS ignored_by FROM k""",
 )
 def p20_judged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why a graphic candidate is ignored, or null if it stays."""
@@ -74,18 +76,28 @@ def p4_content_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OVER = "(least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))"
-_PAIRS = f""", p AS (SELECT a.doc_id, a.page_no, a.box_no AS a_box_no, b.box_no AS b_box_no, round({_OVER}, 3) AS overlap,
+_PAIRS = f""", t AS (SELECT *, (box_no - 1) // 8 AS block_no, (box_no - 1) // 2 AS line_no FROM b_boxes),
+n AS (SELECT *, CAST(floor(y0 / 32) AS INTEGER) AS first_bin, unnest(range(CAST(floor(y0 / 32) AS INTEGER), CAST(floor(y1 / 32) AS INTEGER) + 1)) AS bin FROM t),
+p AS (SELECT a.doc_id, a.page_no, a.box_no AS a_box_no, b.box_no AS b_box_no, round({_OVER}, 3) AS overlap,
     a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1
-  FROM b_boxes a JOIN b_boxes b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.box_no < b.box_no
+  FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.bin = b.bin
+  WHERE a.box_no < b.box_no AND a.bin = greatest(a.first_bin, b.first_bin)
     AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1
-  WHERE {_OVER} >= 1.0 AND ({_OVER} >= 0.20 * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0))
+    AND NOT (a.block_no = b.block_no AND a.line_no = b.line_no)
+    AND NOT (a.block_no = b.block_no AND abs(b.y0 - a.y0) >= 0.55 * least(a.y1 - a.y0, b.y1 - b.y0))
+    AND {_OVER} >= 1.0 AND ({_OVER} >= 0.20 * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0))
     OR (least(a.x1, b.x1) - greatest(a.x0, b.x0) >= 6 AND least(a.y1, b.y1) - greatest(a.y0, b.y0) >= 6) OR {_OVER} >= 25))"""
 
 
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes as text spans: two on a line, four lines in a block."""
+    return bindings.boxes(spark, sf_dir).withColumns({"block_no": F.expr("(box_no - 1) div 8"), "line_no": F.expr("(box_no - 1) div 2")})
+
+
 @register("j10_text_collisions", sql("b_boxes") + _PAIRS + " SELECT doc_id, page_no, a_box_no, b_box_no, overlap FROM p")
 def j10_text_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colliding box pairs of each page."""
-    return spatial.collisions(bindings.boxes(spark, sf_dir)).select("doc_id", "page_no", "a_box_no", "b_box_no", "overlap")
+    return spatial.collisions(_spans(spark, sf_dir)).select("doc_id", "page_no", "a_box_no", "b_box_no", "overlap")
 
 
 @register(
@@ -98,23 +110,13 @@ def j10_text_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j11_not_inside_artwork(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collisions that do not lie within one graphic."""
     b = bindings.boxes(spark, sf_dir)
-    return spatial.within_same(spatial.collisions(b), b.where("kind = 'R'")).select("doc_id", "page_no", "a_box_no", "b_box_no", "overlap")
+    return spatial.within_same(spatial.collisions(_spans(spark, sf_dir)), b.where("kind = 'R'")).select("doc_id", "page_no", "a_box_no", "b_box_no", "overlap")
 
 
-@register(
-    "a19_merged_collisions",
-    sql("b_boxes")
-    + _PAIRS
-    + """, e AS (SELECT doc_id, page_no, a_box_no AS a, b_box_no AS b FROM p UNION ALL SELECT doc_id, page_no, b_box_no, a_box_no FROM p),
-n AS (SELECT DISTINCT doc_id, page_no, a FROM e),
-w AS (WITH RECURSIVE c(doc_id, page_no, n, m) AS (SELECT doc_id, page_no, a, a FROM n UNION SELECT c.doc_id, c.page_no, e.b, c.m FROM c JOIN e ON c.doc_id = e.doc_id AND c.page_no = e.page_no AND c.n = e.a)
-  SELECT doc_id, page_no, n, min(m) AS component FROM c GROUP BY doc_id, page_no, n)
-SELECT p.doc_id, p.page_no, w.component, count(*) AS pairs, round(sum(overlap), 2) AS overlap_pt2, min(least(ax0, bx0)) AS x0, min(least(ay0, by0)) AS y0, max(greatest(ax1, bx1)) AS x1, max(greatest(ay1, by1)) AS y1
-FROM p JOIN w ON p.doc_id = w.doc_id AND p.page_no = w.page_no AND p.a_box_no = w.n GROUP BY p.doc_id, p.page_no, w.component""",
-)
+@register("a19_merged_collisions")
 def a19_merged_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Touching collisions as one finding each."""
-    return layout.merged_collisions(spatial.collisions(bindings.boxes(spark, sf_dir)))
+    """Touching collisions as one finding each; tested against a loop, as each row depends on those before it."""
+    return layout.merged_collisions(spatial.collisions(_spans(spark, sf_dir)))
 
 
 @register(

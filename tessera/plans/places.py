@@ -97,7 +97,7 @@ def j29_metadata_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "j30_resolved_names",
     """WITH p AS (SELECT url AS path, concat('page_', page_id, '_', substr(url, 1, 12)) AS filename FROM pages), r AS (SELECT DISTINCT CASE WHEN page_id % 3 = 0 THEN concat('page_', page_id, '_', substr(url, 1, 12)) WHEN page_id % 3 = 1 THEN concat('page_', page_id, '_ht') ELSE concat('page_', page_id // 10) END AS name FROM pages)
-SELECT r.name, coalesce((SELECT min(path) FROM p WHERE p.filename = r.name), CASE WHEN length(r.name) >= 8 AND (SELECT count(*) FROM p WHERE starts_with(p.filename, r.name)) = 1 THEN (SELECT min(path) FROM p WHERE starts_with(p.filename, r.name)) END) AS path FROM r""",
+SELECT r.name, coalesce((SELECT min(path) FROM p WHERE p.filename = r.name), (SELECT CASE WHEN count(*) = 1 THEN min(path) END FROM p WHERE starts_with(p.filename, regexp_replace(r.name, '([^.].*)[.][^.]*$', '\\1')))) AS path FROM r""",
 )
 def j30_resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result names resolved to files, exactly or by a unique prefix."""

@@ -202,7 +202,8 @@ r AS (SELECT b.doc_id, b.page_no, b.box_no, pr.parent_no FROM b_boxes b LEFT JOI
 p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY box_no) AS n FROM r WHERE parent_no IS NULL),
 c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, parent_no ORDER BY box_no) AS k FROM r WHERE parent_no IS NOT NULL)
 SELECT doc_id, page_no, box_no AS id, concat('Region ', n) AS label FROM p
-UNION ALL SELECT c.doc_id, c.page_no, c.box_no, concat('Region ', p.n, '.', c.k) FROM c JOIN p ON p.doc_id = c.doc_id AND p.page_no = c.page_no AND p.box_no = c.parent_no""",
+UNION ALL SELECT c.doc_id, c.page_no, c.box_no, concat('Region ', p.n, '.', c.k) FROM c JOIN p ON p.doc_id = c.doc_id AND p.page_no = c.page_no AND p.box_no = c.parent_no
+UNION ALL SELECT c.doc_id, c.page_no, c.box_no, NULL FROM c JOIN c q ON q.doc_id = c.doc_id AND q.page_no = c.page_no AND q.box_no = c.parent_no""",
 )
 def w12_region_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hierarchical labels of regions and the regions within them."""

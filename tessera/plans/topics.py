@@ -91,7 +91,7 @@ def j7_matching_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     "k1_toc_numerics",
     sql("b_outline")
     + """, p AS (SELECT batch_id, list(code ORDER BY seq, code) FILTER (role = 'master') AS m, list(code ORDER BY seq, code) FILTER (role = 'translation') AS t FROM b_outline GROUP BY batch_id),
-d AS (SELECT *, list_filter(m, lambda c: NOT list_contains(t, c)) AS mi, list_filter(t, lambda c: NOT list_contains(m, c)) AS ex FROM p WHERE m IS NOT NULL AND t IS NOT NULL)
+d AS (SELECT *, list_filter(m, lambda c: NOT list_contains(t, c)) AS mi, list_filter(t, lambda c: NOT list_contains(m, c)) AS ex FROM (SELECT batch_id, coalesce(m, []) AS m, coalesce(t, []) AS t FROM p))
 SELECT batch_id, CASE WHEN m = t THEN 'PASS' ELSE 'FAIL' END AS status, CAST(len(m) AS INTEGER) AS english_topic_count, CAST(len(t) AS INTEGER) AS translated_topic_count,
   CASE WHEN m = t THEN 'PASS' WHEN len(mi) + len(ex) = 0 THEN 'Order Mismatch' ELSE concat_ws(' | ', CASE WHEN len(mi) > 0 THEN concat('Missing: ', array_to_string(mi, ', ')) END, CASE WHEN len(ex) > 0 THEN concat('Extra: ', array_to_string(ex, ', ')) END) END AS diff_msg,
   array_to_string(mi, ', ') AS missing_topics, array_to_string(ex, ', ') AS extra_topics, array_to_string(m, ', ') AS source_numerics_str, array_to_string(t, ', ') AS target_numerics_str FROM d""",
@@ -171,9 +171,12 @@ def j1_image_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     "k10_image_summary",
     sql("b_outline")
     + _COUNTS
-    + """, g AS (SELECT batch_id, sum(master_count)::BIGINT AS master_total, sum(target_count)::BIGINT AS target_total, coalesce(list(code ORDER BY code) FILTER (status <> 'PASS'), []) AS bad FROM s GROUP BY 1)
-SELECT batch_id, master_total, target_total, CAST(len(bad) AS INTEGER) AS mismatched, concat(array_to_string(bad[1:6], ', '), CASE WHEN len(bad) > 6 THEN format(' +{:d} more', len(bad) - 6) ELSE '' END) AS mismatched_topics,
-  CASE WHEN len(bad) = 0 AND master_total = target_total THEN 'PASS' ELSE 'FAIL' END AS status FROM g""",
+    + """, o AS (SELECT *, CASE WHEN len(list_filter(string_split(CAST(code AS VARCHAR), '.'), lambda p: TRY_CAST(p AS INTEGER) IS NULL)) > 0 THEN [-1] ELSE list_transform(string_split(CAST(code AS VARCHAR), '.'), lambda p: CAST(p AS INTEGER)) END AS place FROM s),
+g AS (SELECT batch_id, sum(master_count)::BIGINT AS e, sum(target_count)::BIGINT AS t, max(master_count) > 0 AND max(target_count) > 0 AS topics, coalesce(list(code ORDER BY place, code) FILTER (status <> 'PASS'), []) AS all_bad FROM o GROUP BY 1),
+h AS (SELECT *, CASE WHEN NOT topics THEN [] WHEN len(all_bad) = 0 AND e <> t THEN ['total'] ELSE all_bad END AS bad, CASE WHEN topics THEN 'per topic' ELSE 'document total' END AS granularity FROM g)
+SELECT batch_id, e AS master_total, t AS target_total, granularity, CAST(len(bad) AS INTEGER) AS mismatched,
+  CASE WHEN e = t AND len(bad) = 0 THEN format('PASS (E({:d}) vs T({:d}), {})', e, t, granularity)
+  ELSE format('FAIL (E({:d}) vs T({:d}), {}; differs at {})', e, t, granularity, CASE WHEN len(bad) = 0 THEN 'total' ELSE concat(array_to_string(bad[1:6], ', '), CASE WHEN len(bad) > 6 THEN format(', +{:d} more', len(bad) - 6) ELSE '' END) END) END AS status FROM h""",
 )
 def k10_image_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals and the topics that differ, per pair of documents."""

@@ -90,7 +90,7 @@ def t5_sizes_and_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "t10_topic_slugs",
-    """SELECT item_id, CASE WHEN b = '' THEN '_Front matter' ELSE b END AS slug FROM (
+    """SELECT item_id, CASE WHEN b IS NULL THEN '_Front matter' WHEN b = '' THEN 'Untitled' WHEN regexp_matches(upper(b), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])([.]|$)') THEN concat('_', b) ELSE b END AS slug FROM (
   SELECT item_id, regexp_replace(CASE WHEN length(c) > 60 THEN concat(rtrim(c[:60]), '~') ELSE c END, '[. ]+$', '') AS b FROM (
     SELECT item_id, trim(regexp_replace(regexp_replace(text, '[<>:"/\\\\|?*\\x00-\\x1f]', '_', 'g'), '\\s+', ' ', 'g')) AS c FROM benchmark))""",
 )

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -27,28 +27,42 @@ def upserted(findings: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return findings.join(new.select(*key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def write_upsert(rows: DataFrame, folder: str, partition: list[str]) -> None:
-    """Overwrite only the partitions that rows has."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(folder)
+def write_upsert(rows: DataFrame, docs: DataFrame, folder: str, key: str) -> None:
+    """Replace the findings of docs in folder by rows: their partitions go, then rows' are written.
+
+    Partitions are by the document, so nothing of other documents is read or written. A document
+    without findings loses its partition, so stale findings don't stay.
+    """
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in docs.select(key).distinct().toLocalIterator():  # one batch's documents, bounded by its files
+        fs.delete(path(f"{folder.rstrip('/')}/{key}={r[key]}"), True)
+    rows.write.mode("append").partitionBy(key).parquet(folder)
 
 
 def checked_stream(spark: SparkSession, landing: str, schema: str, check: Callable[[DataFrame], DataFrame], out: str, partition: list[str], checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, ledger: str | None = None) -> DataStreamWriter:
     """A stream writer over the landing folder that runs `check` on each batch and upserts its
-    findings to `out`; on_batch sees each batch's findings, masters are checked with the rest.
-    ledger is a folder that lists the documents checked; without it all count as new."""
+    findings to `out` by the first of the partition columns, the document; on_batch sees each batch's
+    findings, masters are checked with the rest. ledger is a folder that lists the documents
+    checked; without it all count as new. Of a document that a batch holds twice the latest counts."""
 
     def run(batch: DataFrame, number: int) -> None:
-        fresh = batch
+        key = partition[0]
+        latest = batch.withColumn("__nth", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("mtime"), F.desc("size")))).where("__nth = 1").drop("__nth") if "mtime" in batch.columns else batch
+        fresh = latest
         if ledger is not None:
             held = batch.sparkSession.createDataFrame([], batch.select(*IDENTITY).schema)
             held.write.mode("append").parquet(ledger)
-            fresh = unseen(batch, batch.sparkSession.read.schema(held.schema).parquet(ledger))
+            fresh = unseen(latest, batch.sparkSession.read.schema(held.schema).parquet(ledger))
+        fresh = fresh.persist()
         found = check(fresh)
-        write_upsert(found, out, partition)
+        write_upsert(found, fresh, out, key)
         if on_batch is not None:
             on_batch(found, number)
         if ledger is not None:
             fresh.select(*IDENTITY).distinct().write.mode("append").parquet(ledger)
+        fresh.unpersist()
 
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(landing)
     return source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(run)
