@@ -186,8 +186,12 @@ def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     """The field's weights from a bounded sample of labelled rows; None without both labels."""
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "quality")
+    # hashes below a bound that the count gives, so that no task sends TRAIN_DOCS rows of its own
+    share = min(1.0, 2 * TRAIN_DOCS / max(1, known.count()))
+    below = known.where(F.xxhash64("doc_id") <= int(-(1 << 63) + share * ((1 << 64) - 1))) if share < 1 else known
+    sample = below.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+    # of rows that repeat a doc_id the least text counts
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     got = rows.mapInArrow(features_of, "lines binary, quality int").orderBy("lines").limit(TRAIN_DOCS).collect()
     n = line_table(*text_bytes(pa.array(["a"])))["x"].shape[1]
     wide = -(-n // 8)

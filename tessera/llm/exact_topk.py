@@ -11,9 +11,10 @@ blocks is never made. Within a pair of blocks a query prunes by length where its
 query's FOCUS largest coordinates a candidate must lie within the arc the threshold allows). What
 is left is verified by products. Vectors of each width are searched apart, with their own seeds.
 
-Query blocks meet candidate blocks through a join on a bounded grid, not row by row. Vectors that
-are null, empty, or hold null or non-finite components take no part; so do those with a null id or
-with another width than the query's. Equal scores go to the smaller id; repeated ids are separate
+Query blocks meet the blocks of a bucket by its number, not row by row. Vectors that
+are null, empty, or hold null or non-finite components take no part; so do those with a null id.
+Queries meet candidates of their own width only. Products are taken in doubles where all of them are
+whole there, else doubles only choose what 64-bit integers then verify. Equal scores go to the smaller id; repeated ids are separate
 candidates but never match their own id. Fewer candidates than k: all. Extra columns are passed by.
 """
 
@@ -35,17 +36,23 @@ FOCUS, HIGH = 4, 0.75
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v array<long>, norm2 long) of the usable vectors."""
+    """(vec_id, v array<long>, norm2 double) of the usable vectors."""
     ok = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = vectors.where(ok & finite).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v"))
-    return v.withColumn("norm2", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x))
+    return v.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def slack(q: np.ndarray, c: np.ndarray) -> float:
+    """How far a product in doubles may be from the whole number it stands for; 0 if never."""
+    most = float(np.abs(q.astype(float)).max(initial=0.0)) * float(np.abs(c.astype(float)).max(initial=0.0)) * q.shape[1]
+    return 0.0 if most < 2.0**53 else most * q.shape[1] * 2.0**-51
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,25 +62,28 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 def search_block(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query of a block, its up to k best candidates of the block at or over its floor."""
-    order = np.argsort(-(c * c).sum(1), kind="stable")
-    c_ids, c = c_ids[order], c[order]
+    """For each query of a block, its up to k best candidates of the block at or over its floor; whole numbers throughout."""
+    loose, q_whole = slack(q, c), q
+    q, as_double = q.astype(float), c.astype(float)
+    order = np.argsort(-(as_double * as_double).sum(1), kind="stable")
+    c_ids, whole, c = c_ids[order], c[order], as_double[order]
     length = np.sqrt((c * c).sum(1))
     unit = c / np.maximum(length, 1e-12)[:, None]
     reach = np.sqrt((q * q).sum(1))
-    long_enough = np.searchsorted(-length, -np.divide(floors, np.maximum(reach, 1e-12)) + 1e-6, "right")
+    long_enough = np.searchsorted(-length, -np.divide(floors, np.maximum(reach, 1e-12)) * (1 - 1e-9) + 1e-6, "right")
     long_enough = np.where(floors <= 0, len(c), np.where(reach > 0, long_enough, 0))
     threshold = np.where((floors > 0) & (reach > 0), floors / np.maximum(reach * (length[0] if len(length) else 0), 1e-12), -1.0)
+    exact = lambda i, rows, s: s if not loose else (whole[rows] * q_whole[i]).sum(1)
     by_length = np.flatnonzero((threshold < HIGH) & (long_enough > 0))
     for a in range(0, len(by_length), 128):
         rows = by_length[a : a + 128]
-        scores = q[rows] @ c[: int(long_enough[rows].max())].T  # whole numbers well under 2^53
+        scores = q[rows] @ c[: int(long_enough[rows].max())].T
         for i, s in zip(rows, scores):
-            keep = np.flatnonzero((s >= floors[i]) & (c_ids[: len(s)] != q_ids[i]))
+            keep = np.flatnonzero((s >= floors[i] - loose) & (c_ids[: len(s)] != q_ids[i]))
             if len(keep) > k:
                 least = np.partition(s[keep], len(keep) - k)[len(keep) - k]
-                keep = keep[s[keep] >= least]
-            yield (i, *best(c_ids[keep], s[keep], k))
+                keep = keep[s[keep] >= least - 2 * loose]
+            yield (i, *best(c_ids[keep], exact(i, keep, s[keep]), k))
     for i in np.flatnonzero((threshold >= HIGH) & (threshold <= 1 + 1e-9) & (long_enough > 0)):
         n, u, t = int(long_enough[i]), q[i] / reach[i], min(1.0, float(threshold[i]))
         live = np.arange(n)
@@ -85,8 +95,8 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, c_ids: np
             high = 1.0 if u[f] > t else t * u[f] + wide
             live = live[(x >= low - 1e-9) & (x <= high + 1e-9)]
         s = c[live] @ q[i]
-        keep = (s >= floors[i]) & (c_ids[live] != q_ids[i])
-        yield (i, *best(c_ids[live][keep], s[keep], k))
+        keep = (s >= floors[i] - loose) & (c_ids[live] != q_ids[i])
+        yield (i, *best(c_ids[live][keep], exact(i, live[keep], s[keep]), k))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE) -> DataFrame:
@@ -113,7 +123,10 @@ def _top_k(c: DataFrame, q: DataFrame, edges, n_queries: int, k: int) -> DataFra
     for x in cuts:
         bucket = bucket + (F.col("norm2") > x).cast("int")
     c = c.withColumn("bucket", bucket).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
-    seeds = c.orderBy(F.desc("norm2"), "vec_id").limit(SEEDS).toArrow()
+    longest = c
+    if edges.n > 4 * SEEDS:  # a floor from the counts, so that no task sends SEEDS vectors of its own
+        longest = c.where(F.col("norm2") >= c.agg(F.percentile_approx("norm2", 1 - 2 * SEEDS / edges.n, 10000)).first()[0])
+    seeds = longest.orderBy(F.desc("norm2"), "vec_id").limit(SEEDS).toArrow()
     s_ids, s = seeds.column("vec_id").to_numpy(), _matrix(seeds.column("v"))
     shared = spark.sparkContext.broadcast((s_ids, s))
 
@@ -122,21 +135,25 @@ def _top_k(c: DataFrame, q: DataFrame, edges, n_queries: int, k: int) -> DataFra
         for batch in batches:
             out, own = [], batch.column("vec_id").to_numpy()
             for a in range(0, len(own), 256):
-                scores = _matrix(batch.column("v").slice(a, 256)) @ m.T
+                q = _matrix(batch.column("v").slice(a, 256))
+                scores = q.astype(float) @ m.T.astype(float)
+                scores -= slack(q, m)
                 scores[own[a : a + 256, None] == ids] = -np.inf
                 out.append(np.partition(scores, -k, 1)[:, -k] if scores.shape[1] >= k else np.full(len(scores), -np.inf))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*batch.schema.names, "floor"])
 
     q_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    q = q.mapInArrow(floors, "vec_id long, v array<long>, norm2 long, floor double")
+    q = q.mapInArrow(floors, "vec_id long, v array<long>, norm2 double, floor double")
     q = q.withColumn("q_block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(q_blocks)).cast("int"))
     q = written(q, "topk-floors")
-    grid = c.groupBy("bucket", "block").agg(F.max("norm2").alias("longest"))
+    grid = c.select("bucket", "block").distinct()
+    reaches = {r.bucket: r.longest for r in c.groupBy("bucket").agg(F.max("norm2").alias("longest")).collect()}  # at most BUCKETS rows
     # of each query block the least floor / |q|: a bucket whose longest vector is shorter is not met
-    asks = q.groupBy("q_block").agg(F.min(F.when(F.col("floor") <= 0, F.lit(0.0)).otherwise(F.col("floor") / F.sqrt(F.greatest(F.col("norm2"), F.lit(1))))).alias("least"))
-    met = F.sqrt("longest") >= F.col("least") - 1e-6
+    asks = q.groupBy("q_block").agg(F.min(F.when(F.col("floor") <= 0, F.lit(0.0)).otherwise(F.col("floor") * (1 - 1e-9) / F.sqrt(F.greatest(F.col("norm2"), F.lit(1.0))))).alias("least"))
+    buckets = F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(float(n) ** 0.5).alias("reach")) for b, n in sorted(reaches.items())]) if reaches else F.expr("CAST(array() AS array<struct<bucket:int,reach:double>>)")
+    near = asks.select("q_block", "least", F.explode(buckets).alias("b")).where(F.col("b.reach") * (1 + 1e-9) >= F.col("least") - 1e-6)
     # pairs of blocks, about (queries / 1024) * (vectors / 4096) of them; the rows meet by key only
-    pairs = written(grid.join(asks, met).select("bucket", "block", "q_block"), "topk-pairs")
+    pairs = written(near.select("q_block", "b.bucket").join(grid, "bucket").select("bucket", "block", "q_block"), "topk-pairs")
     one = F.lit(None)
     left = c.join(pairs, ["bucket", "block"]).select("bucket", "block", "q_block", F.lit(0).alias("side"), "vec_id", "v", one.cast("double").alias("floor"))
     right = q.join(pairs, "q_block").select("bucket", "block", "q_block", F.lit(1).alias("side"), "vec_id", "v", "floor")
@@ -146,8 +163,8 @@ def _top_k(c: DataFrame, q: DataFrame, edges, n_queries: int, k: int) -> DataFra
         ids, m, floor = table.column("vec_id").to_numpy(), _matrix(table.column("v")), table.column("floor").to_numpy()
         a, b = side == 1, side == 0
         found = [(np.full(len(i), ids[a][row]), i, s) for row, i, s in search_block(ids[a], m[a], floor[a], ids[b], m[b], k)]
-        columns = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0)] * 3
-        return pa.table([pa.array(x.astype(np.int64)) for x in columns], ["query_id", "vec_id", "score"])
+        columns = [np.concatenate([y.astype(np.int64) for y in x]) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
+        return pa.table([pa.array(x) for x in columns], ["query_id", "vec_id", "score"])
 
     hits = left.unionByName(right).groupBy("bucket", "block", "q_block").applyInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

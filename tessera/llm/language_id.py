@@ -142,10 +142,13 @@ def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame) -> Model | None:
     """The model from a bounded sample of the documents whose crc32(doc_id) mod 4 is not 2."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(crc_mod("doc_id", 4), F.lit(0)) != 2) & F.col("doc_id").isNotNull())
-    keyed = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    most = keyed.orderBy("h", "doc_id").limit(TRAIN_DOCS).select("doc_id")
+    keyed = known.select("doc_id", "lang").distinct().withColumn("h", F.xxhash64("doc_id"))
+    # hashes below a bound that the count gives, so that no task sends TRAIN_DOCS rows of its own
+    share = min(1.0, 2 * TRAIN_DOCS / max(1, keyed.count()))
+    most = keyed.where(F.col("h") <= int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else F.lit(True)).orderBy("h", "doc_id").limit(TRAIN_DOCS).select("doc_id")
     rare = keyed.groupBy("lang", F.pmod("h", F.lit(PER_LANG)).alias("cell")).agg(F.min_by("doc_id", F.struct("h", "doc_id")).alias("doc_id")).select("doc_id")
-    sample = known.select("doc_id", "text", "lang").join(F.broadcast(most.union(rare).distinct()), "doc_id")
+    # at most TRAIN_DOCS + PER_LANG a language ids; of rows that repeat one the least text counts
+    sample = known.select("doc_id", "text", "lang").join(F.broadcast(most.union(rare).distinct()), "doc_id").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     rows = sorted((r.lang, bytes(r.vector)) for r in sample.select("text", "lang").mapInArrow(vectors, "vector binary, lang string").collect())
     x = np.array([np.frombuffer(v, np.float16) for _, v in rows], np.float32).reshape(len(rows), DIM)
     return fit(x, np.array([n for n, _ in rows], object))

@@ -268,6 +268,18 @@ def test_top_k_against_brute_force(spark):
     assert exact_topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.RandomState(9)
+    rows = [(i, [float(x) for x in rng.randint(-9, 9, 3) * 10.0 ** rng.randint(0, 7)]) for i in range(120)] + [(200, [4e7, 1.0, 1.0]), (201, [4e7, 1.0, 2.0]), (202, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = {i: [int(np.floor(64 * x)) for x in e] for i, e in rows}
+    want = set()
+    for i, q in v.items():
+        best = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in v.items() if j != i)[:7]
+        want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(best)}
+    assert {tuple(r) for r in got(exact_topk.top_k(df, df, 7))} == want
+
+
 def test_language_id_held_out(spark):
     rng = random.Random(2)
     words = {"en": "the of and house water".split(), "de": "der und das haus wasser".split(), "fr": "le la et maison eau".split(), "it": "il lo di casa acqua".split()}
