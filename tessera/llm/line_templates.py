@@ -73,7 +73,9 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
     Leaves, lines, fields and templates are told apart by their text. The joins that carry text name
     their method, so that small and large inputs run alike.
     """
-    lines = docs.select(*KEY, "doc_id", _plain(F.col("text")).alias("plain"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # plain is found before the lines are taken apart: once a text, not once a line
+    texts = docs.select(*KEY, "doc_id", "text", _plain(F.col("text")).alias("plain"))
+    lines = texts.select(*KEY, "doc_id", "plain", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     n, lead = _leaf(F.col("line"), F.col("plain"))
     parsed = lines.withColumn("n_tokens", n).where(F.col("n_tokens") >= max(min_tokens, LEAD)).withColumn("lead", lead).drop("plain")
     leaves = written(parsed.groupBy(*LEAF).agg(F.count_distinct(*KEY).alias("docs")).where(F.col("docs") >= min_docs).select(*LEAF), "leaves")
