@@ -181,7 +181,7 @@ def encode_segments(segments: list[np.ndarray]) -> list[bytes]:
     """Each segment's dictionary and blocks; the blocks of all segments share the coder's lanes."""
     heads, parts, priors, whose = [], [], [], []
     for number, ids in enumerate(segments):
-        ids = np.asarray(ids, np.int64)
+        ids = np.asarray(ids)
         if not len(ids):
             heads.append(b"")
             continue
@@ -192,7 +192,7 @@ def encode_segments(segments: list[np.ndarray]) -> list[bytes]:
         value, logs = value[order], np.minimum(255, np.rint(8 * np.log2(count[order]))).astype(np.uint8)
         body = zlib.compress(value.astype("<u2").tobytes() + logs.tobytes())
         heads.append(HEADER.pack(DICTIONARY, len(value), zlib.crc32(body), len(body)) + body)
-        rank = np.zeros(MAX_ID, np.int64)
+        rank = np.zeros(MAX_ID, np.int32)
         rank[value] = np.arange(len(value))
         prior = _prior(logs)
         for a in range(0, len(ids), BLOCK):
@@ -214,7 +214,7 @@ def encode_segments(segments: list[np.ndarray]) -> list[bytes]:
 
 def _encode(parts: list[tuple[np.ndarray, int]], priors: list[tuple[np.ndarray, int]]) -> list[bytes]:
     lanes, counts = len(parts), np.array([len(p) for p, _ in parts], np.int64)
-    columns = np.zeros((int(counts[0]), lanes), np.int64)
+    columns = np.zeros((int(counts[0]), lanes), np.int32)
     for lane, (part, _) in enumerate(parts):
         columns[: len(part), lane] = part + 1
     m, low, span = _Models(priors), np.zeros(lanes, np.int64), np.full(lanes, _FULL - 1, np.int64)
@@ -235,7 +235,7 @@ def _encode(parts: list[tuple[np.ndarray, int]], priors: list[tuple[np.ndarray,
             words = np.pad(words, ((0, 0), (0, BLOCK)))
         if step in _RENEWALS:
             m.renew(k)
-        x = columns[step, :k]
+        x = columns[step, :k].astype(np.int64)
         e2, e1, e0 = m.predict(k)
         hit2 = x == m.two
         hit1, hit0 = (x == m.one) & (e1 > e2), (x == m.old) & (e0 > e1)
@@ -317,7 +317,7 @@ def _decode(heads: list[tuple[int, int]], bodies: list[bytes], tables: list[tupl
     words, at = words.ravel(), np.arange(lanes, dtype=np.int64) * width + 3
     m, span = _Models([tables[i][1] for i in order]), np.full(lanes, _FULL - 1, np.int64)
     size_of = np.array([len(tables[i][0]) for i in order], np.int64)
-    columns = np.zeros((int(counts[0]), lanes), np.int64)
+    columns = np.zeros((int(counts[0]), lanes), np.int32)
     nil, full = np.zeros(lanes, np.int64), np.full(lanes, 1 << _TOTAL)
 
     def renew(i: np.ndarray) -> None:

@@ -24,7 +24,7 @@ import pyarrow as pa
 
 from tessera.llm.common import U64, chunks, mix, text_bytes
 
-MAX_WORDS, SLOT_BITS, KEY_BYTES = 1 << 20, 21, 16
+MAX_WORDS, SLOT_BITS, KEY_BYTES, PIECE = 1 << 20, 21, 16, 1 << 20
 END = 1
 _SPACE, _LETTER, _MARK, _OTHER = range(4)
 _KIND = np.full(256, _OTHER, np.uint8)
@@ -80,7 +80,7 @@ class WordIds:
         self.size = np.zeros(1 << SLOT_BITS, np.uint8)
         self.long: dict[bytes, int] = {}
         self.n_words = self.n_ids = 0
-        self.first, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.first, self.count = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.ids = np.zeros(1 << 18, "<u4")
 
     def learn(self, words: list[bytes]) -> int:
@@ -172,13 +172,13 @@ class WordIds:
         low = raw.lower()
         start, end = _spans(np.frombuffer(low, np.uint8), offsets)
         word = self.numbers(low, start, end)
-        count = self.count[word]
+        count = self.count[word].astype(np.int64)
         at = np.searchsorted(start, offsets)  # the first word of each row
         before = np.concatenate([[0], np.cumsum(count)])
         ends = before[at] + np.arange(len(at))  # where each row's ids begin
         out = np.full(int(ends[-1]), END, "<u4")
         place = before[:-1] + np.repeat(np.arange(len(at) - 1), np.diff(at))
-        first = self.first[word]
+        first = self.first[word].astype(np.int64)
         k = 0
         while len(place):
             some = count > k
@@ -192,6 +192,10 @@ class WordIds:
         raw, offsets = text_bytes(column)
         ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         for a, b in chunks(offsets):
+            if b - a == 1 and offsets[b] - offsets[a] > 2 * PIECE:
+                ids.append(self._long_text(raw[offsets[a] : offsets[b]].tobytes()))
+                sizes.append(np.array([len(ids[-1])]))
+                continue
             part, o = raw[offsets[a] : offsets[b]].tobytes(), offsets[a : b + 1] - offsets[a]
             if any(s in part for s in self.signs):
                 for x, y in zip(o[:-1].tolist(), o[1:].tolist()):
@@ -203,6 +207,18 @@ class WordIds:
                 sizes.append(np.diff(at))
         return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
+    def _long_text(self, raw: bytes) -> np.ndarray:
+        """A long text in pieces that end at a blank or line end, where there is one."""
+        out, a = [], 0
+        while a < len(raw):
+            b = min(len(raw), a + PIECE)
+            if b < len(raw):
+                at = max(raw.rfind(b" ", a, b), raw.rfind(b"\n", a, b))
+                b = at + 1 if at >= a else next((x + 1 for x in (raw.find(b" ", b), raw.find(b"\n", b)) if x >= 0), len(raw))
+            out.append(self._cut_at_added(raw[a:b])[:-1])
+            a = b
+        return np.concatenate([*out, np.array([END], "<u4")])
+
     def _cut_at_added(self, raw: bytes) -> np.ndarray:
         parts = self.border.split(raw.decode())
         out = [np.array([self.added[p]], "<u4") if p in self.added else self.plain(p.encode(), np.array([0, len(p.encode())]))[0][:-1] for p in parts]
