@@ -33,4 +33,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from tessera.plans import layout, places, rasters, regions, topics, untranslated  # noqa: F401
+    from tessera.plans import extraction, layout, page_checks, places, rasters, regions, topics, untranslated  # noqa: F401
