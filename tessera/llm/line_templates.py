@@ -33,7 +33,12 @@ from tessera.llm.common import fresh, table, written
 LEAD, MIN_DOCS, MIN_TOKENS, MIN_CONST = 3, 3, 3, 0.6
 MIN_BYTES = 8
 BLANK = r"[\x20\x09-\x0D]+"
-KEY, LEAF = ["key", "key2"], ["n_tokens", "lead"]
+# 128 bits each: a document, a leaf of the tree, a line as its tokens, a template
+KEY, LEAF, FORM, TEMPLATE = ["key", "key2"], ["leaf", "leaf2"], ["form", "form2"], ["template", "template2"]
+
+
+def _wide(names: list[str], *columns: str | Column) -> dict[str, Column]:
+    return {names[0]: F.xxhash64(*columns), names[1]: F.xxhash64(F.lit(1), *columns)}
 
 
 def _tokens(line: Column) -> Column:
@@ -70,34 +75,34 @@ def _after_first(held: DataFrame, group: list[str], min_docs: int, name: str) ->
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, min_const: float = MIN_CONST, identical: bool = False) -> DataFrame:
     """(key, key2, line_no) of the lines to drop from docs(key, key2, doc_id, text); line_no counts from 0.
 
-    Leaves, lines, fields and templates are told apart by their text. The joins that carry text name
-    their method, so that small and large inputs run alike.
+    Leaves, lines and templates are told apart by 128 bits of their text. The joins that carry text
+    name their method, so that small and large inputs run alike.
     """
     # plain is found before the lines are taken apart: once a text, not once a line
     texts = docs.select(*KEY, "doc_id", "text", _plain(F.col("text")).alias("plain"))
     lines = texts.select(*KEY, "doc_id", "plain", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     n, lead = _leaf(F.col("line"), F.col("plain"))
-    parsed = lines.withColumn("n_tokens", n).where(F.col("n_tokens") >= max(min_tokens, LEAD)).withColumn("lead", lead).drop("plain")
+    parsed = lines.withColumn("n_tokens", n).where(F.col("n_tokens") >= max(min_tokens, LEAD)).withColumn("lead", lead).withColumns(_wide(LEAF, "n_tokens", "lead")).drop("plain", "n_tokens", "lead")
     leaves = written(parsed.groupBy(*LEAF).agg(F.count_distinct(*KEY).alias("docs")).where(F.col("docs") >= min_docs).select(*LEAF), "leaves")
-    common = parsed.join(leaves.hint("shuffle_hash"), LEAF).withColumn("form", F.array_join(_tokens(F.col("line")), " "))
-    common = written(common.select(*KEY, "doc_id", "line_no", *LEAF, "form"), "leaf-lines")
+    common = parsed.join(leaves.hint("shuffle_hash"), LEAF).withColumn("tokens", F.array_join(_tokens(F.col("line")), " ")).withColumns(_wide(FORM, "tokens"))
+    common = written(common.select(*KEY, "doc_id", "line_no", *LEAF, *FORM, "tokens"), "leaf-lines")
     # each distinct line once; only leaves with several distinct lines have fields to generalise
-    distinct = written(common.groupBy(*LEAF, "form").agg(F.count("*").alias("n")), "distinct-lines")
+    distinct = written(common.groupBy(*LEAF, *FORM).agg(F.count("*").alias("n"), F.first("tokens").alias("tokens")), "distinct-lines")
     several = written(distinct.groupBy(*LEAF).agg(F.count("*").alias("kinds")).where("kinds > 1").select(*LEAF), "mixed-leaves")
-    fields = distinct.join(several, LEAF).select(*LEAF, "form", "n", F.posexplode(F.split("form", " ")).alias("at", "token"))
+    fields = distinct.join(several, LEAF).select(*LEAF, *FORM, "n", F.posexplode(F.split("tokens", " ")).alias("at", "token"))
     field = [*LEAF, "at", "token"]
     constant = written(fields.groupBy(*field).agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select(*field, F.lit(True).alias("constant")), "constant-fields")
-    kept = fields.join(constant, field, "left").select(*LEAF, "form", "at", F.when(F.col("constant") & (F.col("token") != "<*>"), F.col("token")).alias("token"))
+    kept = fields.join(constant, field, "left").select(*LEAF, *FORM, "at", F.when(F.col("constant") & (F.col("token") != "<*>"), F.col("token")).alias("token"))
     # a variable field is an empty token in a template's text
     parts = F.sort_array(F.collect_list(F.struct("at", F.coalesce("token", F.lit("")).alias("token"))))
-    mixed = kept.groupBy(*LEAF, "form").agg(F.array_join(F.transform(parts, lambda x: x["token"]), " ").alias("template"), (F.count("token") / F.count("*")).alias("share"))
-    own = F.split("form", " ")
+    mixed = kept.groupBy(*LEAF, *FORM).agg(F.array_join(F.transform(parts, lambda x: x["token"]), " ").alias("text"), (F.count("token") / F.count("*")).alias("share"))
+    own = F.split("tokens", " ")
     alone = distinct.join(several, LEAF, "left_anti").select(
-        *LEAF, "form", F.array_join(F.transform(own, lambda t: F.when(t != "<*>", t).otherwise("")), " ").alias("template"), (F.size(F.filter(own, lambda t: t != "<*>")) / F.size(own)).alias("share")
+        *LEAF, *FORM, F.array_join(F.transform(own, lambda t: F.when(t != "<*>", t).otherwise("")), " ").alias("text"), (F.size(F.filter(own, lambda t: t != "<*>")) / F.size(own)).alias("share")
     )
-    templates = written(mixed.unionByName(alone).where(F.col("share") >= min_const).select(*LEAF, "form", "template"), "templates")
-    held = written(common.join(templates, [*LEAF, "form"]).drop("form"), "template-lines")
-    drops = _after_first(held, [*LEAF, "template"], min_docs, "recurring")
+    templates = written(mixed.unionByName(alone).where(F.col("share") >= min_const).withColumns(_wide(TEMPLATE, *LEAF, "text")).select(*FORM, *TEMPLATE), "templates")
+    held = written(common.select(*KEY, "doc_id", "line_no", *FORM).join(templates, FORM).drop(*FORM), "template-lines")
+    drops = _after_first(held, TEMPLATE, min_docs, "recurring")
     if not identical:
         return drops
     # templates settle the other lines: there, a line that recurs as it is has constant fields alone but for digits
