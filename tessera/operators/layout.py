@@ -129,8 +129,8 @@ def clustered(rows: DataFrame, by: list[str], value: str, gap: float) -> DataFra
 def skipped_margins(pages: DataFrame, skips: DataFrame, doc: list[str]) -> DataFrame:
     """pages(doc, page_no, total) with the sides switched off there. skips(page_at, side): a page
     number, `first` or `last`, which are resolved per document."""
-    on = (F.col("page_at") == F.col("page_no").cast("string")) | ((F.col("page_at") == "first") & (F.col("page_no") == 1)) | ((F.col("page_at") == "last") & (F.col("page_no") == F.col("total")))
-    off = pages.join(F.broadcast(skips), on).groupBy(*doc, "page_no").agg(F.array_join(F.array_sort(F.collect_set("side")), ",").alias("off"))
+    names = F.array_compact(F.array(F.col("page_no").cast("string"), F.when(F.col("page_no") == 1, "first"), F.when(F.col("page_no") == F.col("total"), "last")))
+    off = pages.select(*doc, "page_no", F.explode(names).alias("page_at")).join(skips, "page_at").groupBy(*doc, "page_no").agg(F.array_join(F.array_sort(F.collect_set("side")), ",").alias("off"))
     return pages.join(off, [*doc, "page_no"], "left").withColumn("off", F.coalesce("off", F.lit("")))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
 
+BAND = 32
+
 
 def runs(cells: DataFrame, along: str = "x", across: str = "y") -> DataFrame:
     """Cells (doc_id, y, x) to maximal runs by gaps and islands; along='y' gives column runs."""
@@ -66,13 +68,18 @@ def crossings(ink_h: DataFrame, ink_v: DataFrame, length: int) -> DataFrame:
     """Junctions of long horizontal with long vertical runs, per document."""
     h = ink_h.where(F.col("xe") - F.col("xs") >= length)
     v = ink_v.where(F.col("xe") - F.col("xs") >= length).select("doc_id", F.col("y").alias("vx"), F.col("xs").alias("vs"), F.col("xe").alias("ve"))
-    met = h.join(v, "doc_id").where("vx >= xs AND vx < xe AND y >= vs AND y < ve")
+    # dealt into bands of rows: a horizontal run lies in one, a vertical one in all it reaches
+    h = h.withColumn("band", F.expr(f"y div {BAND}"))
+    v = v.withColumn("band", F.explode(F.expr(f"sequence(vs div {BAND}, (ve - 1) div {BAND})")))
+    met = h.join(v, ["doc_id", "band"]).where("vx >= xs AND vx < xe AND y >= vs AND y < ve")
     return met.groupBy("doc_id").agg(F.count("*").alias("junctions"))
 
 
 def subtracted(ink: DataFrame, boxes: DataFrame) -> DataFrame:
     """Runs with the parts under boxes (doc_id, x0, y0, x1, y1) removed, as maximal runs."""
-    cover = ink.join(boxes, "doc_id").where("y >= y0 AND y < y1 AND x0 < xe AND xs < x1")
+    # dealt into bands of rows: a run lies in one, a box in all it reaches
+    reach = boxes.where("y1 > y0").withColumn("band", F.explode(F.expr(f"sequence(CAST(floor(y0 / {BAND}) AS INT), CAST(floor(y1 / {BAND}) AS INT))")))
+    cover = ink.withColumn("band", F.expr(f"CAST(floor(y / {BAND}) AS INT)")).join(reach, ["doc_id", "band"]).where("y >= y0 AND y < y1 AND x0 < xe AND xs < x1")
     holes = cover.groupBy("doc_id", "y", "xs", "xe").agg(F.array_sort(F.collect_list(F.struct(F.col("x0").alias("a"), F.col("x1").alias("b")))).alias("holes"))
     joined = ink.join(holes, ["doc_id", "y", "xs", "xe"], "left")
     # walk the holes left to right, keeping where the next piece starts and the pieces so far

@@ -25,8 +25,9 @@ def page_spans(outline: DataFrame, totals: DataFrame, doc: list[str]) -> DataFra
 def topic_at(pages: DataFrame, spans: DataFrame, doc: list[str], page: str = "page_no") -> DataFrame:
     """pages with the code of the topic that holds the page; the latest start wins, then the
     greatest code in reading order."""
-    hit = pages.join(spans, doc).where(F.col(page).between(F.col("lo"), F.col("hi")))
-    best = hit.groupBy(*doc, page).agg(F.max_by("code", F.struct("lo", code_key(F.col("code")))).alias("code"))
+    # every page of every span: rows meet by document and page, not by document alone
+    each = spans.where("lo <= hi").select(*doc, "code", "lo", F.explode(F.sequence("lo", "hi")).alias(page))
+    best = each.groupBy(*doc, page).agg(F.max_by("code", F.struct("lo", code_key(F.col("code")))).alias("code"))
     return pages.join(best, [*doc, page], "left")
 
 

@@ -137,7 +137,7 @@ def m3_figure_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("m2_tight_merges")
 def m2_tight_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of one icon merged, to the fixpoint; tested against a loop."""
+    """Boxes of one icon merged, to the fixpoint."""
     return bx.merged(bindings.boxes(spark, sf_dir).where("kind = 'A'"), bx.close_parts, 10.0)
 
 

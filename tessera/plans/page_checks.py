@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import page_diff as pd_
 from tessera.operators import region_checks as rc
-from tessera.operators import summaries, tables
+from tessera.operators import inspection, summaries, tables
+from tessera.plans.layout import HEIGHT, WIDTH, _margins
 from tessera.plans.registry import register
 from tessera.sources import bindings
 from tessera.sources.bindings import sql
@@ -31,7 +32,7 @@ def _graphics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 
 @register("k13_page_differences")
 def k13_page_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graphics that are missing, extra, moved or on another page; tested against loops."""
+    """Graphics that are missing, extra, moved or on another page; tested on literal rows."""
     return pd_.page_differences(*_graphics(spark, sf_dir), DOC)
 
 
@@ -162,3 +163,73 @@ def k24_table_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.compared(s.where("role = 'master'"), s.where("role = 'translation'"), DOC)
     page = lambda i: (1 + F.floor(F.col(i) / 3)).cast("int")
     return summaries.table_report(rows.withColumns({"m_first": page("master_idx"), "m_last": (page("master_idx") + F.col("master_idx") % 2).cast("int"), "t_first": page("target_idx"), "t_last": page("target_idx")})).select("batch_id", "step", "label", "master_pages", "target_pages", "status", "reason", "verdict_class")
+
+
+def _topic_images(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    m, t, _ = _graphics(spark, sf_dir)
+    topic = F.expr("(no % 100) div 20").cast("string").alias("topic")
+    shape = lambda df: df.select("batch_id", topic, "page_no", "no", "x0", "y0", "pixels")
+    return shape(m), shape(t).where("no % 37 <> 3")
+
+
+@register("k11_images_in_order")
+def k11_images_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of topics with equal counts, slot by slot."""
+    return inspection.images_in_order(*_topic_images(spark, sf_dir), DOC, ["topic"])
+
+
+@register("k12_images_by_content")
+def k12_images_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of each topic paired by content."""
+    return inspection.images_by_content(*_topic_images(spark, sf_dir), DOC, "topic")
+
+
+@register(
+    "p15_live_lines",
+    sql("b_boxes") + " SELECT doc_id, page_no, box_no FROM b_boxes WHERE x0 < 560.0 AND 35.0 < x1 AND y0 < 842.0 - 41.3 AND 50.4 < y1 AND x1 - x0 >= 1",
+)
+def p15_live_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in the live area of their page."""
+    return inspection.live_lines(bindings.boxes(spark, sf_dir), F.lit(WIDTH), F.lit(HEIGHT), _margins()).select("doc_id", "page_no", "box_no")
+
+
+@register(
+    "j24_candidate_pages",
+    """WITH c AS (SELECT o_custkey // 2 AS batch_id, o_orderkey AS no, CAST(1 + o_orderkey % 20 AS INTEGER) AS page_no, concat(1 + o_orderkey % 5) AS topic FROM orders WHERE o_custkey % 2 = 0),
+s AS (SELECT o_custkey // 2 AS batch_id, concat(1 + o_orderkey % 3) AS topic, min(1 + o_orderkey % 20) AS lo, max(1 + o_orderkey % 20) AS hi FROM orders WHERE o_custkey % 2 = 1 GROUP BY 1, 2),
+p AS (SELECT c.batch_id, no, page_no, unnest(generate_series(greatest(1, coalesce(lo - 1, page_no - 3)), least(20, coalesce(hi + 1, page_no + 3)))) AS page FROM c LEFT JOIN s USING (batch_id, topic))
+SELECT batch_id, no, CAST(page AS INTEGER) AS page, CAST(row_number() OVER (PARTITION BY batch_id, no ORDER BY abs(page - page_no), page) AS INTEGER) AS place FROM p""",
+)
+def j24_candidate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each crop is sought, nearest page first."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("batch_id", F.expr("o_custkey div 2")).withColumn("page_no", F.expr("CAST(1 + o_orderkey % 20 AS INT)"))
+    c = o.where("o_custkey % 2 = 0").select("batch_id", F.col("o_orderkey").alias("no"), "page_no", F.expr("concat(1 + o_orderkey % 5)").alias("topic"))
+    s = o.where("o_custkey % 2 = 1").groupBy("batch_id", F.expr("concat(1 + o_orderkey % 3)").alias("topic")).agg(F.min("page_no").alias("lo"), F.max("page_no").alias("hi"))
+    return inspection.candidate_pages(c, s, c.select("batch_id").distinct().withColumn("total", F.lit(20)), DOC)
+
+
+@register("k28_table_regions")
+def k28_table_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table-like regions of each page; tested on literal rows."""
+    b = bindings.boxes(spark, sf_dir)
+    lines = b.where("kind = 'N'").withColumns({"x1": F.col("x0") + 6, "y1": F.col("y0") + 4, "text": F.lit("six letters")})
+    return inspection.table_regions(b.where("kind <> 'N'").drop("kind"), lines.drop("kind"))
+
+
+@register(
+    "k26_inspection",
+    sql("b_boxes")
+    + """, c AS (SELECT doc_id, 'toc' AS source, doc_id % 4 > 0 AS passed FROM (SELECT DISTINCT doc_id FROM b_boxes) UNION ALL SELECT doc_id, 'overflow', x1 <= 560 FROM b_boxes WHERE doc_id % 4 > 0 UNION ALL SELECT doc_id, 'crops', box_no % 9 > 0 FROM b_boxes WHERE kind = 'R' AND doc_id % 4 > 0)
+SELECT doc_id, count(*) FILTER (passed) AS passed, count(*) AS total, CASE WHEN bool_and(passed) THEN 'PASS' ELSE 'FAIL' END AS verdict FROM c GROUP BY 1""",
+)
+def k26_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gate and two checks through the whole inspection: its summary sheet."""
+    b = bindings.boxes(spark, sf_dir)
+    docs = b.select("doc_id").distinct()
+    title = F.lit("a finding")
+    checks = {
+        "toc": inspection.cards("toc", docs, title, F.lit(""), F.col("doc_id") % 4 > 0),
+        "overflow": inspection.cards("overflow", b, title, F.col("kind"), F.col("x1") <= 560, F.col("page_no")),
+        "crops": inspection.cards("crops", b.where("kind = 'R'"), title, F.col("kind"), F.col("box_no") % 9 > 0, F.col("page_no")),
+    }
+    return inspection.inspected(docs, checks)["summary"].select("doc_id", "passed", "total", "verdict")

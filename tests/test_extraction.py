@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import boxes as bx
 from tessera.operators import links as lk
-from tessera.operators import page_diff, placement, summaries
+from tessera.operators import inspection, page_diff, placement, summaries
 from tessera.operators import region_checks as rc
 from tessera.operators import outline as ol
 
@@ -146,3 +146,32 @@ def test_report_helpers(spark):
     assert one.select(summaries.crop_path(F.lit("f" * 235), F.lit("Topic"), F.lit(3), F.lit(1), F.lit("image"))).first()[0].endswith("/page_003/p003_crop_01_image.png")
     crops = spark.createDataFrame([(1, 1, 2, 2, [1.0, 2.0]), (1, 2, 2, 2, [1.0, 2.0]), (1, 3, 2, 2, [1.0, 3.0])], "d int, crop_no int, width int, height int, pixels array<double>")
     assert [r.searched_as for r in summaries.signatures(crops, ["d"]).orderBy("crop_no").collect()] == [1, 1, 3]
+
+
+def test_table_regions_and_images(spark):
+    boxes = spark.createDataFrame([(1, 1, 1, 0.0, 0.0, 200.0, 100.0), (1, 1, 2, 1.0, 1.0, 199.0, 99.0), (1, 1, 3, 10.0, 10.0, 60.0, 40.0), (1, 1, 4, 0.0, 300.0, 50.0, 350.0), (1, 1, 5, 0.0, 200.0, 50.0, 250.0)], BOXES)
+    lines = spark.createDataFrame([(1, 1, 1, 12.0, 12.0, 50.0, 20.0, "ten letters"), (1, 1, 2, 5.0, 210.0, 40.0, 220.0, "ten letters"), (1, 1, 3, 5.0, 310.0, 40.0, 320.0, "few")], BOXES + ", text string")
+    assert [(r.box_no, r.place) for r in inspection.table_regions(boxes, lines).orderBy("place").collect()] == [(1, 1), (5, 2)]
+    a, b, c = [1.0, 2.0, 3.0, 9.0], [4.0, 1.0, 0.0, 2.0], [9.0, 1.0, 9.0, 1.0]
+    cols = "d int, topic string, page_no int, no long, x0 double, y0 double, pixels array<double>"
+    m = spark.createDataFrame([(1, "1", 1, 1, 0.0, 0.0, a), (1, "1", 1, 2, 0.0, 50.0, b), (1, "2", 2, 3, 0.0, 0.0, c)], cols)
+    t = spark.createDataFrame([(1, "1", 1, 11, 0.0, 0.0, a), (1, "1", 1, 12, 0.0, 50.0, c), (1, "2", 2, 13, 0.0, 0.0, c), (1, "2", 2, 14, 0.0, 9.0, c)], cols)
+    got = {(r.m, r.t, r.status) for r in inspection.images_in_order(m, t, ["d"], ["topic"]).collect()}
+    assert got == {(1, 11, "MATCH"), (2, 12, "DIFFERENT")}
+    pairs = {(r.m, r.t) for r in inspection.images_by_content(m, t, ["d"], "topic").collect()}
+    assert {(1, 11), (3, 13)} <= pairs
+    everything = inspection.images_by_content(m, t.withColumn("topic", F.lit(None).cast("string")), ["d"], "topic").collect()
+    assert {r.bucket for r in everything} == {"*"} and len(everything) == 3
+
+
+def test_inspection_gate(spark):
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id int")
+    toc = spark.createDataFrame([(1, True), (2, False)], "doc_id int, ok boolean")
+    other = spark.createDataFrame([(1, False), (2, True)], "doc_id int, ok boolean")
+    card = lambda name, df: inspection.cards(name, df, F.lit("t"), F.lit("d"), F.col("ok"))
+    done = inspection.inspected(docs, {"toc": card("toc", toc), "links": card("links", other)})
+    assert sorted((r.doc_id, r.passed, r.total, r.verdict) for r in done["summary"].collect()) == [(1, 1, 2, "FAIL"), (2, 0, 1, "FAIL")]
+    assert [r.doc_id for r in done["links"].collect()] == [1]
+    order = []
+    inspection.staged(done, lambda: order.append("master"), lambda name, _: order.append(name), ["toc"])
+    assert order[:2] == ["toc", "master"] and set(order[2:]) == {"links", "summary", "verdicts", "findings"}
