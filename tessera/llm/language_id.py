@@ -27,12 +27,19 @@ from pyspark.sql import functions as F
 from tessera.llm.common import chunks, crc_mod, lower_ascii, table, text_bytes
 
 DIM = 2048
-TRAIN_DOCS, PER_LANG = 3000, 64
+TRAIN_DOCS, PER_LANG, ROWS = 3000, 64, 512
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True
 
 
+def runs(offsets: np.ndarray):
+    """Runs of rows with about a megabyte of text and at most ROWS rows, so that empty texts take no memory either."""
+    for a, b in chunks(offsets):
+        for x in range(a, b, ROWS):
+            yield x, min(b, x + ROWS)
+
+
 def ngram_vectors(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Unit vectors (rows, DIM) of the texts that stand one after another in raw."""
     n = len(offsets) - 1
@@ -134,7 +141,7 @@ def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = text_bytes(batch.column("text"))
         out: list[bytes] = []
-        for a, b in chunks(offsets):
+        for a, b in runs(offsets):
             out += [v.tobytes() for v in ngram_vectors(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).astype(np.float16)]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column("lang")], ["vector", "lang"])
 
@@ -164,7 +171,7 @@ def predicted(model: Model | None):
             letters = np.array([bool(p) or any(c.isalpha() for c in (texts[i].as_py() or "")) for i, p in enumerate(plain)], bool)
             lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             if model is not None:
-                for a, b in chunks(offsets):
+                for a, b in runs(offsets):
                     lang[a:b], score[a:b] = model.predict(ngram_vectors(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
                 lang[~letters], score[~letters] = "und", 0.0
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
