@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -19,11 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, from spark.checkpoint.dir; without one there is no safe place to write."""
+    """The folder all executors see, from spark.checkpoint.dir; where that is unset a new one in local mode
+    (one machine, as in tests), and an error on a cluster, where no folder of the driver's is safe."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tessera-")
+        sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
