@@ -113,7 +113,7 @@ def test_table_alignment():
 
 
 def test_region_text(spark):
-    rows = [(1, "", ""), (2, "a", ""), (3, "Pump  One", "pump one"), (4, "Xylem Road 12, 55100", "Xylem Road 12, 55100 Sverige AB extra words here"), (5, "open the valve", "öffnen Sie das Ventil")]
+    rows = [(1, "", ""), (2, "a", ""), (3, "Pump  One", "pump one"), (4, "Arvola Road 12, 55100", "Arvola Road 12, 55100 Kallio OY extra words here"), (5, "open the valve", "öffnen Sie das Ventil")]
     got = {r.i: r.match_desc for r in regions.similarity(spark.createDataFrame(rows, "i int, m string, t string"), "m", "t").collect()}
     assert got == {1: "Exact Match (Both Empty)", 2: "Empty / No Content", 3: "Exact Match", 4: "Token Match", 5: "Translated / Content Present"}
     p = spark.createDataFrame([("894387_5.0", "x 123456_7.1", ""), ("EN", "none1", "og EN"), ("894387", "1234567", "z"), ("", "a", "b")], "m string, h string, s string")
