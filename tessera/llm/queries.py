@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_transducer, config_packing, crf_quality, exact_topk, language_id, line_templates, maxent_lm, minhash_join, suffix_levels, token_files
+from tessera.llm import bpe_transducer, config_packing, crf_quality, exact_topk, filter_audit, language_id, line_templates, maxent_lm, minhash_join, rank_index, suffix_levels, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         bpe_transducer.op8_bpe_transducer,
         maxent_lm.op9_maxent_lm,
         crf_quality.op10_crf_quality,
+        filter_audit.op11_filter_audit,
+        warc.op12_warc,
+        rank_index.op13_fill_in_middle,
     ]
     return {f.__name__: f for f in found}
 
@@ -29,4 +32,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_templates": line_templates.OP1_SQL,
         "op2_exact_topk": exact_topk.OP2_SQL,
+        "op11_filter_audit": filter_audit.OP11_SQL,
+        "op12_warc": warc.OP12_SQL,
+        "op13_fill_in_middle": rank_index.OP13_SQL,
     }
