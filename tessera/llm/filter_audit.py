@@ -51,7 +51,9 @@ def failing_tables(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[
     said = labels.where("doc_id is not null").groupBy("doc_id").agg(*(F.coalesce(F.max(F.col(c) == 1), F.lit(False)).alias(n) for c, n in (("quality", "good"), ("toxic", "toxic"))))
     flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")]
     ids = written(rows.join(said.hint("shuffle_hash"), "doc_id", "left").select(*rows.columns, *flags), "audit-ids")
-    least = ids.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "least")
+    least = ids.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    # from a table, so that a text of very many rows is split between tasks
+    least = written(least.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "least"), "audit-copies")
     copies = ids.join(least.hint("shuffle_hash"), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("doc_id") > F.col("least")), "left_semi")
     own = ids.select("uid", F.explode(F.filter(F.array(*(F.when(F.col(f), f) for f in fails)), lambda x: x.isNotNull())).alias("filter"))
     folder = f"{shared_dir(docs.sparkSession)}/tessera/audit-fails-{uuid.uuid4().hex}"

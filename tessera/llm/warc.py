@@ -53,8 +53,10 @@ RECORDS = "file string, place long, type string, record_id string, target string
 
 def trained(pages: DataFrame) -> bytes:
     """A dictionary from at most SAMPLE_PAGES pages, those of the smallest hashes; empty where they are too few."""
-    head = F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES).alias("head")
-    rows = pages.where("html is not null").select(F.xxhash64("page_id", "html").alias("at"), head).orderBy("at").limit(SAMPLE_PAGES).collect()
+    hashed = pages.where("html is not null").select(F.xxhash64("page_id", "html").alias("at"), F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES).alias("head"))
+    # the hashes alone are sorted; tasks send the heads of no other rows
+    last = hashed.select("at").orderBy("at").limit(SAMPLE_PAGES).agg(F.max("at")).first()[0]
+    rows = hashed.where(F.col("at") <= last).limit(SAMPLE_PAGES).collect() if last is not None else []
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r["head"]) for r in rows], level=3).as_bytes()
     except (zstandard.ZstdError, ValueError):
