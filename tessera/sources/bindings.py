@@ -65,6 +65,24 @@ def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.expr("l_orderkey div 40").alias("batch_id"), F.when(F.col("l_orderkey") % 2 == 0, "master").otherwise("translation").alias("role"), F.expr("(l_orderkey % 40) div 2").alias("table_idx"), F.lit(3).alias("columns"), F.array("r1", "r2", "r3").alias("rows_per_column"))
 
 
+def printed_tables(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
+    """Tables of both documents of a batch, one an order, cut at page ends at places that differ by role: the master
+    after three lines, the translation after two. Some orders have no table on one side, some other rows."""
+    master = role == "master"
+    li = _table(spark, sf_dir, "lineitem").where("l_orderkey % 19 > 0" if master else "l_orderkey % 17 > 0")
+    part = F.expr("IF(l_orderkey % 2 = 0, (l_linenumber - 1) div 3, 0)" if master else "IF(l_orderkey % 3 = 0, (l_linenumber - 1) div 2, 0)").cast("int")
+    counts = [F.count_if(F.col("l_returnflag") == f).alias(f) for f in "ANR"]
+    t = li.groupBy("l_orderkey", part.alias("part")).agg(*counts, F.min("l_quantity").alias("least"), F.max("l_discount").alias("most"))
+    w = Window.partitionBy("batch_id").orderBy("l_orderkey", "part")
+    t = t.withColumn("batch_id", F.expr("l_orderkey div 20"))
+    goes_on, cut = F.coalesce(F.lag("l_orderkey").over(w) == F.col("l_orderkey"), F.lit(False)), F.coalesce(F.lead("l_orderkey").over(w) == F.col("l_orderkey"), F.lit(False))
+    t = t.withColumns({"new_page": F.when(goes_on | (F.col("l_orderkey") % 4 == 0), 1).otherwise(0), "cut": cut, "table_idx": (F.row_number().over(w) - 1).cast("long"), "header": F.expr("IF(part = 0 OR l_orderkey % 5 < 3, 1, 0)"), "more": F.expr("IF(l_orderkey % 13 = 0, 3, 0)") if not master else F.lit(0)})
+    rows = F.array(*((F.col(f) + F.col("header") + (F.col("more") if f == "A" else F.lit(0))).cast("int") for f in "ANR"))
+    y = F.when(F.col("new_page") == 1, 50.0).otherwise(300.0)
+    reasons = F.filter(F.array(F.when(F.col("least") < 3, "text is cut"), F.when(F.col("most") > 0.09, "text leaves its cell")), lambda x: x.isNotNull())
+    return t.select("batch_id", "table_idx", F.sum("new_page").over(w).cast("int").alias("page_index"), y.alias("y"), F.when(F.col("cut"), 760.0 - y).otherwise(120.0).alias("h"), F.lit(842.0).alias("page_height"), F.expr("IF(l_orderkey % 11 = 0, 2, 3)").alias("columns"), F.slice(rows, 1, F.expr("IF(l_orderkey % 11 = 0, 2, 3)")).alias("rows_per_column"), reasons.alias("overflow_reasons"))
+
+
 def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "embeddings")
     return e.select("vec_id", F.col("label").alias("topic_code"), F.when(F.col("vec_id") % 2 == 0, "master").otherwise("translation").alias("role"), F.expr("vec_id div 100").alias("batch_id"), F.transform("embedding", lambda x: x.cast("double")).alias("pixels"))
@@ -102,6 +120,18 @@ SQL = {
   SELECT l_orderkey // 40 AS batch_id, CASE WHEN l_orderkey % 2 = 0 THEN 'master' ELSE 'translation' END AS role, (l_orderkey % 40) // 2 AS table_idx,
     [CAST(count(*) FILTER (l_returnflag = 'A') + 1 AS INTEGER), CAST(count(*) FILTER (l_returnflag = 'N') + 1 AS INTEGER), CAST(count(*) FILTER (l_returnflag = 'R') + 1 AS INTEGER)] AS rows_per_column
   FROM lineitem GROUP BY l_orderkey)""",
+    "b_printed": """b_cut AS (
+  SELECT role, l_orderkey // 20 AS batch_id, l_orderkey, part, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS n, count(*) FILTER (l_returnflag = 'R') AS r, min(l_quantity) AS least, max(l_discount) AS most FROM (
+    SELECT *, 'master' AS role, CASE WHEN l_orderkey % 2 = 0 THEN (l_linenumber - 1) // 3 ELSE 0 END AS part FROM lineitem WHERE l_orderkey % 19 > 0
+    UNION ALL SELECT *, 'translation', CASE WHEN l_orderkey % 3 = 0 THEN (l_linenumber - 1) // 2 ELSE 0 END FROM lineitem WHERE l_orderkey % 17 > 0) GROUP BY ALL),
+b_placed AS (
+  SELECT *, row_number() OVER w - 1 AS table_idx, CASE WHEN lag(l_orderkey) OVER w = l_orderkey OR l_orderkey % 4 = 0 THEN 1 ELSE 0 END AS new_page, coalesce(lead(l_orderkey) OVER w = l_orderkey, false) AS cut,
+    CASE WHEN part = 0 OR l_orderkey % 5 < 3 THEN 1 ELSE 0 END AS header, CASE WHEN role = 'translation' AND l_orderkey % 13 = 0 THEN 3 ELSE 0 END AS more, CASE WHEN l_orderkey % 11 = 0 THEN 2 ELSE 3 END AS columns
+  FROM b_cut WINDOW w AS (PARTITION BY role, batch_id ORDER BY l_orderkey, part)),
+b_printed AS (
+  SELECT role, batch_id, table_idx, sum(new_page) OVER (PARTITION BY role, batch_id ORDER BY table_idx) AS page_index, CASE WHEN new_page = 1 THEN 50.0 ELSE 300.0 END AS y, columns,
+    CASE WHEN cut THEN 760.0 - CASE WHEN new_page = 1 THEN 50.0 ELSE 300.0 END ELSE 120.0 END AS h, [a + header + more, n + header, r + header][1:columns] AS rows,
+    list_filter([CASE WHEN least < 3 THEN 'text is cut' END, CASE WHEN most > 0.09 THEN 'text leaves its cell' END], lambda x: x IS NOT NULL) AS overflow_reasons FROM b_placed)""",
     "b_crops": """b_crops AS (
   SELECT vec_id, label AS topic_code, CASE WHEN vec_id % 2 = 0 THEN 'master' ELSE 'translation' END AS role, vec_id // 100 AS batch_id, CAST(embedding AS DOUBLE[]) AS pixels FROM embeddings)""",
     "b_ink": """b_ink AS (
