@@ -94,6 +94,24 @@ def ink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where("v > 0").select("doc_id", F.expr("i div 8").cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"))
 
 
+def page_ink(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Ink of pages of 240 x 200 pixels, runs that may overlap, and the pages: lines of four orders, drawn as blots,
+    as rules on a coarse lattice and as short strokes."""
+    li = _table(spark, sf_dir, "lineitem")
+    kind, at = F.expr("(l_partkey + l_linenumber) % 5"), F.expr("CAST(l_extendedprice AS BIGINT)")
+    x, y = F.expr("CAST(l_quantity AS INT) * 4"), (at % 190).cast("int")
+    box = lambda x, y, w, h: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), w.cast("int").alias("w"), h.cast("int").alias("h"))
+    blot = box(x, y, 4 + at % 15, 3 + at % 11)
+    rule = box(F.lit(10) + 0 * at, (at % 7) * 25 + 5, 90 + at % 60, 1 + at % 3)
+    post = box((at % 6) * 25 + 10, F.lit(5) + 0 * at, 1 + at % 2, 80 + at % 70)
+    stroke = box(x, y, 30 + at % 20, 1 + at % 2)
+    shape = F.when(kind < 2, blot).when(kind == 2, rule).when(kind == 3, post).otherwise(stroke)
+    drawn = li.select(F.expr("l_orderkey div 16").alias("page_id"), shape.alias("b")).where("b.x < 240")
+    ink = drawn.select("page_id", F.explode(F.sequence(F.col("b.y"), F.least(F.lit(199), F.col("b.y") + F.col("b.h") - 1))).alias("y"), F.col("b.x").alias("xs"), F.least(F.lit(240), F.col("b.x") + F.col("b.w")).alias("xe"))
+    pages = li.select(F.expr("l_orderkey div 16").alias("page_id")).distinct().withColumns({"width": F.lit(240), "height": F.lit(200)})
+    return ink, pages
+
+
 SQL = {
     "b_lines": """b_lines AS (
   SELECT doc_id, lang, CAST(line_no AS INTEGER) AS line_no, CAST(1 + line_no // 3 AS INTEGER) AS page_no, text FROM (
