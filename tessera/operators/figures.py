@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.components import written
+
 # fixed values: shares and sizes of the rules below
 THICK_SHARE, MIN_SPAN, MIN_JUNCTIONS = 0.18, 0.25, 4
 RULE_PT, GAP_PT, EDGE_PT, EDGE_SHARE = 26.0, 10.0, 10.0, 0.12
@@ -97,31 +99,59 @@ def _labels(y: np.ndarray, xs: np.ndarray, xe: np.ndarray) -> np.ndarray:
 
 
 def labelled(key: list[str], ink: DataFrame) -> DataFrame:
-    """Runs with part: equal for runs of a page (group of key) that are connected, diagonals included."""
+    """Runs with part, equal for runs of a page (group of key) that are connected, diagonals included, and the part's box."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["y", "xs"], ignore_index=True)
-        low = min(0, int(group["xs"].min()))
-        return group.assign(part=_labels(*(group[c].to_numpy(np.int64) - (low if c != "y" else 0) for c in ("y", "xs", "xe"))))
+        y, xs, xe = (group[c].to_numpy(np.int64) for c in ("y", "xs", "xe"))
+        part = _labels(y, xs - xs.min(), xe - xs.min())
+        for name, values, f in (("x0", xs, np.minimum), ("y0", y, np.minimum), ("x1", xe, np.maximum), ("y1", y + 1, np.maximum)):
+            best = values.copy()
+            f.at(best, part, values)
+            group[name] = best[part]
+        return group.assign(part=part)[[*key, "y", "xs", "xe", "part", "x0", "y0", "x1", "y1"]]
 
     kinds = ", ".join(f"{c} {t}" for c, t in ink.select(*key, "y", "xs", "xe").dtypes)
-    return ink.where("xs < xe").select(*key, "y", "xs", "xe").groupBy(*key).applyInPandas(run, f"{kinds}, part long")
+    return ink.where("xs < xe").select(*key, "y", "xs", "xe").groupBy(*key).applyInPandas(run, f"{kinds}, part long, x0 int, y0 int, x1 int, y1 int")
 
 
 def extents(key: list[str], parts: DataFrame) -> DataFrame:
-    """Box and ink of each part."""
-    return parts.groupBy(*key, "part").agg(F.min("xs").alias("x0"), F.min("y").alias("y0"), F.max("xe").alias("x1"), (F.max("y") + 1).alias("y1"), F.sum(F.col("xe") - F.col("xs")).alias("ink"))
+    """The parts and their boxes, one row each."""
+    return parts.select(*key, "part", "x0", "y0", "x1", "y1").distinct()
+
+
+def _long_runs(m: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of the runs of at least length in each row of a raster."""
+    edge = np.diff(m.astype(np.int8), axis=1, prepend=0, append=0)
+    y, start = np.nonzero(edge == 1)
+    end = np.nonzero(edge == -1)[1]
+    long = end - start >= length
+    return y[long], start[long], end[long]
+
 
+def strokes(key: list[str], ink: DataFrame, length: int) -> DataFrame:
+    """Ink in straight runs of at least length pixels, as runs of rows: (key, down, y, xs, xe), down: along columns.
 
-def strokes(key: list[str], ink: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Ink that lies in straight runs of at least length pixels: along rows and along columns, both as runs of rows."""
-    ink = union(key, ink=ink)
-    across = ink.where(F.col("xe") - F.col("xs") >= length)
-    cells = ink.select(*key, "y", F.explode(F.sequence("xs", F.col("xe") - 1)).alias("x"))
-    column = Window.partitionBy(*key, "x").orderBy("y")
-    islands = cells.withColumn("i", F.col("y") - F.row_number().over(column))
-    down = islands.withColumn("n", F.count("*").over(Window.partitionBy(*key, "x", "i"))).where(F.col("n") >= length)
-    return across, union(key, ink=down.select(*key, "y", F.col("x").alias("xs"), (F.col("x") + 1).alias("xe")))
+    A page's raster is looked through by rows and by columns.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        y, xs, xe = (group[c].to_numpy(np.int64) for c in ("y", "xs", "xe"))
+        top, left = y.min(), xs.min()
+        m = np.zeros((y.max() - top + 1, xe.max() - left + 1), np.int32)
+        np.add.at(m, (y - top, xs - left), 1)
+        np.add.at(m, (y - top, xe - left), -1)
+        m = m.cumsum(1) > 0
+        down = np.zeros((m.shape[1], m.shape[0] + 1), np.int8)
+        x, start, end = _long_runs(m.T, length)
+        down[x, start], down[x, end] = 1, -1  # runs of a column don't touch
+        found = [_long_runs(m, length), _long_runs(down.cumsum(1)[:, :-1].T > 0, 1)]
+        rows = [pd.DataFrame({"down": bool(d), "y": a + top, "xs": b + left, "xe": c + left}) for d, (a, b, c) in enumerate(found)]
+        return pd.concat(rows).assign(**{c: group[c].iloc[0] for c in key})[[*key, "down", "y", "xs", "xe"]]
+
+    kinds = dict(ink.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in key), "down boolean", *(f"{c} {kinds[c]}" for c in ("y", "xs", "xe"))])
+    return ink.where("xs < xe").select(*key, "y", "xs", "xe").groupBy(*key).applyInPandas(run, schema)
 
 
 def thin_rules(key: list[str], ink: DataFrame, length: int, thick: int | None = None) -> DataFrame:
@@ -130,31 +160,25 @@ def thin_rules(key: list[str], ink: DataFrame, length: int, thick: int | None =
     A filled disc has long runs through its middle as well, but they are connected to something thick.
     """
     thick = max(3, round(length * THICK_SHARE)) if thick is None else thick
-    across, down = strokes(key, ink, length)
-    both = across.withColumn("down", F.lit(False)).union(down.withColumn("down", F.lit(True)))
-    parts = labelled([*key, "down"], both)
-    size = extents([*key, "down"], parts)
-    good = size.where(F.when(F.col("down"), F.col("x1") - F.col("x0")).otherwise(F.col("y1") - F.col("y0")) <= thick).select(*key, "down", "part")
-    return union(key, ink=parts.join(good, [*key, "down", "part"], "left_semi"))
+    through = F.when(F.col("down"), F.col("x1") - F.col("x0")).otherwise(F.col("y1") - F.col("y0"))
+    return union(key, ink=labelled([*key, "down"], strokes(key, ink, length)).where(through <= thick))
 
 
-def without_isolated_rules(key: list[str], ink: DataFrame, pages: DataFrame, length: int) -> DataFrame:
+def without_isolated_rules(key: list[str], ink: DataFrame, pages: DataFrame, length: int, rules: DataFrame | None = None) -> DataFrame:
     """Ink without the rules that touch nothing else and span a quarter of the page.
 
     What lies within two pixels of a rule is its own fringe; a rule is attached if other ink comes within two
-    pixels of it. Where a page holds rules only, all of them go. pages: (key, width, height) in pixels.
+    pixels of it. Where a page holds rules only, all of them go. pages: (key, width, height) in pixels; rules: as thin_rules finds them.
     """
-    ink = union(key, ink=ink)
-    rules = thin_rules(key, ink, length)
-    other = minus(key, ink, dilated(key, rules, 2, 2))
+    ink = written(union(key, ink=ink), "ink")
+    rules = written(labelled(key, thin_rules(key, ink, length) if rules is None else rules), "rules")
+    other = written(minus(key, ink, dilated(key, rules, 2, 2)), "other-ink")
     near = dilated(key, other, 2, 2).select(*key, "y", F.col("xs").alias("ns"), F.col("xe").alias("ne"))
-    parts = labelled(key, rules)
-    attached = parts.join(near, [*key, "y"]).where("ns < xe AND xs < ne").select(*key, "part").distinct()
-    size = extents(key, parts).join(pages, key)
+    attached = rules.join(near, [*key, "y"]).where("ns < xe AND xs < ne").select(*key, "part").distinct()
     wide = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) >= MIN_SPAN * F.greatest("width", "height")
-    alone = size.where(wide).join(attached, [*key, "part"], "left_anti").select(*key, "part")
     marked = other.select(*key).distinct()
-    gone = dilated(key, parts.join(alone, [*key, "part"], "left_semi").join(marked, key, "left_semi"), 1, 1)
+    alone = rules.join(pages, key).where(wide).join(attached, [*key, "part"], "left_anti")
+    gone = dilated(key, alone.join(marked, key, "left_semi"), 1, 1)
     bare = rules.join(marked, key, "left_anti")
     return sweep(key, F.col("ink") & ~F.col("gone") & ~F.col("bare"), ink=ink, gone=gone, bare=bare)
 
@@ -166,14 +190,15 @@ def grid_regions(key: list[str], ink: DataFrame, length: int) -> DataFrame:
     rows meet strokes along columns at MIN_JUNCTIONS places or more. Places are counted within each lattice,
     as connected crossings; a stroke may stop two pixels short of a crossing.
     """
-    across, down = strokes(key, ink, length)
+    lines = written(strokes(key, ink, length), "strokes")
+    across, down = lines.where("NOT down"), lines.where("down")
     cross = common(key, dilated(key, across, 2, 2), dilated(key, down, 2, 2))
-    parts = labelled(key, dilated(key, union(key, a=across, b=down), 1, 1))
+    parts = written(labelled(key, dilated(key, lines, 1, 1)), "lattices")
     lattice = parts.select(*key, "y", F.col("xs").alias("ls"), F.col("xe").alias("le"), F.col("part").alias("lattice"))
     met = cross.join(lattice, [*key, "y"]).where("ls < xe AND xs < le").select(*key, "lattice", "y", F.greatest("xs", "ls").alias("xs"), F.least("xe", "le").alias("xe"))
     places = labelled([*key, "lattice"], met).groupBy(*key, F.col("lattice").alias("part")).agg(F.countDistinct("part").alias("junctions"))
     side = length * 1.5
-    return extents(key, parts).join(places.where(F.col("junctions") >= MIN_JUNCTIONS), [*key, "part"]).where((F.col("x1") - F.col("x0") >= side) & (F.col("y1") - F.col("y0") >= side)).drop("ink")
+    return extents(key, parts).join(places.where(F.col("junctions") >= MIN_JUNCTIONS), [*key, "part"]).where((F.col("x1") - F.col("x0") >= side) & (F.col("y1") - F.col("y0") >= side))
 
 
 def _within(key: list[str], runs: DataFrame, regions: DataFrame) -> DataFrame:
@@ -190,15 +215,14 @@ def row_dividers(key: list[str], ink: DataFrame, regions: DataFrame, length: int
     region is a drawing, and has none. regions: (key, region, x0, y0, x1, y1).
     """
     deep = [*key, "region"]
-    inner = _within(key, union(key, ink=ink), regions)
+    inner = written(_within(key, union(key, ink=ink), regions), "grid-ink")
     thick = max(3, round(length * THICK_SHARE))
-    across, down = strokes(deep, inner, length)
-    parts = labelled(deep, across)
+    lines = written(strokes(deep, inner, length), "strokes")
     w, h, full = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("full")
-    size = extents(deep, parts).join(regions.select(*deep, (F.col("x1") - F.col("x0")).alias("full")), deep)
-    good = size.where((w >= DIVIDER_LEAST * full) & (((w >= DIVIDER_SPAN * full) & (h <= thick)) | ((w >= DIVIDER_FULL * full) & (h <= max(thick, round(length * 0.5)))) | (w >= DIVIDER_ASPECT * h)))
-    found = parts.join(good, [*deep, "part"], "left_semi").drop("part")
-    rest = sweep(deep, F.col("ink") & ~F.col("across") & ~F.col("down"), ink=inner, across=across, down=down)
+    parts = labelled(deep, lines.where("NOT down")).join(regions.select(*deep, (F.col("x1") - F.col("x0")).alias("full")), deep)
+    good = (w >= DIVIDER_LEAST * full) & (((w >= DIVIDER_SPAN * full) & (h <= thick)) | ((w >= DIVIDER_FULL * full) & (h <= max(thick, round(length * 0.5)))) | (w >= DIVIDER_ASPECT * h))
+    found = written(parts.where(good).select(*deep, "y", "xs", "xe"), "dividers")
+    rest = written(sweep(deep, F.col("ink") & ~F.col("lines"), ink=inner, lines=lines), "drawing")
     total = lambda runs, name: runs.groupBy(*deep).agg(F.sum(F.col("xe") - F.col("xs")).alias(name))
     crossed = total(common(deep, dilated(deep, found, 1, 1), rest), "crossed").join(total(rest, "rest"), deep).where((F.col("crossed") > CROSSING_INK) & (F.col("crossed") > CROSSING_SHARE * F.col("rest")))
     return found.join(crossed, deep, "left_anti")
@@ -206,11 +230,9 @@ def row_dividers(key: list[str], ink: DataFrame, regions: DataFrame, length: int
 
 def without_edge_furniture(key: list[str], ink: DataFrame, pages: DataFrame, scale: float) -> DataFrame:
     """Ink without connected parts at the left or right edge that are at most 0.12 of the page wide."""
-    parts = labelled(key, union(key, ink=ink))
     edge, width = round(EDGE_PT * scale), F.bround(F.col("width") * EDGE_SHARE)
-    size = extents(key, parts).join(pages, key)
-    gone = size.where((F.col("x1") - F.col("x0") <= width) & ((F.col("x0") <= edge) | (F.col("x1") >= F.col("width") - edge))).select(*key, "part")
-    return parts.join(gone, [*key, "part"], "left_anti").drop("part")
+    gone = (F.col("x1") - F.col("x0") <= width) & ((F.col("x0") <= edge) | (F.col("x1") >= F.col("width") - edge))
+    return labelled(key, union(key, ink=ink)).join(pages, key).where(~gone).select(*key, "y", "xs", "xe")
 
 
 def rule_share(key: list[str], boxes: DataFrame, ink: DataFrame, rules: DataFrame) -> DataFrame:
@@ -221,18 +243,19 @@ def rule_share(key: list[str], boxes: DataFrame, ink: DataFrame, rules: DataFram
     return met.withColumn("share", F.when(F.coalesce("ink", F.lit(0)) == 0, 1.0).otherwise(F.coalesce("ruled", F.lit(0)) / F.col("ink"))).drop("ruled")
 
 
-def ink_clusters(key: list[str], ink: DataFrame, pages: DataFrame, scale: float, keep) -> DataFrame:
+def ink_clusters(key: list[str], ink: DataFrame, pages: DataFrame, scale: float) -> DataFrame:
     """Whole figures of each page: (key, part, x0, y0, x1, y1) in pixels, one per group of ink with gaps under GAP_PT.
 
     Edge furniture goes first, then rules that stand alone; grids' row dividers keep their rows apart; what is only
-    ruling is no figure. scale: pixels a point; keep(df, name): cuts the plan, by writing the table and reading it.
+    ruling is no figure. scale: pixels a point.
     Figures of which over NESTED lies in a larger kept one go with boxes.without_covered.
     """
     length, size = max(3, round(RULE_PT * scale)), max(3, round(GAP_PT * scale) | 1)
     pad = size // 2
-    ink = keep(without_edge_furniture(key, ink, pages, scale), "ink")
-    regions = keep(grid_regions(key, ink, length).withColumnRenamed("part", "region"), "grids").drop("junctions")
-    left = keep(without_isolated_rules(key, ink, pages, length), "ink-left")
+    ink = written(without_edge_furniture(key, ink, pages, scale), "ink")
+    regions = written(grid_regions(key, ink, length).withColumnRenamed("part", "region"), "grids").drop("junctions")
+    rules = written(thin_rules(key, ink, length), "rules")
+    left = written(without_isolated_rules(key, ink, pages, length, rules), "ink-left")
     barrier = dilated(key, row_dividers(key, ink, regions, length).drop("region"), 0, 1)
     grown = sweep(key, F.col("ink") & ~F.col("barrier"), ink=_spread(key, left, disc(size)), barrier=barrier)
     # the page ends where it ends, so its growth does
@@ -240,9 +263,9 @@ def ink_clusters(key: list[str], ink: DataFrame, pages: DataFrame, scale: float,
     low = lambda c: F.greatest(F.lit(0), F.col(c)) + pad
     high = lambda c, end: F.least(F.col(end), F.col(c)) - pad
     box = box.select(*key, "part", low("x0").alias("x0"), low("y0").alias("y0"), high("x1", "width").alias("x1"), high("y1", "height").alias("y1"), "width", "height")
-    box = keep(box, "clusters")
+    box = written(box, "clusters")
     reach = box.select(*key, "part", "x0", "y0", F.least("width", F.col("x1") + 1).alias("x1"), F.least("height", F.col("y1") + 1).alias("y1"))
-    shares = rule_share(key, reach, ink, keep(thin_rules(key, ink, length), "rules")).select(*key, "part", "share")
+    shares = rule_share(key, reach, ink, rules).select(*key, "part", "share")
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     ruling = (F.col("share") >= RULE_ONLY) | ((area < SMALL_PT2 * scale * scale) & (F.col("share") >= SMALL_RULE_ONLY))
     return box.join(shares, [*key, "part"]).where(~ruling).drop("width", "height", "share")

@@ -23,7 +23,7 @@ def r3_thin_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r4_without_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ink of every page without rules that stand alone."""
     ink, pages = bindings.page_ink(spark, sf_dir)
-    return figures.without_isolated_rules(PAGE, written(ink, "page-ink"), pages, LENGTH)
+    return figures.without_isolated_rules(PAGE, ink, pages, LENGTH)
 
 
 @register("r6_grid_regions")
@@ -45,6 +45,6 @@ def r6_row_dividers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r6b_ink_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole figures of every page: clusters of ink that are not ruling, without those inside larger ones."""
     ink, pages = bindings.page_ink(spark, sf_dir)
-    found = figures.ink_clusters(PAGE, ink, pages, SCALE, written)
+    found = figures.ink_clusters(PAGE, ink, pages, SCALE)
     named = found.selectExpr("page_id AS doc_id", "1 AS page_no", "CAST(part AS INT) AS box_no", "x0", "y0", "x1", "y1")
     return boxes.without_covered(named).selectExpr("doc_id AS page_id", "CAST(x0 AS INT) AS x0", "CAST(y0 AS INT) AS y0", "CAST(x1 AS INT) AS x1", "CAST(y1 AS INT) AS y1")

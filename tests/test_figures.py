@@ -232,12 +232,12 @@ def test_grids_and_dividers(ink, pages):
 
 
 def test_clusters(ink, sizes, pages):
-    found = figures.ink_clusters(KEY, ink, sizes, SCALE, written)
+    found = figures.ink_clusters(KEY, ink, sizes, SCALE)
     got = sorted((r.page_id, r.x0, r.y0, r.x1, r.y1) for r in found.collect())
     assert got == sorted((i, *c) for i, m in enumerate(pages) for c in clusters(m)) and len(got) > 40
 
 
 def test_no_ink(spark, sizes):
     none = spark.createDataFrame([], "page_id int, y int, xs int, xe int")
-    assert figures.ink_clusters(KEY, none, sizes, SCALE, written).count() == 0
+    assert figures.ink_clusters(KEY, none, sizes, SCALE).count() == 0
     assert figures.without_isolated_rules(KEY, none, sizes, LENGTH).count() == 0
