@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import geometry as g
 from tessera.operators import regions as rg
@@ -62,16 +67,38 @@ def visual_status(similarity: Column, threshold: Column) -> Column:
     )
 
 
+@lru_cache(maxsize=1024)
+def _compiled(pattern: str) -> re.Pattern | None:
+    try:
+        return re.compile(pattern)
+    except (re.error, OverflowError, RecursionError):
+        return None
+
+
+@F.pandas_udf(T.StringType())
+def _pattern_found(pattern: pd.Series, here: pd.Series, scope: pd.Series) -> pd.Series:
+    """bad, here, scope or none for each pattern in the two texts; null without a pattern."""
+
+    def one(p: str | None, a: str | None, b: str | None) -> str | None:
+        if p is None:
+            return None
+        found = _compiled(p)
+        if found is None:
+            return "bad"
+        return "here" if found.search(a or "") else "scope" if b and found.search(b) else "none"
+
+    return pd.Series([one(*x) for x in zip(pattern, here, scope)], dtype=object)
+
+
 def own_pattern_status(pattern: Column, here: Column, scope: Column) -> Column:
     """A hand-written pattern passes wherever in the scope it is found; one that is no pattern is to check.
 
-    Only plain brackets are checked for balance, so that a bad pattern is told without running it.
+    Patterns are Python's, whose grammar and classes differ from those of Java: each distinct one is compiled once
+    in a worker, and one that can't be compiled stops nothing. Texts go to Python only where there is a pattern.
     """
-    bare = F.regexp_replace(F.regexp_replace(pattern, r"\\.", ""), r"\[[^\]]*\]", "x")
-    opened, closed = F.length(bare) - F.length(F.replace(bare, F.lit("("), F.lit(""))), F.length(bare) - F.length(F.replace(bare, F.lit(")"), F.lit("")))
-    bad = (opened != closed) | bare.rlike(r"^[*+?]|\[|\\$")
-    hit = lambda t: F.regexp_like(F.coalesce(t, F.lit("")), F.when(bad, F.lit("$^")).otherwise(pattern))
-    return F.when(bad, "CHECK (Bad Pattern)").when(hit(here) | hit(scope), "PASS (Pattern)").otherwise("FAIL (Pattern)")
+    given = lambda c: F.when(pattern.isNotNull(), c)
+    found = _pattern_found(pattern, given(here), given(scope))
+    return F.when(found == "bad", "CHECK (Bad Pattern)").when(found.isin("here", "scope"), "PASS (Pattern)").when(found == "none", "FAIL (Pattern)")
 
 
 def verified(rows: DataFrame) -> DataFrame:
@@ -91,7 +118,8 @@ def verified(rows: DataFrame) -> DataFrame:
         .when(flag("exact_match") & (F.coalesce(F.size("needle"), F.lit(0)) > 0) & F.col("scope_tokens").isNotNull(), "scoped").when(flag("exact_match"), "exact").otherwise("normal")
     )
     r = rg.similarity(rows.withColumn("mode", mode), "eng_text", "tr_text").withColumnRenamed("similarity", "__text")
-    pattern = F.when(F.coalesce("pattern", F.lit("")) != "", own_pattern_status(F.col("pattern"), F.col("tr_text"), F.col("scope_text"))).otherwise(rg.pattern_status(F.col("eng_text"), F.col("tr_text"), F.col("scope_text")))
+    own = F.when((F.col("mode") == "pattern") & (F.col("pattern") != ""), F.col("pattern"))
+    pattern = F.when(F.coalesce("pattern", F.lit("")) != "", own_pattern_status(own, F.col("tr_text"), F.col("scope_text"))).otherwise(rg.pattern_status(F.col("eng_text"), F.col("tr_text"), F.col("scope_text")))
     scoped = F.coalesce("scope_text", "tr_text")
     status = (
         F.when(F.col("mode") == "no file", "FAIL (File Not Found)").when(F.col("mode") == "empty", "FAIL (Empty PDF)")

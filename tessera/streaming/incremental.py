@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from tessera.operators.components import written
+
+BUCKETS, BUCKET = 64, "__bucket"
 IDENTITY = ["path", "mtime", "size"]
 
 
@@ -22,23 +25,46 @@ def unseen(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     return docs.join(ledger.select(*IDENTITY).distinct(), IDENTITY, "left_anti")
 
 
+def _same(key: list[str]) -> Column:
+    """Equality of old and new keys, nulls equal."""
+    met = F.lit(True)
+    for c in key:
+        met = met & F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}"))
+    return met
+
+
 def upserted(findings: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """findings with the rows of every key in `new` replaced by the new rows."""
-    return findings.join(new.select(*key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    """findings with the rows of every key in `new` (null ones too) replaced by the new rows."""
+    left = findings.alias("old").join(new.select(*key).distinct().alias("new"), _same(key), "left_anti")
+    return left.unionByName(new, allowMissingColumns=True)
 
 
 def write_upsert(rows: DataFrame, docs: DataFrame, folder: str, key: str) -> None:
-    """Replace the findings of docs in folder by rows: their partitions go, then rows' are written.
+    """Replace the findings of docs in folder by rows; other documents' findings stay.
 
-    Partitions are by the document, so nothing of other documents is read or written. A document
-    without findings loses its partition, so stale findings don't stay.
+    Findings lie in BUCKETS partitions by a hash of the document's key, whatever characters it holds, so the folders
+    are few however many documents there are. The touched partitions are merged into a table beside them first and
+    overwritten when it is whole: a check that fails leaves the old rows as they were. A document without findings
+    loses those it had.
     """
-    spark = rows.sparkSession
+    spark, bucket = rows.sparkSession, F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    new = rows.withColumn(BUCKET, bucket)
+    new.limit(0).write.mode("append").partitionBy(BUCKET).parquet(folder)  # so that the folder is there
+    keys = docs.select(key).distinct().withColumn(BUCKET, bucket)
+    touched = sorted(r[0] for r in keys.select(BUCKET).distinct().collect())  # BUCKETS at most
+    if not touched:
+        return
+    held = spark.read.option("mergeSchema", True).schema(new.schema).parquet(folder).where(F.col(BUCKET).isin(touched))
+    kept = held.alias("old").join(keys.alias("new"), _same([key]) & (F.col(f"old.{BUCKET}") == F.col(f"new.{BUCKET}")), "left_anti")
+    merged = written(kept.unionByName(new), "findings")
+    merged.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(folder)
+    # partitions that nothing is left of are not overwritten
+    left = {r[0] for r in merged.select(BUCKET).distinct().collect()}
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in docs.select(key).distinct().toLocalIterator():  # one batch's documents, bounded by its files
-        fs.delete(path(f"{folder.rstrip('/')}/{key}={r[key]}"), True)
-    rows.write.mode("append").partitionBy(key).parquet(folder)
+    for b in touched:
+        if b not in left:
+            fs.delete(path(f"{folder.rstrip('/')}/{BUCKET}={b}"), True)
 
 
 def checked_stream(spark: SparkSession, landing: str, schema: str, check: Callable[[DataFrame], DataFrame], out: str, partition: list[str], checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, ledger: str | None = None) -> DataStreamWriter:
