@@ -1,13 +1,14 @@
-"""Queries over the ink of pages: rules, grids, row dividers and whole figures."""
+"""Queries over the ink and the lines of pages: rules, grids, row dividers, whole figures, columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.operators import boxes, figures
+from tessera.operators import boxes, columns, figures
 from tessera.operators.components import written
 from tessera.plans.registry import register
 from tessera.sources import bindings
+from tessera.sources.bindings import sql
 
 PAGE, LENGTH, SCALE = ["page_id"], 26, 1.0
 
@@ -48,3 +49,36 @@ def r6b_ink_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = figures.ink_clusters(PAGE, ink, pages, SCALE)
     named = found.selectExpr("page_id AS doc_id", "1 AS page_no", "CAST(part AS INT) AS box_no", "x0", "y0", "x1", "y1")
     return boxes.without_covered(named).selectExpr("doc_id AS page_id", "CAST(x0 AS INT) AS x0", "CAST(y0 AS INT) AS y0", "CAST(x1 AS INT) AS x1", "CAST(y1 AS INT) AS y1")
+
+
+GAPS = (
+    sql("b_columns")
+    + """, p AS (SELECT page_id, count(*) AS n, min(x0) AS first, max(x1) AS last FROM b_columns GROUP BY 1),
+l AS (SELECT page_id, x0, x1, n, first, last, CAST(floor(last - first) AS BIGINT) + 1 AS bins FROM b_columns JOIN p USING (page_id) WHERE n >= 12 AND last - first >= 60),
+h AS (SELECT page_id, b, count(*) AS cover FROM (SELECT page_id, unnest(range(greatest(0, CAST(floor(x0 - first) AS BIGINT)), least(bins - 1, CAST(floor(x1 - first) AS BIGINT)) + 1)) AS b FROM l) GROUP BY 1, 2),
+e AS (SELECT q.page_id, first, last, bins, n, x.b FROM (SELECT DISTINCT page_id, first, last, bins, n FROM l) q, LATERAL (SELECT unnest(range(bins)) AS b) x LEFT JOIN h ON h.page_id = q.page_id AND h.b = x.b WHERE coalesce(cover, 0) <= floor(n * 0.02)),
+i AS (SELECT page_id, first, last, bins, n, min(b) AS i, max(b) + 1 AS j FROM (SELECT *, b - row_number() OVER (PARTITION BY page_id ORDER BY b) AS g FROM e) GROUP BY page_id, first, last, bins, n, g),
+g AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS k, first + i AS a, first + j AS b, (first + i + first + j) / 2 AS mid FROM i WHERE i > 0 AND j < bins AND j - i >= 9),
+m AS (SELECT *, coalesce(lag(mid) OVER o, first) AS lo, coalesce(lead(mid) OVER o, last) AS hi FROM g WINDOW o AS (PARTITION BY page_id ORDER BY k)),
+c AS (SELECT m.page_id, k, a, b, mid, lo, hi, m.n, m.first, m.last, count(*) FILTER (x0 >= lo - 1 AND x1 <= mid) AS lefts, count(*) FILTER (x0 >= mid AND x1 <= hi + 1) AS rights, count(*) FILTER (x0 < mid AND mid < x1) AS crossing FROM m JOIN l ON l.page_id = m.page_id GROUP BY ALL),
+j AS (SELECT *, CASE WHEN least(lefts, rights) < 4 THEN format('only {} line(s) on one side', least(lefts, rights)) WHEN least(lefts, rights) / n < 0.12 THEN 'one side holds too little of the text'
+  WHEN least(mid - lo, hi - mid) / (last - first) < 0.15 THEN 'one side is too narrow to be a column' WHEN crossing / n > 0.18 THEN format('{} line(s) cross it', crossing) END AS why FROM c)"""
+)
+
+
+@register("k17_gutters", GAPS + " SELECT page_id, k::INT AS k, a, b, lefts AS \"left\", rights AS \"right\", crossing, why FROM j")
+def k17_gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every gap between the lines of a page, with the lines about it and why it is no gutter."""
+    return columns.judged_gaps(bindings.column_lines(spark, sf_dir), PAGE)[1]
+
+
+@register(
+    "k17_columns",
+    GAPS + """, s AS (SELECT page_id, count(*) FILTER (why IS NULL) AS kept, count(*) FILTER (why IS NOT NULL) AS ignored, string_agg(format('{}-{}pt', round_even(a, 0)::BIGINT, round_even(b, 0)::BIGINT), ', ' ORDER BY k) FILTER (why IS NULL) AS spans,
+  array_to_string((list(format('{}-{}pt ({})', round_even(a, 0)::BIGINT, round_even(b, 0)::BIGINT, why) ORDER BY k) FILTER (why IS NOT NULL))[1:3], '; ') AS not_at FROM j GROUP BY 1)
+SELECT page_id, (coalesce(kept, 0) + 1)::INT AS columns, CASE WHEN n < 12 THEN format('{} body line(s) - too few to judge', n) WHEN last - first < 60 THEN 'text spans too little of the page to judge' WHEN kept IS NULL THEN format('{} body lines, no gutter over 9pt', n)
+  ELSE format('{} body lines', n) || coalesce(', gutters at ' || spans, '') || CASE WHEN ignored > 0 THEN '; ignored ' || not_at ELSE '' END END AS note FROM p LEFT JOIN s USING (page_id)""",
+)
+def k17_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many columns every page runs, with how that was told."""
+    return columns.detected_columns(bindings.column_lines(spark, sf_dir), PAGE)

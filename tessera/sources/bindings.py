@@ -94,6 +94,19 @@ def ink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where("v > 0").select("doc_id", F.expr("i div 8").cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"))
 
 
+def column_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text lines of pages of one to three columns, with headings that cross them, indents, short lines and notes in the margin."""
+    li = _table(spark, sf_dir, "lineitem")
+    page = F.expr("l_suppkey * 10 + l_linenumber")
+    n = 1 + page % 3
+    place, width = F.col("l_partkey") % n, F.lit(500.0) / n
+    x0 = 50 + place * width + F.expr("(CAST(l_extendedprice AS BIGINT) % 5) * 3")
+    x1 = 50 + (place + 1) * width - 15 - F.round(F.col("l_tax") * 200, 2) - F.when(F.col("l_linestatus") == "F", 6.0).otherwise(0.0)
+    heading = (F.col("l_quantity") > 49) & (page % 4 == 0)
+    note = (page % 5 == 1) & (F.col("l_partkey") % (5 + page % 40) == 0)
+    return li.select(page.alias("page_id"), F.round(F.when(heading, 50.0).when(note, 15.0).otherwise(x0), 3).alias("x0"), F.round(F.when(heading, 430.0 + F.col("l_quantity")).when(note, 38.0).otherwise(x1), 3).alias("x1"))
+
+
 def page_ink(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Ink of pages of 240 x 200 pixels, runs that may overlap, and the pages: lines of four orders, drawn as blots,
     as rules on a coarse lattice and as short strokes."""
@@ -138,6 +151,10 @@ SQL = {
   SELECT l_orderkey // 40 AS batch_id, CASE WHEN l_orderkey % 2 = 0 THEN 'master' ELSE 'translation' END AS role, (l_orderkey % 40) // 2 AS table_idx,
     [CAST(count(*) FILTER (l_returnflag = 'A') + 1 AS INTEGER), CAST(count(*) FILTER (l_returnflag = 'N') + 1 AS INTEGER), CAST(count(*) FILTER (l_returnflag = 'R') + 1 AS INTEGER)] AS rows_per_column
   FROM lineitem GROUP BY l_orderkey)""",
+    "b_columns": """b_columns AS (
+  SELECT page_id, round(CASE WHEN heading THEN 50.0 WHEN note THEN 15.0 ELSE 50 + place * (500.0::DOUBLE / n) + (CAST(trunc(l_extendedprice) AS BIGINT) % 5) * 3 END, 3) AS x0,
+    round(CASE WHEN heading THEN 430.0 + l_quantity WHEN note THEN 38.0 ELSE 50 + (place + 1) * (500.0::DOUBLE / n) - 15 - round(l_tax * 200, 2) - CASE WHEN l_linestatus = 'F' THEN 6.0 ELSE 0.0 END END, 3) AS x1
+  FROM (SELECT *, l_suppkey * 10 + l_linenumber AS page_id, 1 + (l_suppkey * 10 + l_linenumber) % 3 AS n, l_partkey % (1 + (l_suppkey * 10 + l_linenumber) % 3) AS place, l_quantity > 49 AND (l_suppkey * 10 + l_linenumber) % 4 = 0 AS heading, (l_suppkey * 10 + l_linenumber) % 5 = 1 AND l_partkey % (5 + (l_suppkey * 10 + l_linenumber) % 40) = 0 AS note FROM lineitem))""",
     "b_printed": """b_cut AS (
   SELECT role, l_orderkey // 20 AS batch_id, l_orderkey, part, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS n, count(*) FILTER (l_returnflag = 'R') AS r, min(l_quantity) AS least, max(l_discount) AS most FROM (
     SELECT *, 'master' AS role, CASE WHEN l_orderkey % 2 = 0 THEN (l_linenumber - 1) // 3 ELSE 0 END AS part FROM lineitem WHERE l_orderkey % 19 > 0
