@@ -76,8 +76,8 @@ def p4_content_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OVER = "(least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))"
-_PAIRS = f""", t AS (SELECT *, (box_no - 1) // 8 AS block_no, (box_no - 1) // 2 AS line_no FROM b_boxes),
-n AS (SELECT *, CAST(floor(y0 / 32) AS INTEGER) AS first_bin, unnest(range(CAST(floor(y0 / 32) AS INTEGER), CAST(floor(y1 / 32) AS INTEGER) + 1)) AS bin FROM t),
+_PAIRS = f""", t AS MATERIALIZED (SELECT *, (box_no - 1) // 8 AS block_no, (box_no - 1) // 2 AS line_no FROM b_boxes),
+n AS MATERIALIZED (SELECT *, CAST(floor(y0 / 32) AS INTEGER) AS first_bin, unnest(range(CAST(floor(y0 / 32) AS INTEGER), CAST(floor(y1 / 32) AS INTEGER) + 1)) AS bin FROM t),
 p AS (SELECT a.doc_id, a.page_no, a.box_no AS a_box_no, b.box_no AS b_box_no, round({_OVER}, 3) AS overlap,
     a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1
   FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.bin = b.bin

@@ -33,4 +33,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from tessera.plans import extraction, layout, page_checks, page_figures, places, rasters, regions, table_checks, topics, untranslated  # noqa: F401
+    from tessera.plans import extraction, layout, overlaps, page_checks, page_figures, places, rasters, regions, table_checks, topics, untranslated  # noqa: F401
