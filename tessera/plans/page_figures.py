@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.operators import boxes, columns, figures
+from tessera.operators import boxes, columns, figures, ink_similarity, region_checks
 from tessera.operators.components import written
 from tessera.plans.registry import register
 from tessera.sources import bindings
@@ -82,3 +83,20 @@ SELECT page_id, (coalesce(kept, 0) + 1)::INT AS columns, CASE WHEN n < 12 THEN f
 def k17_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many columns every page runs, with how that was told."""
     return columns.detected_columns(bindings.column_lines(spark, sf_dir), PAGE)
+
+
+@register("r12_region_similarity")
+def r12_region_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three regions of every other page sought on the page after it, and the verdict of the visual mode."""
+    ink, pages = bindings.page_ink(spark, sf_dir)
+    ink = written(figures.union(PAGE, ink=ink), "page-ink")
+    spots = F.explode(F.array(*(F.struct(F.lit(n).alias("region"), F.lit(x).alias("x"), F.lit(y).alias("y")) for n, (x, y) in enumerate([(20, 20), (100, 70), (170, 130)]))))
+    regions = pages.where("page_id % 2 = 0").select("page_id", spots.alias("s")).select("page_id", "s.region", "s.x", "s.y")
+
+    def clipped(runs: DataFrame, grow: int) -> DataFrame:
+        met = runs.join(regions, "page_id").where(f"y0 >= y - {grow} AND y0 < y + {24 + grow} AND xs < x + {40 + grow} AND x - {grow} < xe")
+        return met.select("page_id", "region", F.col("y0").alias("y"), F.greatest("xs", F.col("x") - grow).alias("xs"), F.least("xe", F.col("x") + 40 + grow).alias("xe"))
+
+    named = ink.withColumnRenamed("y", "y0")
+    found = ink_similarity.visual_similarity(regions, clipped(named, 0), clipped(named.withColumn("page_id", F.col("page_id") - 1), 12), ["page_id", "region"])
+    return found.withColumn("status", region_checks.visual_status(F.col("visual"), F.lit(region_checks.THRESHOLD)))
