@@ -12,9 +12,10 @@ a class with a head or with its rest.
 The class model is log-linear over features of the DISTANCE last tokens: the class at each distance
 (skips), and the last token's row (its unit, or a hash of the word among ROWS rows). The head model is
 log-linear over the last unit, for each class. Both start from the training tokens' own counts; the
-class model then takes ROUNDS gradient steps. A step's expected counts are summed over all training
-documents by Spark tasks, first in SALTS partial sums; the gradient of a weight is scaled by its
-row's expected count, and features share a step among them.
+class model then takes ROUNDS gradient steps, each over its share of the training documents (by a hash
+of their texts), so that every document moves the weights once. A step's observed and expected counts
+are summed by Spark tasks, first in SALTS partial sums; the gradient of a weight is scaled by its row's
+expected count, and features share a step among them.
 
 Word counts come from all training tokens and grow with them. Documents are read in batches of about
 BATCH_BYTES. A batch asks for each of its distinct words once, counts are summed where the askers of
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import U64, chunks, crc_mod, lower_ascii, mix, slice_hashes, table, text_bytes, word_spans, written
 
-ENDINGS, CLASSES, HEADS, DISTANCE, ROUNDS = 1024, 32, 15, 4, 1
+ENDINGS, CLASSES, HEADS, DISTANCE, ROUNDS = 1024, 64, 15, 4, 2
 UNITS = CLASSES * (HEADS + 1)
 ROWS = 8192  # the first UNITS of them are units
 FREQUENT = 2048
@@ -244,10 +245,13 @@ def summed(rows: np.ndarray, values: np.ndarray, into: np.ndarray) -> None:
 
 def expected(words, weights):
     def gather(total: np.ndarray, h: np.ndarray, cell: np.ndarray, at: np.ndarray) -> None:
-        _, _, _, skips, row = words.value.features(h, cell, at)
-        p = class_chances(weights.value, skips, row)
+        kind, _, _, skips, row = words.value.features(h, cell, at)
+        p, seen = class_chances(weights.value, skips, row), total[_SKIP + _ROW :]
         for d, c in enumerate(skips):
-            summed(c, p, total[d * (CLASSES + 1) * CLASSES : (d + 1) * (CLASSES + 1) * CLASSES].reshape(-1, CLASSES))
+            part = slice(d * (CLASSES + 1) * CLASSES, (d + 1) * (CLASSES + 1) * CLASSES)
+            summed(c, p, total[part].reshape(-1, CLASSES))
+            seen[part] += np.bincount(c * CLASSES + kind, minlength=len(seen[part]))
+        np.add.at(seen, _SKIP + row * CLASSES + kind, 1)
         summed(row, p, total[_SKIP : _SKIP + _ROW].reshape(-1, CLASSES))
 
     return gather
@@ -266,10 +270,13 @@ def train(rows: DataFrame, words, shares: np.ndarray) -> tuple[list[np.ndarray],
     # a feature alone would take the whole of its log ratio; together they take a part each
     weights = [pull * (np.log(n + prior) - np.log((n.sum(1, keepdims=True) + SMOOTH) * shares)) for n in seen]
     weights[-1] += np.log(shares)
-    for _ in range(ROUNDS):
+    # every document moves the weights in one of the steps
+    share = F.pmod(F.xxhash64("text"), F.lit(ROUNDS))
+    for step in range(ROUNDS):
         model = spark.sparkContext.broadcast([w.astype(np.float32) for w in weights])
-        want = _tables(collected(rows, expected(words, model), _SKIP + _ROW))
-        weights = [w + 2 * pull * np.clip(np.log((n + prior) / (e + prior)), -2, 2) for w, n, e in zip(weights, seen, want)]
+        cells = collected(rows.where(share == step), expected(words, model), 2 * (_SKIP + _ROW))
+        want, here = _tables(cells[: _SKIP + _ROW]), _tables(cells[_SKIP + _ROW :])
+        weights = [w + 2 * pull * np.clip(np.log((n + prior) / (e + prior)), -2, 2) for w, n, e in zip(weights, here, want)]
     heads = counts[_SKIP + _ROW :].reshape(UNITS + 1, CLASSES, HEADS + 1)
     overall = heads.sum(0, keepdims=True) + 1e-3
     overall /= overall.sum(2, keepdims=True)

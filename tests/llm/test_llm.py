@@ -320,7 +320,7 @@ def test_language_model_learns_context(spark):
 
 def test_language_model_gains_on_held_out_texts(spark):
     held = maxent_lm.op9_maxent_lm(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("own"), F.sum("base_score").alias("base")).first()
-    assert held.own > 0.95 * held.base  # both negative: at least 5 % fewer digits a token
+    assert held.own > 0.90 * held.base  # both negative: at least 10 % fewer digits a token
 
 
 def test_class_chances_add_up_to_one():
