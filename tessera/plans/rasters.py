@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import crops as cr
-from tessera.operators import raster
+from tessera.operators import raster, sized_crops
 from tessera.plans.registry import register
 from tessera.sources import bindings
 from tessera.sources.bindings import sql
@@ -149,3 +149,24 @@ def k8_crop_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a20_crop_set_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score and verdict of each batch's crops."""
     return cr.set_score(k8_crop_sets(spark, sf_dir), ["batch_id"])
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Crops of the vectors' values as greys, six to eight rows of eight pixels or the same turned."""
+    rows, turned = F.expr("CAST(6 + vec_id % 3 AS INT)"), F.expr("vec_id % 7 = 0")
+    c = bindings.crops(spark, sf_dir).withColumns({"width": F.when(turned, rows).otherwise(8), "height": F.when(turned, 8).otherwise(rows)})
+    c = c.withColumn("pixels", F.transform(F.slice("pixels", 1, F.col("width") * F.col("height")), lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.round(128 + 64 * x, 3)))))
+    return c.where("role = 'master'"), c.where("role <> 'master'")
+
+
+@register("r7_sized_similarity")
+def r7_sized_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crops of unequal size within a topic, those of like aspect."""
+    return sized_crops.sized_pairs(*_sized(spark, sf_dir), GROUP, "vec_id")
+
+
+@register("k8_sized_sets")
+def k8_sized_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each crop's result where crops of a topic have unequal sizes."""
+    m, t = _sized(spark, sf_dir)
+    return cr.crop_status(m, t, cr.paired(sized_crops.sized_pairs(m, t, GROUP, "vec_id"), GROUP), GROUP, "vec_id")
