@@ -65,17 +65,17 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[6:], pa.array(found, pa.float64())], [*batch.schema.names[6:], "score"])
 
 
-def sized_pairs(master: DataFrame, target: DataFrame, by: list[str], key: str) -> DataFrame:
+def sized_pairs(master: DataFrame, target: DataFrame, by: list[str], key: str, target_key: str | None = None) -> DataFrame:
     """(by, m, t, score) of the pairs of a group whose aspects differ by at most ASPECT."""
     aspect = F.col("width") / F.col("height")
     band = F.floor(F.log(aspect) / np.log(ASPECT)).cast("int")
 
-    def side(df: DataFrame, name: str, pixels: str) -> DataFrame:
+    def side(df: DataFrame, key: str, name: str, pixels: str) -> DataFrame:
         fit = df.where((F.col("width") >= LEAST) & (F.col("height") >= LEAST) & (F.size("pixels") == F.col("width") * F.col("height")) & ~F.exists("pixels", F.isnull))
         return fit.select(*by, F.col(key).alias(name), F.col("pixels").cast("array<double>").alias(pixels), F.col("width").alias(f"{pixels}w"), F.col("height").alias(f"{pixels}h"), aspect.alias(f"{pixels}a"), band.alias("band"))
 
-    m = side(master, "m", "p")
-    t = side(target, "t", "q").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    m = side(master, key, "m", "p")
+    t = side(target, target_key or key, "t", "q").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     met = m.join(t, [*by, "band"]).where(F.greatest("pa", "qa") / F.least("pa", "qa") <= ASPECT)
     rows = met.select("p", "pw", "ph", "q", "qw", "qh", *by, "m", "t")
     kinds = dict(rows.dtypes)

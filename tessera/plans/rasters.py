@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import crops as cr
-from tessera.operators import raster, sized_crops
+from tessera.operators import crop_search, raster, sized_crops
 from tessera.plans.registry import register
 from tessera.sources import bindings
 from tessera.sources.bindings import sql
@@ -170,3 +170,14 @@ def k8_sized_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each crop's result where crops of a topic have unequal sizes."""
     m, t = _sized(spark, sf_dir)
     return cr.crop_status(m, t, cr.paired(sized_crops.sized_pairs(m, t, GROUP, "vec_id"), GROUP), GROUP, "vec_id")
+
+
+@register("k9_crop_search")
+def k9_crop_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each crop of the masters sought in its topic's pages of the translation, then in the others."""
+    c = bindings.crops(spark, sf_dir).withColumns({"width": F.lit(8), "height": F.lit(8), "pixels": F.transform("pixels", lambda x: F.round(128 + 64 * x, 3)), "topic": F.col("topic_code").cast("string")})
+    m = c.where("role = 'master'").select("batch_id", F.col("vec_id").alias("no"), F.expr("CAST(1 + vec_id % 20 AS INT)").alias("page_no"), "topic", "width", "height", "pixels")
+    t = c.where("role <> 'master'").select("batch_id", F.col("vec_id").alias("id"), F.expr("CAST(1 + (vec_id * 7) % 20 AS INT)").alias("page"), "topic_code", "topic", "width", "height", "pixels")
+    spans = t.where("topic_code % 3 > 0").groupBy("batch_id", "topic").agg(F.min("page").alias("lo"), F.max("page").alias("hi"))
+    totals = m.select("batch_id").distinct().withColumn("total", F.lit(20))
+    return crop_search.searched(m, t.drop("topic", "topic_code"), spans, totals, ["batch_id"])
