@@ -17,8 +17,8 @@ def merged(checks: list[DataFrame]) -> DataFrame:
 
 
 def replaced(findings: DataFrame, source: str, rows: DataFrame) -> DataFrame:
-    """findings with one source's rows replaced."""
-    return findings.where(F.col("source") != source).unionByName(rows, allowMissingColumns=True)
+    """findings with one source's rows replaced; rows of no source stay."""
+    return findings.where(~F.col("source").eqNullSafe(source)).unionByName(rows, allowMissingColumns=True)
 
 
 def ordered(findings: DataFrame) -> DataFrame:
