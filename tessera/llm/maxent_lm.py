@@ -101,25 +101,29 @@ def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-def _blocks(total: np.ndarray, task: int) -> Iterator[pa.RecordBatch]:
+def _blocks(total: np.ndarray, task: int, kind: str) -> Iterator[pa.RecordBatch]:
     flat = total.ravel()
     for i in range(0, len(flat), BLOCK_CELLS):
-        yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK_CELLS], pa.int32()), pa.array([task % SALTS], pa.int32()), pa.array([flat[i : i + BLOCK_CELLS].astype("<f8").tobytes()], pa.binary())], ["block", "salt", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK_CELLS], pa.int32()), pa.array([task % SALTS], pa.int32()), pa.array([flat[i : i + BLOCK_CELLS].astype(kind).tobytes()], pa.binary())], ["block", "salt", "total"])
 
 
-def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the blocks that reach this task, one array for each block number."""
-    sums: dict[tuple[int, int], np.ndarray] = {}
-    for batch in batches:
-        for block, salt, total in zip(*(batch.column(c).to_pylist() for c in ("block", "salt", "total"))):
-            x = np.frombuffer(total, "<f8")
-            sums[block, salt] = sums[block, salt] + x if (block, salt) in sums else x
-    for (block, salt), x in sorted(sums.items()):
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["block", "salt", "total"])
+def adder(kind: str = "<f8"):
+    """A mapInArrow function that sums the blocks of this kind that reach a task, one array of doubles for each number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for block, salt, total in zip(*(batch.column(c).to_pylist() for c in ("block", "salt", "total"))):
+                x = np.frombuffer(total, kind).astype(float)
+                sums[block, salt] = sums[block, salt] + x if (block, salt) in sums else x
+        for (block, salt), x in sorted(sums.items()):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["block", "salt", "total"])
+
+    return run
 
 
-def collected(rows: DataFrame, gather, cells: int) -> np.ndarray:
-    """The sum over all tasks of what gather adds up, an array of a fixed number of cells."""
+def collected(rows: DataFrame, gather, cells: int, kind: str = "<f8") -> np.ndarray:
+    """The sum over all tasks of what gather adds up, an array of a fixed number of cells; tasks send it as kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells)
@@ -127,11 +131,11 @@ def collected(rows: DataFrame, gather, cells: int) -> np.ndarray:
             raw, offsets = text_bytes(batch.column("text"))
             for a, b in chunks(offsets, CHUNK):
                 gather(total, *tokens(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-        yield from _blocks(total, TaskContext.get().partitionId())
+        yield from _blocks(total, TaskContext.get().partitionId(), kind)
 
     schema = "block int, salt int, total binary"
-    part = rows.select("text").mapInArrow(run, schema).repartition("block", "salt").mapInArrow(added, schema)
-    whole = part.withColumn("salt", F.lit(0)).repartition("block").mapInArrow(added, schema)
+    part = rows.select("text").mapInArrow(run, schema).repartition("block", "salt").mapInArrow(adder(kind), schema)
+    whole = part.withColumn("salt", F.lit(0)).repartition("block").mapInArrow(adder(), schema)
     total = np.zeros(cells)
     for r in whole.collect():
         x = np.frombuffer(bytes(r.total), "<f8")
@@ -227,30 +231,41 @@ def observed(words):
 def class_chances(weights: list[np.ndarray], skips: list[np.ndarray], row: np.ndarray) -> np.ndarray:
     """weights: one array for each distance, then the rows' (with the bias)."""
     s = weights[-1][row]
-    for w, c in zip(weights, skips):
-        s += w[c]
+    for d in range(0, DISTANCE, 2):
+        # two distances at a time, by their sums for each pair of classes
+        pair = (weights[d][:, None] + weights[d + 1][None]).reshape(-1, CLASSES)
+        s += pair[skips[d] * (CLASSES + 1) + skips[d + 1]]
     s -= s.max(1, keepdims=True)
     np.exp(s, out=s)
     s /= s.sum(1, keepdims=True)
     return s
 
 
-def summed(rows: np.ndarray, values: np.ndarray, into: np.ndarray) -> None:
-    """into[r] += values where rows == r."""
+def grouped(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, ascending, and the sum of the values of each."""
     order = np.argsort(rows.astype(np.uint16), kind="stable")
     sorted_rows = rows[order]
     first = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-    into[sorted_rows[first]] += np.add.reduceat(values[order], first, axis=0)
+    return sorted_rows[first], np.add.reduceat(values[order], first, axis=0)
+
+
+def summed(rows: np.ndarray, values: np.ndarray, into: np.ndarray) -> None:
+    """into[r] += values where rows == r."""
+    found, sums = grouped(rows, values)
+    into[found] += sums
 
 
 def expected(words, weights):
     def gather(total: np.ndarray, h: np.ndarray, cell: np.ndarray, at: np.ndarray) -> None:
         kind, _, _, skips, row = words.value.features(h, cell, at)
         p, seen = class_chances(weights.value, skips, row), total[_SKIP + _ROW :]
+        part = [slice(d * (CLASSES + 1) * CLASSES, (d + 1) * (CLASSES + 1) * CLASSES) for d in range(DISTANCE)]
+        for d in range(0, DISTANCE, 2):
+            pairs, sums = grouped(skips[d] * (CLASSES + 1) + skips[d + 1], p)
+            summed(pairs // (CLASSES + 1), sums, total[part[d]].reshape(-1, CLASSES))
+            summed(pairs % (CLASSES + 1), sums, total[part[d + 1]].reshape(-1, CLASSES))
         for d, c in enumerate(skips):
-            part = slice(d * (CLASSES + 1) * CLASSES, (d + 1) * (CLASSES + 1) * CLASSES)
-            summed(c, p, total[part].reshape(-1, CLASSES))
-            seen[part] += np.bincount(c * CLASSES + kind, minlength=len(seen[part]))
+            seen[part[d]] += np.bincount(c * CLASSES + kind, minlength=len(seen[part[d]]))
         np.add.at(seen, _SKIP + row * CLASSES + kind, 1)
         summed(row, p, total[_SKIP : _SKIP + _ROW].reshape(-1, CLASSES))
 
@@ -274,7 +289,7 @@ def train(rows: DataFrame, words, shares: np.ndarray) -> tuple[list[np.ndarray],
     share = F.pmod(F.xxhash64("text"), F.lit(ROUNDS))
     for step in range(ROUNDS):
         model = spark.sparkContext.broadcast([w.astype(np.float32) for w in weights])
-        cells = collected(rows.where(share == step), expected(words, model), 2 * (_SKIP + _ROW))
+        cells = collected(rows.where(share == step), expected(words, model), 2 * (_SKIP + _ROW), "<f4")
         want, here = _tables(cells[: _SKIP + _ROW]), _tables(cells[_SKIP + _ROW :])
         weights = [w + 2 * pull * np.clip(np.log((n + prior) / (e + prior)), -2, 2) for w, n, e in zip(weights, here, want)]
     heads = counts[_SKIP + _ROW :].reshape(UNITS + 1, CLASSES, HEADS + 1)
