@@ -116,7 +116,7 @@ def page_ink(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     box = lambda x, y, w, h: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), w.cast("int").alias("w"), h.cast("int").alias("h"))
     blot = box(x, y, 4 + at % 15, 3 + at % 11)
     rule = box(F.lit(10) + 0 * at, (at % 7) * 25 + 5, 90 + at % 60, 1 + at % 3)
-    post = box((at % 6) * 25 + 10, F.lit(5) + 0 * at, 1 + at % 2, 80 + at % 70)
+    post = box((at % 6) * 25 + 10, F.lit(5) + 0 * at, 1 + at % 2, 36 + at % 40)
     stroke = box(x, y, 30 + at % 20, 1 + at % 2)
     shape = F.when(kind < 2, blot).when(kind == 2, rule).when(kind == 3, post).otherwise(stroke)
     drawn = li.select(F.expr("l_orderkey div 16").alias("page_id"), shape.alias("b")).where("b.x < 240")
