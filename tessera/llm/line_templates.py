@@ -9,10 +9,14 @@ least MIN_CONST of its fields are constant; of a recurring template the first li
 doc_id, then line number) stays and all others are dropped. Lines of under MIN_TOKENS tokens always
 stay, and so do lines that recur within one document only.
 
+With least_const, a template also recurs where fewer of its fields are constant, if at least
+least_const are and every other field holds digits, as in `Page 3 of 10`: nothing but numbers then
+differs from line to line, and prose that shares its leading tokens only is left alone.
+
 With identical, lines that are the same byte for byte in MIN_DOCS documents or more go too, however
 few tokens they have and however many of these hold digits; the first stays. Lines of under
-MIN_BYTES bytes, blanks around them not counted, may be short prose and stay. The query's SQL has no
-such rule, so the query goes without; the pipeline's line dedup has it.
+MIN_BYTES bytes, blanks around them not counted, may be short prose and stay. The query's SQL has neither
+rule, so the query goes without; the pipeline's line dedup has both.
 
 Identical lines are counted before their tokens are looked at, small tables are written so that
 joins on a very common line can be split, and documents are joined with nothing but their own list
@@ -72,7 +76,7 @@ def _after_first(held: DataFrame, group: list[str], min_docs: int, name: str) ->
     return held.join(recurring, group).where(~place.eqNullSafe(F.col("first"))).select(*KEY, "line_no")
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, min_const: float = MIN_CONST, identical: bool = False) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, min_const: float = MIN_CONST, identical: bool = False, least_const: int | None = None) -> DataFrame:
     """(key, key2, line_no) of the lines to drop from docs(key, key2, doc_id, text); line_no counts from 0.
 
     Leaves, lines and templates are told apart by 128 bits of their text. The joins that carry text
@@ -92,15 +96,20 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
     fields = distinct.join(several, LEAF).select(*LEAF, *FORM, "n", F.posexplode(F.split("tokens", " ")).alias("at", "token"))
     field = [*LEAF, "at", "token"]
     constant = written(fields.groupBy(*field).agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select(*field, F.lit(True).alias("constant")), "constant-fields")
-    kept = fields.join(constant, field, "left").select(*LEAF, *FORM, "at", F.when(F.col("constant") & (F.col("token") != "<*>"), F.col("token")).alias("token"))
+    kept = fields.join(constant, field, "left").select(*LEAF, *FORM, "at", F.when(F.col("constant") & (F.col("token") != "<*>"), F.col("token")).alias("token"), (F.col("token") != "<*>").alias("word"))
     # a variable field is an empty token in a template's text
     parts = F.sort_array(F.collect_list(F.struct("at", F.coalesce("token", F.lit("")).alias("token"))))
-    mixed = kept.groupBy(*LEAF, *FORM).agg(F.array_join(F.transform(parts, lambda x: x["token"]), " ").alias("text"), (F.count("token") / F.count("*")).alias("share"))
+    n_const, n_words = F.count("token"), F.count_if(F.col("token").isNull() & F.col("word"))
+    mixed = kept.groupBy(*LEAF, *FORM).agg(F.array_join(F.transform(parts, lambda x: x["token"]), " ").alias("text"), (n_const / F.count("*")).alias("share"), n_const.alias("n_const"), n_words.alias("n_words"))
     own = F.split("tokens", " ")
+    fixed = F.size(F.filter(own, lambda t: t != "<*>"))
     alone = distinct.join(several, LEAF, "left_anti").select(
-        *LEAF, *FORM, F.array_join(F.transform(own, lambda t: F.when(t != "<*>", t).otherwise("")), " ").alias("text"), (F.size(F.filter(own, lambda t: t != "<*>")) / F.size(own)).alias("share")
+        *LEAF, *FORM, F.array_join(F.transform(own, lambda t: F.when(t != "<*>", t).otherwise("")), " ").alias("text"), (fixed / F.size(own)).alias("share"), fixed.cast("long").alias("n_const"), F.lit(0).cast("long").alias("n_words")
     )
-    templates = written(mixed.unionByName(alone).where(F.col("share") >= min_const).withColumns(_wide(TEMPLATE, *LEAF, "text")).select(*FORM, *TEMPLATE), "templates")
+    recurs = F.col("share") >= min_const
+    if least_const is not None:
+        recurs = recurs | ((F.col("n_words") == 0) & (F.col("n_const") >= least_const))
+    templates = written(mixed.unionByName(alone).where(recurs).withColumns(_wide(TEMPLATE, *LEAF, "text")).select(*FORM, *TEMPLATE), "templates")
     held = written(common.select(*KEY, "doc_id", "line_no", *FORM).join(templates, FORM).drop(*FORM), "template-lines")
     drops = _after_first(held, TEMPLATE, min_docs, "recurring")
     if not identical:
@@ -111,13 +120,13 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
     return drops.union(_after_first(loose, ["same", "same2"], min_docs, "identical"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, min_const: float = MIN_CONST, identical: bool = False) -> tuple[DataFrame, str, str]:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, min_const: float = MIN_CONST, identical: bool = False, least_const: int | None = None) -> tuple[DataFrame, str, str]:
     """docs with the dropped lines taken out of text and two more columns (long), whose names are returned:
     the number of lines and of dropped ones, __n_lines and __n_dropped, with more underscores where docs has these.
     """
     n_lines, n_dropped, gone, *key = fresh(docs.columns, "__n_lines", "__n_dropped", "__gone", "__key", "__key2")
     keys = [F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "doc_id", "text")]
-    drops = dropped_lines(docs.select(*(k.alias(c) for k, c in zip(keys, KEY)), "doc_id", "text"), min_docs, min_tokens, min_const, identical)
+    drops = dropped_lines(docs.select(*(k.alias(c) for k, c in zip(keys, KEY)), "doc_id", "text"), min_docs, min_tokens, min_const, identical, least_const)
     per_doc = written(drops.groupBy(*KEY).agg(F.collect_set("line_no").alias(gone)).withColumnsRenamed(dict(zip(KEY, key))), "line-drops")
     joined = docs.withColumns(dict(zip(key, keys))).join(per_doc.hint("shuffle_hash"), key, "left")
     lines = F.split("text", "\n")

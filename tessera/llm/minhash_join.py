@@ -29,7 +29,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import U64, chunks, components, mix, table, text_bytes, word_hashes, written
@@ -73,7 +73,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> list[np.nd
 
 
 def signatures(words: int):
-    """A mapInArrow function from (uid, doc_id, text) to set sizes, set digests and signatures."""
+    """A mapInArrow function from (uid, uid2, doc_id, text) to set sizes, set digests and signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +88,7 @@ def signatures(words: int):
                         for x in range(0, len(s), 2048):
                             np.minimum(least, (s[x : x + 2048, None] * _A + _B).min(0), out=least)
                     signature.append((least >> U64(32)).astype("<u4").tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(signature, pa.binary())], ["uid", "doc_id", "n", "digest", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("uid2"), batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(signature, pa.binary())], ["uid", "uid2", "doc_id", "n", "digest", "signature"])
 
     return run
 
@@ -290,16 +290,25 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return written(rows.mapInArrow(confirmed(words, percent), "a long, b long"), "near-links")
 
 
+def row_id() -> list[Column]:
+    """128 bits of doc_id and text as two longs: rows are one document where both are equal."""
+    return [F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "doc_id", "text")]
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(uid, doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text).
+    """(uid, uid2, doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text).
 
-    uid is xxhash64(doc_id, text); kept is true for one doc_id of each component, the smallest.
+    uid and uid2 are the 128 bits of row_id; kept is true for one doc_id of each component, the smallest.
     """
     spark = docs.sparkSession
     least = least_matches(percent)
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text")
-    rows = written(keyed.mapInArrow(signatures(words), "uid long, doc_id long, n long, digest binary, signature binary"), "near-signatures")
-    classes = written(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("uid").alias("uid"), F.first("n").alias("n"), F.first("signature").alias("signature")), "near-classes")
+    uid, uid2 = row_id()
+    keyed = docs.select(uid.alias("uid"), uid2.alias("uid2"), "doc_id", "text")
+    rows = written(keyed.mapInArrow(signatures(words), "uid long, uid2 long, doc_id long, n long, digest binary, signature binary"), "near-signatures")
+    # a class goes by a number of its own (uid), and by the row (row, row2) whose text stands for it
+    row = F.min(F.struct(F.col("uid").alias("row"), F.col("uid2").alias("row2"))).alias("at")
+    sets = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), row, F.first("n").alias("n"), F.first("signature").alias("signature"))
+    classes = written(sets.select("digest", "doc_id", F.monotonically_increasing_id().alias("uid"), "at.row", "at.row2", "n", "signature"), "near-classes")
     cells = classes.select("signature").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # at most SKETCH rows
     counts = np.zeros(SKETCH, np.int64)
     counts[[r.cell for r in cells]] = [r.n for r in cells]
@@ -312,8 +321,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sized = star.join(side.toDF("a", "n_a", "s_a"), "a").join(side.toDF("b", "n_b", "s_b"), "b")
     pairs = written(sized.mapInArrow(agreeing(percent, least), "a long, b long"), "near-pairs")
     # the texts that any list of two or more holds, shuffled once; all later joins read these
-    ids = listed.select("uid").distinct().hint("shuffle_hash")
-    texts = written(keyed.select("uid", "text").join(ids, "uid").dropDuplicates(["uid"]), "near-texts")
+    ids = classes.select("uid", "row", "row2").join(listed.select("uid").distinct(), "uid", "left_semi")
+    named_rows = keyed.select(F.col("uid").alias("row"), F.col("uid2").alias("row2"), "text").join(ids.hint("shuffle_hash"), ["row", "row2"])
+    texts = written(named_rows.select("uid", "text").dropDuplicates(["uid"]), "near-texts")
     links = confirm(pairs, texts, words, percent)
     parts = written(components(links), "near-parts")
     # lists that reach over several components: only members of different ones meet
@@ -341,8 +351,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     known = written(owned.join(named, "root").select("digest", "component_id"), "near-components")
     done = rows.join(known, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return done.select("uid", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return done.select("uid", "uid2", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op3_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).drop("uid")
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).drop("uid", "uid2")
