@@ -1,8 +1,8 @@
 """The training-data pipeline: STAGES in order, each over all that its predecessor kept.
 
-Quality rules reject documents; line dedup drops recurring template lines and identical lines, and the documents that
-it leaves without a word; one document of each near-duplicate group stays; repeated passages are
-cut out; what is left is packed into sequences. Each stage takes documents of any columns among
+Quality rules reject documents; line dedup drops recurring template lines, among them those with numbers in all fields
+but two, and identical lines, and the documents that it leaves without a word; one document of each near-duplicate
+group stays; repeated passages are cut out; what is left is packed into sequences. Each stage takes documents of any columns among
 which are doc_id and text; all but the last return the same columns, n_chars counted anew.
 """
 
@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import fresh, table, written
 from tessera.llm.config_packing import pack
 from tessera.llm.crf_quality import keep_good
 from tessera.llm.line_templates import dedup_lines
-from tessera.llm.minhash_join import near_duplicates
+from tessera.llm.minhash_join import near_duplicates, row_id
 from tessera.llm.suffix_levels import drop_repeats
 
 
@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done, _, n_dropped = dedup_lines(docs, identical=True)
+    done, _, n_dropped = dedup_lines(docs, identical=True, least_const=2)
     done = done.where((F.col(n_dropped) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -32,11 +32,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = written(near_duplicates(docs).where("kept").select(F.col("uid").alias("__uid")).distinct(), "near-kept")
-    keyed = docs.withColumn("__uid", F.xxhash64("doc_id", "text")).join(kept.hint("shuffle_hash"), "__uid")
+    *key, nth = fresh(docs.columns, "__uid", "__uid2", "__nth")
+    kept = near_duplicates(docs).where("kept").select("uid", "uid2").distinct().toDF(*key)
+    keyed = docs.withColumns(dict(zip(key, row_id()))).join(written(kept, "near-kept").hint("shuffle_hash"), key)
     # rows that repeat a doc_id and its text are one document
-    first = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy("__uid").orderBy("doc_id")))
-    return first.where("__nth = 1").select(*docs.columns)
+    first = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(*key).orderBy("doc_id")))
+    return first.where(F.col(nth) == 1).select(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
