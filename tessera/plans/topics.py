@@ -205,7 +205,7 @@ SELECT doc_id, page_no, y, code FROM b WHERE before IS NULL OR key > before""",
 def w6_ascending_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings whose numbers advance."""
     h = _headings(spark, sf_dir).withColumn("size", F.lit(12.0)).withColumn("text", F.concat("code", F.lit(" Title")))
-    body = h.select("doc_id").distinct().select("doc_id", F.lit(1).alias("page_no"), F.lit(0.0).alias("y"), F.lit("").alias("code"), F.lit(10.0).alias("size"), F.expr("repeat('body ', 20000)").alias("text"))
+    body = h.select("doc_id", "page_no", "y", F.lit("").alias("code"), F.lit(10.0).alias("size"), F.expr("repeat('body ', 5)").alias("text"))  # below each heading, longer than it
     return topics.ascending(topics.heading_candidates(h.unionByName(body), ["doc_id"]), ["doc_id"]).select("doc_id", "page_no", "y", "code")
 
 

@@ -25,3 +25,9 @@ def test_a_side_alone_is_no_check_of_section_numbers(spark, orders):
     assert checks == {1: 2, 2: 2}
     totals = {r.doc_id: (r.passed, r.total) for r in registry.queries()["a15_file_summaries"](spark, sf).collect()}
     assert totals == {1: (2, 2), 2: (0, 2)}
+
+
+def test_headings_of_large_documents_stay_headings(spark, orders):
+    # 15,000 headings of nine characters in one document
+    sf = orders([(i, 100 * i) for i in range(15_000)])
+    assert registry.queries()["w6_ascending_headings"](spark, sf).count() > 0
