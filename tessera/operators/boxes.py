@@ -114,7 +114,7 @@ def without_duplicates(boxes: DataFrame, most: float = 0.80) -> DataFrame:
 
 def without_covered(boxes: DataFrame, share: float = 0.85) -> DataFrame:
     """Boxes without those of which 0.85 or more lies in a larger kept one."""
-    return _largest_first(boxes, lambda k, b: _shared(k, b) >= share * (b["x1"] - b["x0"]) * (b["y1"] - b["y0"]))
+    return _largest_first(boxes, lambda k, b: _shared(k, b) >= share * ((b["x1"] - b["x0"]) * (b["y1"] - b["y0"])))
 
 
 def clean_boundaries(rows: DataFrame, by: list[str], value: str, gap: float = 10.0) -> DataFrame:

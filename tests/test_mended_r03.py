@@ -1,7 +1,9 @@
 """Cases of the review's third round, each one wrong before its change."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.operators import boxes
 from tessera.plans import registry
 
 
@@ -31,3 +33,12 @@ def test_headings_of_large_documents_stay_headings(spark, orders):
     # 15,000 headings of nine characters in one document
     sf = orders([(i, 100 * i) for i in range(15_000)])
     assert registry.queries()["w6_ascending_headings"](spark, sf).count() > 0
+
+
+@pytest.mark.parametrize(("box", "cut", "covered"), [((1826.0, 12.59, 1854.0, 24.59), 22.79, True), ((3267.0, 8.94, 3315.0, 17.94), 16.59, False)])
+def test_shares_of_areas_are_rounded_as_in_sql(spark, box, cut, covered):
+    x0, y0, x1, y1 = box
+    larger = (x0 - 500, y0 - 500.0, x1 + 500, cut)
+    df = spark.createDataFrame([(1, 1, 1, *larger), (1, 1, 2, *box)], "doc_id int, page_no int, box_no int, x0 double, y0 double, x1 double, y1 double")
+    assert [r.box_no for r in boxes.without_covered(df).collect()] == ([1] if covered else [1, 2])
+    assert df.where("box_no = 2").select(F.expr(f"(x1 - x0) * ({cut} - y0) >= 0.85D * ((x1 - x0) * (y1 - y0))")).first()[0] == covered
