@@ -2,8 +2,9 @@
 
 Ink: (key..., y, xs, xe), xe exclusive, disjoint runs a row; key names the page. Union, intersection and
 difference are one sweep along each row; a dilation repeats widened runs in the rows it reaches and
-sweeps them together. Nothing is turned into pixels but the runs that are looked through by column. Only
-the naming of connected runs sees a page at a time, as arrays: a page's runs are bounded by its size.
+merges them. Nothing is turned into pixels but the runs that are looked through by column. Only this and
+the naming of connected runs see whole pages, as arrays: some pages at a time, one below the other with a
+blank row between them. A page's runs are bounded by its size.
 
 Pages without ink have no rows anywhere. Runs that are null, empty or reversed are no ink. Runs that
 overlap or repeat count once. Long strokes are runs of the given length within the page; nothing is taken
@@ -12,6 +13,7 @@ to lie beyond its edges.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from math import sqrt
 
 import numpy as np
@@ -27,6 +29,7 @@ RULE_PT, GAP_PT, EDGE_PT, EDGE_SHARE = 26.0, 10.0, 10.0, 0.12
 DIVIDER_SPAN, DIVIDER_FULL, DIVIDER_LEAST, DIVIDER_ASPECT = 0.70, 0.95, 0.40, 20.0
 CROSSING_INK, CROSSING_SHARE = 20, 0.03
 RULE_ONLY, SMALL_RULE_ONLY, SMALL_PT2, NESTED = 0.92, 0.60, 1000.0, 0.85
+PIXELS = 4_000_000  # of the pages that are looked through together
 
 
 def sweep(key: list[str], keep: Column, **layers: DataFrame) -> DataFrame:
@@ -36,6 +39,8 @@ def sweep(key: list[str], keep: Column, **layers: DataFrame) -> DataFrame:
         ends = F.explode(F.array(F.struct(F.col("xs").alias("x"), F.lit(1).alias("n")), F.struct(F.col("xe").alias("x"), F.lit(-1).alias("n"))))
         one = runs.where("xs < xe").select(*key, "y", ends.alias("e")).select(*key, "y", "e.x", *(F.col("e.n").alias(n) if n == name else F.lit(0).alias(n) for n in layers))
         events = one if events is None else events.union(one)
+    if len(layers) > 1:
+        events = events.repartition(*key)  # rows of a page stay together in what follows
     row = Window.partitionBy(*key, "y").orderBy("x")
     pieces = events.select(*key, "y", "x", F.lead("x").over(row).alias("to"), *((F.sum(n).over(row) > 0).alias(n) for n in layers))
     pieces = pieces.where(keep & (F.col("to") > F.col("x")))
@@ -45,10 +50,17 @@ def sweep(key: list[str], keep: Column, **layers: DataFrame) -> DataFrame:
 
 
 def union(key: list[str], **layers: DataFrame) -> DataFrame:
-    held = F.lit(False)
-    for name in layers:
-        held = held | F.col(name)
-    return sweep(key, held, **layers)
+    """Maximal runs of all layers; runs that overlap or touch are one."""
+    rows = None
+    for runs in layers.values():
+        one = runs.where("xs < xe").select(*key, "y", "xs", "xe")
+        rows = one if rows is None else rows.union(one)
+    if len(layers) > 1:
+        rows = rows.repartition(*key)
+    row = Window.partitionBy(*key, "y").orderBy("xs").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    new = F.when(F.col("xs") <= F.max("xe").over(row.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
+    runs = rows.withColumn("new", new).select(*key, "y", "xs", "xe", F.sum("new").over(row).alias("run"))
+    return runs.groupBy(*key, "y", "run").agg(F.min("xs").alias("xs"), F.max("xe").alias("xe")).select(*key, "y", "xs", "xe")
 
 
 def minus(key: list[str], ink: DataFrame, taken: DataFrame) -> DataFrame:
@@ -98,21 +110,70 @@ def _labels(y: np.ndarray, xs: np.ndarray, xe: np.ndarray) -> np.ndarray:
             return label
 
 
+def _by_pages(key: list[str], ink: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """run on the ink of some whole pages at a time, in order of y and xs, with n, the run's number in its page, from 1."""
+
+    def in_order(runs: pd.DataFrame) -> pd.DataFrame:
+        n = runs["n"].to_numpy()
+        order = np.lexsort((runs["xs"].to_numpy(), runs["y"].to_numpy(), (n == 1).cumsum()))
+        return runs.iloc[order].reset_index(drop=True).assign(n=n)
+
+    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
+        for frame in frames:
+            first = np.flatnonzero(frame["n"].to_numpy() == 1)
+            if len(first):
+                done = pd.concat([*held, frame.iloc[: first[-1]]], ignore_index=True)
+                held = []
+                if len(done):
+                    yield run(in_order(done))
+                frame = frame.iloc[first[-1] :]
+            held.append(frame)
+        if held and len(rest := pd.concat(held, ignore_index=True)):
+            yield run(in_order(rest))
+
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(*key))  # brings pages together, in any order
+    return ink.where("xs < xe").select(*key, "y", "xs", "xe", number.alias("n")).mapInPandas(whole, schema)
+
+
+class _Stack:
+    """Pages one below the other, with a blank row after each."""
+
+    def __init__(self, runs: pd.DataFrame):
+        one = runs["n"].to_numpy() == 1
+        self.first, self.page = np.flatnonzero(one), one.cumsum() - 1
+        self.y, self.xs, self.xe = (runs[c].to_numpy(np.int64) for c in ("y", "xs", "xe"))
+        self.top = self.y[self.first]
+        height = self.y[np.append(self.first[1:], len(runs)) - 1] - self.top + 2
+        self.start = height.cumsum() - height
+        self.rows, self.left = int(height.sum()), int(self.xs.min())
+        self.wide = int(self.xe.max()) - self.left
+        self.row = self.y + (self.start - self.top)[self.page]
+
+    def pages_of(self, row: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.start, row, "right") - 1
+
+
+def _boxed(y: np.ndarray, xs: np.ndarray, xe: np.ndarray, part: np.ndarray) -> dict[str, np.ndarray]:
+    """The box of each run's part."""
+    found = {}
+    for name, values, f in (("x0", xs, np.minimum), ("y0", y, np.minimum), ("x1", xe, np.maximum), ("y1", y + 1, np.maximum)):
+        best = values.copy()
+        f.at(best, part, values)
+        found[name] = best[part]
+    return found
+
+
 def labelled(key: list[str], ink: DataFrame) -> DataFrame:
     """Runs with part, equal for runs of a page (group of key) that are connected, diagonals included, and the part's box."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["y", "xs"], ignore_index=True)
-        y, xs, xe = (group[c].to_numpy(np.int64) for c in ("y", "xs", "xe"))
-        part = _labels(y, xs - xs.min(), xe - xs.min())
-        for name, values, f in (("x0", xs, np.minimum), ("y0", y, np.minimum), ("x1", xe, np.maximum), ("y1", y + 1, np.maximum)):
-            best = values.copy()
-            f.at(best, part, values)
-            group[name] = best[part]
-        return group.assign(part=part)[[*key, "y", "xs", "xe", "part", "x0", "y0", "x1", "y1"]]
+    def run(runs: pd.DataFrame) -> pd.DataFrame:
+        s = _Stack(runs)
+        part = _labels(s.row, s.xs - s.left, s.xe - s.left)
+        return runs.assign(**_boxed(s.y, s.xs, s.xe, part), part=part - s.first[s.page])[[*key, "y", "xs", "xe", "part", "x0", "y0", "x1", "y1"]]
 
     kinds = ", ".join(f"{c} {t}" for c, t in ink.select(*key, "y", "xs", "xe").dtypes)
-    return ink.where("xs < xe").select(*key, "y", "xs", "xe").groupBy(*key).applyInPandas(run, f"{kinds}, part long, x0 int, y0 int, x1 int, y1 int")
+    return _by_pages(key, ink, run, f"{kinds}, part long, x0 int, y0 int, x1 int, y1 int")
 
 
 def extents(key: list[str], parts: DataFrame) -> DataFrame:
@@ -129,29 +190,41 @@ def _long_runs(m: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     return y[long], start[long], end[long]
 
 
-def strokes(key: list[str], ink: DataFrame, length: int) -> DataFrame:
+def _strokes(key: list[str], runs: pd.DataFrame, length: int, thick: int | None = None) -> pd.DataFrame:
+    """The strokes of some pages; with thick, only those whose connected ones of their direction are at most as thick."""
+    s = _Stack(runs)
+    if len(s.first) > 1 and s.rows * s.wide > PIXELS:
+        middle = s.first[len(s.first) // 2]
+        halves = runs.iloc[:middle], runs.iloc[middle:]
+        return pd.concat([_strokes(key, h.reset_index(drop=True), length, thick) for h in halves], ignore_index=True)
+    m = np.zeros((s.rows, s.wide + 1), np.int32)
+    np.add.at(m, (s.row, s.xs - s.left), 1)
+    np.add.at(m, (s.row, s.xe - s.left), -1)
+    m = m.cumsum(1)[:, :-1] > 0
+    down = np.zeros((s.wide, s.rows + 1), np.int8)
+    x, start, end = _long_runs(np.ascontiguousarray(m.T), length)
+    down[x, start], down[x, end] = 1, -1  # runs of a column don't touch
+    found = []
+    for d, (row, xs, xe) in enumerate((_long_runs(m, length), _long_runs(np.ascontiguousarray(down.cumsum(1, np.int8)[:, :-1].T) > 0, 1))):
+        if thick is not None and len(row):
+            box = _boxed(row, xs, xe, _labels(row, xs, xe))
+            thin = (box["x1"] - box["x0"] if d else box["y1"] - box["y0"]) <= thick
+            row, xs, xe = row[thin], xs[thin], xe[thin]
+        page = s.pages_of(row)
+        rows = {"down": np.full(len(row), bool(d)), "y": row + (s.top - s.start)[page], "xs": xs + s.left, "xe": xe + s.left}
+        found.append(runs[key].iloc[s.first[page]].reset_index(drop=True).assign(**rows))
+    return pd.concat(found, ignore_index=True)
+
+
+def strokes(key: list[str], ink: DataFrame, length: int, thick: int | None = None) -> DataFrame:
     """Ink in straight runs of at least length pixels, as runs of rows: (key, down, y, xs, xe), down: along columns.
 
-    A page's raster is looked through by rows and by columns.
+    A page's raster is looked through by rows and by columns. With thick, strokes stay that are connected, among those
+    of one direction, to nothing that is thicker across.
     """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        y, xs, xe = (group[c].to_numpy(np.int64) for c in ("y", "xs", "xe"))
-        top, left = y.min(), xs.min()
-        m = np.zeros((y.max() - top + 1, xe.max() - left + 1), np.int32)
-        np.add.at(m, (y - top, xs - left), 1)
-        np.add.at(m, (y - top, xe - left), -1)
-        m = m.cumsum(1) > 0
-        down = np.zeros((m.shape[1], m.shape[0] + 1), np.int8)
-        x, start, end = _long_runs(m.T, length)
-        down[x, start], down[x, end] = 1, -1  # runs of a column don't touch
-        found = [_long_runs(m, length), _long_runs(down.cumsum(1)[:, :-1].T > 0, 1)]
-        rows = [pd.DataFrame({"down": bool(d), "y": a + top, "xs": b + left, "xe": c + left}) for d, (a, b, c) in enumerate(found)]
-        return pd.concat(rows).assign(**{c: group[c].iloc[0] for c in key})[[*key, "down", "y", "xs", "xe"]]
-
     kinds = dict(ink.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in key), "down boolean", *(f"{c} {kinds[c]}" for c in ("y", "xs", "xe"))])
-    return ink.where("xs < xe").select(*key, "y", "xs", "xe").groupBy(*key).applyInPandas(run, schema)
+    return _by_pages(key, ink, lambda runs: _strokes(key, runs, length, thick), schema)
 
 
 def thin_rules(key: list[str], ink: DataFrame, length: int, thick: int | None = None) -> DataFrame:
@@ -160,8 +233,7 @@ def thin_rules(key: list[str], ink: DataFrame, length: int, thick: int | None =
     A filled disc has long runs through its middle as well, but they are connected to something thick.
     """
     thick = max(3, round(length * THICK_SHARE)) if thick is None else thick
-    through = F.when(F.col("down"), F.col("x1") - F.col("x0")).otherwise(F.col("y1") - F.col("y0"))
-    return union(key, ink=labelled([*key, "down"], strokes(key, ink, length)).where(through <= thick))
+    return union(key, ink=strokes(key, ink, length, thick))
 
 
 def without_isolated_rules(key: list[str], ink: DataFrame, pages: DataFrame, length: int, rules: DataFrame | None = None) -> DataFrame:

@@ -119,7 +119,8 @@ def page_ink(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     post = box((at % 6) * 25 + 10, F.lit(5) + 0 * at, 1 + at % 2, 36 + at % 40)
     stroke = box(x, y, 30 + at % 20, 1 + at % 2)
     shape = F.when(kind < 2, blot).when(kind == 2, rule).when(kind == 3, post).otherwise(stroke)
-    drawn = li.select(F.expr("l_orderkey div 16").alias("page_id"), shape.alias("b")).where("b.x < 240")
+    # shapes are brought together by page before they are cut into rows
+    drawn = li.select(F.expr("l_orderkey div 16").alias("page_id"), shape.alias("b")).where("b.x < 240").repartition("page_id")
     ink = drawn.select("page_id", F.explode(F.sequence(F.col("b.y"), F.least(F.lit(199), F.col("b.y") + F.col("b.h") - 1))).alias("y"), F.col("b.x").alias("xs"), F.least(F.lit(240), F.col("b.x") + F.col("b.w")).alias("xe"))
     pages = li.select(F.expr("l_orderkey div 16").alias("page_id")).distinct().withColumns({"width": F.lit(240), "height": F.lit(200)})
     return ink, pages

@@ -1,9 +1,10 @@
 """Cases of the review's third round, each one wrong before its change."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import boxes
+from tessera.operators import boxes, figures
 from tessera.plans import registry
 
 
@@ -42,3 +43,20 @@ def test_shares_of_areas_are_rounded_as_in_sql(spark, box, cut, covered):
     df = spark.createDataFrame([(1, 1, 1, *larger), (1, 1, 2, *box)], "doc_id int, page_no int, box_no int, x0 double, y0 double, x1 double, y1 double")
     assert [r.box_no for r in boxes.without_covered(df).collect()] == ([1] if covered else [1, 2])
     assert df.where("box_no = 2").select(F.expr(f"(x1 - x0) * ({cut} - y0) >= 0.85D * ((x1 - x0) * (y1 - y0))")).first()[0] == covered
+
+
+def test_pages_are_looked_through_some_at_a_time(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(p), int(y), int(x), int(x + w)) for p, y, x, w in zip(rng.integers(0, 9, 400), rng.integers(0, 20, 400), rng.integers(0, 30, 400), rng.integers(1, 12, 400))]
+    ink = figures.union(["p"], ink=spark.createDataFrame(rows, "p int, y int, xs int, xe int"))
+    found = {}
+    for size in ("10000", "7"):  # batches of 7 rows cut pages
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            steps = [figures.labelled(["p"], ink), figures.strokes(["p"], ink, 5), figures.strokes(["p"], ink, 5, 2), figures.thin_rules(["p"], ink, 5)]
+            found[size] = [sorted(map(tuple, s.collect())) for s in steps]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found["7"] == found["10000"] and all(found["7"])
+    for s in steps:
+        assert "FlatMapGroupsInPandas" not in s._jdf.queryExecution().toString()  # one call a page
