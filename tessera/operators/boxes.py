@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
-from tessera.operators.components import connected_components
+from tessera.operators.components import page_components, written
 from tessera.operators.spatial import PAGE, pairs
 
 Near = Callable[[tuple, tuple], Column]
@@ -64,19 +64,18 @@ def merged(boxes: DataFrame, near: Near, pad: float, extra: list[str] | None = N
     """
     extra = extra or []
     key = [*PAGE, *extra]
-    now = boxes.select(*key, "box_no", *[F.col(c).cast("double").alias(c) for c in g.BOX], F.lit(1).cast("long").alias("parts"))
+    now = written(boxes.select(*key, "box_no", *[F.col(c).cast("double").alias(c) for c in g.BOX], F.lit(1).cast("long").alias("parts")), "boxes")
     for _ in range(max_rounds):
         met = pairs(now, now, (F.col("a_box_no") < F.col("b_box_no")) & near(g.box("a_"), g.box("b_")), pad=pad)
         for c in extra:
             met = met.where(F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")))
-        edges = met.select(*PAGE, F.col("a_box_no").alias("a"), F.col("b_box_no").alias("b")).cache()
-        if not edges.limit(1).count():
-            edges.unpersist()
+        edges = met.select(*PAGE, F.col("a_box_no").alias("a"), F.col("b_box_no").alias("b"))
+        label = written(page_components(edges, PAGE), "labels")
+        if not label.limit(1).count():
             return now
-        label = connected_components(now.select(*PAGE, "box_no"), edges, PAGE, "box_no")
-        joined = now.join(label, [*PAGE, "box_no"])
-        now = joined.groupBy(*key, F.col("component").alias("box_no")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("parts").alias("parts"))
-        edges.unpersist()
+        joined = now.join(label.withColumnRenamed("n", "box_no"), [*PAGE, "box_no"], "left")
+        part = F.coalesce("label", "box_no")
+        now = written(joined.groupBy(*key, part.alias("box_no")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("parts").alias("parts")), "boxes")
     raise RuntimeError(f"boxes still merged after {max_rounds} rounds")
 
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,3 +46,56 @@ def connected_components(nodes: DataFrame, edges: DataFrame, key: list[str], nod
     else:
         raise RuntimeError(f"labels still moved after {max_rounds} rounds")
     return nodes.join(labels.select(*key, F.col("n").alias(node), F.col("label").alias("component")), [*key, node])
+
+
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of the nodes 0 to n - 1 that each one is connected with by edges a to b."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], least)
+        np.minimum.at(label, label[b], least)
+        label = label[label]
+        while (label != label[label]).any():
+            label = label[label]
+        if (label == before).all():
+            return label
+
+
+def page_components(edges: DataFrame, key: list[str]) -> DataFrame:
+    """(key, n, label): nodes with an edge and the least node of their component, for groups of key that are bounded, as pages are.
+
+    edges: key columns, a, b. Some groups at a time are held in a task.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        group = (rows["i"].to_numpy() == 1).cumsum() - 1
+        first = np.flatnonzero(rows["i"].to_numpy() == 1)
+        value, g = np.concatenate([rows["a"].to_numpy(), rows["b"].to_numpy()]), np.concatenate([group, group])
+        order = np.lexsort((value, g))
+        new = np.append(True, (np.diff(value[order]) != 0) | (np.diff(g[order]) != 0))
+        node = np.empty(len(order), np.int64)
+        node[order] = new.cumsum() - 1
+        value, g = value[order][new], g[order][new]
+        label = least_labels(len(value), node[: len(rows)], node[len(rows) :])
+        return rows[key].iloc[first[g]].reset_index(drop=True).assign(n=value, label=value[label])
+
+    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
+        for frame in frames:
+            first = np.flatnonzero(frame["i"].to_numpy() == 1)
+            if len(first):
+                done = pd.concat([*held, frame.iloc[: first[-1]]], ignore_index=True)
+                held = []
+                if len(done):
+                    yield run(done)
+                frame = frame.iloc[first[-1] :]
+            held.append(frame)
+        if held and len(rest := pd.concat(held, ignore_index=True)):
+            yield run(rest)
+
+    kinds = dict(edges.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in key), f"n {kinds['a']}", f"label {kinds['a']}"])
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(*key))  # brings groups together, in any order
+    return edges.select(*key, "a", "b", number.alias("i")).mapInPandas(whole, schema)

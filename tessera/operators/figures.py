@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.components import written
+from tessera.operators.components import least_labels, written
 
 # fixed values: shares and sizes of the rules below
 THICK_SHARE, MIN_SPAN, MIN_JUNCTIONS = 0.18, 0.25, 4
@@ -97,17 +97,7 @@ def _labels(y: np.ndarray, xs: np.ndarray, xe: np.ndarray) -> np.ndarray:
     count = np.maximum(0, last - first)
     a = np.repeat(np.arange(n), count)
     b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        least = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], least)
-        np.minimum.at(label, label[b], least)
-        label = label[label]
-        while (label != label[label]).any():
-            label = label[label]
-        if (label == before).all():
-            return label
+    return least_labels(n, a, b)
 
 
 def _by_pages(key: list[str], ink: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

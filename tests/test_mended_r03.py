@@ -1,10 +1,12 @@
 """Cases of the review's third round, each one wrong before its change."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import boxes, figures
+from tessera.operators import boxes, components, figures
 from tessera.plans import registry
 
 
@@ -60,3 +62,27 @@ def test_pages_are_looked_through_some_at_a_time(spark):
     assert found["7"] == found["10000"] and all(found["7"])
     for s in steps:
         assert "FlatMapGroupsInPandas" not in s._jdf.queryExecution().toString()  # one call a page
+
+
+def test_a_round_of_merging_is_two_tables(spark):
+    # a chain of 64 boxes on one page and two that stand alone: one round merges, one finds nothing
+    chain = [(1, 1, i, 10.0 * i, 0.0, 10.0 * i + 10, 10.0) for i in range(64)]
+    df = spark.createDataFrame([*chain, (1, 1, 99, 0.0, 500.0, 5.0, 505.0), (2, 1, 1, 0.0, 0.0, 5.0, 5.0)], "doc_id int, page_no int, box_no int, x0 double, y0 double, x1 double, y1 double")
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "tessera"
+    before = len(list(folder.glob("*")))
+    got = sorted((r.doc_id, r.box_no, r.x0, r.x1, r.parts) for r in boxes.merged(df, boxes.touching(2.0), 2.0).collect())
+    assert got == [(1, 0, 0.0, 640.0, 64), (1, 99, 0.0, 5.0, 1), (2, 1, 0.0, 5.0, 1)]
+    assert len(list(folder.glob("*"))) - before == 4
+
+
+def test_components_of_pages_equal_those_by_rounds(spark):
+    rng = np.random.default_rng(5)
+    edges = spark.createDataFrame([(int(k), int(a), int(b)) for k, a, b in zip(rng.integers(0, 7, 120), rng.integers(0, 40, 120), rng.integers(0, 40, 120))], "k int, a long, b long")
+    nodes = edges.select("k", F.col("a").alias("n")).union(edges.select("k", "b")).distinct()
+    want = sorted(map(tuple, components.connected_components(nodes, edges, ["k"], "n").select("k", "n", "component").collect()))
+    for size in ("10000", "5"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert sorted(map(tuple, components.page_components(edges, ["k"]).collect())) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
