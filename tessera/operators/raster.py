@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.components import connected_components
+from tessera.operators.components import page_components
 
 BAND = 32
 
@@ -59,8 +59,8 @@ def ink_components(ink: DataFrame) -> DataFrame:
     named = ink.withColumn("run", F.col("y").cast("long") * 1_000_000 + F.col("xs"))
     upper = named.select("doc_id", (F.col("y") + 1).alias("y"), F.col("xs").alias("us"), F.col("xe").alias("ue"), F.col("run").alias("a"))
     edges = upper.join(named, ["doc_id", "y"]).where("us <= xe AND xs <= ue").select("doc_id", "a", F.col("run").alias("b"))
-    labels = connected_components(named.select("doc_id", "run"), edges, ["doc_id"], "run")
-    met = named.join(labels, ["doc_id", "run"])
+    labels = page_components(edges, ["doc_id"]).withColumnRenamed("n", "run")
+    met = named.join(labels, ["doc_id", "run"], "left").withColumn("component", F.coalesce("label", "run"))
     return met.groupBy("doc_id", "component").agg(F.min("xs").alias("x0"), F.min("y").alias("y0"), F.max("xe").alias("x1"), (F.max("y") + 1).alias("y1"), F.sum(F.col("xe") - F.col("xs")).alias("ink")).withColumn("first_y", F.floor(F.col("component") / 1_000_000).cast("int")).withColumn("first_x", (F.col("component") % 1_000_000).cast("int")).drop("component")
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import boxes, components, figures
+from tessera.operators import boxes, components, figures, raster
 from tessera.plans import registry
 
 
@@ -86,3 +86,13 @@ def test_components_of_pages_equal_those_by_rounds(spark):
             assert sorted(map(tuple, components.page_components(edges, ["k"]).collect())) == want
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_ink_components_take_no_rounds(spark):
+    # a diagonal chain of 40 runs and a run that stands alone
+    rows = [(1, y, y, y + 1) for y in range(40)] + [(1, 3, 20, 22), (2, 0, 0, 4)]
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "tessera"
+    before = len(list(folder.glob("*")))
+    got = raster.ink_components(spark.createDataFrame(rows, "doc_id int, y int, xs int, xe int")).collect()
+    assert sorted((r.doc_id, r.x0, r.y0, r.x1, r.y1, r.ink) for r in got) == [(1, 0, 0, 40, 40, 40), (1, 20, 3, 22, 4, 2), (2, 0, 0, 4, 1, 4)]
+    assert len(list(folder.glob("*"))) == before
