@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_groups(rows: DataFrame, key: list[str], order: list[str], run: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """run on the rows of some whole groups of key at a time, sorted by order, and on the places where groups begin.
+
+    Groups are bounded, as pages and document pairs are; what a call costs is spread over the groups of a batch.
+    """
+
+    def begun(frame: pd.DataFrame) -> np.ndarray:
+        return np.flatnonzero(frame["__i"].to_numpy() == 1)
+
+    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
+        for frame in frames:
+            first = begun(frame)
+            if len(first):
+                done = pd.concat([*held, frame.iloc[: first[-1]]], ignore_index=True)
+                held = []
+                if len(done):
+                    yield run(done, begun(done))
+                frame = frame.iloc[first[-1] :]
+            held.append(frame)
+        if held and len(rest := pd.concat(held, ignore_index=True)):
+            yield run(rest, begun(rest))
+
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    return rows.withColumn("__i", number).mapInPandas(whole, schema)
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, key: list[str], node: str, max_rounds: int = 60) -> DataFrame:
     """nodes with `component`, the smallest node of its component within its key group.
 

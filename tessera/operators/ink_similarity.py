@@ -6,76 +6,135 @@ ink at every shift; the same sums with a full rectangle give the ink under it. C
 so no raster is built. Rasters are trimmed to their ink first. One that does not fit into the other is compared at
 one place, the other scaled to its size by the nearest pixel.
 
+The runs of both sides are brought together by key once; events and shifts exist only within a task, for some keys
+at a time, so that what is shuffled is the ink alone.
+
 Ink: (key..., y, xs, xe) of each side, disjoint runs, xe exclusive. Two blank sides have nothing to compare: null. One
 blank side, or a raster without white, correlates with nothing: 0.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.components import by_groups
 
-def trimmed(key: list[str], ink: DataFrame) -> DataFrame:
-    """Runs counted from the corner of their ink's box, with w, h of the box and its ink."""
-    box = ink.where("xs < xe").groupBy(*key).agg(F.min("xs").alias("left"), F.min("y").alias("top"), (F.max("xe") - F.min("xs")).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.sum(F.col("xe") - F.col("xs")).cast("long").alias("ink"))
-    met = ink.where("xs < xe").select(*key, "y", "xs", "xe").join(box, key)
-    return met.select(*key, (F.col("y") - F.col("top")).alias("y"), (F.col("xs") - F.col("left")).alias("xs"), (F.col("xe") - F.col("left")).alias("xe"), "w", "h", "ink")
-
-
-def _scaled_end(a: Column, old: Column, new: Column) -> Column:
-    """The first new pixel whose centre lies at or beyond the old pixel a: ceil(a * new / old - 1/2)."""
-    return F.floor((2 * a * new - old + 2 * old - 1) / (2 * old)).cast("int")
-
+EVENTS = 1_000_000  # pairs of runs that are summed together
 
-def scaled(key: list[str], runs: DataFrame) -> DataFrame:
-    """Runs of w by h stretched to to_w by to_h, each new pixel like the old one at its centre."""
-    ys = F.explode(F.expr("IF(ya < yb, sequence(ya, yb - 1), array())"))
-    cut = runs.withColumns({"ya": _scaled_end(F.col("y"), F.col("h"), F.col("to_h")), "yb": _scaled_end(F.col("y") + 1, F.col("h"), F.col("to_h"))})
-    cut = cut.withColumns({"a": _scaled_end(F.col("xs"), F.col("w"), F.col("to_w")), "b": _scaled_end(F.col("xe"), F.col("w"), F.col("to_w"))})
-    return cut.select(*key, ys.alias("y"), F.col("a").alias("xs"), F.col("b").alias("xe"), F.col("to_w").alias("w"), F.col("to_h").alias("h")).where("xs < xe")
 
+def _counted(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts of each item: the item of each count, and its number within the item from 0."""
+    item = np.repeat(np.arange(len(counts)), counts)
+    return item, np.arange(len(item)) - np.repeat(counts.cumsum() - counts, counts)
 
-def _events(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Second differences, by shift, of the pixels that [a, b) moved by the shift shares with [c, d)."""
-    one = lambda x, n: F.struct(x.alias("dx"), F.lit(n).alias("n"))
-    return F.explode(F.array(one(c - b, 1), one(c - a, -1), one(d - b, -1), one(d - a, 1)))
 
-
-def _over_shifts(key: list[str], events: DataFrame, name: str) -> DataFrame:
-    """(key, dy, dx, name): the twice summed events at the shifts 0 to most_dx of each row shift."""
-    row = Window.partitionBy(*key, "dy").orderBy("dx")
-    at = events.groupBy(*key, "dy", "dx", "most_dx").agg(F.sum("n").cast("long").alias("n"))
-    slope = at.select(*key, "dy", "dx", "most_dx", F.sum("n").over(row).alias("s"), F.lead("dx").over(row).alias("to"))
-    # between two events the count runs straight
-    begun = F.sum(F.col("s") * (F.col("to") - F.col("dx"))).over(row.rowsBetween(Window.unboundedPreceding, -1))
-    line = slope.select(*key, "dy", "dx", "most_dx", "s", "to", F.coalesce(begun, F.lit(0)).alias("v")).where("to IS NOT NULL AND to > 0 AND dx <= most_dx")
-    first, last = F.greatest(F.lit(0), F.col("dx")), F.least(F.col("to") - 1, F.col("most_dx"))
-    each = line.where(first <= last).select(*key, "dy", "dx", "s", "v", F.explode(F.sequence(first, last)).alias("at"))
-    return each.select(*key, "dy", F.col("at").alias("dx"), (F.col("v") + F.col("s") * (F.col("at") - F.col("dx"))).alias(name))
+def _scaled_end(a: np.ndarray, old: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The first new pixel whose centre lies at or beyond the old pixel a: ceil(a * new / old - 1/2)."""
+    return (2 * a * new + old - 1) // (2 * old)
+
+
+def _summed(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Running sums of each row of the events; rows: their widths."""
+    total = at.cumsum()
+    ends = rows.cumsum()
+    return total - np.repeat(np.append(0, total[ends[:-1] - 1]), rows)
+
+
+class _Shifts:
+    """A cell for each shift (dy, dx) of each pair of rasters, and for those along the row before shift 0."""
+
+    def __init__(self, w: np.ndarray, h: np.ndarray, wide: np.ndarray, high: np.ndarray):
+        self.w, self.most_dx, self.wide, self.high = w, wide - w, wide + 1, high - h + 1
+        cells = self.wide * self.high
+        self.first, self.cells = cells.cumsum() - cells, int(cells.sum())
+        self.rows = np.repeat(self.wide, self.high)
+
+    def events(self, at: np.ndarray, pair: np.ndarray, dy: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> None:
+        """Adds the second differences, by shift, of the pixels that [a, b) moved by the shift shares with [c, d)."""
+        row, most = self.first[pair] + dy * self.wide[pair] + self.w[pair], self.most_dx[pair]
+        for dx, n in ((c - b, 1), (c - a, -1), (d - b, -1), (d - a, 1)):
+            seen = dx <= most
+            np.add.at(at, (row + dx)[seen], n)
+
+    def pixels(self, at: np.ndarray) -> np.ndarray:
+        slope = _summed(at, self.rows)
+        return _summed(slope, self.rows) - slope
+
+
+def _correlations(group: np.ndarray, side: np.ndarray, y: np.ndarray, xs: np.ndarray, xe: np.ndarray, groups: int) -> np.ndarray:
+    """The highest correlation of each group's runs of side 0 in those of side 1; 0 where a side is blank. Runs are in order of group, side and y."""
+    part = 2 * group + side
+    begin = np.flatnonzero(np.append(True, np.diff(part) != 0))
+    box = {}
+    for name, values in (("left", np.minimum.reduceat(xs, begin)), ("top", y[begin]), ("right", np.maximum.reduceat(xe, begin)), ("bottom", y[np.append(begin[1:], len(y)) - 1] + 1), ("ink", np.add.reduceat(xe - xs, begin)), ("runs", np.diff(np.append(begin, len(y))))):
+        box[name] = np.zeros(2 * groups, np.int64)
+        box[name][part[begin]] = values
+    y, xs, xe = y - box["top"][part], xs - box["left"][part], xe - box["left"][part]
+    w, h = ((box[b] - box[a]).reshape(-1, 2) for a, b in (("left", "right"), ("top", "bottom")))
+    both = (box["runs"].reshape(-1, 2) > 0).all(1)
+    m, t = (both[group] & (side == s) for s in (0, 1))
+    fits = (w[:, 0] <= w[:, 1]) & (h[:, 0] <= h[:, 1])
+    # rasters too small for the other are stretched to its size
+    g, ya, yb, ts, te = group[t], y[t], y[t] + 1, xs[t], xe[t]
+    old_w, old_h, new_w, new_h = (np.where(fits[g], whole[g, 1], size[g, k]) for whole, size, k in ((w, w, 1), (h, h, 1), (w, w, 0), (h, h, 0)))
+    ya, yb, ts, te = _scaled_end(ya, old_h, new_h), _scaled_end(yb, old_h, new_h), _scaled_end(ts, old_w, new_w), _scaled_end(te, old_w, new_w)
+    run, more = _counted(np.where(ts < te, yb - ya, 0))
+    tg, ty, ts, te = g[run], ya[run] + more, ts[run], te[run]
+    order = np.lexsort((ty, tg))
+    tg, ty, ts, te = tg[order], ty[order], ts[order], te[order]
+
+    pairs = np.flatnonzero(both)
+    number = np.full(groups, -1)
+    number[pairs] = np.arange(len(pairs))
+    wide, high = np.where(fits, w[:, 1], w[:, 0])[pairs], np.where(fits, h[:, 1], h[:, 0])[pairs]
+    w, h = w[pairs, 0], h[pairs, 0]
+    found = np.zeros(groups)
+    if not len(pairs):
+        return found
+    s = _Shifts(w, h, wide, high)
+    shared, window = np.zeros(s.cells, np.int64), np.zeros(s.cells, np.int64)
+
+    # runs of the target that a run of the master meets at some shift: those of the rows from its own on
+    mg, my, ms, me, tg = number[group[m]], y[m], xs[m], xe[m], number[tg]
+    deep = int(high.max()) + 2
+    low = np.searchsorted(tg * deep + ty, mg * deep + my, "left")
+    count = np.searchsorted(tg * deep + ty, mg * deep + my + (high - h)[mg], "right") - low
+    for k in np.split(np.arange(len(mg)), np.flatnonzero(np.diff(count.cumsum() // EVENTS)) + 1):
+        i, n = _counted(count[k])
+        i = k[i]
+        j = low[i] + n
+        s.events(shared, mg[i], ty[j] - my[i], ms[i], me[i], ts[j], te[j])
+    upper = np.maximum(0, ty - h[tg] + 1)
+    count = np.maximum(0, np.minimum(ty, (high - h)[tg]) - upper + 1)
+    for k in np.split(np.arange(len(tg)), np.flatnonzero(np.diff(count.cumsum() // EVENTS)) + 1):
+        i, n = _counted(count[k])
+        i = k[i]
+        s.events(window, tg[i], upper[i] + n, np.zeros(len(i), np.int64), w[tg[i]], ts[i], te[i])
+
+    cells = s.wide * s.high
+    repeat = lambda v: np.repeat(v, cells)
+    a, n = repeat(box["ink"].reshape(-1, 2)[pairs, 0]), repeat(w * h)
+    shared, b = s.pixels(shared), s.pixels(window)
+    b = np.where(np.arange(s.cells) - np.repeat(s.rows.cumsum() - s.rows, s.rows) < repeat(w), 0, b)  # shifts before 0
+    spread = (a * (n - a)).astype(float) * (b * (n - b))
+    r = np.divide(n * shared - a * b, np.sqrt(spread), out=np.zeros(s.cells), where=spread > 0)
+    found[pairs] = np.maximum.reduceat(r, s.first)
+    return found
 
 
 def visual_similarity(regions: DataFrame, master: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:
     """regions (key) with visual: the highest correlation of the master's ink in the target's, in percent, or null."""
-    m, t = trimmed(key, master), trimmed(key, target)
-    size = lambda df, p: df.select(*key, *(F.col(c).alias(f"{p}{c}") for c in ("w", "h", "ink"))).distinct()
-    both = regions.select(*key).join(size(m, "m"), key, "left").join(size(t, "t"), key, "left")
-    fits = (F.col("mw") <= F.col("tw")) & (F.col("mh") <= F.col("th"))
-    pair = both.where("mink IS NOT NULL AND tink IS NOT NULL").withColumn("fits", fits)
-    whole = t.join(pair.where("fits").select(*key), key).select(*key, "y", "xs", "xe", "w", "h")
-    small = scaled(key, t.join(pair.where("NOT fits").select(*key, F.col("mw").alias("to_w"), F.col("mh").alias("to_h")), key))
-    t2 = whole.union(small).select(*key, F.col("y").alias("ty"), F.col("xs").alias("ts"), F.col("xe").alias("te"), F.col("w").alias("W"), F.col("h").alias("H"))
-    met = m.join(t2.withColumnsRenamed({"W": "wide", "H": "high"}), key)
-    shift, room = (F.col("ty") - F.col("y")).alias("dy"), (F.col("wide") - F.col("w")).alias("most_dx")
-    inside = (F.col("ty") >= F.col("y")) & (F.col("ty") - F.col("y") <= F.col("high") - F.col("h"))
-    shared = met.where(inside).select(*key, shift, room, _events(F.col("xs"), F.col("xe"), F.col("ts"), F.col("te")).alias("e")).select(*key, "dy", "most_dx", "e.dx", "e.n")
-    boxes = m.select(*key, "w", "h").distinct().join(t2.withColumnsRenamed({"W": "wide", "H": "high"}), key)
-    rows = F.explode(F.expr("IF(greatest(0, ty - h + 1) <= least(ty, high - h), sequence(greatest(0, ty - h + 1), least(ty, high - h)), array())"))
-    under = boxes.select(*key, room, rows.alias("dy"), _events(F.lit(0), F.col("w"), F.col("ts"), F.col("te")).alias("e")).select(*key, "dy", "most_dx", "e.dx", "e.n")
-    counts = _over_shifts(key, under, "window").join(_over_shifts(key, shared, "shared"), [*key, "dy", "dx"], "left").join(pair.select(*key, "mink", (F.col("mw") * F.col("mh")).cast("long").alias("n")), key)
-    a, b, n = F.col("mink"), F.col("window"), F.col("n")
-    spread = (a * (n - a)).cast("double") * (b * (n - b))
-    r = F.when(spread > 0, (n * F.coalesce("shared", F.lit(0)) - a * b) / F.sqrt(spread)).otherwise(0.0)
-    best = counts.groupBy(*key).agg(F.max(r).alias("r"))
-    said = F.when(F.col("mink").isNull() & F.col("tink").isNull(), F.lit(None)).otherwise(F.round(100 * F.greatest(F.lit(0.0), F.coalesce("r", F.lit(0.0))), 1))
-    return both.join(best, key, "left").select(*key, said.alias("visual"))
+    runs = lambda ink, side: ink.where("xs < xe").select(*key, F.lit(side).alias("side"), *(F.col(c).cast("long").alias(c) for c in ("y", "xs", "xe")))
+    kinds = ", ".join(f"{c} {t}" for c, t in master.select(*key).dtypes)
+
+    def run(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(rows))))
+        side, y, xs, xe = (rows[c].to_numpy(np.int64) for c in ("side", "y", "xs", "xe"))
+        return rows[key].iloc[first].reset_index(drop=True).assign(r=_correlations(group, side, y, xs, xe, len(first)))
+
+    best = by_groups(runs(master, 0).union(runs(target, 1)), key, ["side", "y", "xs"], run, f"{kinds}, r double")
+    said = F.when(F.col("r").isNotNull(), F.round(100 * F.greatest(F.lit(0.0), F.col("r")), 1))
+    return regions.select(*key).join(best, key, "left").select(*key, said.alias("visual"))

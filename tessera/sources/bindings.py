@@ -107,9 +107,9 @@ def column_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(page.alias("page_id"), F.round(F.when(heading, 50.0).when(note, 15.0).otherwise(x0), 3).alias("x0"), F.round(F.when(heading, 430.0 + F.col("l_quantity")).when(note, 38.0).otherwise(x1), 3).alias("x1"))
 
 
-def page_ink(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Ink of pages of 240 x 200 pixels, runs that may overlap, and the pages: lines of four orders, drawn as blots,
-    as rules on a coarse lattice and as short strokes."""
+def page_shapes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Shapes (x0, y0, x1, y1, ends exclusive) on pages of 240 x 200 pixels, and the pages: lines of four orders, drawn as
+    blots, as rules on a coarse lattice and as short strokes."""
     li = _table(spark, sf_dir, "lineitem")
     kind, at = F.expr("(l_partkey + l_linenumber) % 5"), F.expr("CAST(l_extendedprice AS BIGINT)")
     x, y = F.expr("CAST(l_quantity AS INT) * 4"), (at % 190).cast("int")
@@ -119,11 +119,21 @@ def page_ink(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     post = box((at % 6) * 25 + 10, F.lit(5) + 0 * at, 1 + at % 2, 36 + at % 40)
     stroke = box(x, y, 30 + at % 20, 1 + at % 2)
     shape = F.when(kind < 2, blot).when(kind == 2, rule).when(kind == 3, post).otherwise(stroke)
-    # shapes are brought together by page before they are cut into rows
-    drawn = li.select(F.expr("l_orderkey div 16").alias("page_id"), shape.alias("b")).where("b.x < 240").repartition("page_id")
-    ink = drawn.select("page_id", F.explode(F.sequence(F.col("b.y"), F.least(F.lit(199), F.col("b.y") + F.col("b.h") - 1))).alias("y"), F.col("b.x").alias("xs"), F.least(F.lit(240), F.col("b.x") + F.col("b.w")).alias("xe"))
-    pages = li.select(F.expr("l_orderkey div 16").alias("page_id")).distinct().withColumns({"width": F.lit(240), "height": F.lit(200)})
-    return ink, pages
+    page = F.expr("l_orderkey div 16").alias("page_id")
+    drawn = li.select(page, shape.alias("b")).where("b.x < 240")
+    ends = F.least(F.lit(240), F.col("b.x") + F.col("b.w")).alias("x1"), F.least(F.lit(200), F.col("b.y") + F.col("b.h")).alias("y1")
+    return drawn.select("page_id", F.col("b.x").alias("x0"), F.col("b.y").alias("y0"), *ends), li.select(page).distinct().withColumns({"width": F.lit(240), "height": F.lit(200)})
+
+
+def shape_rows(key: list[str], shapes: DataFrame) -> DataFrame:
+    """The runs of shapes; shapes are brought together by key before they are cut into rows."""
+    return shapes.repartition(*key).select(*key, F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"), F.col("x0").alias("xs"), F.col("x1").alias("xe"))
+
+
+def page_ink(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Ink of the pages of `page_shapes`, runs that may overlap, and the pages."""
+    shapes, pages = page_shapes(spark, sf_dir)
+    return shape_rows(["page_id"], shapes), pages
 
 
 SQL = {

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import boxes, components, figures, raster
+from tessera.operators import boxes, components, figures, ink_similarity, raster
 from tessera.plans import registry
 
 
@@ -96,3 +96,13 @@ def test_ink_components_take_no_rounds(spark):
     got = raster.ink_components(spark.createDataFrame(rows, "doc_id int, y int, xs int, xe int")).collect()
     assert sorted((r.doc_id, r.x0, r.y0, r.x1, r.y1, r.ink) for r in got) == [(1, 0, 0, 40, 40, 40), (1, 20, 3, 22, 4, 2), (2, 0, 0, 4, 1, 4)]
     assert len(list(folder.glob("*"))) == before
+
+
+def test_region_similarity_makes_no_rows_of_shifts(spark):
+    # an L in a page of three runs; events and shifts of pairs of runs are no rows, so nothing is exploded or shuffled but ink
+    m = spark.createDataFrame([(1, 5, 0, 1), (1, 6, 0, 3), (2, 0, 0, 2)], "id int, y int, xs int, xe int")
+    t = spark.createDataFrame([(1, 0, 7, 9), (1, 1, 4, 5), (1, 2, 4, 7), (3, 0, 0, 2)], "id int, y int, xs int, xe int")
+    found = ink_similarity.visual_similarity(spark.range(1, 5).selectExpr("CAST(id AS INT) AS id"), m, t, ["id"])
+    assert {r.id: r.visual for r in found.collect()} == {1: 100.0, 2: 0.0, 3: 0.0, 4: None}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" not in plan and plan.count("Window") == 1
