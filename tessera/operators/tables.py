@@ -1,11 +1,14 @@
-"""Table shapes compared: predicates in SQL, order-dependent alignment in grouped pandas."""
+"""Table shapes compared: predicates in SQL, order-dependent alignment of some document pairs at a time in pandas."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.components import by_groups
+
 BOTTOM, TOP, AHEAD, TOLERANCE = 0.70, 0.30, 3, 1
 
 
@@ -82,16 +85,20 @@ def compared(master: DataFrame, target: DataFrame, pair: list[str]) -> DataFrame
     """Aligned tables of each document pair: (pair, step, master_idx, target_idx, status)."""
     schema = ", ".join([f"{c} {master.schema[c].dataType.simpleString()}" for c in pair] + ["step int", "master_idx long", "target_idx long", "status string"])
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("table_idx")
-        m, t = group[group["side"] == 0], group[group["side"] == 1]
-        steps = align([tuple(r) for r in m["rows_per_column"]], [tuple(r) for r in t["rows_per_column"]])
-        rows = [(*key, n, None if i is None else m["table_idx"].iloc[i], None if j is None else t["table_idx"].iloc[j], s) for n, (i, j, s) in enumerate(steps)]
-        out = pd.DataFrame(rows, columns=[*pair, "step", "master_idx", "target_idx", "status"])
-        return out.astype({"master_idx": "Int64", "target_idx": "Int64"})
-
-    side = lambda df, n: df.select(*pair, "table_idx", "rows_per_column", F.lit(n).alias("side"))
-    return side(master, 0).unionByName(side(target, 1)).groupBy(*pair).applyInPandas(run, schema)
+    def run(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        ends = np.append(first[1:], len(rows))
+        cuts = first + np.add.reduceat(rows["side"].to_numpy() == 0, first)
+        idx, shapes = rows["table_idx"].tolist(), [tuple(r.tolist()) for r in rows["rows_per_column"]]
+        out, group = [], []
+        for n, (a, c, b) in enumerate(zip(first.tolist(), cuts.tolist(), ends.tolist())):
+            steps = align(shapes[a:c], shapes[c:b])
+            out += [(k, None if i is None else idx[a + i], None if j is None else idx[c + j], status) for k, (i, j, status) in enumerate(steps)]
+            group += [first[n]] * len(steps)
+        found = pd.DataFrame(out, columns=["step", "master_idx", "target_idx", "status"]).astype({"master_idx": "Int64", "target_idx": "Int64"})
+        return pd.concat([rows[pair].iloc[group].reset_index(drop=True), found], axis=1)
+
+    side = lambda df, n: df.select(*pair, F.lit(n).alias("side"), "table_idx", "rows_per_column")
+    return by_groups(side(master, 0).unionByName(side(target, 1)), pair, ["side", "table_idx"], run, schema)
 
 
 def totals(rows: DataFrame, pair: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import boxes, components, figures, ink_similarity, raster
+from tessera.operators import boxes, components, figures, ink_similarity, raster, table_alignment, tables
 from tessera.plans import registry
 
 
@@ -106,3 +106,25 @@ def test_region_similarity_makes_no_rows_of_shifts(spark):
     assert {r.id: r.visual for r in found.collect()} == {1: 100.0, 2: 0.0, 3: 0.0, 4: None}
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "Generate" not in plan and plan.count("Window") == 1
+
+
+@pytest.mark.parametrize("module", [table_alignment.aligned, tables.compared])
+def test_document_pairs_are_aligned_some_at_a_time(spark, module):
+    # pairs of 1 to 9 tables, pair 3 without a master, pair 4 without a translation; batches of 4 rows cut pairs
+    rng = np.random.default_rng(11)
+    row = lambda d, i: (d, i, i // 2, 300.0, 100.0, 842.0, 2, [int(v) for v in rng.integers(1, 4, 2)])
+    side = lambda alone: spark.createDataFrame([row(d, i) for d in range(12) if d != alone for i in range(1 + d % 9)], "doc int, table_idx long, page_index int, y double, h double, page_height double, columns int, rows_per_column array<int>")
+    m, t = side(3), side(4)
+    found = {}
+    for size in ("10000", "4"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            steps = module(m, t, ["doc"])
+            found[size] = sorted(map(str, steps.collect()))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found["4"] == found["10000"]
+    assert {r.doc: r.n for r in steps.where("status = 'EXTRA'").groupBy("doc").agg(F.count("*").alias("n")).collect()}[3] == 4
+    assert {r.doc: r.n for r in steps.where("status = 'MISSING'").groupBy("doc").agg(F.count("*").alias("n")).collect()}[4] == 5
+    plan = steps._jdf.queryExecution().toString()
+    assert "InPandas" in plan and "GroupsInPandas" not in plan  # one call a pair
