@@ -1,10 +1,9 @@
 """Two sequences of tables aligned where tables run over pages, and the report of it.
 
 A table that is cut at a page's end stands as several fragments, and the two documents are cut at
-different places, so m tables of one may stand for n of the other. Continuations, runs and the sums of
-rows along a run come from windows; with these sums the rows of any m fragments are one subtraction.
+different places, so m tables of one may stand for n of the other. Continuations and runs come from windows.
 The walk through a pair of documents is ordered and takes their shapes alone; pages, labels and
-overflows are joined to its steps afterwards.
+overflows are joined to its steps afterwards. A task walks through some document pairs at a time.
 
 Tables: (pair..., table_idx, page_index from 0, y, h, page_height, columns, rows_per_column), table_idx
 ascending through the document. Without rows (null or empty) a table continues nothing and fits only
@@ -13,11 +12,16 @@ another one without. Documents without tables on one side have all tables of the
 
 from __future__ import annotations
 
+from itertools import accumulate
+from math import inf
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.components import by_groups
+
 # fixed values: shares of the page height, rows of a fragment at least, rows apart, tables looked ahead
 BOTTOM, TOP, MIN_ROWS, TOLERANCE, AHEAD = 0.70, 0.30, 2, 1, 3
 # fixed texts of the report
@@ -28,8 +32,8 @@ RESYNC_EXTRA, RESYNC_MISSING, REST_EXTRA = "Extra translated table (re-sync)", "
 STEPS = "step int, table_number int, status string, reason string, master_from long, master_n int, target_from long, target_n int, merged array<long>, repeated_header boolean"
 
 
-def continued(tables: DataFrame, doc: list[str]) -> DataFrame:
-    """tables with run (its number in the document), place in the run from 0, and upto, the sums of rows per column along the run.
+def in_runs(tables: DataFrame, doc: list[str]) -> DataFrame:
+    """tables with run (its number in the document) and place in the run from 0.
 
     A table continues the one before it if that is its page's last and ends at or below BOTTOM of it, this one is
     the first of the next page and begins at or above TOP, both are equally wide and have a column of MIN_ROWS rows.
@@ -48,10 +52,16 @@ def continued(tables: DataFrame, doc: list[str]) -> DataFrame:
     on = (before("page_index") == F.col("page_index") - 1) & (before("columns") == F.col("columns")) & before("__low") & F.col("__high") & before("__last") & F.col("__first") & before("__long") & F.col("__long")
     t = t.withColumn("run", F.sum(F.when(F.coalesce(on, F.lit(False)), 0).otherwise(1)).over(order))
     t = t.withColumn("place", (F.row_number().over(Window.partitionBy(*doc, "run").orderBy("table_idx")) - 1).cast("int"))
+    return t.drop("__last", "__first", "__long", "__low", "__high")
+
+
+def continued(tables: DataFrame, doc: list[str]) -> DataFrame:
+    """tables as from `in_runs`, with upto, the sums of rows per column along the run."""
+    t = in_runs(tables, doc)
     cells = t.select(*doc, "run", "table_idx", F.posexplode("rows_per_column").alias("c", "n"))
     sums = cells.withColumn("n", F.sum(F.col("n").cast("long")).over(Window.partitionBy(*doc, "run", "c").orderBy("table_idx")))
     upto = sums.groupBy(*doc, "table_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "n"))), lambda x: x["n"]).alias("upto"))
-    return t.drop("__last", "__first", "__long", "__low", "__high").join(upto, [*doc, "table_idx"], "left")
+    return t.join(upto, [*doc, "table_idx"], "left")
 
 
 def merged_runs(runs: DataFrame, doc: list[str]) -> DataFrame:
@@ -63,16 +73,12 @@ def merged_runs(runs: DataFrame, doc: list[str]) -> DataFrame:
 
 
 class _Side:
-    """One document's tables as arrays."""
-
-    def __init__(self, group: pd.DataFrame):
-        group = group.sort_values("table_idx")
-        rows = [np.zeros(0, np.int64) if r is None else np.asarray(r, np.int64) for r in group["upto"]]
-        self.idx, self.upto, self.columns = group["table_idx"].to_numpy(), rows, group["columns"].tolist()
-        place = group["place"].to_numpy()
-        self.rows = [u - rows[i - 1] if place[i] else u for i, u in enumerate(rows)]
+    """One document's tables as lists."""
+
+    def __init__(self, columns: list, place: list[int], rows: list[list[int]]):
+        self.columns, self.rows = columns, rows
         # fragments of the run that are left from each table on
-        self.left = np.ones(len(rows), np.int64)
+        self.left = [1] * len(rows)
         for i in range(len(rows) - 2, -1, -1):
             if place[i + 1]:
                 self.left[i] = self.left[i + 1] + 1
@@ -80,34 +86,35 @@ class _Side:
     def __len__(self) -> int:
         return len(self.rows)
 
-    def sums(self, i: int) -> np.ndarray:
+    def sums(self, i: int) -> list[list[int]]:
         """Rows of 1, 2, ... fragments from table i on."""
-        upto = np.array(self.upto[i : i + self.left[i]])
-        return upto - (upto[0] - self.rows[i])
+        return list(accumulate(self.rows[i : i + self.left[i]], lambda a, b: [x + y for x, y in zip(a, b)]))
+
+
+def _far(a: list[int], b: list[int]) -> int:
+    return max((abs(x - y) for x, y in zip(a, b)), default=0)
 
 
 def _apart(m: _Side, i: int, t: _Side, j: int) -> float:
     """How many rows a column differs by at most; infinite where the widths differ."""
     a, b = m.rows[i], t.rows[j]
     if m.columns[i] != t.columns[j] or len(a) != len(b):
-        return np.inf
-    return np.abs(a - b).max(initial=0)
+        return inf
+    return _far(a, b)
 
 
-def _split(m: _Side, i: int, t: _Side, j: int) -> tuple[int, int, np.ndarray, bool] | None:
+def _split(m: _Side, i: int, t: _Side, j: int) -> tuple[int, int, list[int], bool] | None:
     """Most fragments of the master, then of the target, whose rows agree; with headers that repeat before those that don't."""
     if m.left[i] == t.left[j] == 1 or m.columns[i] != t.columns[j] or len(m.rows[i]) != len(t.rows[j]):
         return None
-    a, b = m.sums(i), t.sums(j)
-    k, n = np.arange(len(a))[:, None], np.arange(len(b))[:, None]
+    forms = lambda sums: [([x - k for x in r], r) for k, r in enumerate(sums)]
+    a, b = forms(m.sums(i)), forms(t.sums(j))
     for x in range(len(a), 0, -1):
-        one = np.stack([a[x - 1] - k[x - 1], a[x - 1]])
-        fits = np.abs(one[:, None, None] - np.stack([b - n, b])[None]).max(-1, initial=0) <= TOLERANCE  # header of the master, of the target, fragments
-        if x == 1:
-            fits[:, :, 0] = False
-        for y in np.flatnonzero(fits.any((0, 1)))[::-1][:1]:
-            h, g = np.argwhere(fits[:, :, y])[0]
-            return x, int(y) + 1, one[h], bool((h if x > 1 else g) == 0)
+        for y in range(len(b), 1 if x == 1 else 0, -1):
+            for h, one in enumerate(a[x - 1]):
+                for g, other in enumerate(b[y - 1]):
+                    if _far(one, other) <= TOLERANCE:
+                        return x, y, one, (h if x > 1 else g) == 0
     return None
 
 
@@ -122,7 +129,7 @@ def _walk(m: _Side, t: _Side) -> list[tuple]:
         out.append((len(out) + 1, "EXTRA", reason, None, 0, j, 1, None, False))
         j += 1
 
-    def step(status: str, reason: str, k: int = 1, n: int = 1, merged: np.ndarray | None = None, header: bool = False) -> None:
+    def step(status: str, reason: str, k: int = 1, n: int = 1, merged: list[int] | None = None, header: bool = False) -> None:
         nonlocal i, j
         out.append((i + 1, status, reason, i, k, j if n else None, n, merged, header))
         i, j = i + k, j + n
@@ -152,14 +159,23 @@ def aligned(master: DataFrame, target: DataFrame, pair: list[str]) -> DataFrame:
     """The steps of each document pair: (pair, STEPS); from and n name the tables of a step by table_idx and count."""
     names = [s.split()[0] for s in STEPS.split(", ")]
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        m, t = _Side(left), _Side(right)
-        rows = [(*key, s, no, status, reason, None if a is None else m.idx[a], k, None if b is None else t.idx[b], n, merged, header) for s, (no, status, reason, a, k, b, n, merged, header) in enumerate(_walk(m, t))]
-        return pd.DataFrame(rows, columns=[*pair, *names]).astype({"master_from": "Int64", "target_from": "Int64"})
-
-    shape = lambda df: continued(df, pair).select(*pair, "table_idx", "columns", "place", "upto")
+    def run(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        ends = np.append(first[1:], len(rows))
+        cuts = first + np.add.reduceat(rows["side"].to_numpy() == 0, first)
+        idx, columns, place = rows["table_idx"].tolist(), rows["columns"].tolist(), rows["place"].tolist()
+        cells = [[] if r is None else r.tolist() for r in rows["rows_per_column"]]
+        part = lambda a, b: _Side(columns[a:b], place[a:b], cells[a:b])
+        out, group = [], []
+        for n, (a, c, b) in enumerate(zip(first.tolist(), cuts.tolist(), ends.tolist())):
+            steps = _walk(part(a, c), part(c, b))
+            out += [(s, no, status, reason, None if i is None else idx[a + i], k, None if j is None else idx[c + j], m, merged, header) for s, (no, status, reason, i, k, j, m, merged, header) in enumerate(steps)]
+            group += [first[n]] * len(steps)
+        found = pd.DataFrame(out, columns=names).astype({"master_from": "Int64", "target_from": "Int64"})
+        return pd.concat([rows[pair].iloc[group].reset_index(drop=True), found], axis=1)
+
+    shape = lambda df, side: in_runs(df, pair).select(*pair, F.lit(side).alias("side"), "table_idx", "columns", "place", "rows_per_column")
     kinds = [f"{c} {master.schema[c].dataType.simpleString()}" for c in pair]
-    return shape(master).groupBy(*pair).cogroup(shape(target).groupBy(*pair)).applyInPandas(run, ", ".join([*kinds, STEPS]))
+    return by_groups(shape(master, 0).union(shape(target, 1)), pair, ["side", "table_idx"], run, ", ".join([*kinds, STEPS]))
 
 
 def _side_facts(steps: DataFrame, tables: DataFrame, labels: DataFrame | None, pair: list[str], side: str, name: str) -> DataFrame:
