@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import section_prefix
 from tessera.operators.asof import asof_last
+from tessera.operators.components import by_groups
 
 LINE_GAP, TOPIC_SLACK = 6.0, 5.0
-_PIECE = "struct<k1:double,x0:double,seq:bigint,y0:double,x1:double,y1:double,text:string>"
+PAIRS = 1_000_000  # pairs of pieces that are compared together
 
 
 def merged_links(pieces: DataFrame, page: list[str], target: list[str]) -> DataFrame:
@@ -19,27 +22,45 @@ def merged_links(pieces: DataFrame, page: list[str], target: list[str]) -> DataF
     pieces(page, target, seq, text, x0, y0, x1, y1). In reading order a piece joins the first link of
     its page and target whose last piece it continues (it starts up to LINE_GAP below, and at least
     half a line lower) or one of whose pieces stands on its line (half of the lower height shared).
-    The pieces of one page and target are one array; pages are spread.
+    Some pages at a time are looked through.
     """
-    one = F.struct(F.bround("y0", 1).cast("double").alias("k1"), F.col("x0").cast("double").alias("x0"), F.col("seq").cast("bigint").alias("seq"), *[F.col(c).cast("double").alias(c) for c in ("y0", "x1", "y1")], "text")
-    none = F.expr(f"CAST(array() AS array<array<{_PIECE}>>)")
-
-    def joins(link: Column, p: Column) -> Column:
-        last = F.element_at(link, -1)
-        gap = p["y0"] - last["y1"]
-        goes_on = gap.between(-2, LINE_GAP) & (p["y0"] >= last["y0"] + (last["y1"] - last["y0"]) * 0.5)
-        same = lambda q: F.least(q["y1"], p["y1"]) - F.greatest(q["y0"], p["y0"]) >= 0.5 * F.least(q["y1"] - q["y0"], p["y1"] - p["y0"])
-        return goes_on | F.exists(link, same)
-
-    def step(links: Column, p: Column) -> Column:
-        first = F.array_position(F.transform(links, lambda q: joins(q, p)), True)
-        return F.when(first == 0, F.concat(links, F.array(F.array(p)))).otherwise(F.transform(links, lambda q, i: F.when(i + 1 == first, F.concat(q, F.array(p))).otherwise(q)))
-
-    groups = pieces.groupBy(*page, *target).agg(F.array_sort(F.collect_list(one)).alias("p"))
-    links = groups.select(*page, *target, F.explode(F.aggregate("p", none, step)).alias("q"))
-    head = F.element_at("q", 1)
-    said = F.filter(F.transform("q", lambda p: p["text"]), lambda t: F.coalesce(t, F.lit("")) != "")
-    return links.select(*page, *target, head["seq"].alias("seq"), *[F.bround(head[c], 1).alias(c) for c in ("x0", "y0", "x1", "y1")], F.trim(F.array_join(said, " ")).alias("text"), F.size("q").alias("pieces"))
+    key, box = [*page, *target], ["x0", "y0", "x1", "y1"]
+    kinds = ", ".join(f"{c} {t}" for c, t in pieces.select(*key).dtypes)
+    placed = pieces.select(*key, F.col("seq").cast("bigint").alias("seq"), *[F.col(c).cast("double").alias(c) for c in box], F.col("text").cast("string").alias("text"), F.bround("y0", 1).cast("double").alias("k1"))
+
+    def run(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        link = _links(first, rows["y0"].to_numpy(float), rows["y1"].to_numpy(float))
+        heads = np.flatnonzero(link == np.arange(len(link)))
+        texts: dict[int, list[str]] = {}
+        for at, t in zip(link.tolist(), rows["text"].tolist()):
+            if t:
+                texts.setdefault(at, []).append(t)
+        said = [" ".join(texts.get(h, [])).strip(" ") for h in heads.tolist()]
+        return rows[[*key, "seq", *box]].iloc[heads].assign(text=said, pieces=np.bincount(link)[heads])
+
+    found = by_groups(placed, key, ["k1", "x0", "seq", "y0", "x1", "y1", "text"], run, f"{kinds}, seq long, x0 double, y0 double, x1 double, y1 double, text string, pieces int")
+    return found.select(*key, "seq", *[F.bround(c, 1).alias(c) for c in box], "text", "pieces")
+
+
+def _links(first: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> np.ndarray:
+    """The place of the first piece of the link that each piece belongs to; groups begin at the places `first`."""
+    begin = np.repeat(first, np.diff(np.append(first, len(y0))))
+    before = np.arange(len(y0)) - begin
+    link, last = list(range(len(y0))), list(range(len(y0)))
+    for some in np.split(np.arange(len(y0)), np.flatnonzero(np.diff(before.cumsum() // PAIRS)) + 1):
+        p = np.repeat(some, before[some])
+        q = begin[p] + np.arange(len(p)) - np.repeat(before[some].cumsum() - before[some], before[some])
+        gap, high = y0[p] - y1[q], y1 - y0
+        goes_on = (gap >= -2) & (gap <= LINE_GAP) & (y0[p] >= y0[q] + high[q] * 0.5)
+        same = np.fmin(y1[q], y1[p]) - np.fmax(y0[q], y0[p]) >= 0.5 * np.fmin(high[q], high[p])
+        hit = np.flatnonzero(goes_on | same)
+        ends = np.searchsorted(p[hit], some, "right").tolist()
+        q, same, n = q[hit].tolist(), same[hit].tolist(), 0
+        for one, end in zip(some.tolist(), ends):
+            # the first link with a piece on this line, or whose last piece goes on here
+            joined = min((link[k] for k, line in zip(q[n:end], same[n:end]) if line or last[link[k]] == k), default=one)
+            link[one], last[joined], n = joined, one, end
+    return np.array(link)
 
 
 def target_type(kind: Column, uri: Column, page: Column, name: Column) -> tuple[Column, Column]:
