@@ -112,9 +112,11 @@ def sampled_pages(totals: DataFrame, want: int) -> DataFrame:
 
 def gutters(boxes: DataFrame, bin_pt: float = 3.0, min_pt: float = 9.0) -> DataFrame:
     """Vertical strips of a page between its first and last box that no box touches."""
-    bins = boxes.select("doc_id", "page_no", F.explode(F.sequence(F.floor(F.col("x0") / bin_pt), F.floor(F.col("x1") / bin_pt))).alias("b")).distinct()
-    w = Window.partitionBy("doc_id", "page_no").orderBy("b")
-    gap = bins.withColumn("next", F.lead("b").over(w)).where((F.col("next") - F.col("b") - 1) * bin_pt >= min_pt)
+    # a strip begins where every box so far has ended
+    ends = [F.floor(F.col(c) / bin_pt) for c in ("x0", "x1")]
+    spans = boxes.where("x0 IS NOT NULL AND x1 IS NOT NULL").select("doc_id", "page_no", F.least(*ends).alias("lo"), F.greatest(*ends).alias("hi"))
+    w = Window.partitionBy("doc_id", "page_no").orderBy("lo")
+    gap = spans.select("doc_id", "page_no", F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("b"), F.col("lo").alias("next")).where((F.col("next") - F.col("b") - 1) * bin_pt >= min_pt)
     return gap.select("doc_id", "page_no", ((F.col("b") + 1) * bin_pt).alias("x0"), (F.col("next") * bin_pt).alias("x1"))
 
 
