@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import destination, number_prefix, section_prefix
+from tessera.operators.components import by_groups
 
 
 def tokens(links: DataFrame, pair: list[str]) -> DataFrame:
@@ -31,15 +33,22 @@ def tokens(links: DataFrame, pair: list[str]) -> DataFrame:
 
 def matching_blocks(tokened: DataFrame, pair: list[str]) -> DataFrame:
     """(pair, __a, __b, __size): runs of equal tokens of both sides, longest first between those found; __a and
-    __b are places from 0 in each side's order. One document pair's tokens are one group."""
+    __b are places from 0 in each side's order. A task takes the tokens of some document pairs at a time."""
     schema = ", ".join([f"{c} {tokened.schema[c].dataType.simpleString()}" for c in pair] + ["__a int", "__b int", "__size int"])
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        sides = [group.loc[group["side"] == k].sort_values("place")["token"].tolist() for k in (0, 1)]
-        found = [(*key, *x) for x in SequenceMatcher(None, *sides, autojunk=False).get_matching_blocks() if x.size]
-        return pd.DataFrame(found, columns=[*pair, "__a", "__b", "__size"])
-
-    return tokened.select(*pair, "side", "place", "token").groupBy(*pair).applyInPandas(run, schema)
+    def run(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        ends = np.append(first[1:], len(rows))
+        cuts = first + np.add.reduceat(rows["side"].to_numpy() == 0, first)
+        tokens_, found, group = rows["token"].tolist(), [], []
+        for n, (a, c, b) in enumerate(zip(first.tolist(), cuts.tolist(), ends.tolist())):
+            if a < c < b:
+                blocks = [x for x in SequenceMatcher(None, tokens_[a:c], tokens_[c:b], autojunk=False).get_matching_blocks() if x.size]
+                found += blocks
+                group += [first[n]] * len(blocks)
+        blocks = pd.DataFrame(np.array(found, np.int32).reshape(-1, 3), columns=["__a", "__b", "__size"])
+        return pd.concat([rows[pair].iloc[group].reset_index(drop=True), blocks], axis=1)
+
+    return by_groups(tokened.select(*pair, "side", "place", "token"), pair, ["side", "place"], run, schema)
 
 
 def aligned(tokened: DataFrame, pair: list[str]) -> DataFrame:
