@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
-from tessera.operators.components import page_components, written
+from tessera.operators.components import by_groups, page_components, written
 from tessera.operators.spatial import PAGE, pairs
 
 Near = Callable[[tuple, tuple], Column]
+Drop = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def _sides(b: tuple) -> tuple[Column, Column]:
@@ -89,31 +92,58 @@ def code_proposals(boxes: DataFrame, gap: float = 2.0, least: float = 10.0) -> D
     return merged(boxes, touching(gap), gap).where((F.col("x1") - F.col("x0") >= least) & (F.col("y1") - F.col("y0") >= least))
 
 
-_BOX = "struct<k:double,box_no:int,x0:double,y0:double,x1:double,y1:double>"
+_WIDE = 512  # boxes of a page that are compared with each other at once
 
 
-def _largest_first(boxes: DataFrame, drop: Callable[[Column, Column], Column]) -> DataFrame:
+def _kept(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, drop: Drop) -> np.ndarray:
+    """Whether each of a page's boxes, from large to small, stays: no kept one before it drops it."""
+    b = np.stack([x0, y0, x1, y1])
+    kept = np.ones(len(x0), bool)
+    for at in range(0, len(x0), _WIDE):
+        block = b[:, at : at + _WIDE]
+        for low in range(0, at, _WIDE):
+            larger = b[:, low : low + _WIDE][:, kept[low : low + _WIDE]]
+            kept[at : at + _WIDE] &= ~drop(larger[:, :, None], block[:, None, :]).any(0)
+        drops = drop(block[:, :, None], block[:, None, :])
+        # only boxes that drop a later one have to be looked at in order
+        for i in np.flatnonzero(np.triu(drops, 1).any(1)):
+            if kept[at + i]:
+                kept[at + i + 1 : at + _WIDE] &= ~drops[i, i + 1 :]
+    return kept
+
+
+def _largest_first(boxes: DataFrame, drop: Drop) -> DataFrame:
     """Boxes of each page from large to small (then by number) without those that `drop` finds covered
-    by a kept one. A page's boxes are one array."""
-    one = F.struct((-g.area(g.box())).cast("double").alias("k"), F.col("box_no").cast("int").alias("box_no"), *[F.col(c).cast("double").alias(c) for c in g.BOX])
-    step = lambda kept, b: F.when(F.exists(kept, lambda k: drop(k, b)), kept).otherwise(F.concat(kept, F.array(b)))
-    folded = F.aggregate(F.array_sort(F.collect_list(one)), F.expr(f"CAST(array() AS array<{_BOX}>)"), step)
-    return boxes.groupBy(*PAGE).agg(folded.alias("kept")).select(*PAGE, F.inline("kept")).drop("k")
+    by a kept one. Some pages at a time are looked through."""
+
+    def run(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        b = [rows[c].to_numpy() for c in g.BOX]
+        stays = [_kept(*(c[i:j] for c in b), drop) for i, j in zip(first, np.append(first[1:], len(rows)))]
+        return rows.loc[np.concatenate(stays), [*PAGE, "box_no", *g.BOX]]
 
+    kinds = ", ".join(f"{c} {t}" for c, t in boxes.select(*PAGE).dtypes)
+    shaped = boxes.select(*PAGE, F.col("box_no").cast("int").alias("box_no"), *[F.col(c).cast("double").alias(c) for c in g.BOX], (-g.area(g.box())).cast("double").alias("k"))
+    return by_groups(shaped, PAGE, ["k", "box_no"], run, f"{kinds}, box_no int, x0 double, y0 double, x1 double, y1 double")
 
-def _shared(a: Column, b: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"])) * F.greatest(F.lit(0.0), F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]))
+
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum(0.0, np.minimum(a[2], b[2]) - np.maximum(a[0], b[0])) * np.maximum(0.0, np.minimum(a[3], b[3]) - np.maximum(a[1], b[1]))
 
 
 def without_duplicates(boxes: DataFrame, most: float = 0.80) -> DataFrame:
     """Boxes without those whose overlap with a larger kept one is over 0.80 of both together."""
-    size = lambda x: (x["x1"] - x["x0"]) * (x["y1"] - x["y0"])
-    return _largest_first(boxes, lambda k, b: _shared(k, b) > most * (size(k) + size(b) - _shared(k, b)))
+    size = lambda x: (x[2] - x[0]) * (x[3] - x[1])
+
+    def drop(k: np.ndarray, b: np.ndarray) -> np.ndarray:
+        shared = _shared(k, b)
+        return shared > most * (size(k) + size(b) - shared)
+
+    return _largest_first(boxes, drop)
 
 
 def without_covered(boxes: DataFrame, share: float = 0.85) -> DataFrame:
     """Boxes without those of which 0.85 or more lies in a larger kept one."""
-    return _largest_first(boxes, lambda k, b: _shared(k, b) >= share * ((b["x1"] - b["x0"]) * (b["y1"] - b["y0"])))
+    return _largest_first(boxes, lambda k, b: _shared(k, b) >= share * ((b[2] - b[0]) * (b[3] - b[1])))
 
 
 def clean_boundaries(rows: DataFrame, by: list[str], value: str, gap: float = 10.0) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import boxes, components, figures, ink_similarity, raster, table_alignment, tables
+from tessera.operators import boxes, components, figures, ink_similarity, layout, link_alignment, links, raster, table_alignment, tables
 from tessera.plans import registry
 
 
@@ -128,3 +128,66 @@ def test_document_pairs_are_aligned_some_at_a_time(spark, module):
     assert {r.doc: r.n for r in steps.where("status = 'MISSING'").groupBy("doc").agg(F.count("*").alias("n")).collect()}[4] == 5
     plan = steps._jdf.queryExecution().toString()
     assert "InPandas" in plan and "GroupsInPandas" not in plan  # one call a pair
+
+
+BOXES = "doc_id int, page_no int, box_no int, x0 double, y0 double, x1 double, y1 double"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_duplicates_of_crowded_pages(spark):
+    # 700 boxes on a page, more than are compared at once, and pages of a few
+    rng = np.random.default_rng(2)
+    page = lambda d, n: [(d, 1, i, float(x), float(y), float(x + w), float(y + h)) for i, (x, y, w, h) in enumerate(zip(rng.integers(0, 40, n), rng.integers(0, 40, n), rng.integers(8, 14, n), rng.integers(8, 14, n)))]
+    rows = [*page(1, 700), *page(2, 3), *page(3, 30)]
+    kept = {}
+    for r in sorted(rows, key=lambda r: (r[0], -(r[5] - r[3]) * (r[6] - r[4]), r[2])):
+        def same(k):
+            shared = max(0.0, min(k[5], r[5]) - max(k[3], r[3])) * max(0.0, min(k[6], r[6]) - max(k[4], r[4]))
+            return shared > 0.80 * ((k[5] - k[3]) * (k[6] - k[4]) + (r[5] - r[3]) * (r[6] - r[4]) - shared)
+
+        if not any(same(k) for k in kept.setdefault(r[0], [])):
+            kept[r[0]].append(r)
+    got = boxes.without_duplicates(spark.createDataFrame(rows, BOXES))
+    assert sorted(map(tuple, got.collect())) == sorted(r for k in kept.values() for r in k)
+    assert sum(map(len, kept.values())) < len(rows) and "aggregate(" not in plan_of(got)  # no fold a page
+
+
+def test_wrapped_links_of_random_pages(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(int(d), i, float(x), float(y), float(x + 20), float(y + h), str(i)) for i, (d, x, y, h) in enumerate(zip(rng.integers(0, 5, 120), rng.integers(0, 9, 120) * 30, rng.integers(0, 150, 120), rng.integers(4, 14, 120)))]
+    want = {}
+    for d, i, x0, y0, x1, y1, text in sorted(rows, key=lambda r: (r[0], r[3], r[2], r[1])):
+        found = want.setdefault(d, [])
+        on = lambda q: -2 <= y0 - q[5] <= 6 and y0 >= q[3] + (q[5] - q[3]) * 0.5  # noqa: B023, E731
+        line = lambda q: min(q[5], y1) - max(q[3], y0) >= 0.5 * min(q[5] - q[3], y1 - y0)  # noqa: B023, E731
+        link = next((k for k in found if on(k[-1]) or any(line(q) for q in k)), None)
+        if link is None:
+            found.append(link := [])
+        link.append((d, i, x0, y0, x1, y1, text))
+    df = spark.createDataFrame(rows, "d int, seq long, x0 double, y0 double, x1 double, y1 double, text string")
+    got = links.merged_links(df, ["d"], [])
+    assert sorted((r.d, r.seq, r.text, r.pieces) for r in got.collect()) == sorted((d, k[0][1], " ".join(q[6] for q in k), len(k)) for d, found in want.items() for k in found)
+    assert "aggregate(" not in plan_of(got)  # no fold a page
+    # the same with few pairs at a time
+    y = np.array([[r[3], r[5]] for r in sorted(rows, key=lambda r: (r[0], r[3], r[2], r[1]))])
+    first = np.flatnonzero(np.diff(np.sort([r[0] for r in rows]), prepend=-1))
+    whole = links._links(first, y[:, 0], y[:, 1])
+    monkeypatch.setattr(links, "PAIRS", 7)
+    assert (links._links(first, y[:, 0], y[:, 1]) == whole).all()
+
+
+def test_gutters_make_no_rows_of_bins(spark):
+    rows = [(1, 1, 1, 0.0, 0.0, 50.0, 9.0), (1, 1, 2, 10.0, 0.0, 20.0, 9.0), (1, 1, 3, 63.0, 0.0, 70.0, 9.0), (1, 1, 4, 79.0, 0.0, 90.0, 9.0), (1, 1, 5, None, 0.0, 200.0, 9.0)]
+    got = layout.gutters(spark.createDataFrame(rows, BOXES))
+    assert [(r.x0, r.x1) for r in got.collect()] == [(51.0, 63.0)]
+    assert "Generate" not in plan_of(got)
+
+
+def test_link_tokens_are_matched_some_pairs_at_a_time(spark):
+    rows = [(p, s, i, t) for p, (a, b) in enumerate([("abcd", "xbcd"), ("aa", ""), ("", "b"), ("abab", "baba")]) for s, side in enumerate((a, b)) for i, t in enumerate(side)]
+    got = link_alignment.matching_blocks(spark.createDataFrame(rows, "p int, side int, place int, token string"), ["p"])
+    assert sorted((r.p, r["__a"], r["__b"], r["__size"]) for r in got.collect()) == [(0, 1, 1, 3), (3, 0, 1, 3)]
+    assert "InPandas" in plan_of(got) and "GroupsInPandas" not in plan_of(got)
