@@ -32,6 +32,14 @@ def _widest_gap(ys: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(ys, lambda y, i: F.when(i > 0, y - F.get(ys, i - 1) - 1))), F.lit(0))
 
 
+def looked_at(pairs: DataFrame) -> DataFrame:
+    """(page, box): the part of the page, in points, whose ink decides about each pair."""
+    a, b = g.box("a_"), g.box("b_")
+    middle = [(c[1] + c[3]) / 2 for c in (a, b)]
+    ends = F.greatest(a[0], b[0]), F.least(F.greatest(a[1], b[1]), *middle), F.least(a[2], b[2]), F.greatest(F.least(a[3], b[3]), *middle)
+    return pairs.select(*PAGE, *[c.alias(n) for c, n in zip(ends, g.BOX)])
+
+
 def tested(pairs: DataFrame, ink: DataFrame, scale: float) -> DataFrame:
     """pairs with collides and why.
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import geometry as g
 from tessera.operators import figures, ink_collisions, layout, spatial
 from tessera.operators.components import written
 from tessera.plans.layout import _PAIRS, _spans
 from tessera.plans.registry import register
-from tessera.sources import bindings
 from tessera.sources.bindings import sql
 
 SCALE = 2.0
@@ -37,14 +37,22 @@ tested AS (SELECT *, x1 - x0 > 0.5 AND b > t AND (((line OR crossed) AND printed
 
 
 def _tested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bindings.boxes(spark, sf_dir)
-    pairs = spatial.within_same(spatial.collisions(_spans(spark, sf_dir)), b.where("kind = 'R'"))
+    spans = written(_spans(spark, sf_dir), "spans")
+    pairs = written(spatial.within_same(spatial.collisions(spans.drop("kind")), spans.where("kind = 'R'")), "colliding")
+    return ink_collisions.tested(pairs, figures.union(spatial.PAGE, ink=_letter_rows(spans.where("kind <> 'R'"), pairs)), SCALE)
+
+
+def _letter_rows(boxes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of letters of the boxes that some pair looks at; only these are cut into rows, page by page."""
     row = lambda c: F.floor(F.col(c) * SCALE)
-    letters = b.where("kind <> 'R'").where(row("y1") - row("y0") > 3).select("*", F.explode(F.sequence(row("y0") + 2, row("y1") - 2)).alias("y"))
+    kept = ["doc_id", "page_no", "box_no", "x0", "y0", "x1", "y1"]
+    # letters begin up to a pixel before their box and end up to a pixel behind it
+    met = spatial.pairs(boxes.select(*kept), ink_collisions.looked_at(pairs), g.intersects(g.box("a_"), g.box("b_"), 2 / SCALE), pad=2 / SCALE)
+    near = met.select("doc_id", "page_no", *[F.col(f"a_{c}").alias(c) for c in kept[2:]]).distinct().repartition("doc_id", "page_no")
+    letters = near.where(row("y1") - row("y0") > 3).select("*", F.explode(F.sequence(row("y0") + 2, row("y1") - 2)).alias("y"))
     letters = letters.where(((F.col("y") + F.col("box_no")) % 5 < 4) & ((F.col("box_no") % 6 > 0) | ((F.col("y") - row("y0")) % 9 < 5)))
     wide = F.floor((F.col("x1") - F.col("x0")) * SCALE) * (2 + (F.col("y") + F.col("box_no")) % 3)
-    runs = letters.select("doc_id", "page_no", "y", row("x0").alias("xs"), (row("x0") + 1 + F.floor(wide / 4)).alias("xe"))
-    return ink_collisions.tested(written(pairs, "colliding"), figures.union(["doc_id", "page_no"], ink=runs), SCALE)
+    return letters.select("doc_id", "page_no", "y", row("x0").alias("xs"), (row("x0") + 1 + F.floor(wide / 4)).alias("xe"))
 
 
 @register("k15_ink_tests", sql("b_boxes") + _PAIRS.replace("\nn AS", "\nnn AS").replace("FROM n a JOIN n b", "FROM nn a JOIN nn b") + _INK + " SELECT doc_id, page_no, a_box_no, b_box_no, collides, why FROM tested")
