@@ -96,7 +96,7 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def similarity(rows: DataFrame, master: str, target: str) -> DataFrame:
     """rows with similarity (percent, one decimal) and match_desc; only pairs that are neither empty
-    nor equal reach the Python measure."""
+    nor equal reach the Python measure, and those in as many tasks as a shuffle has."""
     flat = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[\s\p{Z}]+", " ")))
     r = rows.withColumn("__a", flat(master)).withColumn("__b", flat(target))
     empty_a, empty_b = F.coalesce(F.col(master), F.lit("")) == "", F.coalesce(F.col(target), F.lit("")) == ""
@@ -104,7 +104,10 @@ def similarity(rows: DataFrame, master: str, target: str) -> DataFrame:
     r = r.withColumn("match_desc", kind)
     easy = r.where("match_desc IS NOT NULL").withColumn("similarity", F.when(F.col("match_desc") == "Empty / No Content", 0.0).otherwise(100.0))
     tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(r"([\p{L}\p{M}\p{N}_]+)"), F.lit(1)))
-    hard = r.where("match_desc IS NULL").withColumn("__r", _ratio("__a", "__b"))
+    # a small table takes long here: its rows are dealt out to all cores, however few files or partitions hold them
+    session = rows.sparkSession
+    tasks = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    hard = r.where("match_desc IS NULL").repartition(tasks).withColumn("__r", _ratio("__a", "__b"))
     overlap = F.when((F.size(tokens("__a")) > 0) & (F.size(tokens("__b")) > 0), 100.0 * F.size(F.array_intersect(tokens("__a"), tokens("__b"))) / F.size(tokens("__a")))
     hard = hard.withColumn("__o", F.coalesce(overlap, F.lit(0.0)))
     near, token = F.col("__r") >= 85, F.col("__o") >= 75

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import boxes, columns, components, figures, ink_collisions, ink_similarity, layout, link_alignment, links, raster, spatial, table_alignment, tables
+from tessera.operators import boxes, columns, components, figures, ink_collisions, ink_similarity, layout, link_alignment, links, raster, regions, spatial, table_alignment, tables
 from tessera.plans import overlaps, registry
 
 
@@ -230,3 +230,9 @@ def test_gaps_of_random_pages_take_no_join(spark):
         assert got == want and len(want) > 3
     plan = columns.detected_columns(df, ["p"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan  # one of lines, one of gaps
+
+
+def test_texts_are_measured_on_all_cores(spark):
+    rows = spark.createDataFrame([(i, f"turn the key {i}", f"turn a key {i} now") for i in range(64)] + [(64, "a", "A "), (65, "", "x")], "id int, a string, b string").coalesce(1)
+    found = regions.similarity(rows, "a", "b")
+    assert found.count() == 66 and found.where("match_desc = 'Token Match'").select(F.spark_partition_id().alias("p")).distinct().count() == 4
