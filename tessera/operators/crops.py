@@ -15,11 +15,20 @@ def correlation(a: Column, b: Column) -> Column:
     """Pearson's r of two equally long pixel arrays; constant arrays: 1 if both are equal, else 0."""
     n = F.size(a)
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    ma, mb = total(a) / n, total(b) / n
-    cross = total(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)))
-    va, vb = total(F.transform(a, lambda x: (x - ma) * (x - ma))), total(F.transform(b, lambda y: (y - mb) * (y - mb)))
-    flat = (va < 1e-12) | (vb < 1e-12)
-    return F.when(flat, F.when((va < 1e-12) & (vb < 1e-12) & (F.abs(ma - mb) < 1e-9), 1.0).otherwise(0.0)).otherwise(cross / F.sqrt(va * vb))
+    # what a function over one value is given is worked out once, not for each pixel
+    once = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+    centred = lambda x: once(total(x) / n, lambda m: F.struct(m.alias("mean"), F.transform(x, lambda v: v - m).alias("off")))
+    power = lambda x, y: total(F.zip_with(x, y, lambda v, w: v * w))
+
+    def sums(s: Column) -> Column:
+        x, y = s["x"]["off"], s["y"]["off"]
+        return F.struct(power(x, y).alias("cross"), power(x, x).alias("va"), power(y, y).alias("vb"), F.abs(s["x"]["mean"] - s["y"]["mean"]).alias("apart"))
+
+    def score(s: Column) -> Column:
+        flat = (s["va"] < 1e-12) | (s["vb"] < 1e-12)
+        return F.when(flat, F.when((s["va"] < 1e-12) & (s["vb"] < 1e-12) & (s["apart"] < 1e-9), 1.0).otherwise(0.0)).otherwise(s["cross"] / F.sqrt(s["va"] * s["vb"]))
+
+    return once(once(F.struct(centred(a).alias("x"), centred(b).alias("y")), sums), score)
 
 
 def scored_pairs(master: DataFrame, target: DataFrame, by: list[str], key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
+from tessera.operators.components import written
 from tessera.operators.crops import correlation
 
 MATCH, SIDEWAYS, NEIGHBOURS = 0.80, 3.0, 1
@@ -17,7 +18,9 @@ _CLAIM = "struct<m:bigint,t:bigint,score:double>"
 def scored_graphics(master: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:
     """(key, m, t, score) of the graphics of matched pages with equal pixel counts; both(key, no, pixels)."""
     m, t = master.select(*key, F.col("no").alias("m"), F.col("pixels").alias("p")), target.select(*key, F.col("no").alias("t"), F.col("pixels").alias("q"))
-    return m.join(t, key).where(F.size("p") == F.size("q")).select(*key, "m", "t", F.bround(correlation(F.col("p"), F.col("q")), 6).alias("score"))
+    score = F.bround(correlation(F.col("p"), F.col("q")), 6)
+    # exploded, so that filters on the score don't work it out again
+    return m.join(t, key).where(F.size("p") == F.size("q")).select(*key, "m", "t", F.explode(F.array(score)).alias("score"))
 
 
 def claims(scores: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:
@@ -44,7 +47,8 @@ def found_nearby(lost: DataFrame, others: DataFrame, doc: list[str]) -> DataFram
     steps = F.explode(F.array(*[F.lit(d) for n in range(1, NEIGHBOURS + 1) for d in (-n, n)]))
     asked = lost.withColumn("d", steps).withColumn("near_page", (F.col("at_page") + F.col("d")).cast("int"))
     met = asked.join(others.select(*doc, F.col("page_no").alias("near_page"), F.col("pixels").alias("q")), [*doc, "near_page"]).where(F.size("pixels") == F.size("q"))
-    hit = met.withColumn("near_score", F.bround(correlation(F.col("pixels"), F.col("q")), 6)).where(F.col("near_score") >= MATCH)
+    score = F.bround(correlation(F.col("pixels"), F.col("q")), 6)
+    hit = met.select(*doc, "page_no", "no", "d", "near_page", F.explode(F.filter(F.array(score), lambda s: s >= MATCH)).alias("near_score"))
     w = Window.partitionBy(*doc, "page_no", "no").orderBy(F.abs("d"), "d", F.desc("near_score"))
     return hit.withColumn("n", F.row_number().over(w)).where("n = 1").select(*doc, "page_no", "no", "near_page", "near_score")
 
@@ -53,18 +57,20 @@ def page_differences(master: DataFrame, target: DataFrame, mapped: DataFrame, do
     """Differences of each master page and its matching page: kind, both boxes, shift, score, near_page.
 
     master and target(doc, page_no, no, x0, y0, x1, y1, pixels), mapped(doc, page_no, target_page).
-    A graphic that only slid up or down is none, however far.
+    A graphic that only slid up or down is none, however far. Graphics and claims are written once: each is read by
+    several of the parts that make the result.
     """
     key = [*doc, "page_no"]
-    m = master.join(mapped, key)
-    t = target.withColumnRenamed("page_no", "target_page").join(mapped, [*doc, "target_page"])
+    m = written(master.join(mapped, key), "master-pages")
+    t = written(target.withColumnRenamed("page_no", "target_page").join(mapped, [*doc, "target_page"]), "target-pages")
     taken = claims(scored_graphics(m, t, key), m.select(*key, F.col("no").alias("m"), g.area(g.box()).alias("area")), key)
     named = lambda df, p: df.select(*key, F.col("no").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in g.BOX])
     placed = taken.join(named(m, "m"), [*key, "m"]).join(named(t, "t"), [*key, "t"]).withColumn("dx", F.round(F.col("t_x0") - F.col("m_x0"), 3)).withColumn("dy", F.round(F.col("t_y0") - F.col("m_y0"), 3))
+    placed = written(placed, "claims")
     none = lambda n, kind="double": F.lit(None).cast(kind).alias(n)
     own, other = [F.col(f"m_{c}") for c in g.BOX], [F.col(f"t_{c}") for c in g.BOX]
     moved = placed.where(F.abs("dx") > SIDEWAYS).select(*key, F.lit("moved").alias("kind"), F.col("m").cast("long").alias("m"), F.col("t").cast("long").alias("t"), *own, *other, "dx", "dy", "score", none("near_page", "int"))
-    lost = m.join(taken.select(*key, F.col("m").alias("no")), [*key, "no"], "left_anti")
+    lost = m.join(placed.select(*key, F.col("m").alias("no")), [*key, "no"], "left_anti")
     near = found_nearby(lost.select(*key, "no", F.col("target_page").alias("at_page"), "pixels"), target, doc)
     gone = lost.join(near, [*key, "no"], "left")
     kind = lambda one: F.when(F.col("near_page").isNotNull(), "reflowed").otherwise(one)

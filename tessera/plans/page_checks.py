@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import page_diff as pd_
 from tessera.operators import region_checks as rc
 from tessera.operators import inspection, summaries, tables
+from tessera.operators.components import written
 from tessera.plans.layout import HEIGHT, WIDTH, _margins
 from tessera.plans.registry import register
 from tessera.sources import bindings
@@ -25,6 +26,7 @@ def _graphics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     place = F.expr("(vec_id % 100) div 2")
     x, y = (place % 5 * 100 + F.when(F.col("vec_id") % 4 == 1, 10).otherwise(0)).cast("double"), (place % 5 * 150 + F.col("vec_id") % 2 * 7).cast("double")
     shaped = e.select(F.expr("vec_id div 100").alias("batch_id"), (1 + F.expr("(vec_id % 100) div 10") + F.when(F.col("vec_id") % 26 == 1, 1).otherwise(0)).cast("int").alias("page_no"), F.col("vec_id").alias("no"), x.alias("x0"), y.alias("y0"), (x + 60 + F.col("vec_id") % 7).alias("x1"), (y + 50).alias("y1"), "pixels")
+    shaped = written(shaped, "graphics")
     m, t = shaped.where("no % 2 = 0"), shaped.where("no % 2 = 1")
     mapped = m.select("batch_id", "page_no").distinct().withColumn("target_page", F.col("page_no"))
     return m, t, mapped
