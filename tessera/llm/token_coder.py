@@ -34,7 +34,7 @@ _SLOTS2, _SLOTS1 = 9, 9  # bits
 _ID = np.int32((1 << 17) - 1)
 _STEP, _SURE = np.int32(1 << 17), np.int32(63000)
 _MIX1, _MIX2 = np.uint32(0x85EBCA6B), np.uint32(0x9E3779B1)
-_ROWS, _STRETCH = 64, 16
+_ROWS, _STRETCH = 24, 16
 _BIT, _UPTO = 2.0 ** np.arange(32), (2 << np.arange(32)) - 1
 _TOTAL, _ONE = 14, 16
 _RENEWALS = {48, 128, 320, 704, 1280}
