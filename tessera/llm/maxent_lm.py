@@ -12,10 +12,9 @@ a class with a head or with its rest.
 The class model is log-linear over features of the DISTANCE last tokens: the class at each distance
 (skips), and the last token's row (its unit, or a hash of the word among ROWS rows). The head model is
 log-linear over the last unit, for each class. Both start from the training tokens' own counts; the
-class model then takes ROUNDS gradient steps, each over its share of the training documents (by a hash
-of their texts), so that every document moves the weights once. A step's observed and expected counts
-are summed by Spark tasks, first in SALTS partial sums; the gradient of a weight is scaled by its row's
-expected count, and features share a step among them.
+class model then takes ROUNDS gradient steps, each over all training documents. Observed counts and a
+step's expected counts are summed by Spark tasks, first in SALTS partial sums; the gradient of a weight
+is scaled by its row's expected count, and features share a step among them.
 
 Word counts come from all training tokens and grow with them. Documents are read in batches of about
 BATCH_BYTES. A batch asks for each of its distinct words once, counts are summed where the askers of
@@ -45,8 +44,9 @@ UNITS = CLASSES * (HEADS + 1)
 ROWS = 8192  # the first UNITS of them are units
 FREQUENT = 2048
 SALTS, BLOCK_CELLS = 64, 1 << 17
-BATCH_BYTES, CHUNK = 12 << 20, 1 << 17
-SMOOTH, HEAD_SMOOTH = 20.0, 8.0
+BATCH_BYTES, CHUNK = 12 << 20, 1 << 18
+PART, SLICE, WIDE = 1 << 16, 1 << 10, 96  # tokens at a time, tokens within the cache, members of a large group
+SMOOTH, STEP_SMOOTH, HEAD_SMOOTH = 20.0, 40.0, 8.0
 END, START = mix(np.array([0x5EED, 0xBE61], U64))
 END_CELL = 0
 
@@ -122,8 +122,8 @@ def adder(kind: str = "<f8"):
     return run
 
 
-def collected(rows: DataFrame, gather, cells: int, kind: str = "<f8") -> np.ndarray:
-    """The sum over all tasks of what gather adds up, an array of a fixed number of cells; tasks send it as kind."""
+def collected(rows: DataFrame, gather, cells: int, kind: str = "<f8", fold=lambda total: total) -> np.ndarray:
+    """The sum over all tasks of what gather adds up, an array of a fixed number of cells; tasks send its fold as kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells)
@@ -131,12 +131,12 @@ def collected(rows: DataFrame, gather, cells: int, kind: str = "<f8") -> np.ndar
             raw, offsets = text_bytes(batch.column("text"))
             for a, b in chunks(offsets, CHUNK):
                 gather(total, *tokens(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-        yield from _blocks(total, TaskContext.get().partitionId(), kind)
+        yield from _blocks(fold(total), TaskContext.get().partitionId(), kind)
 
     schema = "block int, salt int, total binary"
     part = rows.select("text").mapInArrow(run, schema).repartition("block", "salt").mapInArrow(adder(kind), schema)
     whole = part.withColumn("salt", F.lit(0)).repartition("block").mapInArrow(adder(), schema)
-    total = np.zeros(cells)
+    total = fold(np.zeros(cells))
     for r in whole.collect():
         x = np.frombuffer(bytes(r.total), "<f8")
         total[r.block * BLOCK_CELLS : r.block * BLOCK_CELLS + len(x)] += x
@@ -222,62 +222,92 @@ def observed(words):
         for d, c in enumerate(skips):
             part = total[d * (CLASSES + 1) * CLASSES : (d + 1) * (CLASSES + 1) * CLASSES]
             part += np.bincount(c * CLASSES + kind, minlength=len(part))
-        np.add.at(total, _SKIP + row * CLASSES + kind, 1)
-        np.add.at(total, _SKIP + _ROW + last * UNITS + unit, 1)
+        np.add.at(total, _SKIP + row * CLASSES + kind, 1.0)
+        np.add.at(total, _SKIP + _ROW + last * UNITS + unit, 1.0)
 
     return gather
 
 
+# cells of expected counts: class counts by pair of classes at two distances, then by row
+_PAIRS = (CLASSES + 1) ** 2
+_PAIR = DISTANCE // 2 * _PAIRS * CLASSES
+
+
+def factors(weights: list[np.ndarray]) -> list[np.ndarray]:
+    """The powers of the weights, to be multiplied: one table for each pair of classes at two distances, then the rows'."""
+    both = [(a[:, None] + b[None]).reshape(-1, CLASSES) for a, b in zip(weights[:-1:2], weights[1:-1:2])]
+    # a context's chances are the same whatever is taken off all classes
+    return [np.exp(w - w.max(1, keepdims=True)).astype(np.float32) for w in [*both, weights[-1]]]
+
+
+def contexts(skips: list[np.ndarray], row: np.ndarray) -> list[np.ndarray]:
+    """Each token's place in each table of factors."""
+    return [*(a * (CLASSES + 1) + b for a, b in zip(skips[::2], skips[1::2])), row]
+
+
+def chances(tables: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
+    out, ones = np.empty((len(places[0]), CLASSES), np.float32), np.ones(CLASSES, np.float32)
+    for a in range(0, len(out), SLICE):
+        p = out[a : a + SLICE]
+        tables[-1].take(places[-1][a : a + SLICE], axis=0, out=p, mode="clip")
+        for table, place in zip(tables[:-1], places):
+            p *= table.take(place[a : a + SLICE], axis=0)
+        p /= (p @ ones)[:, None]
+    return out
+
+
 def class_chances(weights: list[np.ndarray], skips: list[np.ndarray], row: np.ndarray) -> np.ndarray:
     """weights: one array for each distance, then the rows' (with the bias)."""
-    s = weights[-1][row]
-    for d in range(0, DISTANCE, 2):
-        # two distances at a time, by their sums for each pair of classes
-        pair = (weights[d][:, None] + weights[d + 1][None]).reshape(-1, CLASSES)
-        s += pair[skips[d] * (CLASSES + 1) + skips[d + 1]]
-    s -= s.max(1, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(1, keepdims=True)
-    return s
-
-
-def grouped(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows, ascending, and the sum of the values of each."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")
-    sorted_rows = rows[order]
-    first = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-    return sorted_rows[first], np.add.reduceat(values[order], first, axis=0)
+    return chances(factors(weights), contexts(skips, row))
 
 
 def summed(rows: np.ndarray, values: np.ndarray, into: np.ndarray) -> None:
     """into[r] += values where rows == r."""
-    found, sums = grouped(rows, values)
-    into[found] += sums
-
-
-def expected(words, weights):
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    sorted_rows = rows[order]
+    first = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
+    size = np.diff(np.r_[first, len(rows)])
+    wide = size >= WIDE
+    for a, n in zip(first[wide].tolist(), size[wide].tolist()):
+        into[sorted_rows[a]] += np.ones(n, np.float32) @ values.take(order[a : a + n], axis=0)
+    # the other groups, large ones first, so that those with a further member are always the first ones
+    group = np.flatnonzero(~wide)
+    group = group[np.argsort(-size[group], kind="stable")]
+    for a in range(0, len(group), SLICE):
+        at, n = first[group[a : a + SLICE]], size[group[a : a + SLICE]]
+        sums = values.take(order[at], axis=0)
+        for i in range(1, int(n[0])):
+            more = int(np.searchsorted(-n, -i))
+            sums[:more] += values.take(order[at[:more] + i], axis=0)
+        into[sorted_rows[at]] += sums
+
+
+def expected(words, model):
     def gather(total: np.ndarray, h: np.ndarray, cell: np.ndarray, at: np.ndarray) -> None:
-        kind, _, _, skips, row = words.value.features(h, cell, at)
-        p, seen = class_chances(weights.value, skips, row), total[_SKIP + _ROW :]
-        part = [slice(d * (CLASSES + 1) * CLASSES, (d + 1) * (CLASSES + 1) * CLASSES) for d in range(DISTANCE)]
-        for d in range(0, DISTANCE, 2):
-            pairs, sums = grouped(skips[d] * (CLASSES + 1) + skips[d + 1], p)
-            summed(pairs // (CLASSES + 1), sums, total[part[d]].reshape(-1, CLASSES))
-            summed(pairs % (CLASSES + 1), sums, total[part[d + 1]].reshape(-1, CLASSES))
-        for d, c in enumerate(skips):
-            seen[part[d]] += np.bincount(c * CLASSES + kind, minlength=len(seen[part[d]]))
-        np.add.at(seen, _SKIP + row * CLASSES + kind, 1)
-        summed(row, p, total[_SKIP : _SKIP + _ROW].reshape(-1, CLASSES))
+        _, _, _, skips, row = words.value.features(h, cell, at)
+        places = contexts(skips, row)
+        into = [*total[:_PAIR].reshape(-1, _PAIRS, CLASSES), total[_PAIR:].reshape(ROWS, CLASSES)]
+        for a in range(0, len(row), PART):
+            part = [x[a : a + PART] for x in places]
+            p = chances(model.value, part)
+            for place, sums in zip(part, into):
+                summed(place, p, sums)
 
     return gather
 
 
+def by_distance(total: np.ndarray) -> np.ndarray:
+    """Expected counts by pairs of classes as counts by the class at each distance."""
+    pairs = total[:_PAIR].reshape(-1, CLASSES + 1, CLASSES + 1, CLASSES)
+    return np.concatenate([*(x.ravel() for p in pairs for x in (p.sum(1), p.sum(0))), total[_PAIR:]])
+
+
 def _tables(cells: np.ndarray) -> list[np.ndarray]:
     return [*cells[:_SKIP].reshape(DISTANCE, CLASSES + 1, CLASSES), cells[_SKIP : _SKIP + _ROW].reshape(ROWS, CLASSES)]
 
 
 def train(rows: DataFrame, words, shares: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Class weights, and log10 chances of the heads given class and last unit, from the training rows."""
+    """Factors of the class weights, and log10 chances of the heads given class and last unit, from the training rows."""
     spark = rows.sparkSession
     counts = collected(rows, observed(words), _SKIP + _ROW + _HEAD)
     seen, pull = _tables(counts), 1 / (DISTANCE + 1)
@@ -285,18 +315,32 @@ def train(rows: DataFrame, words, shares: np.ndarray) -> tuple[list[np.ndarray],
     # a feature alone would take the whole of its log ratio; together they take a part each
     weights = [pull * (np.log(n + prior) - np.log((n.sum(1, keepdims=True) + SMOOTH) * shares)) for n in seen]
     weights[-1] += np.log(shares)
-    # every document moves the weights in one of the steps
-    share = F.pmod(F.xxhash64("text"), F.lit(ROUNDS))
-    for step in range(ROUNDS):
-        model = spark.sparkContext.broadcast([w.astype(np.float32) for w in weights])
-        cells = collected(rows.where(share == step), expected(words, model), 2 * (_SKIP + _ROW), "<f4")
-        want, here = _tables(cells[: _SKIP + _ROW]), _tables(cells[_SKIP + _ROW :])
-        weights = [w + 2 * pull * np.clip(np.log((n + prior) / (e + prior)), -2, 2) for w, n, e in zip(weights, here, want)]
+    prior = STEP_SMOOTH * shares
+    for _ in range(ROUNDS):
+        model = spark.sparkContext.broadcast(factors(weights))
+        want = _tables(collected(rows, expected(words, model), _PAIR + _ROW, "<f4", by_distance))
+        weights = [w + 2 * pull * np.clip(np.log((n + prior) / (e + prior)), -2, 2) for w, n, e in zip(weights, seen, want)]
     heads = counts[_SKIP + _ROW :].reshape(UNITS + 1, CLASSES, HEADS + 1)
     overall = heads.sum(0, keepdims=True) + 1e-3
     overall /= overall.sum(2, keepdims=True)
     chance = (heads + HEAD_SMOOTH * overall) / (heads.sum(2, keepdims=True) + HEAD_SMOOTH)
-    return [w.astype(np.float32) for w in weights], np.log10(chance).reshape(UNITS + 1, UNITS).astype(np.float32)
+    return factors(weights), np.log10(chance).reshape(UNITS + 1, UNITS).astype(np.float32)
+
+
+def finder(word: np.ndarray):
+    """A function from hashes to their places in word, which is ascending and holds them all."""
+    shift = U64(64 - len(word).bit_length())
+    begin = np.r_[0, np.cumsum(np.bincount((word >> shift).astype(np.int64), minlength=1 << len(word).bit_length()))]
+
+    def find(h: np.ndarray) -> np.ndarray:
+        i = begin[(h >> shift).astype(np.int64)]
+        left = np.flatnonzero(word[i] != h)
+        while len(left):
+            i[left] += 1
+            left = left[word[i[left]] != h[left]]
+        return i
+
+    return find
 
 
 def scored(words, model, size: tuple[int, int], rest: np.ndarray):
@@ -308,13 +352,17 @@ def scored(words, model, size: tuple[int, int], rest: np.ndarray):
         word = right.column("word").to_numpy().view(U64)
         order = np.argsort(word)
         word, count = word[order], right.column("c").to_numpy()[order]
-        weights, heads = model.value
+        find = finder(word)
+        tables, heads = model.value
         out = []
         for a, b in chunks(offsets, CHUNK):
             h, cell, at = tokens(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            c = count[np.searchsorted(word, h)]
+            c = count[find(h)]
             kind, unit, last, skips, row = words.value.features(h, cell, at)
-            p = class_chances(weights, skips, row)[np.arange(len(h)), kind].astype(float)
+            places, p = contexts(skips, row), np.empty(len(h))
+            for i in range(0, len(h), PART):
+                own = kind[i : i + PART]
+                p[i : i + PART] = chances(tables, [x[i : i + PART] for x in places])[np.arange(len(own)), own]
             own = np.log10(np.maximum(p, 1e-30)) + heads[last, unit]
             own += np.where(unit % (HEADS + 1) == HEADS, np.log10((c + 1) / rest[kind]), 0.0)
             base = np.log10((c + 1) / (n_all + v_all + 1))
