@@ -6,15 +6,19 @@ in at least `least` coordinates but for about one chance in a million, so they s
 COORDINATES - least + 1 (coordinate, value) pairs that each posts. Rare pairs are posted first: all
 texts order their pairs by the same counts, a sketch of SKETCH numbers whatever the corpus holds.
 
-Posting lists are merged in two rounds. First every member of a list meets the list's smallest
-member only, collisions between the two signatures are counted, and pairs at or above `least` are
-confirmed on full sets. Members that this joined to one component need not meet again: lists that
-lie within one component are skipped, and in the others only members of different components meet.
-In lists of at most SHORT members the collisions of such pairs are counted and what is left is
-confirmed. Longer lists are families of copies that overlap each other, list by list, in nearly the
-same members: lists that share members are put together, each family is cut into blocks of at most
-BLOCK texts, and each pair of blocks counts the shingles its texts share by matrix products and
-returns links that join what it joins, never pairs. No pair is capped or sampled away.
+Posting lists are merged in two rounds. Lists hold marks, two bits of each coordinate: pairs whose
+sizes allow a link and whose marks agree in `least` coordinates or more are looked at, all others
+cannot be links but for the chance above. First every member of a list meets the list's smallest
+member only, and such pairs are confirmed on full sets. Members that this joined to one component
+need not meet again: lists that lie within one component are skipped, and in the others only members
+of different components meet. In lists of at most SHORT members such pairs are confirmed. Longer
+lists are looked through by blocks of about LIST members, and what a block's marks connect goes on as
+links of a family, never as pairs. Each family is cut into blocks of at most BLOCK texts, and each
+pair of blocks counts the shingles its texts share by matrix products and returns links that join
+what it joins. No pair is capped or sampled away.
+
+Texts are read anew from the documents wherever they are needed, those of pairs and families only: a
+sketch of 2**18 words of 64 bits, whatever the corpus holds, keeps most others out of the shuffle.
 
 Null, empty and blank texts have no shingles, are linked with nothing and are kept. A text of fewer
 words than a shingle is one shingle by itself. Rows with a null doc_id get a null component and are
@@ -33,8 +37,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import U64, chunks, components, mix, table, text_bytes, word_hashes, written
+from tessera.operators.components import least_labels
 
-COORDINATES, SKETCH, SHORT, BLOCK, FANOUT, MISS = 64, 1 << 16, 32, 512, 256, 1e-6
+COORDINATES, SKETCH, SHORT, LIST, BLOCK, FANOUT, MISS = 64, 1 << 16, 32, 4096, 512, 256, 1e-6
+PAIRS, WANTED = 400_000, 1 << 18  # pairs that are looked at together, words of the sketch of wanted texts
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=U64))
 _A, _B = _SEEDS[:COORDINATES] | U64(1), _SEEDS[COORDINATES:]
 
@@ -123,17 +129,36 @@ def posted(prefix: int, counts):
     return run
 
 
-def agreeing(percent: int, least: int):
-    """A mapInArrow function keeping the rows whose two sizes and signatures allow a link."""
+def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, n, lo, hi): the two lowest bits of each coordinate."""
+    for batch in batches:
+        least = _coordinates(batch.column("signature"))
+        lo, hi = (np.packbits((least >> np.uint32(k)) & np.uint32(1), axis=1).view(np.int64)[:, 0] for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("n"), pa.array(lo), pa.array(hi)], ["uid", "n", "lo", "hi"])
+
+
+def alike(lo: np.ndarray, hi: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The number of coordinates in which the marks of x and y agree, no less than their signatures do."""
+    return COORDINATES - np.bitwise_count(((lo[x] ^ lo[y]) | (hi[x] ^ hi[y])).view(U64)).astype(np.int64)
+
+
+def spokes(percent: int, least: int):
+    """A mapInArrow function over (token, chunk, spoke, uid, n, lo, hi), sorted so that each (token, chunk) starts with the
+    list's smallest member (spoke false): pairs (a, b) of that member and another that may be linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m, n = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-            same = (_coordinates(batch.column("s_a")) == _coordinates(batch.column("s_b"))).sum(1)
-            keep = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & (same >= least)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            uid, n, lo, hi = (np.r_[hub[i] if hub else np.zeros(0, np.int64), batch.column(c).to_numpy()] for i, c in enumerate(("uid", "n", "lo", "hi")))
+            spoke = np.r_[np.zeros(1 if hub else 0, bool), batch.column("spoke").to_numpy(zero_copy_only=False)]
+            at = np.maximum.accumulate(np.where(spoke, 0, np.arange(len(spoke))))
+            y = np.flatnonzero(spoke)
+            x = at[y]
+            ok = (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (alike(lo, hi, x, y) >= least)
+            yield pa.RecordBatch.from_arrays([pa.array(uid[x[ok]]), pa.array(uid[y[ok]])], ["a", "b"])
+            hub = tuple(c[at[-1:]] for c in (uid, n, lo, hi))
 
     return run
 
@@ -167,31 +192,55 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[p
         yield pa.Table.from_batches(held)
 
 
+def _meetings(group: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray, percent: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (x, y) of rows of a group (0, 1, ...) that may be linked, some at a time; rows come by group, then by n."""
+    wide = int(n.max(initial=0)) + 1
+    last = np.searchsorted(group * wide + n, group * wide + np.minimum(100 * n // percent, wide - 1), "right")
+    later = np.maximum(0, last - np.arange(len(n)) - 1)  # partners after each row
+    step = np.cumsum(later)
+    a0 = 0
+    while a0 < len(n):
+        a1 = max(a0 + 1, int(np.searchsorted(step, (step[a0 - 1] if a0 else 0) + PAIRS, "right")))
+        k = later[a0:a1]
+        x = np.repeat(np.arange(a0, a1), k)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k) + x + 1
+        ok = alike(lo, hi, x, y) >= least
+        yield x[ok], y[ok]
+        a0 = a1
+
+
 def crossing(percent: int, least: int):
-    """A mapInArrow function over lists (token, uid, part, family, n, signature), sorted by token:
+    """A mapInArrow function over lists (token, uid, part, family, n, lo, hi), sorted by token and n:
     pairs of different parts and families that may be linked, (a, b) with a < b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_runs(batches, ["token"]):
-            rows = rows.combine_chunks()
-            token, uid, part, family, n = (rows.column(c).to_numpy() for c in ("token", "uid", "part", "family", "n"))
-            mark = _coordinates(rows.column("signature").combine_chunks())
-            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            ends = np.r_[starts[1:], len(token)]
-            later = np.repeat(ends, ends - starts) - np.arange(len(token)) - 1  # partners after each row
-            step = np.cumsum(later)
-            a0 = 0
-            while a0 < len(token):
-                a1 = max(a0 + 1, int(np.searchsorted(step, (step[a0 - 1] if a0 else 0) + 400_000, "right")))
-                k = later[a0:a1]
-                x = np.repeat(np.arange(a0, a1), k)
-                y = np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k) + x + 1
-                ok = (part[x] != part[y]) & (family[x] != family[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-                x, y = x[ok], y[ok]
-                hit = np.concatenate([(mark[x[z : z + 65536]] == mark[y[z : z + 65536]]).sum(1) >= least for z in range(0, len(x), 65536)] or [np.zeros(0, bool)])
-                p, q = uid[x[hit]], uid[y[hit]]
+            token, uid, part, family, n, lo, hi = (rows.column(c).to_numpy() for c in ("token", "uid", "part", "family", "n", "lo", "hi"))
+            group = np.cumsum(np.r_[False, token[1:] != token[:-1]])
+            for x, y in _meetings(group, n, lo, hi, percent, least):
+                ok = (part[x] != part[y]) & (family[x] != family[y])
+                p, q = uid[x[ok]], uid[y[ok]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
-                a0 = a1
+
+    return run
+
+
+def connecting(percent: int, least: int):
+    """A mapInArrow function over blocks of lists (token, i, j, uid, part, n, lo, hi), sorted by the first three and n:
+    links (a, b) that connect what pairs of different parts that may be linked connect, fewer than a block has rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_runs(batches, ["token", "i", "j"]):
+            token, i, j, uid, part, n, lo, hi = (rows.column(c).to_numpy() for c in ("token", "i", "j", "uid", "part", "n", "lo", "hi"))
+            group = np.cumsum(np.r_[False, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            label = np.arange(len(n))
+            for x, y in _meetings(group, n, lo, hi, percent, least):
+                ok = part[x] != part[y]
+                if ok.any():
+                    known = np.flatnonzero(label != np.arange(len(n)))
+                    label = least_labels(len(n), np.r_[known, x[ok]], np.r_[label[known], y[ok]])
+            known = np.flatnonzero(label != np.arange(len(n)))
+            yield pa.RecordBatch.from_arrays([pa.array(uid[label[known]]), pa.array(uid[known])], ["a", "b"])
 
     return run
 
@@ -280,13 +329,23 @@ def confirmed(words: int, percent: int):
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of uids that are links; texts(uid, text) holds every uid once."""
+def with_texts(keyed: DataFrame, ids: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(uid, ...) with the text of each uid; keyed(row, row2, text), ids(uid, row, row2), each row once."""
+    named = written(asked.join(ids, "uid"), "near-asked")
+    cell, bit = F.pmod("row", F.lit(WANTED)).alias("cell"), F.pmod(F.expr("row div %d" % WANTED), F.lit(64)).cast("int")
+    sketch = named.select("row", cell).groupBy("cell").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    near = keyed.join(F.broadcast(sketch), F.pmod("row", F.lit(WANTED)) == F.col("cell")).where(F.call_function("shiftrightunsigned", "bits", bit).bitwiseAND(F.lit(1)) == 1)
+    texts = near.groupBy("row", "row2").agg(F.first("text").alias("text"))
+    return texts.join(named.hint("shuffle_hash"), ["row", "row2"]).drop("row", "row2")
+
+
+def confirm(pairs: DataFrame, keyed: DataFrame, ids: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of uids that are links."""
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / FANOUT).cast("int").alias("chunks"))
     dealt = written(pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk")), "near-dealt")
-    members = texts.join(dealt.withColumnRenamed("b", "uid").hint("shuffle_hash"), "uid").select("a", "chunk", F.col("uid").alias("b"), "text")
-    hubs = texts.join(dealt.select(F.col("a").alias("uid"), "chunk").distinct().hint("shuffle_hash"), "uid").select(F.col("uid").alias("a"), "chunk", F.lit(None).cast("long").alias("b"), "text")
-    rows = members.unionByName(hubs).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    hubs = dealt.select("a", "chunk").distinct().select(F.col("a").alias("uid"), "a", "chunk", F.lit(None).cast("long").alias("b"))
+    asked = dealt.select(F.col("b").alias("uid"), "a", "chunk", "b").unionByName(hubs)
+    rows = with_texts(keyed, ids, asked).select("a", "chunk", "b", "text").repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
     return written(rows.mapInArrow(confirmed(words, percent), "a long, b long"), "near-links")
 
 
@@ -295,6 +354,13 @@ def row_id() -> list[Column]:
     return [F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "doc_id", "text")]
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """rows(uid, blocks, ...) dealt into blocks, once for each pair of blocks i <= j that theirs is one of."""
+    block = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
+    cut = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cut.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("block", "other", "blocks")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(uid, uid2, doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text).
 
@@ -316,32 +382,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     posts = written(classes.select("uid", "signature").mapInArrow(posted(COORDINATES - least + 1, shared), "token long, uid long"), "near-posts")
     lists = written(posts.groupBy("token").agg(F.count("*").alias("m"), F.min("uid").alias("hub")).where("m > 1"), "near-lists")
     listed = written(posts.join(lists, "token").select("token", "m", "hub", "uid"), "near-listed")
-    star = listed.where("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct()
-    side = classes.select("uid", "n", "signature")
-    sized = star.join(side.toDF("a", "n_a", "s_a"), "a").join(side.toDF("b", "n_b", "s_b"), "b")
-    pairs = written(sized.mapInArrow(agreeing(percent, least), "a long, b long"), "near-pairs")
-    # the texts that any list of two or more holds, shuffled once; all later joins read these
-    ids = classes.select("uid", "row", "row2").join(listed.select("uid").distinct(), "uid", "left_semi")
-    named_rows = keyed.select(F.col("uid").alias("row"), F.col("uid2").alias("row2"), "text").join(ids.hint("shuffle_hash"), ["row", "row2"])
-    texts = written(named_rows.select("uid", "text").dropDuplicates(["uid"]), "near-texts")
-    links = confirm(pairs, texts, words, percent)
+    marks = written(classes.select("uid", "n", "signature").mapInArrow(marked, "uid long, n long, lo long, hi long"), "near-marks")
+    chunks = F.ceil(F.col("m") / LIST).cast("int")
+    hubs = lists.select("token", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(False).alias("spoke"), F.col("hub").alias("uid"))
+    star = hubs.unionByName(listed.where("uid <> hub").select("token", F.pmod(F.xxhash64("uid"), chunks).cast("int").alias("chunk"), F.lit(True).alias("spoke"), "uid")).join(marks, "uid")
+    pairs = written(star.repartition("token", "chunk").sortWithinPartitions("token", "chunk", "spoke").mapInArrow(spokes(percent, least), "a long, b long").distinct(), "near-pairs")
+    source = docs.select(uid.alias("row"), uid2.alias("row2"), "text")
+    ids = classes.select("uid", "row", "row2")
+    links = confirm(pairs, source, ids, words, percent)
     parts = written(components(links), "near-parts")
     # lists that reach over several components: only members of different ones meet
     part = F.coalesce("component", "uid")
     labelled = written(listed.join(parts.withColumnRenamed("id", "uid"), "uid", "left").select("token", "m", "uid", part.alias("part")), "near-labelled")
-    open_lists = labelled.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("uid").alias("first")).where("p < q").select("token", "first")
-    members = written(labelled.join(open_lists, "token").select("token", "m", "uid", "part", "first"), "near-open")
-    long = members.where(F.col("m") > SHORT)
-    families = written(components(long.select(F.col("first").alias("a"), F.col("uid").alias("b"))).toDF("uid", "family"), "near-families")
-    short = members.where(F.col("m") <= SHORT).join(families, "uid", "left").withColumn("family", F.coalesce("family", "uid")).join(side, "uid")
-    met = short.select("token", "uid", "part", "family", "n", "signature").repartition("token").sortWithinPartitions("token")
+    open_lists = labelled.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("token")
+    members = written(labelled.join(open_lists, "token").select("token", "m", "uid", "part"), "near-open")
+    long, both = _blocks(members.where(F.col("m") > SHORT).withColumn("blocks", F.ceil(F.col("m") / LIST).cast("int"))), ["token", "i", "j"]
+    linked = long.join(marks, "uid").repartition(*both).sortWithinPartitions(*both, "n").mapInArrow(connecting(percent, least), "a long, b long")
+    families = written(components(linked).toDF("uid", "family"), "near-families")
+    short = members.where(F.col("m") <= SHORT).join(families, "uid", "left").withColumn("family", F.coalesce("family", "uid")).join(marks, "uid")
+    met = short.select("token", "uid", "part", "family", "n", "lo", "hi").repartition("token").sortWithinPartitions("token", "n")
     cross = written(met.mapInArrow(crossing(percent, least), "a long, b long").distinct(), "near-cross")
-    more = confirm(cross, texts, words, percent)
+    more = confirm(cross, source, ids, words, percent)
     sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
-    cut = families.join(sizes, "family").join(long.select("uid", "part").distinct(), "uid").withColumn("block", block)
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("uid", "part", "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    blocks = texts.join(written(cut, "near-blocks").hint("shuffle_hash"), "uid").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    cut = _blocks(families.join(sizes, "family").join(parts.withColumnRenamed("id", "uid"), "uid", "left").withColumn("part", part))
+    blocks = with_texts(source, ids, cut.select("uid", "part", "family", "i", "j")).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     inner = written(blocks.mapInArrow(family_links(words, percent), "a long, b long"), "near-family-links")
     more = more.unionByName(inner)
     roots = written(components(links.union(more)).withColumnRenamed("id", "uid"), "near-roots")
