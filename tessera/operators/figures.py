@@ -1,10 +1,10 @@
 """Figures, rules and grids from a page's ink, as algebra of run-length rows.
 
-Ink: (key..., y, xs, xe), xe exclusive, disjoint runs a row; key names the page. Union, intersection and
-difference are one sweep along each row; a dilation repeats widened runs in the rows it reaches and
-merges them. Nothing is turned into pixels but the runs that are looked through by column. Only this and
-the naming of connected runs see whole pages, as arrays: some pages at a time, one below the other with a
-blank row between them. A page's runs are bounded by its size.
+Ink: (key..., y, xs, xe), xe exclusive, runs of a row; key names the page. Runs may have a column ye, the exclusive
+end of their rows, and are boxes then, but for union, sweep, dilated and labelled, which take single rows. Union,
+intersection and difference are one sweep along each row; a dilation repeats widened runs in the rows it reaches and
+merges them. Strokes, rules, grids, dividers and figures see whole pages, as bits: some pages at a time, one below the
+other with blank rows between them, so that a page goes through one shuffle. A page is bounded by its size.
 
 Pages without ink have no rows anywhere. Runs that are null, empty or reversed are no ink. Runs that
 overlap or repeat count once. Long strokes are runs of the given length within the page; nothing is taken
@@ -14,14 +14,17 @@ to lie beyond its edges.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from math import sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.components import least_labels, written
+from tessera.operators import bitmaps as bits
+from tessera.operators.components import least_labels
 
 # fixed values: shares and sizes of the rules below
 THICK_SHARE, MIN_SPAN, MIN_JUNCTIONS = 0.18, 0.25, 4
@@ -133,15 +136,10 @@ class _Stack:
         one = runs["n"].to_numpy() == 1
         self.first, self.page = np.flatnonzero(one), one.cumsum() - 1
         self.y, self.xs, self.xe = (runs[c].to_numpy(np.int64) for c in ("y", "xs", "xe"))
-        self.top = self.y[self.first]
-        height = self.y[np.append(self.first[1:], len(runs)) - 1] - self.top + 2
-        self.start = height.cumsum() - height
-        self.rows, self.left = int(height.sum()), int(self.xs.min())
-        self.wide = int(self.xe.max()) - self.left
-        self.row = self.y + (self.start - self.top)[self.page]
-
-    def pages_of(self, row: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.start, row, "right") - 1
+        top = self.y[self.first]
+        height = self.y[np.append(self.first[1:], len(runs)) - 1] - top + 2
+        self.left = int(self.xs.min())
+        self.row = self.y + (height.cumsum() - height - top)[self.page]
 
 
 def _boxed(y: np.ndarray, xs: np.ndarray, xe: np.ndarray, part: np.ndarray) -> dict[str, np.ndarray]:
@@ -171,50 +169,141 @@ def extents(key: list[str], parts: DataFrame) -> DataFrame:
     return parts.select(*key, "part", "x0", "y0", "x1", "y1").distinct()
 
 
-def _long_runs(m: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and end of the runs of at least length in each row of a raster."""
-    edge = np.diff(m.astype(np.int8), axis=1, prepend=0, append=0)
-    y, start = np.nonzero(edge == 1)
-    end = np.nonzero(edge == -1)[1]
+@dataclass
+class _Pages:
+    """Ink of some pages as bits, their sizes (nan where unknown), and regions: page, box in pixels and row of the table."""
+
+    s: bits.Sheets
+    m: np.ndarray
+    width: np.ndarray
+    height: np.ndarray
+    regions: dict[str, np.ndarray]
+
+
+_KINDS = {"tinyint": np.int8, "smallint": np.int16, "int": np.int32, "bigint": np.int64}
+_SHAPE = ["kind", "a", "b", "c", "d"]
+
+
+def _as_bits(key: list[str], ink: DataFrame, run: Callable[[_Pages], tuple], columns: str, edge: int, pages: DataFrame | None = None, regions: DataFrame | None = None) -> DataFrame:
+    """run on some whole pages at a time: the page of each row found and its columns, after the key.
+
+    Where there are regions the first of the columns is `region`, for which run gives places among the regions.
+    pages: (key, width, height); regions: (key, region, x0, y0, x1, y1).
+    """
+
+    def rows(df: DataFrame, kind: int, *shape: Column) -> DataFrame:
+        named = [F.lit(kind).cast("tinyint").alias("kind"), *(c.cast("int").alias(n) for c, n in zip(shape, "abcd"))]
+        region = [] if regions is None else [F.col("region") if kind == 2 else F.lit(None).cast(regions.schema["region"].dataType).alias("region")]
+        return df.select(*key, *named, *region)
+
+    ye = F.col("ye") if "ye" in ink.columns else F.col("y") + 1
+    given = rows(ink.where("xs < xe").where(F.col("y") < ye), 0, F.col("y"), ye, F.col("xs"), F.col("xe"))
+    if pages is not None:
+        given = given.unionByName(rows(pages, 1, F.coalesce("width", F.lit(-1)), F.coalesce("height", F.lit(-1)), F.lit(0), F.lit(0)))
+    if regions is not None:
+        given = given.unionByName(rows(regions.where("x0 < x1 AND y0 < y1"), 2, *(F.col(c) for c in ("y0", "y1", "x0", "x1"))))
+    kinds, within = [k.strip().rsplit(" ", 1) for k in columns.split(",")], regions is not None
+
+    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        n, kind, a, b, c, d = (table.column(x).to_numpy() for x in ("n", *_SHAPE))
+        a, b, c, d = (v.astype(np.int64) for v in (a, b, c, d))
+        at = np.flatnonzero(n == 1)
+        page, inked = (n == 1).cumsum() - 1, kind == 0
+        has = np.flatnonzero(np.bincount(page[inked], minlength=len(at)))  # pages without ink have no rows
+        if not len(has):
+            return
+        place = np.full(len(at), -1)
+        place[has] = np.arange(len(has))
+        at, page = at[has], place[page]
+        todo = [(0, len(at))]
+        while todo:
+            lo, hi = todo.pop()
+            some = (page >= lo) & (page < hi)
+            i = np.flatnonzero(some & inked)
+            s = bits.Sheets(page[i] - lo, a[i], b[i], c[i], d[i], edge)
+            if hi - lo > 1 and s.shape[0] * s.shape[1] * 64 > PIXELS:
+                todo += [((lo + hi) // 2, hi), (lo, (lo + hi) // 2)]
+                continue
+            size = np.full((2, hi - lo), np.nan)
+            k = np.flatnonzero(some & (kind == 1))
+            size[:, page[k] - lo] = np.where((sides := np.array([a[k], b[k]])) < 0, np.nan, sides)
+            k = np.flatnonzero(some & (kind == 2))
+            met = dict(zip(("page", "y0", "y1", "x0", "x1", "row"), (page[k] - lo, a[k], b[k], c[k], d[k], k)))
+            rows = run(_Pages(s, s.drawn(page[i] - lo, a[i], b[i], c[i], d[i]), *size, met))
+            if not len(rows[0]):
+                continue
+            out = [table.column(x).take(pa.array(at[lo + rows[0]])) for x in key]
+            for (name, kind_of), v in zip(kinds, rows[1:]):
+                out.append(table.column("region").take(pa.array(met["row"][v])) if within and name == "region" else pa.array(v if kind_of == "boolean" else v.astype(_KINDS[kind_of])))
+            yield from pa.table(out, names=[*key, *(k for k, _ in kinds)]).to_batches()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            first = np.flatnonzero(batch.column("n").to_numpy() == 1)
+            if len(first):
+                done = [*held, batch.slice(0, first[-1])]
+                if sum(x.num_rows for x in done):
+                    yield from found(pa.Table.from_batches(done))
+                held, batch = [], batch.slice(first[-1])
+            held.append(batch)
+        if sum(x.num_rows for x in held):
+            yield from found(pa.Table.from_batches(held))
+
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(*key)).alias("n")  # brings pages together, in any order
+    schema = ", ".join([*(f"{c} {dict(ink.dtypes)[c]}" for c in key), columns])
+    # shapes are small for the work they make, so they go to as many tasks as a shuffle has, not to fewer by their size
+    given = given.repartition(int(ink.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    return given.select("*", number).mapInArrow(whole, schema)
+
+
+def _runs_of(ink: DataFrame) -> str:
+    kinds = dict(ink.dtypes)
+    return ", ".join(f"{c} {kinds[c]}" for c in ("y", "xs", "xe"))
+
+
+def _span(lo: np.ndarray, hi: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """How far each one's part reaches."""
+    low, high = lo.copy(), hi.copy()
+    np.minimum.at(low, part, lo)
+    np.maximum.at(high, part, hi)
+    return (high - low)[part]
+
+
+def _placed(s: bits.Sheets, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Page, y, xs and xe of runs."""
+    page = s.page(row)
+    return page, row - s.shift[page], start + s.left, end + s.left
+
+
+def _strokes(m: np.ndarray, length: int, thick: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the strokes along rows, and of those along columns; with thick, only of those whose connected ones of their
+    direction are at most as thick."""
+    if thick is None:
+        return bits.across(m, length), bits.upright(m, length)
+    row, start, end = bits.runs(m)
     long = end - start >= length
-    return y[long], start[long], end[long]
-
-
-def _strokes(key: list[str], runs: pd.DataFrame, length: int, thick: int | None = None) -> pd.DataFrame:
-    """The strokes of some pages; with thick, only those whose connected ones of their direction are at most as thick."""
-    s = _Stack(runs)
-    if len(s.first) > 1 and s.rows * s.wide > PIXELS:
-        middle = s.first[len(s.first) // 2]
-        halves = runs.iloc[:middle], runs.iloc[middle:]
-        return pd.concat([_strokes(key, h.reset_index(drop=True), length, thick) for h in halves], ignore_index=True)
-    m = np.zeros((s.rows, s.wide + 1), np.int32)
-    np.add.at(m, (s.row, s.xs - s.left), 1)
-    np.add.at(m, (s.row, s.xe - s.left), -1)
-    m = m.cumsum(1)[:, :-1] > 0
-    down = np.zeros((s.wide, s.rows + 1), np.int8)
-    x, start, end = _long_runs(np.ascontiguousarray(m.T), length)
-    down[x, start], down[x, end] = 1, -1  # runs of a column don't touch
-    found = []
-    for d, (row, xs, xe) in enumerate((_long_runs(m, length), _long_runs(np.ascontiguousarray(down.cumsum(1, np.int8)[:, :-1].T) > 0, 1))):
-        if thick is not None and len(row):
-            box = _boxed(row, xs, xe, _labels(row, xs, xe))
-            thin = (box["x1"] - box["x0"] if d else box["y1"] - box["y0"]) <= thick
-            row, xs, xe = row[thin], xs[thin], xe[thin]
-        page = s.pages_of(row)
-        rows = {"down": np.full(len(row), bool(d)), "y": row + (s.top - s.start)[page], "xs": xs + s.left, "xe": xe + s.left}
-        found.append(runs[key].iloc[s.first[page]].reset_index(drop=True).assign(**rows))
-    return pd.concat(found, ignore_index=True)
+    row, start, end = row[long], start[long], end[long]
+    thin = _span(row, row + 1, _labels(row, start, end)) <= thick
+    level = bits.drawn(m.shape, row[thin], row[thin] + 1, start[thin], end[thin])
+    column, top, bottom = bits.column_runs(bits.upright(m, length))
+    thin = _span(column, column + 1, _labels(column, top, bottom)) <= thick
+    return level, bits.drawn(m.shape, top[thin], bottom[thin], column[thin], column[thin] + 1)
 
 
 def strokes(key: list[str], ink: DataFrame, length: int, thick: int | None = None) -> DataFrame:
     """Ink in straight runs of at least length pixels, as runs of rows: (key, down, y, xs, xe), down: along columns.
 
-    A page's raster is looked through by rows and by columns. With thick, strokes stay that are connected, among those
-    of one direction, to nothing that is thicker across.
+    With thick, strokes stay that are connected, among those of one direction, to nothing that is thicker across.
     """
-    kinds = dict(ink.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in key), "down boolean", *(f"{c} {kinds[c]}" for c in ("y", "xs", "xe"))])
-    return _by_pages(key, ink, lambda runs: _strokes(key, runs, length, thick), schema)
+
+    def run(p: _Pages) -> tuple:
+        sides = [_placed(p.s, *bits.runs(m)) for m in _strokes(p.m, length, thick)]
+        page, *rows = (np.concatenate(v) for v in zip(*sides))
+        return page, np.repeat([False, True], [len(v[0]) for v in sides]), *rows
+
+    return _as_bits(key, ink, run, f"down boolean, {_runs_of(ink)}", 0)
 
 
 def thin_rules(key: list[str], ink: DataFrame, length: int, thick: int | None = None) -> DataFrame:
@@ -222,27 +311,63 @@ def thin_rules(key: list[str], ink: DataFrame, length: int, thick: int | None =
 
     A filled disc has long runs through its middle as well, but they are connected to something thick.
     """
-    thick = max(3, round(length * THICK_SHARE)) if thick is None else thick
-    return union(key, ink=strokes(key, ink, length, thick))
+    thick = _thick(length) if thick is None else thick
+
+    def run(p: _Pages) -> tuple:
+        level, upright = _strokes(p.m, length, thick)
+        return _placed(p.s, *bits.runs(level | upright))
+
+    return _as_bits(key, ink, run, _runs_of(ink), 0)
+
 
+def _thick(length: int) -> int:
+    return max(3, round(length * THICK_SHARE))
 
-def without_isolated_rules(key: list[str], ink: DataFrame, pages: DataFrame, length: int, rules: DataFrame | None = None) -> DataFrame:
+
+def _without_isolated(p: _Pages, m: np.ndarray, rules: np.ndarray) -> np.ndarray:
+    other = m & ~bits.grown(rules, 2, 2)
+    marked = p.s.marked(other)
+    row, start, end = bits.runs(rules)
+    part, page = _labels(row, start, end), p.s.page(row)
+    attached = np.zeros(len(row), bool)
+    wide = m.shape[1] * 64
+    hit = bits.runs(rules & bits.grown(other, 2, 2))
+    attached[part[np.searchsorted(row * wide + start, hit[0] * wide + hit[1], "right") - 1]] = True
+    far = np.maximum(_span(start, end, part), _span(row, row + 1, part)) >= MIN_SPAN * np.fmax(p.width, p.height)[page]
+    alone, bare = ~attached[part] & far & marked[page], ~marked[page]
+    gone = bits.grown(bits.drawn(m.shape, row[alone], row[alone] + 1, start[alone], end[alone]), 1, 1)
+    return m & ~gone & ~bits.drawn(m.shape, row[bare], row[bare] + 1, start[bare], end[bare])
+
+
+def without_isolated_rules(key: list[str], ink: DataFrame, pages: DataFrame, length: int) -> DataFrame:
     """Ink without the rules that touch nothing else and span a quarter of the page.
 
     What lies within two pixels of a rule is its own fringe; a rule is attached if other ink comes within two
-    pixels of it. Where a page holds rules only, all of them go. pages: (key, width, height) in pixels; rules: as thin_rules finds them.
+    pixels of it. Where a page holds rules only, all of them go. pages: (key, width, height) in pixels.
     """
-    ink = written(union(key, ink=ink), "ink")
-    rules = written(labelled(key, thin_rules(key, ink, length) if rules is None else rules), "rules")
-    other = written(minus(key, ink, dilated(key, rules, 2, 2)), "other-ink")
-    near = dilated(key, other, 2, 2).select(*key, "y", F.col("xs").alias("ns"), F.col("xe").alias("ne"))
-    attached = rules.join(near, [*key, "y"]).where("ns < xe AND xs < ne").select(*key, "part").distinct()
-    wide = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) >= MIN_SPAN * F.greatest("width", "height")
-    marked = other.select(*key).distinct()
-    alone = rules.join(pages, key).where(wide).join(attached, [*key, "part"], "left_anti")
-    gone = dilated(key, alone.join(marked, key, "left_semi"), 1, 1)
-    bare = rules.join(marked, key, "left_anti")
-    return sweep(key, F.col("ink") & ~F.col("gone") & ~F.col("bare"), ink=ink, gone=gone, bare=bare)
+
+    def run(p: _Pages) -> tuple:
+        level, upright = _strokes(p.m, length, _thick(length))
+        return _placed(p.s, *bits.runs(_without_isolated(p, p.m, level | upright)))
+
+    return _as_bits(key, ink, run, _runs_of(ink), 2, pages)
+
+
+def _grids(s: bits.Sheets, m: np.ndarray, length: int) -> dict[str, np.ndarray]:
+    """Page, part, box (rows and columns of the bits) and junctions of the ruled grids."""
+    level, upright = _strokes(m, length)
+    lines = bits.grown(level | upright, 1, 1)
+    row, start, end = bits.runs(lines)
+    part, page = _labels(row, start, end), s.page(row)
+    places = bits.runs(bits.grown(level, 2, 2) & bits.grown(upright, 2, 2) & lines)
+    one = np.flatnonzero(_labels(*places) == np.arange(len(places[0])))  # a run of each place
+    wide = m.shape[1] * 64
+    junctions = np.bincount(part[np.searchsorted(row * wide + start, places[0][one] * wide + places[1][one], "right") - 1], minlength=len(row))
+    box = _boxed(row, start, end, part)
+    side = length * 1.5
+    good = (part == np.arange(len(row))) & (junctions >= MIN_JUNCTIONS) & (box["x1"] - box["x0"] >= side) & (box["y1"] - box["y0"] >= side)
+    first = np.searchsorted(page, page)  # of the page's runs
+    return {"page": page[good], "part": (part - first)[good], **{c: v[good] for c, v in box.items()}, "junctions": junctions[good]}
 
 
 def grid_regions(key: list[str], ink: DataFrame, length: int) -> DataFrame:
@@ -252,21 +377,13 @@ def grid_regions(key: list[str], ink: DataFrame, length: int) -> DataFrame:
     rows meet strokes along columns at MIN_JUNCTIONS places or more. Places are counted within each lattice,
     as connected crossings; a stroke may stop two pixels short of a crossing.
     """
-    lines = written(strokes(key, ink, length), "strokes")
-    across, down = lines.where("NOT down"), lines.where("down")
-    cross = common(key, dilated(key, across, 2, 2), dilated(key, down, 2, 2))
-    parts = written(labelled(key, dilated(key, lines, 1, 1)), "lattices")
-    lattice = parts.select(*key, "y", F.col("xs").alias("ls"), F.col("xe").alias("le"), F.col("part").alias("lattice"))
-    met = cross.join(lattice, [*key, "y"]).where("ls < xe AND xs < le").select(*key, "lattice", "y", F.greatest("xs", "ls").alias("xs"), F.least("xe", "le").alias("xe"))
-    places = labelled([*key, "lattice"], met).groupBy(*key, F.col("lattice").alias("part")).agg(F.countDistinct("part").alias("junctions"))
-    side = length * 1.5
-    return extents(key, parts).join(places.where(F.col("junctions") >= MIN_JUNCTIONS), [*key, "part"]).where((F.col("x1") - F.col("x0") >= side) & (F.col("y1") - F.col("y0") >= side))
 
+    def run(p: _Pages) -> tuple:
+        g = _grids(p.s, p.m, length)
+        shift = p.s.shift[g["page"]]
+        return g["page"], g["part"], g["x0"] + p.s.left, g["y0"] - shift, g["x1"] + p.s.left, g["y1"] - shift, g["junctions"]
 
-def _within(key: list[str], runs: DataFrame, regions: DataFrame) -> DataFrame:
-    """Runs clipped to each region (key, region, x0, y0, x1, y1) they reach."""
-    met = runs.join(regions, key).where("y >= y0 AND y < y1 AND xs < x1 AND x0 < xe")
-    return met.select(*key, "region", "y", F.greatest("xs", "x0").alias("xs"), F.least("xe", "x1").alias("xe"))
+    return _as_bits(key, ink, run, "part bigint, x0 int, y0 int, x1 int, y1 int, junctions bigint", 2)
 
 
 def row_dividers(key: list[str], ink: DataFrame, regions: DataFrame, length: int) -> DataFrame:
@@ -276,33 +393,66 @@ def row_dividers(key: list[str], ink: DataFrame, regions: DataFrame, length: int
     twenty times as long as thick. Where other ink crosses the dividers (over 20 pixels and 3 % of it) the
     region is a drawing, and has none. regions: (key, region, x0, y0, x1, y1).
     """
-    deep = [*key, "region"]
-    inner = written(_within(key, union(key, ink=ink), regions), "grid-ink")
-    thick = max(3, round(length * THICK_SHARE))
-    lines = written(strokes(deep, inner, length), "strokes")
-    w, h, full = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("full")
-    parts = labelled(deep, lines.where("NOT down")).join(regions.select(*deep, (F.col("x1") - F.col("x0")).alias("full")), deep)
-    good = (w >= DIVIDER_LEAST * full) & (((w >= DIVIDER_SPAN * full) & (h <= thick)) | ((w >= DIVIDER_FULL * full) & (h <= max(thick, round(length * 0.5)))) | (w >= DIVIDER_ASPECT * h))
-    found = written(parts.where(good).select(*deep, "y", "xs", "xe"), "dividers")
-    rest = written(sweep(deep, F.col("ink") & ~F.col("lines"), ink=inner, lines=lines), "drawing")
-    total = lambda runs, name: runs.groupBy(*deep).agg(F.sum(F.col("xe") - F.col("xs")).alias(name))
-    crossed = total(common(deep, dilated(deep, found, 1, 1), rest), "crossed").join(total(rest, "rest"), deep).where((F.col("crossed") > CROSSING_INK) & (F.col("crossed") > CROSSING_SHARE * F.col("rest")))
-    return found.join(crossed, deep, "left_anti")
 
-
-def without_edge_furniture(key: list[str], ink: DataFrame, pages: DataFrame, scale: float) -> DataFrame:
-    """Ink without connected parts at the left or right edge that are at most 0.12 of the page wide."""
-    edge, width = round(EDGE_PT * scale), F.bround(F.col("width") * EDGE_SHARE)
-    gone = (F.col("x1") - F.col("x0") <= width) & ((F.col("x0") <= edge) | (F.col("x1") >= F.col("width") - edge))
-    return labelled(key, union(key, ink=ink)).join(pages, key).where(~gone).select(*key, "y", "xs", "xe")
+    def run(p: _Pages) -> tuple:
+        g, shift = p.regions, p.s.shift[p.regions["page"]]
+        low, high = np.append(0, p.s.end)[g["page"]], p.s.end[g["page"]]  # what lies beyond the page's ink holds none
+        y0, y1 = np.clip(g["y0"] + shift, low, high), np.clip(g["y1"] + shift, low, high)
+        x0, x1 = (np.clip(g[c] - p.s.left, 0, p.m.shape[1] * 64) for c in ("x0", "x1"))
+        n, row, start, end = _dividers(p.m, y0, y1, x0, x1, g["x1"] - g["x0"], length)
+        page, *rows = _placed(p.s, row, start, end)
+        return page, n, *rows
+
+    kind = dict(regions.dtypes)["region"]
+    return _as_bits(key, ink, run, f"region {kind}, {_runs_of(ink)}", 1, regions=regions)
+
+
+def grid_dividers(key: list[str], ink: DataFrame, length: int) -> DataFrame:
+    """row_dividers in the page's own grids; region: their part among grid_regions."""
+
+    def run(p: _Pages) -> tuple:
+        g = _grids(p.s, p.m, length)
+        n, row, start, end = _dividers(p.m, g["y0"], g["y1"], g["x0"], g["x1"], g["x1"] - g["x0"], length)
+        page, *rows = _placed(p.s, row, start, end)
+        return page, g["part"][n], *rows
+
+    return _as_bits(key, ink, run, f"region bigint, {_runs_of(ink)}", 2)
+
+
+def _dividers(m: np.ndarray, r0: np.ndarray, r1: np.ndarray, c0: np.ndarray, c1: np.ndarray, full: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Region, row, start and end of the runs that divide the rows of each region (rows and columns of the bits)."""
+    high = r1 - r0
+    last = (high + 3).cumsum()  # regions go one below the other
+    begin = last - high - 3
+    region = np.repeat(np.arange(len(high)), high)
+    i = np.arange(int(high.sum())) - np.repeat(high.cumsum() - high, high)
+    word = 64 * np.arange(m.shape[1])
+    lo, hi = np.clip(c0[:, None] - word, 0, 64), np.clip(c1[:, None] - word, 0, 64)
+    mask = np.where(lo < hi, (bits.ALL << np.minimum(lo, 63).astype(bits.U64)) & (bits.ALL >> np.minimum(64 - hi, 63).astype(bits.U64)), bits.U64(0))
+    inner = np.zeros((int(last[-1]) if len(last) else 0, m.shape[1]), bits.U64)
+    inner[begin[region] + i] = m[r0[region] + i] & mask[region]
+    row, start, end = bits.runs(inner)
+    long = end - start >= length
+    row, start, end = row[long], start[long], end[long]
+    part, at = _labels(row, start, end), np.searchsorted(last, row, "right")
+    w, h, full, thick = _span(start, end, part), _span(row, row + 1, part), full[at], _thick(length)
+    good = (w >= DIVIDER_LEAST * full) & (((w >= DIVIDER_SPAN * full) & (h <= thick)) | ((w >= DIVIDER_FULL * full) & (h <= max(thick, round(length * 0.5)))) | (w >= DIVIDER_ASPECT * h))
+    rest = inner & ~bits.across(inner, length) & ~bits.upright(inner, length)
+    near = bits.grown(bits.drawn(inner.shape, row[good], row[good] + 1, start[good], end[good]), 1, 1)
+    total = lambda x: np.add.reduceat(np.bitwise_count(x).sum(1, dtype=np.int64), begin) if len(begin) else np.zeros(0, np.int64)
+    crossed, drawing = total(near & rest), total(rest)
+    good &= ~((crossed > CROSSING_INK) & (crossed > CROSSING_SHARE * drawing))[at]
+    at, row = at[good], row[good]
+    return at, row - begin[at] + r0[at], start[good], end[good]
 
 
-def rule_share(key: list[str], boxes: DataFrame, ink: DataFrame, rules: DataFrame) -> DataFrame:
-    """boxes (key, part, x0, y0, x1, y1) with the ink in them and the share of it that is in rules (1 without ink)."""
-    named = [*key, "region"]
-    inside = lambda runs, name: _within(key, runs, boxes.withColumnRenamed("part", "region")).groupBy(*named).agg(F.sum(F.col("xe") - F.col("xs")).alias(name)).withColumnRenamed("region", "part")
-    met = boxes.join(inside(ink, "ink"), [*key, "part"], "left").join(inside(rules, "ruled"), [*key, "part"], "left")
-    return met.withColumn("share", F.when(F.coalesce("ink", F.lit(0)) == 0, 1.0).otherwise(F.coalesce("ruled", F.lit(0)) / F.col("ink"))).drop("ruled")
+def _without_edges(p: _Pages, m: np.ndarray, scale: float) -> np.ndarray:
+    """Ink without connected parts at the left or right edge that are at most 0.12 of the page wide, and without pages of unknown size."""
+    row, start, end = bits.runs(m)
+    part, width = _labels(row, start, end), p.width[p.s.page(row)]
+    box, edge = _boxed(row, start, end, part), round(EDGE_PT * scale)
+    gone = (box["x1"] - box["x0"] <= np.rint(width * EDGE_SHARE)) & ((box["x0"] + p.s.left <= edge) | (box["x1"] + p.s.left >= width - edge)) | np.isnan(width)
+    return m & ~bits.drawn(m.shape, row[gone], row[gone] + 1, start[gone], end[gone])
 
 
 def ink_clusters(key: list[str], ink: DataFrame, pages: DataFrame, scale: float) -> DataFrame:
@@ -314,20 +464,36 @@ def ink_clusters(key: list[str], ink: DataFrame, pages: DataFrame, scale: float)
     """
     length, size = max(3, round(RULE_PT * scale)), max(3, round(GAP_PT * scale) | 1)
     pad = size // 2
-    ink = written(without_edge_furniture(key, ink, pages, scale), "ink")
-    regions = written(grid_regions(key, ink, length).withColumnRenamed("part", "region"), "grids").drop("junctions")
-    rules = written(thin_rules(key, ink, length), "rules")
-    left = written(without_isolated_rules(key, ink, pages, length, rules), "ink-left")
-    barrier = dilated(key, row_dividers(key, ink, regions, length).drop("region"), 0, 1)
-    grown = sweep(key, F.col("ink") & ~F.col("barrier"), ink=_spread(key, left, disc(size)), barrier=barrier)
-    # the page ends where it ends, so its growth does
-    box = extents(key, labelled(key, grown)).join(pages, key)
-    low = lambda c: F.greatest(F.lit(0), F.col(c)) + pad
-    high = lambda c, end: F.least(F.col(end), F.col(c)) - pad
-    box = box.select(*key, "part", low("x0").alias("x0"), low("y0").alias("y0"), high("x1", "width").alias("x1"), high("y1", "height").alias("y1"), "width", "height")
-    box = written(box, "clusters")
-    reach = box.select(*key, "part", "x0", "y0", F.least("width", F.col("x1") + 1).alias("x1"), F.least("height", F.col("y1") + 1).alias("y1"))
-    shares = rule_share(key, reach, ink, rules).select(*key, "part", "share")
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    ruling = (F.col("share") >= RULE_ONLY) | ((area < SMALL_PT2 * scale * scale) & (F.col("share") >= SMALL_RULE_ONLY))
-    return box.join(shares, [*key, "part"]).where(~ruling).drop("width", "height", "share")
+
+    def run(p: _Pages) -> tuple:
+        s, m = p.s, _without_edges(p, p.m, scale)
+        g = _grids(s, m, length)
+        level, upright = _strokes(m, length, _thick(length))
+        rules = level | upright
+        left, grown = _without_isolated(p, m, rules), np.zeros_like(m)
+        wide = [left]
+        for _ in range(pad):
+            wide.append(bits.grown(wide[-1], 1, 0))
+        for dy, dx in disc(size):
+            grown |= bits.down(wide[dx], dy)
+        _, row, start, end = _dividers(m, g["y0"], g["y1"], g["x0"], g["x1"], g["x1"] - g["x0"], length)
+        grown &= ~bits.grown(bits.drawn(m.shape, row, row + 1, start, end), 0, 1)
+        row, start, end = bits.runs(grown)
+        part, page = _labels(row, start, end), s.page(row)
+        one = np.flatnonzero(part == np.arange(len(row)))
+        box, first = {c: v[one] for c, v in _boxed(row, start, end, part).items()}, np.searchsorted(page, page)[one]
+        part, page = part[one] - first, page[one]
+        # the page ends where it ends, so its growth does
+        x0, y0 = np.maximum(0, box["x0"] + s.left) + pad, np.maximum(0, box["y0"] - s.shift[page]) + pad
+        x1 = np.fmin(p.width[page], box["x1"] + s.left).astype(np.int64) - pad
+        y1 = np.fmin(p.height[page], box["y1"] - s.shift[page]).astype(np.int64) - pad
+        low, high = np.append(0, s.end)[page], s.end[page]
+        r0, r1 = np.clip(y0 + s.shift[page], low, high), np.clip(np.fmin(p.height[page], y1 + 1).astype(np.int64) + s.shift[page], low, high)
+        c0, c1 = np.clip(x0 - s.left, 0, m.shape[1] * 64), np.clip(np.fmin(p.width[page], x1 + 1).astype(np.int64) - s.left, 0, m.shape[1] * 64)
+        some, inked, ruled = (r0 < r1) & (c0 < c1), np.zeros(len(one)), np.zeros(len(one))
+        inked[some], ruled[some] = bits.counts([m, rules], r0[some], r1[some], c0[some], c1[some])
+        share = np.where(inked == 0, 1.0, ruled / np.maximum(inked, 1))
+        good = (share < RULE_ONLY) & (((x1 - x0) * (y1 - y0) >= SMALL_PT2 * scale * scale) | (share < SMALL_RULE_ONLY))
+        return tuple(v[good] for v in (page, part, x0, y0, x1, y1))
+
+    return _as_bits(key, ink, run, "part bigint, x0 int, y0 int, x1 int, y1 int", max(2, pad), pages)

@@ -120,9 +120,9 @@ def page_shapes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     stroke = box(x, y, 30 + at % 20, 1 + at % 2)
     shape = F.when(kind < 2, blot).when(kind == 2, rule).when(kind == 3, post).otherwise(stroke)
     page = F.expr("l_orderkey div 16").alias("page_id")
-    drawn = li.select(page, shape.alias("b")).where("b.x < 240")
-    ends = F.least(F.lit(240), F.col("b.x") + F.col("b.w")).alias("x1"), F.least(F.lit(200), F.col("b.y") + F.col("b.h")).alias("y1")
-    return drawn.select("page_id", F.col("b.x").alias("x0"), F.col("b.y").alias("y0"), *ends), li.select(page).distinct().withColumns({"width": F.lit(240), "height": F.lit(200)})
+    drawn = li.select(page, F.inline(F.array(shape))).where("x < 240")  # a shape is worked out once, not wherever its sides are used
+    ends = F.least(F.lit(240), F.col("x") + F.col("w")).alias("x1"), F.least(F.lit(200), F.col("y") + F.col("h")).alias("y1")
+    return drawn.select("page_id", F.col("x").alias("x0"), F.col("y").alias("y0"), *ends), li.select(page).distinct().withColumns({"width": F.lit(240), "height": F.lit(200)})
 
 
 def shape_rows(key: list[str], shapes: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+
 from tessera.llm import minhash_join
 
 
