@@ -100,7 +100,7 @@ def test_boxes_are_the_rows_they_hold(spark, shapes, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-@pytest.mark.parametrize("query", ["r4_without_rules", "r6_row_dividers", "r6b_ink_figures"])
+@pytest.mark.parametrize("query", ["r4_without_rules", "r6_row_dividers", "r6b_ink_figures", "r6_grid_regions"])
 def test_pages_go_through_one_shuffle(spark, query):
     plan = getattr(page_figures, query)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     ink = plan[plan.index("MapInArrow") :]
